@@ -1,0 +1 @@
+"""Kept empty on purpose: the workflow has no streaming operator (see README)."""
