@@ -98,9 +98,29 @@ def equal_width_bin(col: Column, low: Column, high: Column, bins: int) -> Column
     return F.when(col.isNotNull(), F.coalesce(F.least(index, F.lit(bins - 1)), F.lit(0)))
 
 
+def one_decimal(col: Column) -> Column:
+    """Text with one decimal, rounded on the exact binary value, exact halves to even.
+
+    That is what ``%.1f`` does outside the JVM; the JVM rounds the printed decimals
+    half up. The fraction is a whole number of 2^-53, so bigint arithmetic is exact.
+    """
+    unit = 1 << 53
+    size = F.abs(col.cast("double"))
+    whole = F.floor(size).cast("bigint")
+    tenths = ((size - F.floor(size)) * float(unit)).cast("bigint") * 10
+    digit = F.shiftright(tenths, 53)
+    rest = tenths - F.shiftleft(digit, 53)
+    half = F.lit(unit // 2)
+    up = (rest > half) | ((rest == half) & (digit % 2 == 1))
+    total = whole * 10 + digit + up.cast("bigint")
+    text = F.concat(F.floor(total / 10).cast("bigint").cast("string"), F.lit("."),
+                    (total % 10).cast("string"))
+    return F.when(col < 0, F.concat(F.lit("-"), text)).otherwise(text)
+
+
 def band_label(low: Column, high: Column) -> Column:
     """the text ``min - max`` with one decimal."""
-    return F.format_string("%.1f - %.1f", low, high)
+    return F.concat(one_decimal(low), F.lit(" - "), one_decimal(high))
 
 
 def unpivot(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = (),
@@ -131,21 +151,29 @@ def broadcast_if_small(df: DataFrame, limit: int = 200_000) -> DataFrame:
     return df
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder the session names.
+def shared_folder(spark) -> str:
+    """The folder for data between jobs: ``spark.checkpoint.dir`` of the session.
 
-    ``spark.checkpoint.dir`` of the session is used when it is set. Only a local
-    master may fall back to a temporary folder of its own.
+    Only a local master may fall back to a temporary folder of its own.
     """
-    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="scoreflow-")
-        sc.setCheckpointDir(folder)
+    if sc.getCheckpointDir() is not None:
+        return sc.getCheckpointDir()
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    import tempfile
+
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="scoreflow-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint, which survives the loss of executors."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -45,10 +45,15 @@ def _auc_term() -> Column:
     return F.col("goods").cast("double") * height
 
 
-def rank_metrics(df: DataFrame, score: str, target: str, by: Sequence[str] = ()) -> DataFrame:
+_RANKS = ("ks", "ks_two_sided", "threshold", "auc", "pr_auc", "average_precision")
+
+
+def rank_metrics(df: DataFrame, score: str, target: str, by: Sequence[str] = (),
+                 extra: Sequence[Column] = ()) -> DataFrame:
     """M1-M4 in one pass: ks, ks_two_sided, threshold, auc, gini, pr_auc, average_precision.
 
-    One row per group; a group with one class only has null metrics.
+    One row per group; a group with one class only has null metrics. ``extra`` are named
+    aggregates over the distinct scores of the group, computed in the same pass.
     """
     steps = score_steps(df, score, target, by)
     good, bad = _shares()
@@ -73,12 +78,14 @@ def rank_metrics(df: DataFrame, score: str, target: str, by: Sequence[str] = ())
         F.max(F.when(both, 1)).alias("_both"),
         F.max("tot_goods").alias("goods"),
         F.max("tot_bads").alias("bads"),
+        *extra,
     )
+    named = [c for c in out.columns if c not in _RANKS and c not in by and c != "_both"]
     keep = lambda c: F.when(F.col("_both") == 1, F.col(c)).alias(c)
     return out.select(
         *by, *[keep(c) for c in ("ks", "ks_two_sided", "threshold", "auc")],
         F.when(F.col("_both") == 1, 2 * F.col("auc") - 1).alias("gini"),
-        keep("pr_auc"), keep("average_precision"), "goods", "bads",
+        keep("pr_auc"), keep("average_precision"), *named,
     )
 
 

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreflow.functions.core import hash_cell, hashed
+from scoreflow.functions.core import bounded_rows, hash_cell, hashed
 
 _CELL, _SPLITS, _BLOCK = "_cell", "_splits", "_block"
 BLOCK = 16
@@ -142,46 +142,67 @@ def ntile(df: DataFrame, score: str, id_col: str, n: int, name: str = "band",
           seed: int = 0) -> DataFrame:
     """Exact ``ntile(n)`` by (score, hash of id, id), ascending.
 
-    Only the n-1 last keys of the tiles are looked up; every row then compares itself
-    with them, so the rows are never shuffled. Equal scores that straddle a tile edge
-    are ordered by the hash of the id, cell by cell, however many there are.
+    Only the last keys of the first n-1 tiles are looked up (n-1 rows reach the driver);
+    every row then compares itself with them, so the rows are never shuffled. Equal
+    scores that straddle a tile edge are ordered by the hash of the id, cell by cell.
     """
     data = df.filter(F.col(score).isNotNull())
-    run = running_sums(value_counts(data, score), score, ["n"])
+    edges = _tile_edges(data.select(F.col(score).cast("double").alias("s")), n)
+    split = [e for e in edges if e["r"] < e["n"]]
+    ties = _tie_keys(data, score, id_col, split, seed) if split else {}
+    value, tile = F.col(score).cast("double"), None
+    own = F.struct(hashed(id_col, seed).alias("h"), F.col(id_col).cast("string").alias("i"))
+    for edge in sorted(edges, key=lambda e: e["j"]):
+        s = F.lit(edge["s"])
+        if edge["j"] in ties:
+            key = ties[edge["j"]]
+            upto = (value < s) | ((value == s) & (own <= F.struct(F.lit(key["h"]).alias("h"),
+                                                                  F.lit(key["i"]).alias("i"))))
+        else:
+            upto = value <= s
+        tile = F.when(upto, edge["j"]) if tile is None else tile.when(upto, edge["j"])
+    return data.withColumn(name, F.lit(n) if tile is None else tile.otherwise(n))
+
+
+def _tile_edges(scores: DataFrame, n: int) -> list:
+    """Score at the last rank of tiles 1..n-1, and that rank among the equal scores."""
+    run = running_sums(value_counts(scores, "s"), "s", ["n"])
     total, first = F.col("tot_n"), F.col("cum_n") - F.col("n")
     last = lambda j: j * F.floor(total / n).cast("long") + F.least(j, total % n)
-    tiles = F.transform(F.sequence(F.lit(1), F.lit(n - 1)), lambda j: j.cast("long"))
-    cuts = run.select(
-        score, F.explode(F.filter(tiles, lambda j: (last(j) > first) & (last(j) <= F.col("cum_n"))))
-        .alias("_j"), "n", "tot_n", "cum_n",
-    ).select(F.col(score).alias("_s"), "_j", (last(F.col("_j")) - first).alias("_r"), "n")
-    whole = cuts.filter(F.col("_r") == F.col("n")).select(
-        F.col("_s").cast("double").alias("s"), F.lit("g").alias("h"), F.lit("").alias("i"))
-    # n-1 rows at most: one per inner tile edge.
-    split = F.broadcast(cuts.filter(F.col("_r") < F.col("n")).select("_s", "_j", "_r"))
-    tied = data.select(F.col(score).alias("_v"), F.col(id_col).cast("string").alias("i"))
-    tied = tied.join(split, F.col("_v") == F.col("_s")).withColumn("h", hashed("i", seed))
-    tied = tied.withColumn("_c", hash_cell(F.col("h")))
-    sizes = tied.groupBy("_j", "_r", "_c").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy("_j").orderBy("_c").rowsBetween(Window.unboundedPreceding, 0)
-    edge = sizes.withColumn("_u", F.sum("_n").over(upto)).filter(
-        (F.col("_u") >= F.col("_r")) & (F.col("_u") - F.col("_n") < F.col("_r")))
-    edge = F.broadcast(edge.select(  # again one row per tile edge
-        F.col("_j").alias("_ej"), F.col("_c").alias("_ec"),
-        (F.col("_r") - F.col("_u") + F.col("_n")).alias("_left")))
-    at_edge = tied.join(edge, (F.col("_j") == F.col("_ej")) & (F.col("_c") == F.col("_ec")))
-    rank = F.row_number().over(Window.partitionBy("_j").orderBy("h", "i"))
-    found = at_edge.withColumn("_k", rank).filter(F.col("_k") == F.col("_left")).select(
-        F.col("_v").cast("double").alias("s"), "h", "i")
-    keys = whole.unionByName(found).agg(
-        F.array_sort(F.collect_list(F.struct("s", "h", "i"))).alias("k"))
-    own = F.struct(F.col(score).cast("double").alias("s"), hashed(id_col, seed).alias("h"),
-                   F.col(id_col).cast("string").alias("i"))
-    return (
-        data.withColumn("_keys", keys.scalar()).withColumn("_own", own)
-        .withColumn(name, F.size(F.filter("_keys", lambda k: k < F.col("_own"))) + 1)
-        .drop("_keys", "_own")
-    )
+    tiles = F.array(*[F.lit(j).cast("long") for j in range(1, n)]) if n > 1 else None
+    if tiles is None:
+        return []
+    hits = F.filter(tiles, lambda j: (last(j) > first) & (last(j) <= F.col("cum_n")))
+    found = run.select("s", F.explode(hits).alias("j"), "n", "tot_n", "cum_n")
+    return bounded_rows(found.select("s", "j", "n", (last(F.col("j")) - first).alias("r")),
+                        n, "tile edges")
+
+
+def _tie_keys(data: DataFrame, score: str, id_col: str, split: list, seed: int) -> dict:
+    """(hash, id) of the row at each split edge, found inside one hash cell per edge."""
+    spark = data.sparkSession
+    values = sorted({e["s"] for e in split})
+    tied = data.filter(F.col(score).cast("double").isin(values)).select(
+        F.col(score).cast("double").alias("s"), F.col(id_col).cast("string").alias("i"),
+        hashed(id_col, seed).alias("h")).withColumn("c", hash_cell(F.col("h")))
+    # One row per tile edge, so at most the number of tiles.
+    edges = F.broadcast(spark.createDataFrame(
+        [(e["s"], e["j"], e["r"]) for e in split], "es double, j long, r long"))
+    sizes = tied.groupBy("s", "c").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("s").orderBy("c").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = sizes.withColumn("u", F.sum("n").over(upto)).join(edges, F.col("s") == F.col("es"))
+    inside = (F.col("u") >= F.col("r")) & (F.col("u") - F.col("n") < F.col("r"))
+    cells = bounded_rows(sizes.filter(inside).select(
+        "j", "s", "c", (F.col("r") - F.col("u") + F.col("n")).alias("left")),
+        len(split), "tie cells")
+    wanted = F.broadcast(spark.createDataFrame(
+        [(c["j"], c["s"], c["c"], c["left"]) for c in cells],
+        "j long, ws double, wc int, left long"))
+    rank = F.row_number().over(Window.partitionBy("j").orderBy("h", "i"))
+    at_edge = tied.join(wanted, (F.col("s") == F.col("ws")) & (F.col("c") == F.col("wc")))
+    keys = at_edge.withColumn("k", rank).filter(F.col("k") == F.col("left"))
+    return {row["j"]: row for row in bounded_rows(keys.select("j", "h", "i"),
+                                                  len(split), "tie keys")}
 
 
 def difference(df: DataFrame, value: str, order: str, by: Sequence[str] = (),

@@ -57,23 +57,32 @@ def band_metrics(banded: DataFrame, score: str, target: str, ascending: bool = T
     return table.select("band", "ks", "auc", "gini")
 
 
-def scorecard(banded: DataFrame, score: str, target: str, ascending: bool = False) -> DataFrame:
-    """The final table, one row per band plus the mean of the bands."""
-    stats = band_table(banded, score, target)
-    table = stats.join(band_metrics(banded, score, target, ascending), "band", "left").select(
+def scorecard(banded: DataFrame, score: str, target: str) -> DataFrame:
+    """The final table, one row per band plus the mean of the bands.
+
+    Range, counts and metrics all come from one pass over the counts per (band, score).
+    """
+    table = rank_metrics(banded, score, target, ["band"], extra=[
+        F.min(score).alias("min_score"), F.max(score).alias("max_score")])
+    total = F.col("goods") + F.col("bads")
+    card = table.select(
         F.col("band").cast("string").alias("band"),
         band_label(F.col("min_score"), F.col("max_score")).alias("label"),
-        "goods", "bads", "total", "pd", "ks", "auc", "gini")
-    return with_mean_row(table, "band", "label")
+        "goods", "bads", total.alias("total"), ratio(F.col("bads"), total).alias("pd"),
+        "ks", "auc", "gini")
+    return with_mean_row(card, "band", "label")
 
 
 def with_mean_row(table: DataFrame, key: str, *text: str) -> DataFrame:
-    """Add a row ``MEAN`` with the mean of every number in a small metric table."""
+    """Add a row ``MEAN`` with the mean of every number in a metric table.
+
+    Each row counts for itself and for the mean, so the table is computed once.
+    """
     numbers = [c for c in table.columns if c != key and c not in text]
-    as_double = table.select(key, *text, *[F.col(c).cast("double").alias(c) for c in numbers])
-    mean = as_double.agg(*[F.avg(c).alias(c) for c in numbers]).select(
-        F.lit("MEAN").alias(key), *[F.lit("MEAN").alias(t) for t in text], *numbers)
-    return as_double.unionByName(mean)
+    twice = table.withColumn("_to", F.explode(F.array(F.col(key), F.lit("MEAN"))))
+    return twice.groupBy(F.col("_to").alias(key)).agg(
+        *[F.when(F.col("_to") == "MEAN", "MEAN").otherwise(F.max(t)).alias(t) for t in text],
+        *[F.avg(c).alias(c) for c in numbers])
 
 
 def band_cumulative(bands: DataFrame) -> DataFrame:
