@@ -19,8 +19,8 @@ FORMATS = {
     "scientific": r"^[-+]?[\d,.]*\d[Ee][-+]?\d+$",
     "other_numeric": r"^[-+]?\d+$",
 }
-COMMA_DECIMAL = r"\.\d{3}(\D|$).*,|^\D*\d+,\d{1,2}(\D|$)|^\D*\d+,\d{4,}|\.\d{3},\d"
-POINT_DECIMAL = r",\d{3}(\D|$).*\.|^\D*\d+\.\d{1,2}(\D|$)|^\D*\d+\.\d{4,}|,\d{3}\.\d"
+# A number as the cast reads it. Tested first: a failed cast costs an exception per value.
+PLAIN = r"^[-+]?(\d+\.?\d*|\.\d+)([Ee][-+]?\d+)?$"
 
 
 def marked_number(col: Column) -> Column:
@@ -29,14 +29,18 @@ def marked_number(col: Column) -> Column:
     return bare.rlike(r"^\d+$") & col.rlike("[.,]")
 
 
+def _plain_number(text: Column) -> Column:
+    return F.when(text.rlike(PLAIN), text.try_cast("double"))
+
+
 def comma_number(col: Column) -> Column:
     """``1.234,56`` as double: drop points, the comma is the decimal mark, either sign."""
-    return F.translate(col, ",.", ".").try_cast("double")
+    return _plain_number(F.translate(col, ",.", "."))
 
 
 def point_number(col: Column) -> Column:
     """``1,234.56`` as double."""
-    return F.translate(col, ",", "").try_cast("double")
+    return _plain_number(F.translate(col, ",", ""))
 
 
 def numeric_string_report(df: DataFrame, min_rate: float = 0.8) -> DataFrame:
@@ -66,16 +70,35 @@ def convert_numeric_strings(df: DataFrame, min_rate: float = 0.8) -> DataFrame:
     return df.withColumns({h["feature"]: comma_number(F.col(h["feature"])) for h in hits})
 
 
-def _bare(col: Column) -> Column:
-    """Trimmed text without currency mark and percent sign."""
-    plain = F.regexp_replace(F.trim(col), r"^([-+]?)(R\$|\$|€|£)\s?", "$1")
-    return F.regexp_replace(plain, "%$", "")
+def number_format(col: Column) -> Column:
+    """The name of the first format the trimmed text matches, else null."""
+    text, kind = F.trim(col), None
+    for name, pattern in FORMATS.items():
+        hit = text.rlike(pattern)
+        kind = F.when(hit, name) if kind is None else kind.when(hit, name)
+    return kind
+
+
+def _digits(col: Column) -> Column:
+    """Text without currency marks, spaces and percent signs (safe once a format matched)."""
+    return F.translate(col, "R$€£ %", "")
+
+
+def _decimal_sign(text: Column, mark: str, other: str) -> Column:
+    """Does the text show that ``mark`` is decimal: it occurs once, behind every ``other``,
+    and either both occur or it is not followed by exactly three digits."""
+    tail = F.substring_index(text, mark, -1)
+    once = (F.length(text) - F.length(F.translate(text, mark, ""))) == 1
+    grouped = F.contains(text, F.lit(other))
+    return once & ~F.contains(tail, F.lit(other)) & (grouped | (F.length(tail) != 3))
 
 
 def any_number(col: Column, comma_decimal: bool) -> Column:
     """A number in any of the formats; the decimal mark is that of the whole column."""
-    number = comma_number(_bare(col)) if comma_decimal else point_number(_bare(col))
-    return F.when(F.trim(col).endswith("%"), number / 100).otherwise(number)
+    text = _digits(col)
+    number = comma_number(text) if comma_decimal else point_number(text)
+    number = F.when(F.trim(col).endswith("%"), number / 100).otherwise(number)
+    return F.when(number_format(col).isNotNull(), number)
 
 
 def numeric_column_report(df: DataFrame, min_rate: float = 0.7,
@@ -83,29 +106,33 @@ def numeric_column_report(df: DataFrame, min_rate: float = 0.7,
     """V3 for V2: per text column the count of each format, the decimal mark and the outcome."""
     cols = string_columns(df)
 
-    def signs(c: str) -> Column:
-        """The format and the decimal-mark evidence of one value, worked out once per value."""
-        text, bare, kind = F.trim(F.col(c)), _bare(F.col(c)), None
-        for name, pattern in FORMATS.items():
-            hit = text.rlike(pattern)
-            kind = F.when(hit, name) if kind is None else kind.when(hit, name)
-        return F.when(F.col(c).isNotNull(), F.struct(
-            kind.alias("kind"), bare.rlike(COMMA_DECIMAL).alias("comma"),
-            bare.rlike(POINT_DECIMAL).alias("point"),
-            any_number(F.col(c), True).isNull().alias("lost_comma"),
-            any_number(F.col(c), False).isNull().alias("lost_point"))).alias(c)
-
-    def stats(c: str) -> Column:
-        counts = [F.count_if(F.col(f"{c}.kind") == k).alias(k) for k in FORMATS]
+    def signs(i: int, c: str) -> list[Column]:
+        """The format and the decimal-mark evidence of one value, worked out once per value.
+
+        Plain columns, not one struct: Spark would unfold a struct into every aggregate.
+        """
+        text, kind = _digits(F.col(c)), number_format(F.col(c))
+        bad = lambda t: ~F.coalesce(t.rlike(PLAIN), F.lit(False))
+        flags = {"comma": _decimal_sign(text, ",", "."), "point": _decimal_sign(text, ".", ","),
+                 "lost_comma": bad(F.translate(text, ",.", ".")),
+                 "lost_point": bad(F.translate(text, ",", ""))}
+        return [F.when(F.col(c).isNotNull(), F.coalesce(kind, F.lit("none"))).alias(f"k{i}"),
+                *[flag.alias(f"{name}{i}") for name, flag in flags.items()]]
+
+    def stats(i: int, c: str) -> Column:
+        kind = F.col(f"k{i}")
+        matched = kind != "none"
         return F.struct(
-            F.count(c).alias("total"), F.count(f"{c}.kind").alias("numeric"), *counts,
-            F.count_if(F.col(f"{c}.comma")).alias("comma_marks"),
-            F.count_if(F.col(f"{c}.point")).alias("point_marks"),
-            F.count_if(F.col(f"{c}.lost_comma")).alias("null_comma"),
-            F.count_if(F.col(f"{c}.lost_point")).alias("null_point"),
+            F.count(kind).alias("total"), F.count_if(matched).alias("numeric"),
+            *[F.count_if(kind == k).alias(k) for k in FORMATS],
+            F.count_if(F.col(f"comma{i}") & matched).alias("comma_marks"),
+            F.count_if(F.col(f"point{i}") & matched).alias("point_marks"),
+            F.count_if((kind == "none") | (F.col(f"lost_comma{i}") & matched)).alias("null_comma"),
+            F.count_if((kind == "none") | (F.col(f"lost_point{i}") & matched)).alias("null_point"),
         ).alias(c)
 
-    wide = df.select(*[signs(c) for c in cols]).agg(*[stats(c) for c in cols])
+    seen = df.select(*[s for i, c in enumerate(cols) for s in signs(i, c)])
+    wide = seen.agg(*[stats(i, c) for i, c in enumerate(cols)])
     rows = wide.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).alias("s")) for c in cols])).alias("r"))
     comma = F.col("comma_marks") > F.col("point_marks")
