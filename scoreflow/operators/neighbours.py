@@ -33,8 +33,10 @@ def direction(points: DataFrame, cols: Sequence[str], seed: int = 42) -> tuple[l
     return [w / size for w in raw], row["n"]
 
 
-def squared_distance(a: Sequence[Column], b: Sequence[Column]) -> Column:
-    return reduce(lambda x, y: x + y, [(p - q) * (p - q) for p, q in zip(a, b)])
+def distance(a: Column, b: Column) -> Column:
+    """Euclidean distance of two arrays; one short expression whatever their length."""
+    squares = F.zip_with(a, b, lambda p, q: (p - q) * (p - q))
+    return F.sqrt(F.aggregate(squares, F.lit(0.0), lambda total, v: total + v))
 
 
 def nearest(points: DataFrame, key: str, cols: Sequence[str], k: int,
@@ -49,26 +51,21 @@ def nearest(points: DataFrame, key: str, cols: Sequence[str], k: int,
     cells = max(1, min(MAX_CELLS, n // CELL_ROWS))
     line = reduce(lambda x, y: x + y, [F.col(c) * w for c, w in zip(cols, weights)])
     base = points.select(F.col(key).alias("key"), line.alias("p"),
-                         *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+                         F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
     probs = [i / cells for i in range(1, cells)]
     edges = base.agg(F.percentile_approx("p", probs, F.lit(10 * cells)).alias("e")).first()["e"] \
         if cells > 1 else []
     edges = sorted(set(edges or []))
     slot = _slot(F.col("p"), edges)
     placed = base.withColumn("cell", slot)
-    xs = [f"x{i}" for i in range(len(cols))]
 
     # Radius: k-th smallest distance to the k points before and after in the own cell.
     order = Window.partitionBy("cell").orderBy("p", "key")
-    here = [F.col(x) for x in xs]
-    steps = []
-    for i in range(1, k + 1):
-        for shift in (F.lag, F.lead):
-            steps.append(squared_distance(here, [shift(F.col(x), i).over(order) for x in xs]))
+    steps = [distance(F.col("x"), shift(F.col("x"), i).over(order))
+             for i in range(1, k + 1) for shift in (F.lag, F.lead)]
     near = F.array_sort(F.filter(F.array(*steps), lambda d: d.isNotNull()))
     # A rounding margin keeps the k-th neighbour itself inside the bound.
-    radius = F.sqrt(F.get(near, F.lit(k - 1))) * (1 + 1e-9) + 1e-12
-    bound = placed.withColumn("near", near).withColumn("r", radius).drop("near")
+    bound = placed.withColumn("r", F.get(near, F.lit(k - 1)) * (1 + 1e-9) + 1e-12)
     low = F.when(F.col("r").isNull(), F.lit(0)).otherwise(_slot(F.col("p") - F.col("r"), edges))
     high = F.when(F.col("r").isNull(), F.lit(len(edges))).otherwise(
         _slot(F.col("p") + F.col("r"), edges))
@@ -77,9 +74,9 @@ def nearest(points: DataFrame, key: str, cols: Sequence[str], k: int,
     in_reach = F.col("a.r").isNull() | (F.abs(F.col("a.p") - F.col("b.p")) <= F.col("a.r"))
     pairs = seekers.join(others, (F.col("a.cell") == F.col("b.cell"))
                          & (F.col("a.key") != F.col("b.key")) & in_reach)
-    gap = squared_distance([F.col(f"a.{x}") for x in xs], [F.col(f"b.{x}") for x in xs])
     found = pairs.select(F.col("a.key").alias("key"), F.col("b.key").alias("neighbour"),
-                         F.col("a.r").alias("r"), F.sqrt(gap).alias("distance"))
+                         F.col("a.r").alias("r"),
+                         distance(F.col("a.x"), F.col("b.x")).alias("distance"))
     found = found.filter(F.col("r").isNull() | (F.col("distance") <= F.col("r")))
     # Spark trims to k per task before this shuffle.
     rank = F.row_number().over(Window.partitionBy("key").orderBy("distance", "neighbour"))

@@ -66,7 +66,8 @@ def make_model(name: str, params: Mapping[str, Any], features: Sequence[str], ta
     elif input_for(name) == "scaled":
         stages.append(StandardScaler(inputCol=column, outputCol="scaled_features"))
         column = "scaled_features"
-    model.set(model.getParam("featuresCol"), column).set(model.getParam("labelCol"), target)
+    model.set(model.getParam("featuresCol"), column)
+    model.set(model.getParam("labelCol"), target)
     if model.hasParam("seed") and "seed" not in params:
         model.set(model.getParam("seed"), seed)
     if weight is not None and name in WEIGHTED:
