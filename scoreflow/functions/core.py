@@ -102,14 +102,14 @@ def one_decimal(col: Column) -> Column:
     """Text with one decimal, rounded on the exact binary value, exact halves to even.
 
     That is what ``%.1f`` does outside the JVM; the JVM rounds the printed decimals
-    half up. The fraction is a whole number of 2^-53, so bigint arithmetic is exact.
+    half up. Near a half the fraction is a whole number of 2^-57, so bigint arithmetic is exact.
     """
-    unit = 1 << 53
+    unit = 1 << 57
     size = F.abs(col.cast("double"))
     whole = F.floor(size).cast("bigint")
     tenths = ((size - F.floor(size)) * float(unit)).cast("bigint") * 10
-    digit = F.shiftright(tenths, 53)
-    rest = tenths - F.shiftleft(digit, 53)
+    digit = F.shiftright(tenths, 57)
+    rest = tenths - F.shiftleft(digit, 57)
     half = F.lit(unit // 2)
     up = (rest > half) | ((rest == half) & (digit % 2 == 1))
     total = whole * 10 + digit + up.cast("bigint")
