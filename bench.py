@@ -21,7 +21,7 @@ HEADLINE = (
     "m1_ks", "m3_pr_auc", "k2_roc_points", "k3_pr_points", "k6_ks_curve", "k7_gain_lift",
     "b5_scorecard", "d1_psi_monthly", "d2_psi_two_sample", "a9_missing_profile",
     "a10_mode_profile", "a11_distinct_counts", "a12_medians", "c4_correlation_matrix",
-    "c10_c11_univariate_ranks", "l8_stratified_balanced", "w2_global_rank", "t_logistic",
+    "c10_c11_univariate_ranks", "l8_stratified_balanced", "w2_global_rank", "t1_logistic",
     "g1_g2_select_features",
 )
 

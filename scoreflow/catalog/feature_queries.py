@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scoreflow.catalog.frames import (CREDIT_SQL, IMBALANCED_SQL, MISSING_SQL, NUMERIC, TEXT,
                                       TEXT_NUMBERS_SQL, credit, imbalanced, missing, table,
                                       text_numbers, with_sql)
 from scoreflow.catalog.registry import query
+from scoreflow.functions.core import edge_bin, month_of
 from scoreflow.operators import association, clean, encode, profile, sampling, stability
 
 CREDIT, MISSING, NUMBERS = with_sql(CREDIT_SQL), with_sql(MISSING_SQL), with_sql(TEXT_NUMBERS_SQL)
@@ -241,6 +243,36 @@ def _(spark, d):
     return rounded(association.vif(df, ["a", "b", "c"]), 4, "vif")
 
 
+@query("j4_vif_with_correlation", CREDIT + """, k AS (SELECT l_quantity AS a, l_extendedprice AS b,
+ l_quantity*1000 + l_extendedprice AS c, target FROM credit),
+v AS (SELECT 'a' AS feature, round(1/(1 - pow(corr(a, c), 2)), 4) AS vif FROM k
+ UNION ALL SELECT 'c', round(1/(1 - pow(corr(a, c), 2)), 4) FROM k),
+t AS (SELECT 'a' AS feature, round(corr(a, target), 6) AS correlation FROM k
+ UNION ALL SELECT 'c', round(corr(c, target), 6) FROM k)
+SELECT feature, vif, correlation FROM v JOIN t USING (feature)""")
+def _(spark, d):
+    df = credit(spark, d).select("target", F.col("l_quantity").alias("a"), (
+        F.col("l_quantity") * 1000 + F.col("l_extendedprice")).alias("c"))
+    vifs = rounded(association.vif(df, ["a", "c"]).select("feature", "vif"), 4, "vif")
+    strength = association.target_correlation(df, ["a", "c"], "target")
+    return vifs.join(rounded(strength, 6, "correlation"), "feature")
+
+
+@query("a7_a8_bin_shares", MISSING + """, m AS (SELECT strftime(date, '%Y-%m') AS month,
+ CASE WHEN l_tax IS NULL THEN -1 ELSE (l_tax > 0.03)::INT + (l_tax > 0.06)::INT END AS bin
+ FROM missing), c AS (SELECT month, bin, count(*) AS n FROM m GROUP BY 1, 2),
+s AS (SELECT bin, n / sum(n) OVER (PARTITION BY month) AS share FROM c)
+SELECT CAST(bin AS INTEGER) AS bin, round(avg(share), 6) AS mean_share FROM s GROUP BY 1""")
+def _(spark, d):
+    edges = F.array(F.lit(0.03), F.lit(0.06))
+    counts = missing(spark, d).groupBy(
+        month_of("date").alias("month"), edge_bin(F.col("l_tax"), edges).alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"))
+    share = F.col("n") / F.sum("n").over(Window.partitionBy("month"))
+    return counts.withColumn("share", share).groupBy("bin").agg(
+        F.round(F.avg("share"), 6).alias("mean_share"))
+
+
 @query("c6_vif_categorical")
 def _(spark, d):
     return association.vif_categorical(credit(spark, d), TEXT)

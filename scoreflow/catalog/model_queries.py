@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from scoreflow.catalog.base_queries import scratch
 from scoreflow.catalog.frames import (IMBALANCED_SQL, LINE_ID_SQL, MISSING_SQL, NUMERIC,
-                                      imbalanced, line_id, missing, table, vectors, with_score,
+                                      SIGNAL_SQL, imbalanced, line_id, missing, table, vectors, with_score,
                                       with_sql)
 from scoreflow.catalog.registry import query
 from scoreflow.operators import explain, mice, neighbours
@@ -34,8 +34,8 @@ def training(spark, d):
                      .alias("target"), *LINE, F.col("l_shipdate").alias("date"))
 
 
-def _family(name):
-    @query(f"t_{name}")
+def _family(number, name):
+    @query(f"t{number}_{name}")
     def run(spark, d):
         train, test = split(training(spark, d), "id")
         _, found = tuning.fit_measure(name, SMALL[name], train, {"test": test}, LINE, "target")
@@ -45,11 +45,20 @@ def _family(name):
     return run
 
 
-for _name in SMALL:
-    _family(_name)
+for _number, _name in enumerate(SMALL, 1):
+    _family(_number, _name)
 
 
-@query("t_ovr")
+@query("t6_naive_bayes_priors", with_sql(SIGNAL_SQL) + """SELECT CAST(target AS INTEGER) AS class,
+ round(ln(count(*) + 1) - ln(sum(count(*)) OVER () + 2), 6) AS log_prior FROM signal GROUP BY 1""")
+def _(spark, d):
+    fitted = models.make_model("naive_bayes", {"smoothing": 1.0}, LINE, "target").fit(
+        training(spark, d))
+    rows = [(i, round(float(v), 6)) for i, v in enumerate(fitted.stages[-1].pi.toArray())]
+    return spark.createDataFrame(rows, "class int, log_prior double")
+
+
+@query("t9_ovr")
 def _(spark, d):
     cols = [f"v{i}" for i in range(64)]
     train, test = split(vectors(spark, d), "id")
@@ -94,7 +103,7 @@ def _(spark, d):
     return tuning.metrics_table(done.board, "test")
 
 
-@query("t18_failed_model_and_rank")
+@query("t18_failed_model")
 def _(spark, d):
     broken = {"tree": SMALL["tree"], "mlp": {"hidden": [0]}}
     done = tuning.compare_models(training(spark, d), "id", LINE, "target", broken, "auc",
@@ -102,6 +111,17 @@ def _(spark, d):
     return done.board
 
 
+@query("l4_rank_models")
+def _(spark, d):
+    train, test = split(training(spark, d), "id")
+    rows = []
+    for depth in (2, 4):
+        found = tuning.fit_measure("tree", {"maxDepth": depth}, train, {"test": test}, LINE,
+                                   "target")[1]["test"]
+        rows += [(f"tree_{depth}", "test", k, v, None) for k, v in found.items()]
+    return tuning.rank(tuning.as_board(spark, rows), "ks", "test").limit(1)
+
+
 @query("t12_cross_validate")
 def _(spark, d):
     found = tuning.cross_validate("tree", SMALL["tree"], training(spark, d), "id", LINE,

@@ -141,14 +141,15 @@ def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     return rows
 
 
-def broadcast_if_small(df: DataFrame, limit: int = 200_000) -> DataFrame:
-    """Hint a broadcast only when the frame was counted and is within ``limit`` rows.
+def broadcast_if_small(df: DataFrame, limit: int = 50_000) -> DataFrame:
+    """Broadcast a side that proved to have at most ``limit`` rows, else leave the join to Spark.
 
-    Above the limit the frame is returned unhinted and Spark picks a shuffle join.
+    The side is computed once: within the limit its rows come back as a local table.
     """
-    if df.limit(limit + 1).count() <= limit:
-        return F.broadcast(df)
-    return df
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def shared_folder(spark) -> str:

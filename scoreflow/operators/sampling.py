@@ -14,7 +14,8 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreflow.functions.core import broadcast_if_small, hash_cell, hashed, month_of
+from scoreflow.functions.core import (bounded_rows, broadcast_if_small, hash_cell, hashed,
+                                      month_of)
 
 
 def sample_size(population: int, confidence: float = 0.95, error: float = 0.05) -> int:
@@ -95,8 +96,10 @@ def month_class_quotas(df: DataFrame, date: str, target: str | None, n: int,
 def stratified_sample(df: DataFrame, id_col: str, date: str, target: str | None, n: int,
                       imbalance: float = 0.8, seed: int = 42) -> DataFrame:
     """Sample by month and, when the classes are imbalanced, by class."""
-    quotas = month_class_quotas(df, date, target, n, imbalance)
-    by_class = quotas.filter(F.col("class").isNotNull()).limit(1).count() > 0
+    # Calendar months x classes rows, needed both to choose the strata and to cut them.
+    rows = bounded_rows(month_class_quotas(df, date, target, n, imbalance), 100_000, "quotas")
+    quotas = df.sparkSession.createDataFrame(rows, "month string, class int, quota long")
+    by_class = any(r["class"] is not None for r in rows)
     marked = df.withColumn("_month", month_of(F.col(date)))
     if by_class:
         marked = marked.withColumn("_class", F.col(target).cast("int"))
