@@ -13,7 +13,7 @@ from scoreflow.catalog.frames import (CREDIT_SQL, IMBALANCED_SQL, MISSING_SQL, N
 from scoreflow.catalog.registry import query
 from scoreflow.functions import core
 from scoreflow.functions.core import hashed, month_of
-from scoreflow.operators import frame, metrics, prefix, profile, sampling, sets
+from scoreflow.operators import frame, metrics, profile, sampling, sets
 from scoreflow.operators.scorecard import with_mean_row
 from scoreflow.sources import tables
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scoreflow.catalog.frames import (SCORED_SQL, SIGNAL_SQL, IMBALANCED_SQL, imbalanced, scored,
-                                      signal, table, with_sql)
+                                      signal, with_sql)
 from scoreflow.catalog.registry import query
 from scoreflow.functions.core import sigmoid
 from scoreflow.operators import curves, metrics, prefix, scorecard

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from scoreflow.functions.core import bounded_rows, edge_bin, known, ratio, unpivot
 from scoreflow.operators.encode import indexer, one_hot
 from scoreflow.operators.metrics import rank_metrics
-from scoreflow.operators.profile import column_quantiles, medians
+from scoreflow.operators.profile import column_quantiles, median_fill
 
 
 def long_row(df: DataFrame, cols: Sequence[str], stat) -> DataFrame:
@@ -188,8 +188,7 @@ def univariate_ranks(df: DataFrame, cols: Sequence[str], target: str) -> DataFra
 
     One unpivot, one count per (feature, value), one grouped running sum.
     """
-    fill = {r["feature"]: r["median"] for r in bounded_rows(
-        medians(df, cols), len(cols), "medians")}
+    fill = median_fill(df, cols)
     filled = df.select(target, *[
         F.coalesce(known(df, c), F.lit(fill.get(c))).alias(c) for c in cols])
     return rank_metrics(unpivot(filled, cols, [target]), "value", target, ["feature"]).select(

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoreflow.functions.core import is_missing, known, numeric_columns, ratio, unpivot
+from scoreflow.functions.core import (bounded_rows, is_missing, known, numeric_columns, ratio,
+                                      unpivot)
 from scoreflow.operators.prefix import quantiles
 
 
@@ -102,6 +103,16 @@ def medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return column_quantiles(df, cols, [0.5]).select("feature", F.col("value").alias("median"))
 
 
+def median_fill(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
+    """Median of the columns that have missing values; one cheap pass finds them first."""
+    flags = df.agg(*[F.max(is_missing(df, c)).alias(c) for c in cols]).first()
+    holes = [c for c in cols if flags[c]]
+    if not holes:
+        return {}
+    return {r["feature"]: r["median"] for r in bounded_rows(
+        medians(df, holes), len(holes), "medians")}
+
+
 def column_types(df: DataFrame) -> DataFrame:
     """One row per column with its kind (numeric, string, other)."""
     kinds = []

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoreflow.functions.core import bounded_rows, edge_bin, equal_width_bin, known, month_of
-from scoreflow.operators.profile import column_quantiles, medians
+from scoreflow.operators.profile import column_quantiles, median_fill
 
 EPSILON = 1e-6
 PSI_SCHEMA = "feature string, month string, baseline string, psi double"
@@ -122,8 +122,7 @@ def _two_sample(counts: DataFrame, keys: Sequence[str], bins: int) -> DataFrame:
 
 
 def _filled(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    fill = {r["feature"]: r["median"] for r in bounded_rows(
-        medians(df, features), len(features), "medians")}
+    fill = median_fill(df, features)
     return df.withColumns({
         f: F.coalesce(known(df, f), F.lit(fill.get(f)).cast("double")) for f in features})
 
@@ -157,8 +156,7 @@ def psi_mean_by_month(df: DataFrame, date: str, features: Sequence[str],
     """
     features = list(features)
     base, later = split_baseline(df, date, baseline_months)
-    whole_fill = {r["feature"]: r["median"] for r in bounded_rows(
-        medians(df, features), len(features), "medians")}
+    whole_fill = median_fill(df, features)
     filled_later = later.select(month_of(F.col(date)).alias("month"), *[
         F.coalesce(known(later, f), F.lit(whole_fill.get(f)).cast("double")).alias(f)
         for f in features])
