@@ -199,12 +199,12 @@ def _(spark, d):
 @query("j3_left_join", CREDIT + """,
 a AS (SELECT c_mktsegment, count(*) AS n FROM credit GROUP BY 1),
 b AS (SELECT c_mktsegment, count(*) AS urgent FROM credit
-      WHERE o_totalprice > 499000 GROUP BY 1)
+      WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
 SELECT c_mktsegment, n, urgent FROM a LEFT JOIN b USING (c_mktsegment)""")
 def _(spark, d):
     df = credit(spark, d)
     a = df.groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n"))
-    b = df.filter(F.col("o_totalprice") > 499000).groupBy("c_mktsegment").agg(
+    b = df.filter(F.col("o_orderpriority") == "1-URGENT").groupBy("c_mktsegment").agg(
         F.count(F.lit(1)).alias("urgent"))
     return frame.left_with(a, b, ["c_mktsegment"])
 
@@ -279,7 +279,7 @@ def _(spark, d):
     return table(spark, d, "orders").select(month_of("o_orderdate").alias("month")).distinct()
 
 
-MISS_COLS = ["l_quantity", "l_tax", "o_orderpriority", "rare", "flat"]
+MISS_COLS = ["id", "target", "date", *NUMERIC, *TEXT, "rare", "flat"]
 
 
 @query("a9_missing_profile", MISSING + " UNION ALL ".join(
@@ -290,7 +290,7 @@ def _(spark, d):
     return r6(profile.missing_profile(missing(spark, d), MISS_COLS), "missing_ratio")
 
 
-MODE_COLS = ["l_tax", "o_orderpriority", "flat", "l_discount"]
+MODE_COLS = ["target", *NUMERIC, *TEXT, "rare", "flat"]
 
 
 def _mode_sql(c):
@@ -442,9 +442,10 @@ def _(spark, d):
                               test.select("id", F.lit("test").alias("part")))
 
 
-@query("l10_bernoulli")
+@query("l10_bernoulli", with_sql(CREDIT_SQL) + """SELECT id FROM credit WHERE CAST('0x' ||
+ substr(md5(id || '|42'), 1, 8) AS BIGINT) / 4294967296.0 < least(0.01, 100000.0 / (SELECT count(*) FROM credit))""")
 def _(spark, d):
-    return sampling.bernoulli(table(spark, d, "lineitem")).select("l_orderkey")
+    return sampling.bernoulli(credit(spark, d), "id").select("id")
 
 
 @query("t12_fold", with_sql(SCORED_SQL) + """SELECT id, CAST(CAST('0x' ||
@@ -473,20 +474,19 @@ def _(spark, d):
 
 
 @query("u3_compare_features", """WITH a AS (SELECT DISTINCT source FROM documents
- WHERE lang = 'en'), b AS (SELECT DISTINCT source FROM documents WHERE lang = 'de' AND n_chars > 4000)
+ WHERE lang = 'en'), b AS (SELECT DISTINCT source FROM documents WHERE lang = 'de')
 SELECT source, CASE WHEN b.source IS NULL THEN 'only_a' WHEN a.source IS NULL THEN 'only_b'
  ELSE 'both' END AS "where" FROM a FULL JOIN b USING (source)""")
 def _(spark, d):
     docs = table(spark, d, "documents")
-    long_german = (F.col("lang") == "de") & (F.col("n_chars") > 4000)
-    return sets.compare_features(docs.filter(F.col("lang") == "en"), docs.filter(long_german),
-                                 "source")
+    return sets.compare_features(docs.filter(F.col("lang") == "en"),
+                                 docs.filter(F.col("lang") == "de"), "source")
 
 
 @query("u4_presence", """SELECT source, bool_or(lang = 'en') AS en, bool_or(lang = 'de') AS de,
- bool_or(lang = 'fr') AS fr FROM documents WHERE n_chars > 4000 GROUP BY 1""")
+ bool_or(lang = 'fr') AS fr FROM documents GROUP BY 1""")
 def _(spark, d):
-    docs = table(spark, d, "documents").filter(F.col("n_chars") > 4000)
+    docs = table(spark, d, "documents")
     return sets.presence(docs, ["en", "de", "fr"], "lang", "source")
 
 

@@ -207,14 +207,15 @@ g AS (SELECT a.x, b.y, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT x FROM e) a
 t AS (SELECT *, sum(n) OVER (PARTITION BY x) * sum(n) OVER (PARTITION BY y) / sum(n) OVER () AS ex
   FROM g)
 SELECT 'event_type' AS feature, round(sum(pow(n - ex, 2)/ex), 6) AS statistic,
- CAST((count(DISTINCT x) - 1) * (count(DISTINCT y) - 1) AS BIGINT) AS dof FROM t"""
+ CAST((count(DISTINCT x) - 1) * (count(DISTINCT y) - 1) AS BIGINT) AS dof,
+ round(exp(-sum(pow(n - ex, 2)/ex)/2) * (1 + sum(pow(n - ex, 2)/ex)/2), 6) AS p_value FROM t"""
 
 
 @query("c3_chi_square", CHI_SQL)
 def _(spark, d):
     df = table(spark, d, "events").withColumn("target", (F.col("value") > 100).cast("int"))
-    out = association.chi_square(df, ["event_type"], "target").drop("p_value")
-    return rounded(out, 6, "statistic")
+    out = association.chi_square(df, ["event_type"], "target")
+    return rounded(out, 6, "statistic", "p_value")
 
 
 @query("c4_correlation_matrix", CREDIT + " UNION ALL ".join(
@@ -224,6 +225,48 @@ def _(spark, d):
     return rounded(association.correlation_matrix(credit(spark, d), NUMERIC), 6, "correlation")
 
 
+HOLES = ["l_quantity", "l_tax", "rare", "l_extendedprice"]
+
+
+@query("c4_pairwise_missing", MISSING + " UNION ALL ".join(
+    f"SELECT '{a}' AS a, '{b}' AS b, CASE WHEN NOT isnan(r) THEN r END AS correlation FROM (SELECT "
+    f"round(corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 6) AS r FROM missing)" for a in HOLES for b in HOLES))
+def _(spark, d):
+    df = missing(spark, d).withColumn("rare", F.col("rare").cast("double"))
+    return rounded(association.correlation_matrix(df, HOLES), 6, "correlation")
+
+
+@query("c9_missing", MISSING + """, k AS (SELECT *, l_quantity*100 + l_extendedprice/1000 AS mix,
+ CASE WHEN l_quantity IS NULL THEN l_tax END AS other FROM missing),
+v AS (SELECT 'l_quantity' AS feature, CAST(0 AS DOUBLE) AS value
+ UNION ALL SELECT 'other', CAST(0 AS DOUBLE)
+ UNION ALL SELECT 'mix', abs(corr(mix, l_quantity)) FROM k)
+SELECT feature, 'correlation' AS test, CASE WHEN value > 0.9 THEN 'removed' ELSE 'kept' END
+ AS status, round(value, 6) AS value FROM v""")
+def _(spark, d):
+    df = missing(spark, d).withColumn(
+        "mix", F.col("l_quantity") * 100 + F.col("l_extendedprice") / 1000).withColumn(
+        "other", F.when(F.col("l_quantity").isNull(), F.col("l_tax")))
+    return rounded(association.correlation_filter(df, ["l_quantity", "other", "mix"]), 6, "value")
+
+
+def _chi_missing_sql(c):
+    return f"""SELECT '{c}' AS feature, round(x, 5) AS statistic, dof, round(CASE dof WHEN 2 THEN exp(-x/2)
+ WHEN 4 THEN exp(-x/2)*(1 + x/2) END, 5) AS p_value FROM (SELECT sum(n) OVER () * (sum(n*n/r/k) OVER () - 1) AS x,
+ CAST((count(DISTINCT level) OVER () - 1) * (count(DISTINCT target) OVER () - 1) AS BIGINT) AS dof
+ FROM (SELECT level, target, n, sum(n) OVER (PARTITION BY level) AS r, sum(n) OVER (PARTITION BY target) AS k
+ FROM (SELECT {c} AS level, target, CAST(count(*) AS DOUBLE) AS n FROM missing WHERE {c} IS NOT NULL
+  GROUP BY 1, 2)) LIMIT 1)"""
+
+
+@query("c3_two_columns_missing", MISSING + " UNION ALL ".join(
+    f"SELECT * FROM ({_chi_missing_sql(c)})" for c in ("o_orderpriority", "c_mktsegment")))
+def _(spark, d):
+    out = association.chi_square(missing(spark, d), ["o_orderpriority", "c_mktsegment"], "target")
+    closed = F.when(F.col("dof").isin(2, 4), F.col("p_value"))  # what SQL can check
+    return rounded(out.withColumn("p_value", closed), 5, "statistic", "p_value")
+
+
 def _vif_sql(i, j, k):
     r = lambda a, b: f"corr({a}, {b})"
     return (f"SELECT '{i}' AS feature, 1/(1 - (pow({r(i, j)}, 2) + pow({r(i, k)}, 2) - "
@@ -333,7 +376,7 @@ def _(spark, d):
 
 
 # Stability -----------------------------------------------------------------------------------
-PSI_COLS = ["l_quantity", "l_tax", "o_totalprice"]
+PSI_COLS = NUMERIC
 
 
 def _psi_sql(c):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scoreflow.catalog.frames import (SCORED_SQL, SIGNAL_SQL, IMBALANCED_SQL, imbalanced, scored,
+from scoreflow.catalog.frames import (MISSING_SQL, SCORED_SQL, SIGNAL_SQL, IMBALANCED_SQL, imbalanced, missing, scored,
                                       signal, with_sql)
 from scoreflow.catalog.registry import query
 from scoreflow.functions.core import sigmoid
@@ -56,6 +56,43 @@ def _(spark, d):
     return out.select("id", F.col("band").cast("bigint").alias("band"))
 
 
+# The tax of the frame with holes: every third line is without a score.
+HOLES_SQL = with_sql(MISSING_SQL)
+
+
+@query("w3_ntile_missing", HOLES_SQL + """SELECT id,
+ ntile(10) OVER (ORDER BY l_tax NULLS FIRST, md5(id || '|0'), id) AS band FROM missing""")
+def _(spark, d):
+    out = prefix.ntile(missing(spark, d), "l_tax", "id", 10)
+    return out.select("id", F.col("band").cast("bigint").alias("band"))
+
+
+@query("b1_bands_missing", HOLES_SQL + """, t AS (SELECT l_tax, target,
+ ntile(10) OVER (ORDER BY l_tax NULLS FIRST, md5(id || '|0'), id) AS band FROM missing)
+SELECT band, count(*) AS total, count(l_tax) AS scored, min(l_tax) AS min_score,
+ max(l_tax) AS max_score, count(*) FILTER (target = 1) AS bads FROM t GROUP BY 1""")
+def _(spark, d):
+    banded = scorecard.score_bands(missing(spark, d), "l_tax", "id")
+    table = scorecard.band_table(banded, "l_tax", "target").select(
+        F.col("band").cast("bigint").alias("band"), "total", "min_score", "max_score", "bads")
+    known = banded.groupBy(F.col("band").cast("bigint").alias("band")).agg(
+        F.count("l_tax").alias("scored"))
+    return table.join(known, "band")
+
+
+@query("m1_ks_missing", HOLES_SQL + """, known AS (SELECT l_tax, target FROM missing WHERE l_tax IS NOT NULL),
+ c AS (SELECT l_tax, sum(count(*) FILTER (target=1)) OVER (ORDER BY l_tax DESC) AS cb,
+  sum(count(*) FILTER (target=0)) OVER (ORDER BY l_tax DESC) AS cg,
+  sum(count(*) FILTER (target=1)) OVER () AS tb, sum(count(*) FILTER (target=0)) OVER () AS tg
+  FROM known GROUP BY 1)
+SELECT round(max(cb/tb - cg/tg), 6) AS ks,
+ (SELECT count(*) - count(l_tax) FROM missing) AS no_score, CAST(0 AS BIGINT) AS no_target FROM c""")
+def _(spark, d):
+    df = missing(spark, d).withColumn("l_tax", F.coalesce("l_tax", F.lit(float("nan"))))
+    found = metrics.ks(df, "l_tax", "target").select(F.round("ks", 6).alias("ks"))
+    return found.crossJoin(metrics.left_out(df, "l_tax", "target"))  # one row each
+
+
 @query("w4_totals", with_sql(SCORED_SQL) + """
 SELECT l_linestatus, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share
 FROM scored GROUP BY 1""")

@@ -36,6 +36,12 @@ def known(df: DataFrame, name: str) -> Column:
     return col.cast("double")
 
 
+def present(df: DataFrame, name: str) -> Column:
+    """The column in its own type, with NaN turned into null."""
+    col = F.col(name)
+    return F.when(~F.isnan(col), col) if isinstance(df.schema[name].dataType, FLOATING) else col
+
+
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     """Numeric columns in schema order."""
     return [
@@ -141,17 +147,6 @@ def bounded_rows(df: DataFrame, limit: int, what: str) -> list:
     return rows
 
 
-def broadcast_if_small(df: DataFrame, limit: int = 50_000) -> DataFrame:
-    """Broadcast a side that proved to have at most ``limit`` rows, else leave the join to Spark.
-
-    The side is computed once: within the limit its rows come back as a local table.
-    """
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-
-
 def shared_folder(spark) -> str:
     """The folder for data between jobs: ``spark.checkpoint.dir`` of the session.
 

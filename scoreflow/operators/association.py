@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import ChiSquareTest, Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreflow.functions.core import bounded_rows, edge_bin, known, ratio, unpivot
-from scoreflow.operators.encode import indexer, one_hot
-from scoreflow.operators.metrics import rank_metrics
-from scoreflow.operators.profile import column_quantiles, median_fill
+from scoreflow.functions.core import bounded_rows, edge_bin, known, present, ratio, unpivot
+from scoreflow.functions.matrices import summed_matrix
+from scoreflow.operators.metrics import rank_steps
+from scoreflow.operators.prefix import counted_quantiles, running_sums
+from scoreflow.operators.profile import column_quantiles
 
 
 def long_row(df: DataFrame, cols: Sequence[str], stat) -> DataFrame:
@@ -66,25 +66,80 @@ def class_stats(df: DataFrame, cols: Sequence[str], target: str,
     return table.withColumn("r_pb", F.when(valid, r)).drop("all_std")
 
 
+def _chi_tail(statistic: float | None, dof: int) -> float | None:
+    """P(X > statistic) for whole degrees of freedom, by the finite sums."""
+    if statistic is None or dof < 1:
+        return None
+    half = statistic / 2
+    if dof % 2:
+        total, term = math.erfc(math.sqrt(half)), math.exp(-half) * math.sqrt(half) / math.gamma(1.5)
+        steps = [j + 0.5 for j in range((dof - 1) // 2)]
+    else:
+        total, term = 0.0, math.exp(-half)
+        steps = list(range(1, dof // 2 + 1))
+    for k in steps:
+        total += term
+        term *= half / (k + 1 if dof % 2 else k)
+    return min(1.0, total)
+
+
 def chi_square(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
-    """Statistic, degrees of freedom and p-value of each text column against the target."""
-    present = df.dropna(subset=[*cols, target])
-    coded = indexer(cols).setHandleInvalid("error").fit(present).transform(present)
-    vector = VectorAssembler(inputCols=[c + "_index" for c in cols], outputCol="features")
-    label = coded.withColumn("label", F.col(target).cast("double"))
-    test = ChiSquareTest.test(vector.transform(label), "features", "label", flatten=True)
-    names = F.array(*[F.lit(c) for c in cols])
-    return test.select(
-        F.element_at(names, F.col("featureIndex") + 1).alias("feature"),
-        F.col("statistic"), F.col("degreesOfFreedom").cast("bigint").alias("dof"),
-        F.col("pValue").alias("p_value"))
+    """Statistic, degrees of freedom and p-value of each text column against the target.
+
+    Every column is tested on the rows where it and the target are known. The levels are
+    counted on Spark and never listed: sum of n^2 / (row total * column total), less one,
+    times the rows. A column or target with one level has no test (null).
+    """
+    cols = list(cols)
+    label = present(df, target)
+    pairs = df.select(label.cast("string").alias("_y"), *[
+        present(df, c).cast("string").alias(c) for c in cols]).unpivot(["_y"], cols, "feature", "level")
+    cells = pairs.filter("_y is not null and level is not null").groupBy("feature", "level", "_y").agg(
+        F.count(F.lit(1)).cast("double").alias("n"))
+    levels = cells.groupBy("feature", "level").agg(F.sum("n").alias("r"))
+    classes = cells.groupBy("feature", "_y").agg(F.sum("n").alias("c"))
+    sums = cells.join(levels, ["feature", "level"]).join(classes, ["feature", "_y"]).groupBy("feature").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n") / F.col("r") / F.col("c")).alias("s"))
+    sizes = levels.groupBy("feature").agg(F.count(F.lit(1)).alias("rows")).join(
+        classes.groupBy("feature").agg(F.count(F.lit(1)).alias("columns")), "feature")
+    found = {r["feature"]: r for r in bounded_rows(sums.join(sizes, "feature"), len(cols), "tests")}
+    rows = []
+    for c in cols:
+        r = found.get(c)
+        dof = (r["rows"] - 1) * (r["columns"] - 1) if r else 0
+        statistic = max(0.0, r["n"] * (r["s"] - 1)) if dof else None
+        rows.append((c, statistic, dof, _chi_tail(statistic, dof)))
+    return df.sparkSession.createDataFrame(
+        rows, "feature string, statistic double, dof bigint, p_value double")
 
 
 def correlation_array(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
-    """The p x p Pearson matrix of the complete rows; only the matrix reaches the driver."""
-    data = df.select(*[known(df, c).alias(c) for c in cols]).dropna()
-    vectors = VectorAssembler(inputCols=list(cols), outputCol="v").transform(data).select("v")
-    return Correlation.corr(vectors, "v", "pearson").first()[0].toArray()
+    """The p x p Pearson matrix, each entry over the rows where both columns are known.
+
+    NaN where fewer than two such rows exist or one column does not vary on them. Rows are
+    centred by the column means first; only p x p sums reach the driver.
+    """
+    cols = list(cols)
+    data = df.select(*[known(df, c).alias(f"c{i}") for i, c in enumerate(cols)])
+    means = data.agg(*[F.avg(c).alias(c) for c in data.columns]).first()
+    centre = np.array([0.0 if m is None else m for m in means])
+    p = len(cols)
+
+    def part(batch):
+        x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+        x = (x - centre).reshape(-1, p)
+        there = ~np.isnan(x)
+        x, mask = np.where(there, x, 0.0), there.astype(float)
+        return np.concatenate([mask.T @ mask, x.T @ mask, (x * x).T @ mask, x.T @ x], axis=1)
+
+    n, s, q, c = np.split(summed_matrix(data, part, (p, 4 * p)), 4, axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread = q / n - (s / n) ** 2  # of the row's column where the other is known
+        spread = np.where(spread > 1e-14 * np.maximum(q / n, 1e-300), spread, np.nan)
+        out = (c / n - (s / n) * (s / n).T) / np.sqrt(spread * spread.T)
+    out[n < 2] = np.nan
+    np.fill_diagonal(out, np.where(np.isnan(np.diag(out)), np.nan, 1.0))
+    return np.clip(out, -1.0, 1.0)
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -96,22 +151,21 @@ def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def vif_from(matrix: np.ndarray) -> list[float]:
-    """Diagonal of the inverse correlation matrix; infinite for columns explained by others."""
-    p = len(matrix)
-    if p == 1:
-        return [1.0]
-    out = []
-    for i in range(p):
-        rest = [j for j in range(p) if j != i]
-        block, row = matrix[np.ix_(rest, rest)], matrix[i, rest]
-        if np.isnan(matrix[i]).any():
-            out.append(float("inf"))
-            continue
-        usable = ~np.isnan(block).any(axis=1)
-        weights, *_ = np.linalg.lstsq(block[np.ix_(usable, usable)], row[usable], rcond=1e-10)
-        unexplained = 1.0 - float(row[usable] @ weights)
-        out.append(float("inf") if unexplained < 1e-9 else 1.0 / unexplained)
-    return out
+    """Diagonal of the inverse correlation matrix, from one eigen-decomposition.
+
+    Infinite for columns that others explain (a part in the null space) and for columns
+    without variance. Pairs that are never known together count as uncorrelated.
+    """
+    alive = ~np.isnan(np.diag(matrix))
+    out = np.full(len(matrix), np.inf)
+    if alive.any():
+        block = np.nan_to_num(matrix[np.ix_(alive, alive)])
+        weights, vectors = np.linalg.eigh(block)
+        real = weights > 1e-9 * len(block)
+        values = (vectors[:, real] ** 2 / weights[real]).sum(axis=1)
+        explained = (vectors[:, ~real] ** 2).sum(axis=1) > 1e-9
+        out[alive] = np.where(explained, np.inf, values)
+    return out.tolist()
 
 
 def vif(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -127,27 +181,64 @@ def vif_verdict(col: Column) -> Column:
 
 
 def vif_categorical(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Variance inflation of the 0/1 columns of text columns, without a reference level."""
-    from pyspark.ml.functions import vector_to_array
-
-    present = df.dropna(subset=list(cols)).select(*cols)
-    fitted = one_hot(cols).fit(present)
-    labels = fitted.stages[0].labelsArray
-    wide = fitted.transform(present)
-    names, parts = [], []
-    for c, levels in zip(cols, labels):
-        # handleInvalid=keep adds a level for unseen text, which dropLast removes: the last
-        # real level is the reference here, so it is left out as well.
-        for i, level in enumerate(levels[:-1]):
-            names.append(f"{c}={level}")
-            parts.append(vector_to_array(F.col(c + "_onehot"))[i].alias(f"d{len(parts)}"))
-    dummies = wide.select(*parts)
-    values = vif_from(correlation_array(dummies, dummies.columns))
-    table = df.sparkSession.createDataFrame(list(zip(names, values)),
-                                            "feature string, vif double")
+    """Variance inflation of the 0/1 columns of text columns, without a reference level.
+
+    The reference is the rarest level (the last by text among equals). All sums of products
+    of 0/1 columns are counts of pairs of levels, so the rows are only counted; the levels
+    reach the driver as they become rows of the result.
+    """
+    cols = list(cols)
+    rows = df.dropna(subset=cols).select(F.array(*[
+        F.struct(F.lit(i).alias("c"), F.col(c).cast("string").alias("level"))
+        for i, c in enumerate(cols)]).alias("a"))
+    pairs = rows.select(F.explode("a").alias("x"), "a").select("x", F.explode("a").alias("y"))
+    counts = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).collect()
+    n_rows, together = 0, {}
+    for r in counts:
+        together[tuple(r["x"]), tuple(r["y"])] = r["n"]
+    sizes = {x: n for (x, y), n in together.items() if x == y}
+    names = []
+    for i in range(len(cols)):
+        mine = sorted((x for x in sizes if x[0] == i), key=lambda x: (-sizes[x], x[1]))
+        n_rows = sum(sizes[x] for x in mine)
+        names += mine[:-1]
+    n = np.array([sizes[x] for x in names], dtype=float)
+    both = np.array([[together.get((x, y), 0) for y in names] for x in names], dtype=float)
+    both = both.reshape(len(names), len(names))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cov = both / n_rows - np.outer(n, n) / n_rows ** 2
+        matrix = cov / np.sqrt(np.outer(np.diag(cov), np.diag(cov)))
+    values = vif_from(matrix)
+    table = df.sparkSession.createDataFrame(
+        [(f"{cols[i]}={level}", v) for (i, level), v in zip(names, values)],
+        "feature string, vif double")
     return table.withColumn("verdict", vif_verdict(F.col("vif")))
 
 
+class _Inverse:
+    """Inverse correlation matrix that loses columns one by one, in O(p^2) each."""
+
+    def __init__(self, matrix: np.ndarray):
+        self.matrix, self.inverse = matrix, None
+
+    def factors(self, left: list[int]) -> list[float]:
+        """Variance inflation of the columns left."""
+        if self.inverse is None or self.where != left:
+            block = self.matrix[np.ix_(left, left)]
+            values = vif_from(block)
+            if all(np.isfinite(values)):
+                self.inverse, self.where = np.linalg.inv(np.nan_to_num(block)), list(left)
+            return values
+        return np.diag(self.inverse).tolist()
+
+    def drop(self, gone: int) -> None:
+        if self.inverse is not None:
+            k, m = self.where.index(gone), self.inverse
+            m = m - np.outer(m[:, k], m[k]) / m[k, k]
+            keep = [i for i in range(len(m)) if i != k]
+            self.inverse, self.where = m[np.ix_(keep, keep)], [self.where[i] for i in keep]
+
+
 def select_non_collinear(df: DataFrame, cols: Sequence[str], target: str,
                          max_vif: float = 5.0) -> list[str]:
     """Take the strongest remaining feature, drop remaining ones with a high VIF, repeat.
@@ -157,17 +248,17 @@ def select_non_collinear(df: DataFrame, cols: Sequence[str], target: str,
     strength = {r["feature"]: abs(r["correlation"] or 0.0) for r in bounded_rows(
         target_correlation(df, cols, target), len(cols), "correlations")}
     matrix = correlation_array(df, cols)
-    place = {c: i for i, c in enumerate(cols)}
-    left, chosen = list(cols), []
+    inverse = _Inverse(matrix)
+    left, chosen = list(range(len(cols))), []
     while left:
-        best = min(left, key=lambda c: (-strength[c], c))
-        chosen.append(best)
+        best = min(left, key=lambda i: (-strength[cols[i]], cols[i]))
+        chosen.append(cols[best])
         left.remove(best)
-        if not left:
-            break
-        where = [place[c] for c in left]
-        values = vif_from(matrix[np.ix_(where, where)])
-        left = [c for c, v in zip(left, values) if v <= max_vif]
+        inverse.drop(best)
+        high = {i for i, v in zip(left, inverse.factors(left)) if v > max_vif} if left else set()
+        for i in high:
+            inverse.drop(i)
+        left = [i for i in left if i not in high]
     return chosen
 
 
@@ -186,12 +277,18 @@ def correlation_filter(df: DataFrame, cols: Sequence[str], limit: float = 0.9) -
 def univariate_ranks(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
     """ROC and PR areas of every feature as a score, missing filled by the median.
 
-    One unpivot, one count per (feature, value), one grouped running sum.
+    One unpivot, one count per (feature, value); a missing value is one more counted value,
+    and its median is looked up in the counts.
     """
-    fill = median_fill(df, cols)
-    filled = df.select(target, *[
-        F.coalesce(known(df, c), F.lit(fill.get(c))).alias(c) for c in cols])
-    return rank_metrics(unpivot(filled, cols, [target]), "value", target, ["feature"]).select(
+    counts = unpivot(df, cols, [target]).groupBy("feature", "value").agg(
+        F.count_if(F.col(target) == 0).alias("goods"), F.count_if(F.col(target) == 1).alias("bads"),
+        F.count(F.lit(1)).alias("n"))
+    fill = counted_quantiles(counts, "value", [0.5], ["feature"])
+    filled = counts.join(fill.select("feature", F.col("value").alias("_fill")), "feature", "left").groupBy(
+        "feature", F.coalesce("value", "_fill").alias("value")).agg(
+        F.sum("goods").alias("goods"), F.sum("bads").alias("bads"))
+    steps = running_sums(filled, "value", ["goods", "bads"], ["feature"], descending=True)
+    return rank_steps(steps, "value", ["feature"]).select(
         "feature", "auc", "pr_auc", "average_precision", "ks")
 
 

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreflow.functions.core import ratio
+from scoreflow.functions.core import present, ratio
 from scoreflow.operators.prefix import running_sums
 
 
@@ -26,15 +26,28 @@ def class_counts(df: DataFrame, target: str, by: Sequence[str] = ()) -> DataFram
 
 def score_steps(df: DataFrame, score: str, target: str, by: Sequence[str] = (),
                 descending: bool = True) -> DataFrame:
-    """One row per (group, distinct score) with cumulated goods and bads."""
-    known = df.filter(F.col(score).isNotNull() & F.col(target).isin(0, 1))
-    counts = known.groupBy(*by, score).agg(
+    """One row per (group, distinct score) with cumulated goods and bads.
+
+    Rows whose score is missing (null or NaN) or whose target is not 0 or 1 are left out;
+    ``left_out`` counts them.
+    """
+    scored = df.withColumn(score, present(df, score))
+    scored = scored.filter(F.col(score).isNotNull() & F.col(target).isin(0, 1))
+    counts = scored.groupBy(*by, score).agg(
         F.count_if(F.col(target) == 0).alias("goods"),
         F.count_if(F.col(target) == 1).alias("bads"),
     )
     return running_sums(counts, score, ["goods", "bads"], by, descending)
 
 
+def left_out(df: DataFrame, score: str, target: str) -> DataFrame:
+    """One row: rows that no ranking metric uses, by a missing score and by an unusable target."""
+    no_score = present(df, score).isNull()
+    return df.agg(F.count_if(no_score).alias("no_score"),
+                  F.count_if(~no_score & ~F.coalesce(F.col(target).isin(0, 1), F.lit(False)))
+                  .alias("no_target"))
+
+
 def _shares() -> tuple[Column, Column]:
     return ratio(F.col("cum_goods"), F.col("tot_goods")), ratio(F.col("cum_bads"), F.col("tot_bads"))
 
@@ -55,7 +68,12 @@ def rank_metrics(df: DataFrame, score: str, target: str, by: Sequence[str] = (),
     One row per group; a group with one class only has null metrics. ``extra`` are named
     aggregates over the distinct scores of the group, computed in the same pass.
     """
-    steps = score_steps(df, score, target, by)
+    return rank_steps(score_steps(df, score, target, by), score, by, extra)
+
+
+def rank_steps(steps: DataFrame, score: str, by: Sequence[str] = (),
+               extra: Sequence[Column] = ()) -> DataFrame:
+    """``rank_metrics`` from the steps of ``score_steps`` (descending)."""
     good, bad = _shares()
     gap = bad - good
     seen = (F.col("cum_bads") + F.col("cum_goods")).cast("double")

@@ -14,16 +14,15 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreflow.functions.core import bounded_rows, hash_cell, hashed
+from scoreflow.functions.core import bounded_rows, hash_cell, hashed, known
 
 _CELL, _SPLITS, _BLOCK = "_cell", "_splits", "_block"
 BLOCK = 16
 
 
 def default_cells(df: DataFrame) -> int:
-    """Cells per run: a few per shuffle task, between 32 and 4,096."""
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(32, min(4096, 4 * tasks))
+    """Cells per run: a few per shuffle task, at least 32."""
+    return max(32, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
 def _with_cells(counts: DataFrame, order: str, values: Sequence[str], cells: int) -> DataFrame:
@@ -98,8 +97,13 @@ def quantiles(df: DataFrame, value: str, probs: Sequence[float],
     The values are looked up by rank in the running counts, so neither a sort of
     all rows nor a per-group buffer of values is needed.
     """
-    run = running_sums(value_counts(df.filter(F.col(value).isNotNull()), value, by),
-                       value, ["n"], by)
+    return counted_quantiles(value_counts(df, value, by), value, probs, by)
+
+
+def counted_quantiles(counts: DataFrame, value: str, probs: Sequence[float],
+                      by: Sequence[str] = ()) -> DataFrame:
+    """Quantiles of values counted as ``n`` per (``by``, value); null values are left out."""
+    run = running_sums(counts.select(*by, value, "n"), value, ["n"], by)
     wanted = F.array(*[F.lit(float(p)) for p in probs])
     place = lambda p: p * (F.col("tot_n") - 1)
     first = F.col("cum_n") - F.col("n")  # ranks first+1 .. cum_n hold this value
@@ -145,12 +149,13 @@ def ntile(df: DataFrame, score: str, id_col: str, n: int, name: str = "band",
     Only the last keys of the first n-1 tiles are looked up (n-1 rows reach the driver);
     every row then compares itself with them, so the rows are never shuffled. Equal
     scores that straddle a tile edge are ordered by the hash of the id, cell by cell.
+    Missing scores (null or NaN) are one tie below all others, so every row has a tile.
     """
-    data = df.filter(F.col(score).isNotNull())
-    edges = _tile_edges(data.select(F.col(score).cast("double").alias("s")), n)
+    value = F.coalesce(known(df, score), F.lit(float("-inf")))
+    edges = _tile_edges(df.select(value.alias("s")), n)
     split = [e for e in edges if e["r"] < e["n"]]
-    ties = _tie_keys(data, score, id_col, split, seed) if split else {}
-    value, tile = F.col(score).cast("double"), None
+    ties = _tie_keys(df, value, id_col, split, seed) if split else {}
+    tile = None
     own = F.struct(hashed(id_col, seed).alias("h"), F.col(id_col).cast("string").alias("i"))
     for edge in sorted(edges, key=lambda e: e["j"]):
         s = F.lit(edge["s"])
@@ -161,7 +166,7 @@ def ntile(df: DataFrame, score: str, id_col: str, n: int, name: str = "band",
         else:
             upto = value <= s
         tile = F.when(upto, edge["j"]) if tile is None else tile.when(upto, edge["j"])
-    return data.withColumn(name, F.lit(n) if tile is None else tile.otherwise(n))
+    return df.withColumn(name, F.lit(n) if tile is None else tile.otherwise(n))
 
 
 def _tile_edges(scores: DataFrame, n: int) -> list:
@@ -178,12 +183,12 @@ def _tile_edges(scores: DataFrame, n: int) -> list:
                         n, "tile edges")
 
 
-def _tie_keys(data: DataFrame, score: str, id_col: str, split: list, seed: int) -> dict:
+def _tie_keys(data: DataFrame, score: Column, id_col: str, split: list, seed: int) -> dict:
     """(hash, id) of the row at each split edge, found inside one hash cell per edge."""
     spark = data.sparkSession
     values = sorted({e["s"] for e in split})
-    tied = data.filter(F.col(score).cast("double").isin(values)).select(
-        F.col(score).cast("double").alias("s"), F.col(id_col).cast("string").alias("i"),
+    tied = data.filter(score.isin(values)).select(
+        score.alias("s"), F.col(id_col).cast("string").alias("i"),
         hashed(id_col, seed).alias("h")).withColumn("c", hash_cell(F.col("h")))
     # One row per tile edge, so at most the number of tiles.
     edges = F.broadcast(spark.createDataFrame(

@@ -14,8 +14,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreflow.functions.core import (bounded_rows, broadcast_if_small, hash_cell, hashed,
-                                      month_of)
+from scoreflow.functions.core import hash_cell, hashed, month_of, uniform
 
 
 def sample_size(population: int, confidence: float = 0.95, error: float = 0.05) -> int:
@@ -42,29 +41,38 @@ def mark_by_quota(df: DataFrame, id_col: str, strata: Sequence[str], quotas: Dat
                   name: str, seed: int = 42) -> DataFrame:
     """Flag the first ``quota`` rows of each stratum in hash order.
 
-    Rows are counted per (stratum, hash cell). Cells before the cut are flagged by a
-    comparison; only the one cell per stratum that holds the cut is ranked. No stratum is
-    sorted or gathered, whatever its size.
+    Rows are counted per (stratum, hash cell); only the one cell per stratum that holds the
+    cut is ranked, which gives the last (hash, id) of each quota. Then every row compares
+    itself with that key. No stratum is sorted or gathered, whatever its size.
     """
     strata = list(strata)
+    same = lambda other: reduce(lambda a, b: a & b, [
+        F.col(s).eqNullSafe(F.col(f"{other}{i}")) for i, s in enumerate(strata)])
+    named = lambda prefix: [F.col(s).alias(f"{prefix}{i}") for i, s in enumerate(strata)]
     keyed = df.withColumn("_h", hashed(id_col, seed)).withColumn("_c", hash_cell(F.col("_h")))
     cells = keyed.groupBy(*strata, "_c").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy(*strata).orderBy("_c").rowsBetween(Window.unboundedPreceding, 0)
-    run = cells.withColumn("_u", F.sum("_n").over(upto)).join(quotas, strata)
+    wanted = quotas.select(*named("_w"), "quota")
+    run = cells.withColumn("_u", F.sum("_n").over(upto)).join(wanted, same("_w"))
     past = F.col("_u") > F.col("quota")  # cells that do not fit whole
     cut = F.when(past, F.struct("_c", (F.col("quota") - F.col("_u") + F.col("_n")).alias("left")))
-    cuts = run.groupBy(*[F.col(s).alias(f"_q{i}") for i, s in enumerate(strata)]).agg(
-        F.min(cut).alias("_cut"))
-    on = reduce(lambda a, b: a & b, [F.col(s) == F.col(f"_q{i}") for i, s in enumerate(strata)])
-    placed = keyed.join(broadcast_if_small(cuts), on, "left")
-    at_cut = F.coalesce(F.col("_c") == F.col("_cut._c"), F.lit(False))
-    has_quota = F.col("_q0").isNotNull()
-    before = has_quota & (F.col("_cut").isNull() | (F.col("_c") < F.col("_cut._c")))
+    cuts = run.groupBy(*named("_q")).agg(F.min(cut).alias("_cut"))
     rank = F.row_number().over(Window.partitionBy(*strata).orderBy("_h", id_col))
-    clear = placed.filter(~at_cut).withColumn(name, before)
-    edge = placed.filter(at_cut).withColumn("_k", rank).withColumn(
-        name, F.col("_k") <= F.col("_cut.left")).drop("_k")
-    return clear.unionByName(edge).select(*df.columns, name)
+    at_cut = keyed.select(*strata, "_c", "_h", id_col).join(
+        cuts.filter("_cut is not null"), same("_q") & (F.col("_c") == F.col("_cut._c")))
+    key = F.struct(F.col("_h").alias("h"), F.col(id_col).alias("i"))
+    last = at_cut.withColumn("_k", rank).filter(F.col("_k") <= F.col("_cut.left")).groupBy(
+        *named("_p")).agg(F.max(key).alias("_last"))
+    both = cuts.join(last, reduce(lambda a, b: a & b, [
+        F.col(f"_q{i}").eqNullSafe(F.col(f"_p{i}")) for i in range(len(strata))]), "left")
+    both = both.select(*[f"_q{i}" for i in range(len(strata))], F.lit(True).alias("_has"), "_cut",
+                       "_last")
+    # One row per stratum: Spark broadcasts it by its measured size or splits hot strata.
+    placed = keyed.join(both, same("_q"), "left")
+    upto_key = F.col("_cut").isNull() | (F.col("_c") < F.col("_cut._c")) | F.coalesce(
+        key <= F.col("_last"), F.lit(False))
+    return placed.withColumn(name, F.coalesce(F.col("_has") & upto_key, F.lit(False))).select(
+        *df.columns, name)
 
 
 def month_class_quotas(df: DataFrame, date: str, target: str | None, n: int,
@@ -96,19 +104,15 @@ def month_class_quotas(df: DataFrame, date: str, target: str | None, n: int,
 def stratified_sample(df: DataFrame, id_col: str, date: str, target: str | None, n: int,
                       imbalance: float = 0.8, seed: int = 42) -> DataFrame:
     """Sample by month and, when the classes are imbalanced, by class."""
-    # Calendar months x classes rows, needed both to choose the strata and to cut them.
-    rows = bounded_rows(month_class_quotas(df, date, target, n, imbalance), 100_000, "quotas")
-    quotas = df.sparkSession.createDataFrame(rows, "month string, class int, quota long")
-    by_class = any(r["class"] is not None for r in rows)
-    marked = df.withColumn("_month", month_of(F.col(date)))
-    if by_class:
-        marked = marked.withColumn("_class", F.col(target).cast("int"))
-        wanted = quotas.select(F.col("month").alias("_month"), F.col("class").alias("_class"),
-                               "quota")
-        return sample_by_quota(marked, id_col, ["_month", "_class"], wanted, seed).drop(
-            "_month", "_class")
-    wanted = quotas.select(F.col("month").alias("_month"), "quota")
-    return sample_by_quota(marked, id_col, ["_month"], wanted, seed).drop("_month")
+    quotas = month_class_quotas(df, date, target, n, imbalance)
+    # With balanced classes the quotas have no class, and a stratum is a month.
+    by_class = quotas.agg(F.coalesce(F.bool_or(F.col("class").isNotNull()), F.lit(False))).scalar()
+    kind = F.lit(None).cast("int") if target is None else F.col(target).cast("int")
+    marked = df.withColumn("_month", month_of(F.col(date))).withColumn(
+        "_class", F.when(by_class, kind))
+    wanted = quotas.select(F.col("month").alias("_month"), F.col("class").alias("_class"), "quota")
+    return sample_by_quota(marked, id_col, ["_month", "_class"], wanted, seed).drop(
+        "_month", "_class")
 
 
 def _threshold(share: float) -> str:
@@ -141,11 +145,12 @@ def fold_of(id_col: str | Column, folds: int, seed: int = 42) -> Column:
     return (digits % folds).cast("int")
 
 
-def bernoulli(df: DataFrame, limit: int = 100_000, fraction: float = 0.01,
-              seed: int = 42) -> DataFrame:
-    """Spark's own Bernoulli sample with fraction min(fraction, limit / rows)."""
-    rows = df.count()
-    return df.sample(min(fraction, limit / rows), seed) if rows else df
+def bernoulli(df: DataFrame, id_col: str | Column, limit: int = 100_000,
+              fraction: float = 0.01, seed: int = 42) -> DataFrame:
+    """Each row with probability min(fraction, limit / rows), decided by the hash of its id."""
+    rows = df.agg(F.count(F.lit(1)).alias("n")).select(
+        F.least(F.lit(fraction), F.lit(float(limit)) / F.nullif(F.col("n"), F.lit(0)))).scalar()
+    return df.filter(uniform(id_col, seed) < rows)
 
 
 def weights(df: DataFrame, target: str, limit: float = 0.8, name: str = "weight") -> DataFrame:

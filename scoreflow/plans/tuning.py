@@ -86,8 +86,10 @@ def draw(space: Mapping[str, Any], rng: random.Random) -> dict[str, Any]:
 
 def measure(predicted: DataFrame, target: str) -> dict[str, float]:
     """M9 as a dictionary: at most a dozen numbers."""
-    classes = predicted.select(target).distinct().limit(3).count()
-    score = "score" if "score" in predicted.columns and classes == 2 else None
+    # Unlabelled rows are no class of their own.
+    two = predicted.agg((F.min(target) == 0) & (F.max(target) == 1) & (
+        F.count_if(F.col(target).isNotNull() & ~F.col(target).isin(0, 1)) == 0)).first()[0]
+    score = "score" if "score" in predicted.columns and two else None
     rows = bounded_rows(metrics.evaluate(predicted, target, "prediction", score),
                         len(metrics.METRICS), "metrics")
     return {r["metric"]: r["value"] for r in rows}
@@ -203,7 +205,7 @@ def compare_models(df: DataFrame, id_col: str, features: Sequence[str], target:
                 fitted[name], found = fit_measure(name, params, train, {"test": test}, features,
                                                   target, seed, n_classes)
             except Exception as error:  # noqa: BLE001 - reported in the table
-                rows.append((name, "test", None, None, str(error)[:500]))
+                rows.append((name, "test", None, None, str(error)))
                 continue
             values[name] = found["test"]
             rows += [(name, "test", k, v, None) for k, v in found["test"].items()]
@@ -243,7 +245,7 @@ def dev_oot_run(dev: DataFrame, oot: DataFrame, id_col: str, features: Sequence[
                 cv = cross_validate(name, params, dev, id_col, features, target, folds, seed)
                 _, found = fit_measure(name, params, dev, {"oot": oot}, features, target, seed)
             except Exception as error:  # noqa: BLE001 - reported in the table
-                rows.append((name, "cv", None, None, str(error)[:500]))
+                rows.append((name, "cv", None, None, str(error)))
                 continue
             values[name] = found["oot"]
             rows += [(name, "cv", k, v, None) for k, v in cv.items()]

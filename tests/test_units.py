@@ -365,3 +365,80 @@ def test_all_pairs_of_partitions_give_one_rank(spark):
         df.repartition(p), "id", 3).collect()) for p in (1, 30)]
     assert ranks[0] == ranks[1]
     assert sorted(r for _, r in ranks[0]) == list(itertools.chain(range(1, 101)))
+
+
+@pytest.mark.parametrize("x, dof, want", [
+    (3.841459, 1, 0.05), (5.991465, 2, 0.05), (7.814728, 3, 0.05), (11.070498, 5, 0.05), (18.307038, 10, 0.05),
+    (2.705543, 1, 0.1), (6.251389, 3, 0.1), (24.724970, 11, 0.01), (0.0, 3, 1.0), (None, 3, None), (1.0, 0, None)])
+def test_chi_tail_is_the_table(x, dof, want):
+    got = association._chi_tail(x, dof)
+    assert got is None if want is None else abs(got - want) < 1e-6
+
+
+def test_chi_square_tests_each_column_alone(spark):
+    rows = [("a", "x", 1), ("a", None, 0), ("b", "y", 0), ("b", "x", 0), (None, "y", 1), ("a", "x", 1)]
+    df = spark.createDataFrame(rows, "p string, q string, target int")
+    both = {r["feature"]: r for r in association.chi_square(df, ["p", "q"], "target").collect()}
+    for c in ("p", "q"):
+        assert association.chi_square(df, [c], "target").first() == both[c]
+
+
+def test_correlation_is_pairwise(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(200, 4)) + 1e6
+    x[:, 3] = x[:, 0] * 2
+    x[rng.random((200, 4)) < 0.4] = np.nan
+    x[:100, 1], x[100:, 2] = np.nan, np.nan  # never together
+    df = spark.createDataFrame(x.tolist(), "a double, b double, c double, d double")
+    got = association.correlation_array(df, ["a", "b", "c", "d"])
+    for i in range(4):
+        for j in range(4):
+            ok = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            want = np.corrcoef(x[ok, i], x[ok, j])[0, 1] if ok.sum() > 1 else np.nan
+            assert np.isclose(got[i, j], want, atol=1e-9, equal_nan=True)
+    assert association.correlation_filter(df, ["a", "b", "c", "d"]).count() == 4
+
+
+def test_variance_inflation_by_one_decomposition():
+    import time
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(500, 6)) @ rng.normal(size=(6, 6))
+    r = np.corrcoef(x.T)
+    assert np.allclose(association.vif_from(r), np.diag(np.linalg.inv(r)))
+    y = np.column_stack([x, x[:, 0] + x[:, 1], np.zeros(500)])
+    with np.errstate(invalid="ignore", divide="ignore"):
+        values = association.vif_from(np.corrcoef(y.T))
+    assert np.isinf([values[i] for i in (0, 1, 6, 7)]).all() and np.isfinite([values[i] for i in (2, 3, 4, 5)]).all()
+    big = np.corrcoef(rng.normal(size=(400, 900)))
+    start = time.perf_counter()
+    association.vif_from(big)
+    assert time.perf_counter() - start < 2
+
+
+def test_non_collinear_by_downdating():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 5))
+    x = np.column_stack([x, x[:, 0] + 0.1 * rng.normal(size=300), x[:, 1] - x[:, 2]])
+    r = np.corrcoef(x.T)
+    inverse, left = association._Inverse(r), list(range(7))
+    for gone in (6, 3, 0):
+        left.remove(gone)
+        inverse.drop(gone)
+        assert np.allclose(inverse.factors(left), association.vif_from(r[np.ix_(left, left)]))
+
+
+def test_tiles_keep_missing_scores(spark):
+    rows = [(i, None if i % 5 == 0 else float("nan") if i % 5 == 1 else float(i)) for i in range(50)]
+    df = spark.createDataFrame(rows, "id long, s double")
+    got = prefix.ntile(df, "s", "id", 10).groupBy("band").count().collect()
+    assert sorted((r["band"], r["count"]) for r in got) == [(b, 5) for b in range(1, 11)]
+    low = prefix.ntile(df, "s", "id", 10).where("s is null or isnan(s)").agg(F.max("band")).first()[0]
+    assert low == 4
+
+
+def test_quota_marks_null_strata(spark):
+    df = spark.createDataFrame([(i, None if i % 3 else "a") for i in range(60)], "id long, g string")
+    quotas = spark.createDataFrame([(None, 7), ("a", 100)], "g string, quota long")
+    got = sampling.sample_by_quota(df, "id", ["g"], quotas)
+    assert {r["g"]: r["count"] for r in got.groupBy("g").count().collect()} == {None: 7, "a": 20}
