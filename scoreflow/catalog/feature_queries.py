@@ -419,8 +419,9 @@ def _two_sql(c, group="0"):
 
 @query("d2_psi_two_sample", MONTHS_SQL + " UNION ALL ".join(_two_sql(c) for c in PSI_COLS))
 def _(spark, d):
-    base, current = stability.split_baseline(missing(spark, d), "date")
-    return rounded(stability.psi_two_sample(base, current, PSI_COLS), 6, "psi")
+    df = missing(spark, d).select("date", *PSI_COLS)
+    base = stability.in_baseline(df, "date")
+    return rounded(stability.psi_of_parts(df, base, PSI_COLS), 6, "psi")
 
 
 def _mean_sql(c):
@@ -458,6 +459,6 @@ def _(spark, d):
     _two_sql(c) for c in PSI_COLS) + """) SELECT feature, 'psi' AS test,
  CASE WHEN psi < 0.002 THEN 'kept' ELSE 'removed' END AS status, psi AS value FROM p""")
 def _(spark, d):
-    base, current = stability.split_baseline(missing(spark, d), "date")
-    psi = stability.psi_two_sample(base, current, PSI_COLS)
+    df = missing(spark, d).select("date", *PSI_COLS)
+    psi = stability.psi_of_parts(df, stability.in_baseline(df, "date"), PSI_COLS)
     return rounded(stability.stability_filter(psi, 0.002), 6, "value")

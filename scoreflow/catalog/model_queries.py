@@ -11,7 +11,7 @@ from scoreflow.catalog.frames import (IMBALANCED_SQL, LINE_ID_SQL, MISSING_SQL,
 from scoreflow.catalog.registry import query
 from scoreflow.operators import explain, mice, neighbours
 from scoreflow.operators.balance import smote
-from scoreflow.operators.sampling import split
+from scoreflow.operators.sampling import split, weights
 from scoreflow.operators.stability import between_months, months_of
 from scoreflow.plans import models, tuning
 from scoreflow.plans.select import model_filter, select_features
@@ -19,11 +19,9 @@ from scoreflow.plans.wrapper import wrapper_select
 from scoreflow.sources import runlog
 
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-SMALL = {
-    "logistic": {"maxIter": 10}, "tree": {"maxDepth": 4}, "forest": {"numTrees": 5, "maxDepth": 4},
-    "boosted": {"maxIter": 3, "maxDepth": 3}, "svc": {"maxIter": 5}, "naive_bayes": {},
-    "mlp": {"hidden": [4], "maxIter": 10}, "fm": {"factorSize": 2, "maxIter": 5},
-}
+# Every family with its own defaults.
+PLAIN = {name: {} for name in ("logistic", "tree", "forest", "boosted", "svc", "naive_bayes",
+                               "mlp", "fm")}
 
 
 def training(spark, d):
@@ -38,14 +36,14 @@ def _family(number, name):
     @query(f"t{number}_{name}")
     def run(spark, d):
         train, test = split(training(spark, d), "id")
-        _, found = tuning.fit_measure(name, SMALL[name], train, {"test": test}, LINE, "target")
+        _, found = tuning.fit_measure(name, PLAIN[name], train, {"test": test}, LINE, "target")
         rows = [(name, "test", k, v, None) for k, v in found["test"].items()]
         return tuning.as_board(spark, rows)
 
     return run
 
 
-for _number, _name in enumerate(SMALL, 1):
+for _number, _name in enumerate(PLAIN, 1):
     _family(_number, _name)
 
 
@@ -62,7 +60,7 @@ def _(spark, d):
 def _(spark, d):
     cols = [f"v{i}" for i in range(64)]
     train, test = split(vectors(spark, d), "id")
-    _, found = tuning.fit_measure("ovr", {"maxIter": 5}, train, {"test": test}, cols, "label",
+    _, found = tuning.fit_measure("ovr", {}, train, {"test": test}, cols, "label",
                                   n_classes=10)
     return tuning.as_board(spark, [("ovr", "test", k, v, None) for k, v in found["test"].items()])
 
@@ -70,19 +68,19 @@ def _(spark, d):
 @query("m10_margin_score")
 def _(spark, d):
     train, test = split(training(spark, d), "id")
-    model = models.make_model("svc", SMALL["svc"], LINE, "target").fit(train)
+    model = models.make_model("svc", {}, LINE, "target").fit(train)
     return models.predict(model, test, ["id", "target"])
 
 
 @query("k8_importance")
 def _(spark, d):
-    model = models.make_model("forest", SMALL["forest"], LINE, "target").fit(training(spark, d))
+    model = models.make_model("forest", {}, LINE, "target").fit(training(spark, d))
     return models.importance(model, LINE)
 
 
 @query("l3_top_features")
 def _(spark, d):
-    model = models.make_model("tree", SMALL["tree"], LINE, "target").fit(training(spark, d))
+    model = models.make_model("tree", {}, LINE, "target").fit(training(spark, d))
     names = models.top_features(models.importance(model, LINE))
     return spark.createDataFrame([(i, n) for i, n in enumerate(names)], "place int, feature string")
 
@@ -90,22 +88,20 @@ def _(spark, d):
 @query("s7_s8_stored_model")
 def _(spark, d):
     df = training(spark, d)
-    model = models.make_model("logistic", SMALL["logistic"], LINE, "target").fit(df)
-    path = models.save_model(model, SMALL["logistic"], "logistic", scratch(spark, "model"))
+    model = models.make_model("logistic", {}, LINE, "target").fit(df)
+    path = models.save_model(model, {}, "logistic", scratch(spark, "model"))
     return models.score(path, df, ["id", "target"])
 
 
 @query("t11_m11_compare_models")
 def _(spark, d):
-    chosen = {k: SMALL[k] for k in ("logistic", "tree")}
-    done = tuning.compare_models(training(spark, d), "id", LINE, "target", chosen, "ks",
-                                 n_trials=1)
+    done = tuning.compare_models(training(spark, d), "id", LINE, "target", PLAIN, "ks")
     return tuning.metrics_table(done.board, "test")
 
 
 @query("t18_failed_model")
 def _(spark, d):
-    broken = {"tree": SMALL["tree"], "mlp": {"hidden": [0]}}
+    broken = {"tree": {}, "mlp": {"hidden": [0]}}
     done = tuning.compare_models(training(spark, d), "id", LINE, "target", broken, "auc",
                                  n_trials=0)
     return done.board
@@ -124,16 +120,22 @@ def _(spark, d):
 
 @query("t12_cross_validate")
 def _(spark, d):
-    found = tuning.cross_validate("tree", SMALL["tree"], training(spark, d), "id", LINE,
-                                  "target", folds=3)
+    found = tuning.cross_validate("tree", {}, training(spark, d), "id", LINE, "target")
     return tuning.as_board(spark, [("tree", "cv", k, v, None) for k, v in found.items()])
 
 
 @query("t14_search")
 def _(spark, d):
     train, test = split(training(spark, d), "id")
-    space = {"maxDepth": (2, 5), "minInstancesPerNode": (1, 10)}
-    return tuning.search("tree", train, test, "id", LINE, "target", "ks", 3, space=space)[1]
+    return tuning.search("tree", train, test, "id", LINE, "target", "ks")[1]
+
+
+@query("t14_search_credit")
+def _(spark, d):
+    """The credit space with PR-AUC as the goal and class weights."""
+    train, test = split(weights(training(spark, d), "target"), "id")
+    return tuning.search("logistic", train, test, "id", LINE, "target", "pr_auc",
+                         space=tuning.CREDIT["logistic"], weight="weight")[1]
 
 
 @query("t13_t15_dev_oot")
@@ -142,9 +144,8 @@ def _(spark, d):
     months = months_of(df, "date")
     dev = between_months(df, "date", months[:-12])
     oot = between_months(df, "date", months[-12:])
-    done = tuning.dev_oot_run(dev, oot, "id", LINE, "target", {"tree": SMALL["tree"]}, "ks",
-                              folds=2, tune_folds=2, n_trials=1,
-                              folder=scratch(spark, "dev-oot"), space={"maxDepth": (3, 5)})
+    done = tuning.dev_oot_run(dev, oot, "id", LINE, "target", {"tree": {}, "logistic": {}}, "ks",
+                              folder=scratch(spark, "dev-oot"))
     return done.board
 
 
@@ -152,7 +153,7 @@ def _(spark, d):
 def _(spark, d):
     train, test = split(training(spark, d), "id")
     folder = scratch(spark, "tracked")
-    tuning.tracked_run(train, test, "id", LINE, "target", folder, "forest", SMALL["forest"])
+    tuning.tracked_run(train, test, "id", LINE, "target", folder, "forest", {})
     return runlog.read_runs(spark, f"{folder}/runs")
 
 
@@ -182,7 +183,7 @@ def _(spark, d):
 @query("v8_mice_mixed")
 def _(spark, d):
     df = missing(spark, d).select("id", "l_quantity", "l_tax", "l_discount", "o_orderpriority")
-    return mice.mice_impute(df, "id", max_iter=2)
+    return mice.mice_impute(df, "id")
 
 
 @query("j7_nearest_neighbours", """WITH p AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
@@ -197,6 +198,26 @@ def _(spark, d):
     return out.select("key", "neighbour", F.round("distance", 5).alias("distance"))
 
 
+@query("j7_nearest_in_plane", """WITH p AS (SELECT c_custkey AS k, c_acctbal AS x, CAST(c_nationkey AS DOUBLE) AS y
+ FROM customer)
+SELECT a.k AS key, b.k AS neighbour, round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), 5) AS distance
+FROM p a JOIN p b ON a.k <> b.k QUALIFY row_number() OVER (PARTITION BY a.k
+ ORDER BY sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)), b.k) <= 3""")
+def _(spark, d):
+    """The exact form where it is meant to be used: few columns that spread along a line."""
+    points = table(spark, d, "customer").select(
+        F.col("c_custkey").alias("key"), "c_acctbal", F.col("c_nationkey").cast("double").alias("n"))
+    out = neighbours.nearest(points, "key", ["c_acctbal", "n"], 3)
+    return out.select("key", "neighbour", F.round("distance", 5).alias("distance"))
+
+
+@query("j7_nearest_by_hashing")
+def _(spark, d):
+    cols = [f"v{i}" for i in range(64)]
+    points = vectors(spark, d).withColumn("key", F.col("id").cast("long"))
+    return neighbours.nearest_by_hashing(points, "key", cols, 5)
+
+
 @query("e9_smote")
 def _(spark, d):
     return smote(imbalanced(spark, d), "target", "doc_id", ["n_chars", "quality"],
@@ -215,25 +236,32 @@ def _(spark, d):
 # Selection -----------------------------------------------------------------------------------
 @query("g1_g2_select_features")
 def _(spark, d):
-    df = missing(spark, d).select("date", "target", *NUMERIC, "rare", "flat")
+    df = missing(spark, d).select("date", *NUMERIC, "rare", "flat")
     return select_features(df, "date", missing=0.9)[1]
 
 
 @query("g1_select_by_month")
 def _(spark, d):
-    df = missing(spark, d).select("date", "target", "l_quantity", "l_tax", "flat")
+    df = missing(spark, d).select("date", "l_quantity", "l_tax", "flat")
     return select_features(df, "date", by_month=True)[1]
 
 
+@query("g1_select_with_target")
+def _(spark, d):
+    """All steps but the last, on a frame whose discount and quantity tell the classes apart."""
+    df = missing(spark, d).select("date", *NUMERIC, "rare", "flat", (
+        F.col("l_discount") * 10 + F.coalesce("l_quantity", F.lit(0)) / 50 > 1).cast("int").alias("target"))
+    return select_features(df, "date", "target", missing=0.9, use_model=False)[1]
+
+
 @query("g3_model_filter")
 def _(spark, d):
-    return model_filter(training(spark, d), LINE, "target", False, rounds=3)
+    return model_filter(training(spark, d), LINE, "target", False)
 
 
 @query("g4_g5_wrapper_select")
 def _(spark, d):
-    return wrapper_select(training(spark, d), "id", LINE, "target", particles=2, iters=2,
-                          family="tree", params={"maxDepth": 3})[1]
+    return wrapper_select(training(spark, d), "id", LINE, "target", family="tree")[1]
 
 
 # Explanation ---------------------------------------------------------------------------------
@@ -259,14 +287,14 @@ def _(spark, d):
 @query("x1_permutation_importance")
 def _(spark, d):
     train, test = split(training(spark, d), "id")
-    model = models.make_model("tree", SMALL["tree"], LINE, "target").fit(train)
+    model = models.make_model("tree", {}, LINE, "target").fit(train)
     return explain.permutation_importance(model, test, "id", LINE, "target")
 
 
 @query("x3_x5_sampled_shapley")
 def _(spark, d):
     df = training(spark, d)
-    model = models.make_model("tree", SMALL["tree"], LINE, "target").fit(df)
+    model = models.make_model("tree", {}, LINE, "target").fit(df)
     parts = explain.sampled_shapley(model, df, "id", LINE, n_rows=100, n_perm=8)
     top = models.top_features(models.importance(model, LINE))
     return explain.dependence(parts, df, "id", top)

@@ -24,18 +24,26 @@ def class_counts(df: DataFrame, target: str, by: Sequence[str] = ()) -> DataFram
     )
 
 
+def _rows(weight: str | None, when: Column | None = None) -> Column:
+    """Rows (or their summed ``weight``) for which ``when`` holds."""
+    value = F.lit(1) if weight is None else F.col(weight)
+    if when is None:
+        return F.sum(value) if weight else F.count(F.lit(1))
+    return F.coalesce(F.sum(F.when(when, value)), F.lit(0)) if weight else F.count_if(when)
+
+
 def score_steps(df: DataFrame, score: str, target: str, by: Sequence[str] = (),
-                descending: bool = True) -> DataFrame:
+                descending: bool = True, weight: str | None = None) -> DataFrame:
     """One row per (group, distinct score) with cumulated goods and bads.
 
     Rows whose score is missing (null or NaN) or whose target is not 0 or 1 are left out;
-    ``left_out`` counts them.
+    ``left_out`` counts them. ``weight`` is the number of rows that a row stands for.
     """
     scored = df.withColumn(score, present(df, score))
     scored = scored.filter(F.col(score).isNotNull() & F.col(target).isin(0, 1))
     counts = scored.groupBy(*by, score).agg(
-        F.count_if(F.col(target) == 0).alias("goods"),
-        F.count_if(F.col(target) == 1).alias("bads"),
+        _rows(weight, F.col(target) == 0).alias("goods"),
+        _rows(weight, F.col(target) == 1).alias("bads"),
     )
     return running_sums(counts, score, ["goods", "bads"], by, descending)
 
@@ -62,13 +70,13 @@ _RANKS = ("ks", "ks_two_sided", "threshold", "auc", "pr_auc", "average_precision
 
 
 def rank_metrics(df: DataFrame, score: str, target: str, by: Sequence[str] = (),
-                 extra: Sequence[Column] = ()) -> DataFrame:
+                 extra: Sequence[Column] = (), weight: str | None = None) -> DataFrame:
     """M1-M4 in one pass: ks, ks_two_sided, threshold, auc, gini, pr_auc, average_precision.
 
     One row per group; a group with one class only has null metrics. ``extra`` are named
     aggregates over the distinct scores of the group, computed in the same pass.
     """
-    return rank_steps(score_steps(df, score, target, by), score, by, extra)
+    return rank_steps(score_steps(df, score, target, by, weight=weight), score, by, extra)
 
 
 def rank_steps(steps: DataFrame, score: str, by: Sequence[str] = (),
@@ -135,16 +143,18 @@ def ks_verdict(ks_col: Column) -> Column:
             .when(ks_col < 0.5, "good").when(ks_col.isNotNull(), "very strong"))
 
 
-def confusion(df: DataFrame, target: str, prediction: str) -> DataFrame:
+def confusion(df: DataFrame, target: str, prediction: str,
+              weight: str | None = None) -> DataFrame:
     """A5: rows per (actual, predicted)."""
     return df.groupBy(F.col(target).cast("int").alias("actual"),
                       F.col(prediction).cast("int").alias("predicted")).agg(
-        F.count(F.lit(1)).alias("n"))
+        _rows(weight).alias("n"))
 
 
-def class_report(df: DataFrame, target: str, prediction: str) -> DataFrame:
+def class_report(df: DataFrame, target: str, prediction: str,
+                 weight: str | None = None) -> DataFrame:
     """M6: precision, recall, f1 and support per class, from the confusion counts."""
-    cells = confusion(df, target, prediction)
+    cells = confusion(df, target, prediction, weight)
     # One row per class on each side; the union keeps classes never predicted.
     sides = cells.select(F.col("actual").alias("label"), F.col("n").alias("support"),
                          F.lit(0).cast("long").alias("chosen"),
@@ -164,9 +174,10 @@ def class_report(df: DataFrame, target: str, prediction: str) -> DataFrame:
     )
 
 
-def weighted_metrics(df: DataFrame, target: str, prediction: str) -> DataFrame:
+def weighted_metrics(df: DataFrame, target: str, prediction: str,
+                     weight: str | None = None) -> DataFrame:
     """M5: accuracy and support-weighted precision, recall and f1."""
-    table = class_report(df, target, prediction)
+    table = class_report(df, target, prediction, weight)
     all_rows = F.sum("support")
     mean = lambda c: ratio(F.sum(F.col(c) * F.col("support")), all_rows)
     return table.agg(
@@ -181,13 +192,14 @@ METRICS = ("accuracy", "weighted_precision", "weighted_recall", "f1",
            "auc", "gini", "ks", "pr_auc")
 
 
-def evaluate(df: DataFrame, target: str, prediction: str, score: str | None = None) -> DataFrame:
+def evaluate(df: DataFrame, target: str, prediction: str, score: str | None = None,
+             weight: str | None = None) -> DataFrame:
     """M9: long table (metric, value). Ranking metrics need a score and two classes."""
-    wide = weighted_metrics(df, target, prediction)
+    wide = weighted_metrics(df, target, prediction, weight)
     long = wide.unpivot([], wide.columns, "metric", "value")
     if score is None:
         return long
-    ranks = rank_metrics(df, score, target).select("auc", "gini", "ks", "pr_auc")
+    ranks = rank_metrics(df, score, target, weight=weight).select("auc", "gini", "ks", "pr_auc")
     # More than two classes leave the ranking metrics out, one class leaves them null.
     return long.unionByName(
         ranks.unpivot([], ranks.columns, "metric", "value").filter(F.col("value").isNotNull()))

@@ -1,6 +1,10 @@
-"""Exact k nearest neighbours by Euclidean distance, without comparing all pairs.
+"""K nearest neighbours by Euclidean distance, exact on few columns or hashed on many.
 
-Every point gets a projection on one direction. Two points cannot be closer than their
+``nearest`` is exact and meant for one to three columns that spread along a line; on vectors
+its search radius covers everything and it compares all pairs. ``nearest_by_hashing`` compares
+only points that share a bucket of one of several hash tables, and may miss neighbours.
+
+Exact form: every point gets a projection on one direction. Two points cannot be closer than their
 projections, so a point only has to be compared with the points inside its search radius
 on that line. The radius comes from its neighbours in projection order and is an upper
 bound of the k-th distance, which makes the result exact.
@@ -13,6 +17,8 @@ import random
 from collections.abc import Sequence
 from functools import reduce
 
+from pyspark.ml.feature import BucketedRandomProjectionLSH, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,6 +89,52 @@ def nearest(points: DataFrame, key: str, cols: Sequence[str], k: int,
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).drop("r")
 
 
+def hashed_tables(points: DataFrame, cols: Sequence[str], num_hash_tables: int, together: int,
+                  bucket_length: float | None, seed: int) -> DataFrame:
+    """(key, x, table, bucket): the bucket of every point in every table.
+
+    A bucket is ``together`` cells of random projections. Cells are ``bucket_length`` wide, by
+    default twice the root mean square deviation of a column.
+    """
+    names = list(cols)
+    if bucket_length is None:
+        spread = points.agg(F.sqrt(sum((F.var_pop(c) for c in names), F.lit(0.0)) / len(names))).first()[0]
+        bucket_length = 2.0 * (spread or 0.5)
+    hashing = BucketedRandomProjectionLSH(inputCol="_v", outputCol="_h", bucketLength=bucket_length,
+                                          numHashTables=num_hash_tables * together, seed=seed)
+    rows = VectorAssembler(inputCols=names, outputCol="_v").transform(points)
+    made = hashing.fit(rows).transform(rows)
+    cells = F.array(*[F.get(vector_to_array(F.col("_h")[i]), F.lit(0)).cast("long")
+                      for i in range(num_hash_tables * together)])
+    groups = F.array(*[F.struct(F.lit(t).alias("table"), F.xxhash64(
+        F.lit(t), F.slice("_cells", t * together + 1, together)).alias("bucket"))
+        for t in range(num_hash_tables)])
+    return made.withColumn("_cells", cells).select(
+        F.col("key"), "x", F.explode(groups).alias("_g")).select("key", "x", "_g.table", "_g.bucket")
+
+
+def nearest_by_hashing(points: DataFrame, key: str, cols: Sequence[str], k: int,
+                       num_hash_tables: int = 8, together: int = 6,
+                       bucket_length: float | None = None, seed: int = 42) -> DataFrame:
+    """(key, neighbour, distance, rank): the k nearest among the points of the same buckets.
+
+    Candidates are compared by their exact distance once. A point with fewer than k
+    candidates has fewer rows. Large buckets are joined by Spark's skew handling.
+    """
+    base = points.select(F.col(key).alias("key"), *[F.col(c).cast("double").alias(c) for c in cols])
+    base = base.withColumn("x", F.array(*[F.col(c) for c in cols]))
+    tables = hashed_tables(base, cols, num_hash_tables, together, bucket_length, seed)
+    pairs = tables.select("key", "table", "bucket").join(
+        tables.select(F.col("key").alias("neighbour"), "table", "bucket"), ["table", "bucket"])
+    pairs = pairs.filter(F.col("key") != F.col("neighbour")).select("key", "neighbour").distinct()
+    there = base.select("key", "x")
+    found = pairs.join(there, "key").join(
+        there.select(F.col("key").alias("neighbour"), F.col("x").alias("y")), "neighbour").select(
+        "key", "neighbour", distance(F.col("x"), F.col("y")).alias("distance"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("distance", "neighbour"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def _slot(value: Column, edges: Sequence[float]) -> Column:
     """Cell of a projection: the number of edges below it."""
     if not edges:

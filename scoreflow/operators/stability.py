@@ -9,18 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoreflow.functions.core import bounded_rows, edge_bin, equal_width_bin, known, month_of
+from scoreflow.operators.prefix import quantiles
 from scoreflow.operators.profile import column_quantiles, median_fill
 
 EPSILON = 1e-6
 PSI_SCHEMA = "feature string, month string, baseline string, psi double"
-MAX_MONTHS = 12 * 1000
 
 
 def months_of(df: DataFrame, date: str) -> list[str]:
-    """Sorted ``yyyy-MM`` keys of a frame (as many as calendar months)."""
-    rows = bounded_rows(df.filter(F.col(date).isNotNull()).select(
-        month_of(F.col(date)).alias("m")).distinct(), MAX_MONTHS, "months")
-    return sorted(r["m"] for r in rows)
+    """Sorted ``yyyy-MM`` keys of a frame: one for each calendar month."""
+    months = df.filter(F.col(date).isNotNull()).select(month_of(F.col(date)).alias("m")).distinct()
+    return sorted(r["m"] for r in months.collect())
 
 
 def _window(months: Sequence[str]) -> tuple[Column, Column]:
@@ -48,6 +47,17 @@ def split_baseline(df: DataFrame, date: str, baseline_months: int = 3
             between_months(df, date, months[baseline_months:]))
 
 
+def in_baseline(df: DataFrame, date: str, baseline_months: int = 3) -> Column:
+    """D4 as a flag: true in the first m months, false later, null without a date."""
+    months = months_of(df, date)
+    if len(months) <= baseline_months:
+        raise ValueError(f"need more than {baseline_months} months, found {len(months)}")
+    _, end = _window(months[:baseline_months])
+    kind = df.schema[date].dataType
+    end = end.cast(kind) if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else end
+    return F.col(date) < end
+
+
 def psi_term(current: Column, base: Column) -> Column:
     """(c - b) * ln((c + eps) / (b + eps))."""
     return (current - base) * F.log((current + EPSILON) / (base + EPSILON))
@@ -99,12 +109,6 @@ def psi_monthly(df: DataFrame, date: str, features: Sequence[str], bins: int = 1
         F.sum(psi_term(F.col("c"), F.col("b"))).alias("psi"))
 
 
-def _ends(df: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float]]:
-    row = df.agg(*[F.struct(F.min(known(df, f)).alias("lo"), F.max(known(df, f)).alias("hi"))
-                   .alias(f) for f in features]).first()
-    return {f: (row[f]["lo"], row[f]["hi"]) for f in features}
-
-
 def _two_sample(counts: DataFrame, keys: Sequence[str], bins: int) -> DataFrame:
     """PSI per ``keys`` from (keys, bin, base, current) counts, absent bins as zero."""
     cells = counts.groupBy(*keys).agg(
@@ -131,15 +135,42 @@ def psi_two_sample(base: DataFrame, current: DataFrame, features: Sequence[str],
                    bins: int = 10) -> DataFrame:
     """One index per feature, equal-width bins over both samples.
 
-    Missing values are filled with the median of their own sample; all features are
-    binned in one pass over each sample.
+    Missing values are filled with the median of their own sample.
+    """
+    features = list(features)
+    return psi_of_parts(base.select(*features).withColumn("_base", F.lit(True)).unionByName(
+        current.select(*features).withColumn("_base", F.lit(False))), "_base", features, bins)
+
+
+def psi_of_parts(df: DataFrame, is_base: str | Column, features: Sequence[str],
+                 bins: int = 10) -> DataFrame:
+    """D2 where a boolean column tells the baseline from the current rows; null belongs to none.
+
+    Three passes: ends and missing flags of all features, medians of the features with
+    missing values (left out if there are none), bins of all features.
     """
     features = list(features)
-    both = _filled(base.select(*features), features).withColumn("_base", F.lit(1)).unionByName(
-        _filled(current.select(*features), features).withColumn("_base", F.lit(0)))
-    ends = _ends(both, features)
-    slots = both.select("_base", *[
-        equal_width_bin(F.col(f), F.lit(ends[f][0]), F.lit(ends[f][1]), bins).alias(f)
+    flag = F.col(is_base) if isinstance(is_base, str) else is_base
+    rows = df.select(flag.cast("int").alias("_base"), *[known(df, f).alias(f) for f in features])
+    rows = rows.filter(F.col("_base").isNotNull())
+    seen = rows.agg(*[F.struct(F.min(f).alias("lo"), F.max(f).alias("hi"),
+                               F.max(F.col(f).isNull()).alias("holes")).alias(f)
+                      for f in features]).first()
+    holes = [f for f in features if seen[f]["holes"]]
+    fill: dict[str, dict[int, float]] = {f: {} for f in features}
+    if holes:
+        middle = quantiles(rows.unpivot(["_base"], holes, "feature", "value"), "value", [0.5],
+                           ["feature", "_base"])
+        for r in bounded_rows(middle, 2 * len(holes), "medians"):
+            fill[r["feature"]][r["_base"]] = r["value"]
+
+    def filled(f: str) -> Column:
+        own = F.when(F.col("_base") == 1, F.lit(fill[f].get(1)).cast("double")).otherwise(
+            F.lit(fill[f].get(0)).cast("double"))
+        return F.coalesce(F.col(f), own)
+
+    slots = rows.select("_base", *[
+        equal_width_bin(filled(f), F.lit(seen[f]["lo"]), F.lit(seen[f]["hi"]), bins).alias(f)
         for f in features]).unpivot(["_base"], features, "feature", "bin")
     counts = slots.filter(F.col("bin").isNotNull()).groupBy("feature", "bin").agg(
         F.sum("_base").alias("base"), F.sum(1 - F.col("_base")).alias("current"))
@@ -173,12 +204,12 @@ def psi_mean_by_month(df: DataFrame, date: str, features: Sequence[str],
         F.min("value").alias("lo"), F.max("value").alias("hi")).join(base_ends, "feature").select(
         "feature", "month", F.least("lo", "blo").alias("lo"), F.greatest("hi", "bhi").alias("hi"))
     slot = equal_width_bin(F.col("value"), F.col("lo"), F.col("hi"), bins)
-    grid = F.broadcast(ends)  # features x months rows, both bounded above
+    grid = ends  # features x months rows
     month_side = current.join(grid, ["feature", "month"]).groupBy(
         "feature", "month", slot.alias("bin")).agg(
         F.lit(0).cast("long").alias("base"), F.sum("n").alias("current"))
     # Months that stay inside the baseline range share one set of edges.
-    sets = F.broadcast(ends.select("feature", "lo", "hi").distinct())
+    sets = ends.select("feature", "lo", "hi").distinct()
     base_side = baseline.join(sets, "feature").groupBy(
         "feature", "lo", "hi", slot.alias("bin")).agg(F.sum("n").alias("base"))
     base_side = base_side.join(grid, ["feature", "lo", "hi"]).select(

@@ -75,12 +75,17 @@ def make_model(name: str, params: Mapping[str, Any], features: Sequence[str], ta
     return Pipeline(stages=[*stages, model])
 
 
+def element(vector: str, place: int) -> Column:
+    """one element of a vector column; null for a null vector."""
+    return F.get(vector_to_array(vector), F.lit(place))
+
+
 def score_column(scored: DataFrame) -> Column | None:
     """Probability of class 1, else the sigmoid of the margin, else nothing."""
     if "probability" in scored.columns:
-        return vector_to_array("probability")[1]
+        return element("probability", 1)
     if "rawPrediction" in scored.columns:
-        return sigmoid(vector_to_array("rawPrediction")[1])
+        return sigmoid(element("rawPrediction", 1))
     return None
 
 
@@ -105,7 +110,7 @@ def importance(model: PipelineModel, features: Sequence[str]) -> DataFrame:
         values = sum(abs(m.coefficients.toArray()) for m in last.models) / len(last.models)
     else:
         raise ValueError(f"{type(last).__name__} has no importance")
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.builder.getOrCreate()
     rows = [(f, float(v)) for f, v in zip(features, values)]
     return spark.createDataFrame(rows, "feature string, importance double").orderBy(
         F.desc("importance"), "feature")
@@ -121,7 +126,7 @@ def save_model(model: PipelineModel, params: Mapping[str, Any], name: str, folde
     """The fitted model and its parameters (one JSON row) below ``folder/name``."""
     path = posixpath.join(folder, name)
     model.write().overwrite().save(posixpath.join(path, "model"))
-    spark = SparkSession.getActiveSession()
+    spark = SparkSession.builder.getOrCreate()
     row = [(name, json.dumps(dict(params), sort_keys=True))]
     spark.createDataFrame(row, "name string, params string").write.mode("overwrite").json(
         posixpath.join(path, "params"))

@@ -73,8 +73,8 @@ def select_features(df: DataFrame, date: str, target: str | None = None,
         if by_month:
             index = stability.psi_mean_by_month(df, date, cols, baseline_months)
         else:
-            base, current = stability.split_baseline(df, date, baseline_months)
-            index = stability.psi_two_sample(base, current, cols)
+            base = stability.in_baseline(df, date, baseline_months)
+            index = stability.psi_of_parts(df, base, cols)
         cols = step(stability.stability_filter(index, psi), cols)
     if target is not None and use_model and cols:
         cols = step(model_filter(df, cols, target, imbalanced, rounds, seed), cols)

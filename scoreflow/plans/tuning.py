@@ -86,12 +86,20 @@ def draw(space: Mapping[str, Any], rng: random.Random) -> dict[str, Any]:
 
 def measure(predicted: DataFrame, target: str) -> dict[str, float]:
     """M9 as a dictionary: at most a dozen numbers."""
-    # Unlabelled rows are no class of their own.
-    two = predicted.agg((F.min(target) == 0) & (F.max(target) == 1) & (
-        F.count_if(F.col(target).isNotNull() & ~F.col(target).isin(0, 1)) == 0)).first()[0]
-    score = "score" if "score" in predicted.columns and two else None
-    rows = bounded_rows(metrics.evaluate(predicted, target, "prediction", score),
-                        len(metrics.METRICS), "metrics")
+    # The rows are scored once; everything else comes from their counts.
+    labelled = predicted.filter(F.col(target).isNotNull())
+    scored = [c for c in ("score",) if c in predicted.columns]
+    counts = labelled.groupBy(target, "prediction", *scored).agg(F.count(F.lit(1)).alias("_rows"))
+    counts = counts.persist()
+    try:
+        # Unlabelled rows are no class of their own.
+        two = counts.agg((F.min(target) == 0) & (F.max(target) == 1) & (
+            F.count_if(~F.col(target).isin(0, 1)) == 0)).first()[0]
+        rows = bounded_rows(metrics.evaluate(
+            counts, target, "prediction", "score" if scored and two else None, "_rows"),
+            len(metrics.METRICS), "metrics")
+    finally:
+        counts.unpersist()
     return {r["metric"]: r["value"] for r in rows}
 
 
@@ -141,15 +149,20 @@ def _each(tasks: Sequence[Callable[[], Any]], parallelism: int) -> list[Any]:
 
 def cross_validate(name: str, params: Mapping[str, Any], df: DataFrame, id_col: str,
                    features: Sequence[str], target: str, folds: int = 5, seed: int = 42,
-                   n_classes: int = 2) -> dict[str, float]:
+                   n_classes: int = 2, weight: str | None = None) -> dict[str, float]:
     """Mean of every metric over the folds, KS included."""
-    marked = df.withColumn("_fold", fold_of(id_col, folds, seed))
+    extra = [weight] if weight else []
+    marked = df.select(id_col, target, *features, *extra,
+                       fold_of(id_col, folds, seed).alias("_fold")).persist()
     results = []
-    for k in range(folds):
-        train, test = marked.filter(F.col("_fold") != k), marked.filter(F.col("_fold") == k)
-        _, found = fit_measure(name, params, train, {"fold": test}, features, target, seed,
-                               n_classes)
-        results.append(found["fold"])
+    try:
+        for k in range(folds):
+            train, test = marked.filter(F.col("_fold") != k), marked.filter(F.col("_fold") == k)
+            _, found = fit_measure(name, params, train, {"fold": test}, features, target, seed,
+                                   n_classes, weight)
+            results.append(found["fold"])
+    finally:
+        marked.unpersist()
     keys = sorted({k for r in results for k in r})
     return {k: sum(r[k] for r in results if r.get(k) is not None)
             / max(1, sum(r.get(k) is not None for r in results)) for k in keys}
@@ -158,52 +171,60 @@ def cross_validate(name: str, params: Mapping[str, Any], df: DataFrame, id_col:
 def search(name: str, train: DataFrame, test: DataFrame | None, id_col: str,
            features: Sequence[str], target: str, metric: str, n_trials: int = 10,
            seed: int = 42, space: Mapping[str, Any] | None = None, folds: int = 3,
-           parallelism: int = 1, n_classes: int = 2) -> tuple[dict[str, Any], DataFrame]:
+           parallelism: int = 1, n_classes: int = 2, weight: str | None = None
+           ) -> tuple[dict[str, Any], DataFrame]:
     """Seeded random search; returns (best parameters, table of trials).
 
-    Without ``test`` each trial is measured by cross-validation.
+    Without ``test`` each trial is measured by cross-validation. A trial that fails has no
+    value; the search goes on.
     """
     rng = random.Random(seed)
     points = [draw(space or QUICK[name], rng) for _ in range(n_trials)]
 
-    def trial(params: dict[str, Any]) -> float | None:
-        if test is None:
-            found = cross_validate(name, params, train, id_col, features, target, folds, seed,
-                                   n_classes)
-        else:
-            found = fit_measure(name, params, train, {"t": test}, features, target, seed,
-                                n_classes)[1]["t"]
-        return found.get(metric)
-
-    values = _each([lambda p=p: trial(p) for p in points], parallelism)
+    def trial(params: dict[str, Any]) -> tuple[float | None, str | None]:
+        try:
+            if test is None:
+                found = cross_validate(name, params, train, id_col, features, target, folds,
+                                       seed, n_classes, weight)
+            else:
+                found = fit_measure(name, params, train, {"t": test}, features, target, seed,
+                                    n_classes, weight)[1]["t"]
+        except Exception as error:  # noqa: BLE001 - reported in the table
+            return None, str(error)
+        return found.get(metric), None
+
+    done = _each([lambda p=p: trial(p) for p in points], parallelism)
+    values = [v for v, _ in done]
     usable = [(v, -i) for i, v in enumerate(values) if v is not None]
     if not usable:
         raise ValueError(f"no trial of {name} gave a {metric}")
     best = points[-max(usable)[1]]
-    rows = [(i, name, str(sorted(p.items())), metric, v)
-            for i, (p, v) in enumerate(zip(points, values))]
+    rows = [(i, name, str(sorted(p.items())), metric, v, e)
+            for i, (p, (v, e)) in enumerate(zip(points, done))]
     table = train.sparkSession.createDataFrame(
-        rows, "trial int, model string, params string, metric string, value double")
+        rows, "trial int, model string, params string, metric string, value double, error string")
     return best, table
 
 
 def compare_models(df: DataFrame, id_col: str, features: Sequence[str], target: str,
                    models: Mapping[str, Mapping[str, Any]], metric: str = "ks",
                    n_trials: int = 10, seed: int = 42, test_share: float = 0.2,
-                   n_classes: int = 2, space: Mapping[str, Any] | None = None) -> Comparison:
+                   n_classes: int = 2, space: Mapping[str, Any] | None = None,
+                   weight: str | None = None) -> Comparison:
     """Fit all models, rank them, tune the winner and add it as ``<name>_tuned``.
 
     A model that fails leaves its error text in the leaderboard.
     """
     spark = df.sparkSession
-    train, test = split(df.select(id_col, target, *features), id_col, test_share, seed)
+    extra = [weight] if weight else []
+    train, test = split(df.select(id_col, target, *features, *extra), id_col, test_share, seed)
     train, test = train.persist(), test.persist()  # read again by every model
     try:
         rows, fitted, values = [], {}, {}
         for name, params in models.items():
             try:
                 fitted[name], found = fit_measure(name, params, train, {"test": test}, features,
-                                                  target, seed, n_classes)
+                                                  target, seed, n_classes, weight)
             except Exception as error:  # noqa: BLE001 - reported in the table
                 rows.append((name, "test", None, None, str(error)))
                 continue
@@ -216,10 +237,10 @@ def compare_models(df: DataFrame, id_col: str, features: Sequence[str], target:
         params, trials = dict(models[best]), None
         if n_trials > 0:
             params, trials = search(best, train, test, id_col, features, target, metric,
-                                    n_trials, seed, space, n_classes=n_classes)
+                                    n_trials, seed, space, n_classes=n_classes, weight=weight)
             tuned = f"{best}_tuned"
             fitted[tuned], found = fit_measure(best, params, train, {"test": test}, features,
-                                               target, seed, n_classes)
+                                               target, seed, n_classes, weight)
             rows += [(tuned, "test", k, v, None) for k, v in found["test"].items()]
             best = tuned
         return Comparison(as_board(spark, rows), best, params, fitted[best], trials, fitted)
@@ -231,19 +252,21 @@ def compare_models(df: DataFrame, id_col: str, features: Sequence[str], target:
 def dev_oot_run(dev: DataFrame, oot: DataFrame, id_col: str, features: Sequence[str],
                 target: str, models: Mapping[str, Mapping[str, Any]], metric: str = "ks",
                 folds: int = 5, tune_folds: int = 3, n_trials: int = 10, seed: int = 42,
-                folder: str | None = None, space: Mapping[str, Any] | None = None
-                ) -> Comparison:
+                folder: str | None = None, space: Mapping[str, Any] | None = None,
+                weight: str | None = None) -> Comparison:
     """Cross-validate every model, pick the winner out of time, tune it by
     cross-validation, refit it on all development rows and score it out of time."""
     spark = dev.sparkSession
-    dev = dev.select(id_col, target, *features).persist()
+    dev = dev.select(id_col, target, *features, *([weight] if weight else [])).persist()
     oot = oot.select(id_col, target, *features).persist()
     try:
         rows, values = [], {}
         for name, params in models.items():
             try:
-                cv = cross_validate(name, params, dev, id_col, features, target, folds, seed)
-                _, found = fit_measure(name, params, dev, {"oot": oot}, features, target, seed)
+                cv = cross_validate(name, params, dev, id_col, features, target, folds, seed,
+                                    weight=weight)
+                _, found = fit_measure(name, params, dev, {"oot": oot}, features, target, seed,
+                                       weight=weight)
             except Exception as error:  # noqa: BLE001 - reported in the table
                 rows.append((name, "cv", None, None, str(error)))
                 continue
@@ -254,9 +277,12 @@ def dev_oot_run(dev: DataFrame, oot: DataFrame, id_col: str, features: Sequence[
         if not ranked:
             raise ValueError(f"no model gave a {metric}")
         best = min(ranked, key=lambda n: (-values[n][metric], n))
-        params, trials = search(best, dev, None, id_col, features, target, metric, n_trials,
-                                seed, space, tune_folds)
-        model, found = fit_measure(best, params, dev, {"oot": oot}, features, target, seed)
+        params, trials = dict(models[best]), None
+        if n_trials > 0:
+            params, trials = search(best, dev, None, id_col, features, target, metric, n_trials,
+                                    seed, space, tune_folds, weight=weight)
+        model, found = fit_measure(best, params, dev, {"oot": oot}, features, target, seed,
+                                   weight=weight)
         tuned = f"{best}_tuned"
         rows += [(tuned, "oot", k, v, None) for k, v in found["oot"].items()]
         if folder is not None:
