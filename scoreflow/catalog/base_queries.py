@@ -510,13 +510,26 @@ def _(spark, d):
         F.contains("br", F.lit(",")).alias("has_comma"))
 
 
-@query("f3_band_label", """SELECT c_mktsegment, printf('%.1f - %.1f', min(c_acctbal),
- max(c_acctbal)) AS label FROM customer GROUP BY 1""")
+@query("f3_band_label", """SELECT c_mktsegment, printf('%.1f - %.1f',
+ round(min(c_acctbal), 1), round(max(c_acctbal), 1)) AS label FROM customer GROUP BY 1""")
 def _(spark, d):
     return table(spark, d, "customer").groupBy("c_mktsegment").agg(
         core.band_label(F.min("c_acctbal"), F.max("c_acctbal")).alias("label"))
 
 
+@query("f14_vector_step", """SELECT vec_id, round(list_sum(list_transform(range(1, 65),
+ lambda i: CAST(embedding[i] AS DOUBLE) + 0.25*(CAST(embedding[65 - i] AS DOUBLE) - CAST(embedding[i] AS DOUBLE)))), 6)
+ AS total, round(CAST(embedding[1] AS DOUBLE) + 0.25*(CAST(embedding[64] AS DOUBLE) - CAST(embedding[1] AS DOUBLE)), 6)
+ AS first FROM embeddings""")
+def _(spark, d):
+    """A quarter of the way from each vector to its mirror image."""
+    v = F.col("embedding").cast("array<double>")
+    moved = core.add_vectors(v, core.scaled_difference(v, F.reverse(v), F.lit(0.25)))
+    total = F.aggregate("m", F.lit(0.0), lambda t, x: t + x)
+    return table(spark, d, "embeddings").withColumn("m", moved).select(
+        "vec_id", F.round(total, 6).alias("total"), F.round(F.col("m")[0], 6).alias("first"))
+
+
 @query("f4_join_list", """SELECT string_agg(month, ',' ORDER BY month) AS baseline FROM
  (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS month FROM orders)""")
 def _(spark, d):

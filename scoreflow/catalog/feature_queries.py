@@ -36,23 +36,40 @@ def _(spark, d):
     return rounded(clean.convert_numeric_columns(df), 6, "pct")
 
 
-@query("v3_conversion_report", NUMBERS + """SELECT c AS feature, count(*) AS total,
- count(*) FILTER (regexp_full_match(translate(v, '.,-', ''), '[0-9]+')
-   AND (contains(v, '.') OR contains(v, ','))) AS numeric FROM
- (SELECT 'br' AS c, br AS v FROM text_numbers UNION ALL SELECT 'mixed', mixed FROM text_numbers
-  UNION ALL SELECT 'cur', cur FROM text_numbers) GROUP BY 1""")
+def _examples_sql(x, number):
+    picks = [f"min({x})", f"max({x})", f"arg_min({x}, md5({x}))", f"arg_max({x}, md5({x}))",
+             f"arg_min({x}, md5(reverse({x})))"][:number]
+    return f"coalesce(array_to_string(list_sort(list_distinct([{', '.join(picks)}])), '|'), '')"
+
+
+@query("v3_conversion_report", NUMBERS + f""", v AS (SELECT 'br' AS c, br AS v FROM text_numbers
+ UNION ALL SELECT 'mixed', mixed FROM text_numbers UNION ALL SELECT 'cur', cur FROM text_numbers),
+ h AS (SELECT *, CASE WHEN regexp_full_match(translate(v, '.,-', ''), '[0-9]+')
+   AND (contains(v, '.') OR contains(v, ',')) THEN v END AS x FROM v)
+SELECT c AS feature, count(*) AS total, count(x) AS numeric, round(count(x) / count(*), 6) AS rate,
+ count(x) / count(*) > 0.8 AS converted, {_examples_sql('x', 3)} AS examples FROM h GROUP BY 1""")
 def _(spark, d):
     df = text_numbers(spark, d).select("br", "mixed", "cur")
-    return clean.numeric_string_report(df).select("feature", "total", "numeric")
+    return rounded(clean.numeric_string_report(df), 6, "rate").withColumn(
+        "examples", F.array_join("examples", "|"))
+
+
+def _format_sql(c, mark):
+    kind = "CASE " + " ".join(f"WHEN regexp_matches(trim({c}), '{p}') THEN '{k}'" for k, p in clean.FORMATS.items())
+    counts = ", ".join(f"count(*) FILTER (k = '{k}') AS {k}" for k in clean.FORMATS)
+    x = f"(CASE WHEN k IS NOT NULL THEN {c} END)"
+    return f"""SELECT '{c}' AS feature, count(*) AS total, count(k) AS numeric, count(*) - count(k) AS not_numeric,
+ {counts}, round(count(k) / count(*), 6) AS rate, '{mark}' AS decimal_mark, {_examples_sql(x, 5)} AS examples,
+ CASE WHEN count(k) / count(*) <= 0.7 THEN 'ignored' ELSE 'converted' END AS outcome
+FROM (SELECT {c}, {kind} END AS k FROM text_numbers)"""
 
 
-@query("v3_format_report", NUMBERS + """SELECT 'pct' AS feature, count(*) AS percentage,
- CAST(0 AS BIGINT) AS currency, '.' AS decimal_mark, 'converted' AS outcome FROM text_numbers
-UNION ALL SELECT 'cur', 0, count(*), ',', 'converted' FROM text_numbers
-UNION ALL SELECT 'mixed', 0, 0, ',', 'ignored'""")
+@query("v3_format_report", NUMBERS + " UNION ALL ".join(
+    _format_sql(c, m) for c, m in (("pct", "."), ("cur", ","), ("mixed", ","))))
 def _(spark, d):
     out = clean.numeric_column_report(text_numbers(spark, d).select("pct", "cur", "mixed"))
-    return out.select("feature", "percentage", "currency", "decimal_mark", "outcome")
+    return rounded(out.drop("new_null_rate"), 6, "rate").withColumn(
+        "examples", F.array_join("examples", "|"))
 
 
 @query("v4_has_missing", MISSING + """SELECT bool_or(l_tax IS NULL) AS tax,
@@ -160,6 +177,17 @@ def _(spark, d):
                   F.sum("l_quantity_missing").cast("long").alias("qty"))
 
 
+@query("e7_missing_route", MISSING + """SELECT id, round(coalesce(l_tax, (SELECT median(l_tax) FROM missing)), 6) AS l_tax,
+ CAST(l_tax IS NULL AS INTEGER) AS l_tax_missing, l_discount, 'tree' AS families FROM missing""")
+def _(spark, d):
+    """Inputs with holes: filled, with indicators, and only the tree families."""
+    df = missing(spark, d).select("id", "l_tax", "l_discount")
+    frame, features, families = encode.missing_route(df, ["l_tax", "l_discount"])
+    kind = "tree" if set(families) == set(encode.RAW_FAMILIES) else "all"
+    return rounded(frame.select("id", *features), 6, "l_tax").withColumn(
+        "l_tax_missing", F.col("l_tax_missing").cast("int")).withColumn("families", F.lit(kind))
+
+
 @query("e8_class_weight", with_sql(IMBALANCED_SQL) + """, w AS (SELECT
  count(*) FILTER (target = 0) AS n0, count(*) FILTER (target = 1) AS n1 FROM imbalanced)
 SELECT doc_id, round(CASE WHEN target = 1 AND greatest(n0, n1)/(n0+n1) > 0.8 THEN n0/n1 ELSE 1.0

@@ -353,7 +353,7 @@ def _(spark, d):
 SCORECARD_SQL = f""", {BAND_STEPS}, bm AS (SELECT band,
   CASE WHEN max(tg) > 0 AND max(tb) > 0 THEN {KS} END AS ks,
   {AUC} AS auc, 2*({AUC}) - 1 AS gini FROM steps GROUP BY 1),
-card AS (SELECT CAST(band AS VARCHAR) AS band, printf('%.1f - %.1f', min_score, max_score) AS label,
+card AS (SELECT CAST(band AS VARCHAR) AS band, printf('%.1f - %.1f', round(min_score, 1), round(max_score, 1)) AS label,
   CAST(goods AS DOUBLE) AS goods, CAST(bads AS DOUBLE) AS bads, CAST(total AS DOUBLE) AS total,
   pd, ks, auc, gini FROM bands LEFT JOIN bm USING (band)),
 allrows AS (SELECT * FROM card UNION ALL SELECT 'MEAN', 'MEAN', avg(goods), avg(bads), avg(total),

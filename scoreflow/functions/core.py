@@ -105,23 +105,18 @@ def equal_width_bin(col: Column, low: Column, high: Column, bins: int) -> Column
 
 
 def one_decimal(col: Column) -> Column:
-    """Text with one decimal, rounded on the exact binary value, exact halves to even.
+    """Text with one decimal, rounded half away from zero."""
+    return F.format_string("%.1f", F.round(col.cast("double"), 1))
 
-    That is what ``%.1f`` does outside the JVM; the JVM rounds the printed decimals
-    half up. Near a half the fraction is a whole number of 2^-57, so bigint arithmetic is exact.
-    """
-    unit = 1 << 57
-    size = F.abs(col.cast("double"))
-    whole = F.floor(size).cast("bigint")
-    tenths = ((size - F.floor(size)) * float(unit)).cast("bigint") * 10
-    digit = F.shiftright(tenths, 57)
-    rest = tenths - F.shiftleft(digit, 57)
-    half = F.lit(unit // 2)
-    up = (rest > half) | ((rest == half) & (digit % 2 == 1))
-    total = whole * 10 + digit + up.cast("bigint")
-    text = F.concat(F.floor(total / 10).cast("bigint").cast("string"), F.lit("."),
-                    (total % 10).cast("string"))
-    return F.when(col < 0, F.concat(F.lit("-"), text)).otherwise(text)
+
+def add_vectors(a: Column, b: Column) -> Column:
+    """elementwise sum of two arrays of doubles."""
+    return F.zip_with(a, b, lambda x, y: x + y)
+
+
+def scaled_difference(a: Column, b: Column, scale: Column) -> Column:
+    """``scale * (b - a)`` elementwise: the step from one array towards another."""
+    return F.zip_with(a, b, lambda x, y: scale * (y - x))
 
 
 def band_label(low: Column, high: Column) -> Column:

@@ -43,14 +43,20 @@ def point_number(col: Column) -> Column:
     return _plain_number(F.translate(col, ",", ""))
 
 
+def _examples(col: Column, number: int) -> Column:
+    """Up to ``number`` (five at most) different values that do not depend on partitioning."""
+    text, turned = F.md5(col), F.md5(F.reverse(col))
+    picks = [F.min(col), F.max(col), F.min_by(col, text), F.max_by(col, text), F.min_by(col, turned)]
+    return F.array_sort(F.array_distinct(F.array_compact(F.array(*picks[:number]))))
+
+
 def numeric_string_report(df: DataFrame, min_rate: float = 0.8) -> DataFrame:
     """V3 for V1: total, number-like values, rate and up to 3 examples per text column."""
     cols = string_columns(df)
     hit = lambda c: F.coalesce(marked_number(F.col(c)), F.lit(False))
     wide = df.agg(*[
         F.struct(F.count(c).alias("total"), F.count_if(hit(c)).alias("numeric"),
-                 F.min(F.when(hit(c), F.col(c))).alias("example_low"),
-                 F.max(F.when(hit(c), F.col(c))).alias("example_high")).alias(c) for c in cols])
+                 _examples(F.when(hit(c), F.col(c)), 3).alias("examples")).alias(c) for c in cols])
     rows = wide.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(c).alias("s")) for c in cols])).alias("r"))
     rate = ratio(F.col("numeric"), F.col("total"))
@@ -103,7 +109,7 @@ def any_number(col: Column, comma_decimal: bool) -> Column:
 
 def numeric_column_report(df: DataFrame, min_rate: float = 0.7,
                           max_null: float = 0.3) -> DataFrame:
-    """V3 for V2: per text column the count of each format, the decimal mark and the outcome."""
+    """V3 for V2: per text column the count of each format, five examples, decimal mark, outcome."""
     cols = string_columns(df)
 
     def signs(i: int, c: str) -> list[Column]:
@@ -117,6 +123,7 @@ def numeric_column_report(df: DataFrame, min_rate: float = 0.7,
                  "lost_comma": bad(F.translate(text, ",.", ".")),
                  "lost_point": bad(F.translate(text, ",", ""))}
         return [F.when(F.col(c).isNotNull(), F.coalesce(kind, F.lit("none"))).alias(f"k{i}"),
+                F.col(c).alias(f"v{i}"),
                 *[flag.alias(f"{name}{i}") for name, flag in flags.items()]]
 
     def stats(i: int, c: str) -> Column:
@@ -124,6 +131,8 @@ def numeric_column_report(df: DataFrame, min_rate: float = 0.7,
         matched = kind != "none"
         return F.struct(
             F.count(kind).alias("total"), F.count_if(matched).alias("numeric"),
+            F.count_if(kind == "none").alias("not_numeric"),
+            _examples(F.when(matched, F.col(f"v{i}")), 5).alias("examples"),
             *[F.count_if(kind == k).alias(k) for k in FORMATS],
             F.count_if(F.col(f"comma{i}") & matched).alias("comma_marks"),
             F.count_if(F.col(f"point{i}") & matched).alias("point_marks"),

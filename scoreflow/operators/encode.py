@@ -75,6 +75,26 @@ def families_for(has_missing: bool) -> tuple[str, ...]:
     return MISSING_TOLERANT if has_missing else RAW_FAMILIES + SCALED_FAMILIES
 
 
+def missing_route(df: DataFrame, cols: Sequence[str]
+                  ) -> tuple[DataFrame, list[str], tuple[str, ...]]:
+    """(frame, input columns, families to train) for inputs that may have missing values.
+
+    With missing values: medians in their place, an indicator for each column that had some,
+    and the tree families. Without: the frame as it is and all families.
+    """
+    from scoreflow.operators.clean import impute
+    from scoreflow.operators.profile import missing_profile
+
+    cols = list(cols)
+    found = missing_profile(df, cols).filter("n_missing > 0").collect()  # one row per column
+    holes = [c for c in cols if c in {r["feature"] for r in found}]
+    families = families_for(bool(holes))
+    if not holes:
+        return df, cols, families
+    marked = missing_indicators(df, holes)
+    return impute(marked, holes, "median"), cols + [c + "_missing" for c in holes], families
+
+
 def missing_indicators(df: DataFrame, cols: Sequence[str], suffix: str = "_missing") -> DataFrame:
     """A 0/1 column per input, taken before the imputation."""
     return df.withColumns({c + suffix: is_missing(df, c).cast("double") for c in cols})

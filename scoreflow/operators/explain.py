@@ -105,7 +105,8 @@ def contribution_summary(contributions: DataFrame) -> DataFrame:
 def dependence(contributions: DataFrame, df: DataFrame, id_col: str,
                features: Sequence[str]) -> DataFrame:
     """(feature, value, contribution) of the explained rows, for the named features."""
-    values = df.select(id_col, *[known(df, f).alias(f) for f in features]).unpivot(
-        [id_col], list(features), "feature", "value")
+    pairs = F.create_map(*[x for f in features for x in (F.lit(f), known(df, f))])
     wanted = contributions.filter(F.col("feature").isin(list(features)))
-    return wanted.join(values, [id_col, "feature"])
+    # A few explained rows: Spark broadcasts them, the rows of the frame stay where they are.
+    return wanted.join(df.select(id_col, pairs.alias("_x")), id_col).withColumn(
+        "value", F.element_at("_x", F.col("feature"))).drop("_x")

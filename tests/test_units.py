@@ -114,10 +114,9 @@ def test_partial_gini_of_given_bands(spark):
     assert gaps[0] == pytest.approx(abs(50 / 600 - 30 / 65))
 
 
-@pytest.mark.parametrize("x", [0.05, 0.15, 0.25, 0.35, -988.25, 2.675, 99.95, 1e6 + 0.45, 7.0, -0.3])
-def test_one_decimal_is_c_rounding(spark, x):
-    got = spark.createDataFrame([(x,)], "x double").select(core.one_decimal(F.col("x"))).first()[0]
-    assert got == f"{x:.1f}"
+@pytest.mark.parametrize("x, want", [(0.05, "0.1"), (0.25, "0.3"), (-988.25, "-988.3"), (7.0, "7.0"), (99.94, "99.9")])
+def test_one_decimal_rounds_half_up(spark, x, want):
+    assert spark.createDataFrame([(x,)], "x double").select(core.one_decimal(F.col("x"))).first()[0] == want
 
 
 def test_guard_and_missing(spark):
@@ -442,3 +441,33 @@ def test_quota_marks_null_strata(spark):
     quotas = spark.createDataFrame([(None, 7), ("a", 100)], "g string, quota long")
     got = sampling.sample_by_quota(df, "id", ["g"], quotas)
     assert {r["g"]: r["count"] for r in got.groupBy("g").count().collect()} == {None: 7, "a": 20}
+
+
+def test_missing_route(spark):
+    df = spark.createDataFrame([(1.0, 2.0), (None, 3.0), (3.0, float("nan"))], "a double, b double")
+    frame_, cols, families = encode.missing_route(df, ["a", "b"])
+    assert cols == ["a", "b", "a_missing", "b_missing"] and set(families) == set(encode.RAW_FAMILIES)
+    assert [tuple(r) for r in frame_.select(*cols).collect()][1] == (2.0, 3.0, 1.0, 0.0)
+    assert encode.missing_route(df.limit(1), ["a", "b"])[1:] == (["a", "b"], encode.families_for(False))
+
+
+def test_hashed_neighbours_find_near_points(spark):
+    """Recall and share of pairs compared, on the given vectors and a near copy of each."""
+    from scoreflow.operators import neighbours
+
+    x = np.array(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").toPandas()["embedding"].tolist())
+    x = np.concatenate([x, x + np.random.default_rng(1).normal(size=x.shape) * 0.3 / 8])  # a near copy of each
+    cols = [f"v{i}" for i in range(64)]
+    points = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], ["key", *cols])
+    gap = np.linalg.norm(x[:, None] - x[None], axis=2)
+    np.fill_diagonal(gap, np.inf)
+    near = {(i, j) for i, j in zip(*np.nonzero(gap < 0.4))}
+    got = neighbours.nearest_by_hashing(points, "key", cols, 10)
+    found = {(r["key"], r["neighbour"]) for r in got.collect()}
+    top = {(i, j) for i in range(len(x)) for j in np.argsort(gap[i], kind="stable")[:10]}
+    wanted = near & top
+    assert len(wanted & found) >= 0.9 * len(wanted) > 0
+    base = points.withColumn("x", F.array(*cols))
+    tables = neighbours.hashed_tables(base, cols, 8, 6, None, 42)
+    sizes = tables.groupBy("table", "bucket").count().agg(F.sum(F.col("count") * (F.col("count") - 1))).first()[0]
+    assert sizes < 0.5 * len(x) * (len(x) - 1)
