@@ -29,6 +29,13 @@ def texts(column: pa.ChunkedArray | pa.Array) -> Iterator[str]:
         yield value.as_py() or ""
 
 
+def parts_of(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that what is made of a batch stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def vectors(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     """Rows of an Arrow list column that hold only finite numbers: their places and values."""
     places, rows = [], []
@@ -76,6 +83,27 @@ class Forest:
             np.minimum.at(self.up, hi, lo)
             a, b = a[other], b[other]
 
+    def link_nearest(self, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """Join the sets of all pairs, nearest pairs first; returns the places of the pairs that did.
+
+        Each round takes the nearest pair of every set that still has one to another set, so the
+        pairs returned are a minimum spanning forest of those given.
+        """
+        place = np.argsort(d, kind="stable")
+        used: list[int] = []
+        while True:
+            ra, rb = self.roots(a[place]), self.roots(b[place])
+            other = ra != rb
+            place, ra, rb = place[other], ra[other], rb[other]
+            if not len(place):
+                return np.array(used, dtype=np.int64)
+            _, first = np.unique(np.concatenate([ra, rb]), return_index=True)
+            for e in np.unique(first % len(place)).tolist():
+                x, y = self.find(int(ra[e])), self.find(int(rb[e]))
+                if x != y:
+                    self.up[max(x, y)] = min(x, y)
+                    used.append(int(place[e]))
+
     def roots(self, at: np.ndarray | None = None) -> np.ndarray:
         """Roots of the given members (all by default), with full path compression of those."""
         at = np.arange(len(self.up)) if at is None else at

@@ -15,7 +15,8 @@ are those of the model's own library.
 
 Where no piece holds a space mark after another character, a space mark after another character
 is a border of every path: words between such borders are encoded once and remembered, and a chunk
-with such a border inside has a matrix of rank one. Null text gives null ids, empty text none.
+with such a border inside has a matrix of rank one. Inside a word of a BPE model the only finite path
+is followed depth first, which is the same path. Null text gives null ids, empty text none.
 """
 
 from __future__ import annotations
@@ -30,9 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scoreflow.llm.common import parts_of
+
 SPACE = "▁"
 CHUNK = 1 << 16
-REMEMBERED = 300_000
+REMEMBERED = 120_000  # words of each of two generations, and a third of the pairs
+ROWS_AT_ONCE = 512
+CODE_BITS = 22
 MINUS = float("-inf")
 WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 State = tuple[str, int]  # the last piece, and how many characters it reaches past the cut
@@ -52,17 +57,33 @@ class Vocabulary:
         self.prefix = SPACE if proto.normalizer_spec.add_dummy_prefix else ""
         self.names = [p.piece for p in proto.pieces]
         kinds = [p.type for p in proto.pieces]  # 1 normal, 2 unknown, 3 control, 4 user, 5 unused, 6 byte
-        self.kinds = kinds
         self.ids = {n: i for i, (n, k) in enumerate(zip(self.names, kinds)) if k in (1, 4)}
         self.scores = {n: proto.pieces[i].score for n, i in self.ids.items()}
         self.bytes = {int(n[3:-1], 16): i for i, (n, k) in enumerate(zip(self.names, kinds)) if k == 6}
         self.unknown = kinds.index(2)
+        # What each id decodes to.
+        self.raw = [bytes([int(n[3:-1], 16)]) if k == 6 else " \u2047 ".encode() if k == 2
+                    else b"" if k == 3 else n.encode() for n, k in zip(self.names, kinds)]
         self.longest = max(map(len, self.ids), default=1)
-        self.starts = {n[:i] for n in self.ids for i in range(1, len(n) + 1)}
         self.least = min(self.scores.values(), default=0.0) - 10.0
         self.borders = not any(SPACE in n.lstrip(SPACE) for n in self.ids)
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, tuple[int, ...]] = {}
+        # A code for each piece and each character; -1 for a text that only starts a piece.
+        self.codes = {n[:i]: -1 for n in self.ids for i in range(2, len(n))}
+        self.texts: list[str] = []
+        self.packs: list[bytes] = []  # the ids of each code
+        for n in [*self.ids, *dict.fromkeys(n[0] for n in self.ids if n[0] not in self.ids)]:
+            self.code(n)
+        self.pairs: dict[int, bool] = {}
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def code(self, text: str) -> int:
+        found = self.codes.get(text, -1)
+        if found < 0:
+            found = self.codes[text] = len(self.texts)
+            self.texts.append(text)
+            self.packs.append(np.array(self.numbers([text]), np.int32).tobytes())
+        return found
 
     def merged(self, text: str) -> list[str]:
         """Greedy merging of a short text: best score first, then leftmost."""
@@ -78,13 +99,12 @@ class Vocabulary:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def fits(self, last: str, piece: str) -> bool:
-        """Whether the pair's own encoding is the pair."""
-        known = self.pairs.get((last, piece))
-        if known is None:
-            if len(self.pairs) > 4 * REMEMBERED:
-                self.pairs.clear()
-            known = self.pairs[last, piece] = self.merged(last + piece) == [last, piece]
+    def fits(self, last: int, piece: int) -> bool:
+        """Whether the encoding of the pair's text is the pair (codes)."""
+        if len(self.pairs) > 3 * REMEMBERED:
+            self.pairs.clear()
+        pair = [self.texts[last], self.texts[piece]]
+        known = self.pairs[last << CODE_BITS | piece] = self.merged(pair[0] + pair[1]) == pair
         return known
 
     def forward(self, s: str, start: int, stop: int, last: str | None) -> tuple[list[float], list[int]]:
@@ -92,30 +112,41 @@ class Vocabulary:
 
         Pieces start before ``stop`` and may reach beyond it. ``last`` is the piece before ``start``.
         """
-        ids, scores, starts, longest, bpe = self.ids, self.scores, self.starts, self.longest, self.bpe
-        n = len(s)
+        codes, n, longest = self.codes, len(s), self.longest
         weight, back = [MINUS] * (n + 1), [-1] * (n + 1)
         weight[start] = 0.0
+        if self.bpe:
+            pairs, held = self.pairs, [-1] * (n + 1)
+            held[start] = -1 if last is None else self.code(last)
+            for i in range(start, min(stop, n)):
+                if weight[i] == MINUS:
+                    continue
+                before = held[i]
+                for j in range(i + 1, min(i + longest, n) + 1):
+                    c = codes.get(s[i:j])
+                    if c is None:
+                        if j > i + 1:
+                            break
+                        c = self.code(s[i])
+                    # A place is reached by one path at most, so the first piece that fits is it.
+                    if c >= 0 and held[j] < 0:
+                        if before >= 0:
+                            fit = pairs.get(before << CODE_BITS | c)
+                            if fit is None:
+                                fit = self.fits(before, c)
+                            if not fit:
+                                continue
+                        held[j], weight[j], back[j] = c, 0.0, i
+            return weight, back
+        scores, least = self.scores, self.least
         for i in range(start, min(stop, n)):
             here = weight[i]
-            if here == MINUS:
-                continue
-            before = (last if i == start else s[back[i]:i]) if bpe else None
             for j in range(i + 1, min(i + longest, n) + 1):
                 piece = s[i:j]
-                if piece in ids:
-                    if bpe:
-                        if before is None or self.fits(before, piece):
-                            weight[j], back[j] = 0.0, i
-                    elif here + scores[piece] > weight[j]:
-                        weight[j], back[j] = here + scores[piece], i
-                elif j == i + 1:
-                    if bpe:
-                        if before is None or self.fits(before, piece):
-                            weight[j], back[j] = 0.0, i
-                    elif here + self.least > weight[j]:
-                        weight[j], back[j] = here + self.least, i
-                if piece not in starts:
+                score = scores.get(piece, least if j == i + 1 else MINUS)
+                if here + score > weight[j]:
+                    weight[j], back[j] = here + score, i
+                if piece not in codes:
                     break
         return weight, back
 
@@ -140,42 +171,85 @@ class Vocabulary:
                 out.append(self.unknown)
         return out
 
-    def encode_words(self, s: str, out: list[int]) -> None:
-        """Append the ids of a stretch between two borders."""
-        if not self.borders:
-            if s:
-                _, back = self.forward(s, 0, len(s), None)
-                out += self.numbers(self.trace(s, back, 0, len(s)))
+    def best(self, word: str) -> bytes:
+        """Ids of the best path of a word."""
+        _, back = self.forward(word, 0, len(word), None)
+        return np.array(self.numbers(self.trace(word, back, 0, len(word))), np.int32).tobytes()
+
+    def finite(self, word: str) -> bytes:
+        """Ids of the only path of finite weight of a word, followed depth first.
+
+        A place is reached by one path at most, so a place that leads nowhere is left for good.
+        """
+        pairs, n = self.pairs, len(word)
+        dead, at, held, left = bytearray(n + 1), [0], [-1], [self.options(word, 0)]
+        while at[-1] < n:
+            if not left[-1]:
+                dead[at.pop()] = 1
+                held.pop()
+                left.pop()
+                continue
+            c, end = left[-1].pop()
+            if dead[end]:
+                continue
+            before = held[-1]
+            if before >= 0:
+                fit = pairs.get(before << CODE_BITS | c)
+                if fit is None:
+                    fit = self.fits(before, c)
+                if not fit:
+                    continue
+            at.append(end)
+            held.append(c)
+            left.append(self.options(word, end) if end < n else [])
+        return b"".join([self.packs[c] for c in held[1:]])
+
+    def options(self, word: str, i: int) -> list[tuple[int, int]]:
+        """Pieces that start at a place, the longest last, with their ends."""
+        codes, out = self.codes, []
+        for j in range(i + 1, min(i + self.longest, len(word)) + 1):
+            c = codes.get(word[i:j])
+            if c is None:
+                if j > i + 1:
+                    break
+                c = self.code(word[i])
+            if c >= 0:
+                out.append((c, j))
+        return out
+
+    def encode_words(self, s: str, out: bytearray) -> None:
+        """Append the ids (32-bit) of a stretch between two borders.
+
+        Words are remembered in two generations; the older one goes when the newer is full.
+        """
+        if not s:
             return
-        known = self.words
-        for word in WORDS.findall(s):
+        known, older = self.words, self.older
+        for word in WORDS.findall(s) if self.borders else [s]:
             ids = known.get(word)
             if ids is None:
-                _, back = self.forward(word, 0, len(word), None)
-                ids = tuple(self.numbers(self.trace(word, back, 0, len(word))))
-                if len(known) > REMEMBERED:
-                    known.clear()
+                ids = older.get(word)
+                if ids is None:
+                    ids = self.finite(word) if self.bpe and self.bytes else self.best(word)
                 if len(word) < 64:
                     known[word] = ids
+                    if len(known) > REMEMBERED:
+                        self.older, self.words = known, {}
+                        known, older = self.words, self.older
             out += ids
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def packed(self, text: str) -> np.ndarray:
+        """The ids of a text as an array."""
+        out = bytearray()
         if text:
             self.encode_words(self.prefix + text.replace(" ", SPACE), out)
-        return out
+        return np.frombuffer(bytes(out), np.int32)
+
+    def encode(self, text: str) -> list[int]:
+        return self.packed(text).tolist()
 
     def decode(self, ids: list[int]) -> str:
-        parts: list[bytes] = []
-        for i in ids:
-            kind = self.kinds[i]
-            if kind == 6:
-                parts.append(bytes([int(self.names[i][3:-1], 16)]))
-            elif kind == 2:
-                parts.append(" ⁇ ".encode())
-            elif kind != 3:
-                parts.append(self.names[i].encode())
-        text = b"".join(parts).decode("utf-8", "replace")
+        text = b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace")
         if self.prefix and text.startswith(SPACE):
             text = text[1:]
         return text.replace(SPACE, " ")
@@ -256,9 +330,10 @@ class Vocabulary:
         last = self.border(window, first, hi, last=True)
         _, back = self.forward(window, start, first, before)
         out = self.numbers(self.trace(window, back, start, first))
-        self.encode_words(window[first:last], out)
+        middle = bytearray()
+        self.encode_words(window[first:last], middle)
         _, back = self.forward(window, last, hi, None)
-        return out + self.numbers(self.trace(window, back, last, end))
+        return [*out, *np.frombuffer(middle, np.int32).tolist(), *self.numbers(self.trace(window, back, last, end))]
 
 
 def combined(a: dict, b: dict) -> dict:
@@ -307,11 +382,11 @@ MATRIX = f"array<struct<entry:{STATE},leave:{STATE},weight:double>>"
 def _whole(shared):
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(shared.value)
-        for batch in rows:
+        for batch in parts_of(rows, ROWS_AT_ONCE):
             offsets, nulls, values = [0], [], []
             for cell in batch["text"]:
                 text = cell.as_py()
-                values.append(np.array(v.encode(text or ""), np.int32))
+                values.append(v.packed(text or ""))
                 nulls.append(text is None)
                 offsets.append(offsets[-1] + len(values[-1]))
             flat = pa.array(np.concatenate([np.zeros(0, np.int32), *values]))
@@ -397,7 +472,7 @@ def decode(encoded: DataFrame, model: bytes, key: str = "key", ids: str = "ids")
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(shared.value)
-        for batch in rows:
+        for batch in parts_of(rows, ROWS_AT_ONCE):
             made = [v.decode(cell.values.to_numpy().tolist()) if cell.is_valid else None for cell in batch["ids"]]
             yield pa.RecordBatch.from_arrays([batch["key"], batch["ids"], pa.array(made, pa.string())],
                                              names=["key", "ids", "text"])
