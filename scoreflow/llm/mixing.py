@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 NULL_SOURCE = "n"
-ROWS_A_CELL = 20_000
+ROWS_A_CELL = 2_000
 
 
 def shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
