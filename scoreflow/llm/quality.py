@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scoreflow.functions.matrices import summed_matrix
 from scoreflow.llm.common import texts
 
 FEATURES = (
@@ -140,29 +141,15 @@ def fit(rows: DataFrame) -> Model:
     if row["y"] is None or row["y"] in (0.0, 1.0):
         return model
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def part(batch: pa.RecordBatch) -> np.ndarray:
+        x, y = _matrix(batch.column(0)), batch.column(1).to_numpy()
         total = np.zeros((FOURIER + 1, FOURIER + 2))
-        for batch in batches:
-            x, y = _matrix(batch.column(0)), batch.column(1).to_numpy()
-            for at in range(0, len(y), 4096):
-                z = _fourier(model, x[at:at + 4096])
-                total += z.T @ np.column_stack([z, y[at:at + 4096]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(FOURIER + 1)), pa.array(list(total))],
-                                         names=["i", "v"])
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1)):
-                by[i] = by.get(i, 0) + v.values.to_numpy()
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(by), pa.int64()), pa.array(list(by.values()), pa.list_(pa.float64()))],
-            names=["i", "v"])
-
-    parts = rows.mapInArrow(sums, "i long, v array<double>").repartition("i")
-    whole = np.zeros((FOURIER + 1, FOURIER + 2))
-    for r in parts.mapInArrow(added, "i long, v array<double>").collect():  # FOURIER + 1 rows
-        whole[r["i"]] = r["v"]
+        for at in range(0, len(y), 4096):
+            z = _fourier(model, x[at:at + 4096])
+            total += z.T @ np.column_stack([z, y[at:at + 4096]])
+        return total
+
+    whole = summed_matrix(rows, part, (FOURIER + 1, FOURIER + 2))
     gram = whole[:, :-1] + RIDGE * row["n"] * np.diag(np.append(np.full(FOURIER, 1 / FOURIER), 0))
     model.weights = np.linalg.lstsq(gram, whole[:, -1], rcond=None)[0]
 
