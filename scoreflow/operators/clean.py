@@ -196,7 +196,7 @@ def _report(table: DataFrame, test: str, value: Column, removed: Column) -> Data
 
 def kept(report: DataFrame, cols: Sequence[str]) -> list[str]:
     """Columns without a ``removed`` row in a report, in their given order."""
-    rows = bounded_rows(report.filter(F.col("status") == "removed").select("feature"),
+    rows = bounded_rows(report.filter(F.col("status") == "removed").select("feature").distinct(),
                         len(cols), "removed columns")
     gone = {r["feature"] for r in rows}
     return [c for c in cols if c not in gone]
