@@ -16,7 +16,7 @@ forest and not all its pairs. Components are exact for the links found.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -110,17 +110,29 @@ def _shards(blocks: list[tuple[int, int]]):
     return batches
 
 
-def trie_join(prints: np.ndarray, group: np.ndarray, side: np.ndarray, budget: int) -> np.ndarray:
-    """Root (smallest index) of each entry after linking all pairs within the budget.
+def trie_join(prints: np.ndarray, group: np.ndarray, side: np.ndarray,
+              budgets: Sequence[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A spanning forest of all pairs within the last budget: places of both ends, differing bits.
 
     Entries are sorted by (group, side, print). A group of side 0 is joined with itself, in other
-    groups side 1 with side 2.
+    groups side 1 with side 2. The trie is traversed for one budget after the other, so links
+    within a smaller budget come first in the forest.
     """
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    forest = Forest(len(prints))
+    for budget in budgets:
+        _traverse(prints, group, side, budget, forest, found)
+    empty = np.zeros(0, np.int64)
+    return tuple(np.concatenate([empty, *[f[k] for f in found]]) for k in range(3))
+
+
+def _traverse(prints: np.ndarray, group: np.ndarray, side: np.ndarray, budget: int,
+              forest: Forest, found: list) -> None:
+    """One traversal of all pairs of nodes within the budget."""
     n = len(prints)
     bits = np.unpackbits(prints, axis=1)
     depth = bits.shape[1]
     words = np.ascontiguousarray(prints).view(">u8").astype(np.uint64)
-    forest = Forest(n)
     first = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if n else np.zeros(0, np.int64)
     last = np.append(first[1:], n) if n else first
     twos = np.concatenate([[0], np.cumsum(side == 2)])
@@ -153,7 +165,10 @@ def trie_join(prints: np.ndarray, group: np.ndarray, side: np.ndarray, budget: i
             i, j = expand(part[:, 0], part[:, 1] - part[:, 0], part[:, 2], part[:, 3] - part[:, 2])
             i, j = i[i != j], j[i != j]
             far = np.bitwise_count(words[i] ^ words[j]).sum(1, dtype=np.int64)
-            forest.link(i[far <= budget], j[far <= budget])
+            near = far <= budget
+            i, j, far = i[near], j[near], far[near]
+            used = forest.link_nearest(i, j, far)
+            found.append((i[used], j[used], far[used]))
             stale = True
         todo = todo[~small]
         if not len(todo):
@@ -170,10 +185,9 @@ def trie_join(prints: np.ndarray, group: np.ndarray, side: np.ndarray, budget: i
         children = children[(children[:, 4] <= budget) & (children[:, 0] < children[:, 1])
                             & (children[:, 2] < children[:, 3])]
         stack.append((level + 1, children[np.argsort(children[:, 4], kind="stable")]))
-    return forest.roots()
 
 
-def _join_batches(budget: int):
+def _join_batches(budgets: Sequence[int]):
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         size = 0
@@ -184,10 +198,10 @@ def _join_batches(budget: int):
             width = len(upto["fp"][0].as_py())
             fp = np.frombuffer(b"".join(upto["fp"].to_pylist()), np.uint8).reshape(-1, width)
             number = np.concatenate([[0], np.cumsum(group[1:] != group[:-1])])
-            root = trie_join(fp, number, side, budget)
+            i, j, far = trie_join(fp, number, side, budgets)
             key = upto["key"].to_numpy()
-            moved = root != np.arange(len(root))
-            return pa.RecordBatch.from_arrays([pa.array(key[moved]), pa.array(key[root[moved]])], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(key[j]), pa.array(far)],
+                                              names=["a", "b", "bits"])
 
         for batch in rows:
             if not batch.num_rows:
@@ -208,8 +222,8 @@ def _join_batches(budget: int):
     return batches
 
 
-def links(prints: DataFrame, budget: int, blocks: list[tuple[int, int]]) -> DataFrame:
-    """Columns ``a, b``: a forest that connects entries within the budget that share a block.
+def links(prints: DataFrame, budgets: Sequence[int], blocks: list[tuple[int, int]]) -> DataFrame:
+    """Columns ``a, b, bits``: forests that connect entries within the last budget that share a block.
 
     ``prints`` has ``key`` (long) and distinct ``fp``. Shards beyond SHARD_ROWS are cut by their
     next bits into pairs of sub-tries within the budget, one task each.
@@ -221,12 +235,12 @@ def links(prints: DataFrame, budget: int, blocks: list[tuple[int, int]]) -> Data
     rows = rows.select("shard", "key", "fp", F.expr(f"int(shiftright(rest, {MOST_CUTS} - coalesce(cuts, 0)))").alias("sub"),
                        F.expr("sequence(0, shiftleft(1, coalesce(cuts, 0)) - 1)").alias("others"))
     rows = rows.withColumn("other", F.explode(F.filter(
-        "others", lambda o: F.bit_count(o.bitwiseXOR(F.col("sub"))) <= budget)))
+        "others", lambda o: F.bit_count(o.bitwiseXOR(F.col("sub"))) <= budgets[-1])))
     side = F.when(F.col("sub") == F.col("other"), 0).when(F.col("sub") < F.col("other"), 1).otherwise(2)
     rows = rows.select(F.xxhash64("shard", F.least("sub", "other"), F.greatest("sub", "other")).alias("task"),
                        side.alias("side"), "fp", "key")
     rows = rows.repartition("task").sortWithinPartitions("task", "side", "fp")
-    return rows.mapInArrow(_join_batches(budget), "a long, b long")
+    return rows.mapInArrow(_join_batches(budgets), "a long, b long, bits long")
 
 
 def classes(docs_prints: DataFrame, budget: int, blocks: list[tuple[int, int]]) -> DataFrame:
@@ -234,7 +248,68 @@ def classes(docs_prints: DataFrame, budget: int, blocks: list[tuple[int, int]])
     docs_prints = docs_prints.select(F.col("key").cast("long").alias("key"), "fp")
     docs_prints = checkpointed(docs_prints)
     same = checkpointed(docs_prints.groupBy("fp").agg(F.min("key").alias("key")))
-    found = components(links(same, budget, blocks), "a", "b")
+    found = components(links(same, [budget], blocks), "a", "b")
     named = same.join(found.withColumnRenamed("node", "key"), "key", "left").select(
         "fp", F.coalesce("component", "key").alias("component"))
     return docs_prints.join(named, "fp").select("key", "fp", "component")
+
+
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words)]))
+
+
+def _alike(least: float):
+    """Pairs of texts whose shingle sets have a Jaccard similarity of ``least`` or more."""
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            keep = []
+            for x, y in zip(batch["x"], batch["y"]):
+                p, q = (np.frombuffer(v.as_py() or b"", np.uint64) for v in (x, y))
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                keep.append(both >= least * (len(p) + len(q) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    return batches
+
+
+def _sets(words: int):
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            made = [shingle_set(t, words).tobytes() for t in texts(batch["text"])]
+            yield pa.RecordBatch.from_arrays([batch["key"], pa.array(made, pa.binary())], names=["key", "set"])
+    return batches
+
+
+def verified_classes(docs: DataFrame, words: int, size: int, sure: int, budgets: Sequence[int],
+                     blocks: list[tuple[int, int]], least: float, key: str = "doc_id",
+                     text: str = "text") -> DataFrame:
+    """Columns ``key, component`` of rows with a key: near duplicates of Jaccard ``least`` or more.
+
+    Links of up to ``sure`` differing bits hold by themselves. Where further links within the last
+    budget lead from one such group to another, the closest of them decides: it holds if the
+    similarity of its two whole texts, from their shingle sets, is ``least`` or more.
+    """
+    rows = docs.where(docs[key].isNotNull())
+    prints = checkpointed(fingerprints(rows, words, size, key, text).select(F.col("key").cast("long").alias("key"), "fp"))
+    same = checkpointed(prints.groupBy("fp").agg(F.min("key").alias("key")))
+    found = checkpointed(links(same, budgets, blocks).groupBy("a", "b").agg(F.min("bits").alias("bits")))
+    first = checkpointed(components(found.where(F.col("bits") <= sure), "a", "b"))
+    side = lambda end: first.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+    open_links = found.where(F.col("bits") > sure).join(side("a"), "a", "left").join(side("b"), "b", "left").select(
+        "a", "b", "bits", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b"))
+    closest = open_links.where("of_a <> of_b").groupBy(F.least("of_a", "of_b").alias("u"), F.greatest("of_a", "of_b").alias("v")).agg(
+        F.min(F.struct("bits", "a", "b")).alias("best")).select("u", "v", "best.a", "best.b")
+    closest = checkpointed(closest)
+    ends = closest.select(F.col("a").alias("key")).unionAll(closest.select("b")).distinct()
+    # A key may have several rows: any one text stands for it, as for its fingerprint.
+    whole = rows.select(rows[key].cast("long").alias("key"), rows[text].cast("string").alias("text"))
+    sets = checkpointed(whole.join(ends, "key", "left_semi").mapInArrow(_sets(words), "key long, set binary")
+                        .groupBy("key").agg(F.min("set").alias("set")))
+    pairs = closest.join(sets.select(F.col("key").alias("a"), F.col("set").alias("x")), "a").join(
+        sets.select(F.col("key").alias("b"), F.col("set").alias("y")), "b")
+    alike = pairs.select("u", "v", "x", "y").toDF("a", "b", "x", "y").mapInArrow(_alike(least), "a long, b long")
+    joined = found.where(F.col("bits") <= sure).select("a", "b").unionAll(alike)
+    last = components(joined, "a", "b")
+    named = same.join(last.withColumnRenamed("node", "key"), "key", "left").select(
+        "fp", F.coalesce("component", "key").alias("component"))
+    return prints.join(named, "fp").select("key", "component")
