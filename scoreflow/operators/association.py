@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 
 from scoreflow.functions.core import bounded_rows, edge_bin, known, present, ratio, unpivot
 from scoreflow.functions.matrices import summed_matrix
-from scoreflow.operators.metrics import rank_steps
-from scoreflow.operators.prefix import counted_quantiles, running_sums
-from scoreflow.operators.profile import column_quantiles
+from scoreflow.operators.metrics import rank_metrics
+from scoreflow.operators.profile import column_quantiles, median_fill
 
 
 def long_row(df: DataFrame, cols: Sequence[str], stat) -> DataFrame:
@@ -277,18 +276,14 @@ def correlation_filter(df: DataFrame, cols: Sequence[str], limit: float = 0.9) -
 def univariate_ranks(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
     """ROC and PR areas of every feature as a score, missing filled by the median.
 
-    One unpivot, one count per (feature, value); a missing value is one more counted value,
-    and its median is looked up in the counts.
+    One unpivot, one count per (feature, value), one grouped running sum. Medians are looked
+    up only for columns with missing values, in passes of their own: counting every column
+    for them first was slower (26.6 s against 15.9 s on sf0.1).
     """
-    counts = unpivot(df, cols, [target]).groupBy("feature", "value").agg(
-        F.count_if(F.col(target) == 0).alias("goods"), F.count_if(F.col(target) == 1).alias("bads"),
-        F.count(F.lit(1)).alias("n"))
-    fill = counted_quantiles(counts, "value", [0.5], ["feature"])
-    filled = counts.join(fill.select("feature", F.col("value").alias("_fill")), "feature", "left").groupBy(
-        "feature", F.coalesce("value", "_fill").alias("value")).agg(
-        F.sum("goods").alias("goods"), F.sum("bads").alias("bads"))
-    steps = running_sums(filled, "value", ["goods", "bads"], ["feature"], descending=True)
-    return rank_steps(steps, "value", ["feature"]).select(
+    fill = median_fill(df, cols)
+    filled = df.select(target, *[
+        F.coalesce(known(df, c), F.lit(fill.get(c))).alias(c) for c in cols])
+    return rank_metrics(unpivot(filled, cols, [target]), "value", target, ["feature"]).select(
         "feature", "auc", "pr_auc", "average_precision", "ks")
 
 
