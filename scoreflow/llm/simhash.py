@@ -252,64 +252,3 @@ def classes(docs_prints: DataFrame, budget: int, blocks: list[tuple[int, int]])
     named = same.join(found.withColumnRenamed("node", "key"), "key", "left").select(
         "fp", F.coalesce("component", "key").alias("component"))
     return docs_prints.join(named, "fp").select("key", "fp", "component")
-
-
-def shingle_set(text: str, words: int) -> np.ndarray:
-    """The distinct shingle hashes of a text, sorted."""
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, words)]))
-
-
-def _alike(least: float):
-    """Pairs of texts whose shingle sets have a Jaccard similarity of ``least`` or more."""
-    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            keep = []
-            for x, y in zip(batch["x"], batch["y"]):
-                p, q = (np.frombuffer(v.as_py() or b"", np.uint64) for v in (x, y))
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(both >= least * (len(p) + len(q) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-    return batches
-
-
-def _sets(words: int):
-    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            made = [shingle_set(t, words).tobytes() for t in texts(batch["text"])]
-            yield pa.RecordBatch.from_arrays([batch["key"], pa.array(made, pa.binary())], names=["key", "set"])
-    return batches
-
-
-def verified_classes(docs: DataFrame, words: int, size: int, sure: int, budgets: Sequence[int],
-                     blocks: list[tuple[int, int]], least: float, key: str = "doc_id",
-                     text: str = "text") -> DataFrame:
-    """Columns ``key, component`` of rows with a key: near duplicates of Jaccard ``least`` or more.
-
-    Links of up to ``sure`` differing bits hold by themselves. Where further links within the last
-    budget lead from one such group to another, the closest of them decides: it holds if the
-    similarity of its two whole texts, from their shingle sets, is ``least`` or more.
-    """
-    rows = docs.where(docs[key].isNotNull())
-    prints = checkpointed(fingerprints(rows, words, size, key, text).select(F.col("key").cast("long").alias("key"), "fp"))
-    same = checkpointed(prints.groupBy("fp").agg(F.min("key").alias("key")))
-    found = checkpointed(links(same, budgets, blocks).groupBy("a", "b").agg(F.min("bits").alias("bits")))
-    first = checkpointed(components(found.where(F.col("bits") <= sure), "a", "b"))
-    side = lambda end: first.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
-    open_links = found.where(F.col("bits") > sure).join(side("a"), "a", "left").join(side("b"), "b", "left").select(
-        "a", "b", "bits", F.coalesce("of_a", "a").alias("of_a"), F.coalesce("of_b", "b").alias("of_b"))
-    closest = open_links.where("of_a <> of_b").groupBy(F.least("of_a", "of_b").alias("u"), F.greatest("of_a", "of_b").alias("v")).agg(
-        F.min(F.struct("bits", "a", "b")).alias("best")).select("u", "v", "best.a", "best.b")
-    closest = checkpointed(closest)
-    ends = closest.select(F.col("a").alias("key")).unionAll(closest.select("b")).distinct()
-    # A key may have several rows: any one text stands for it, as for its fingerprint.
-    whole = rows.select(rows[key].cast("long").alias("key"), rows[text].cast("string").alias("text"))
-    sets = checkpointed(whole.join(ends, "key", "left_semi").mapInArrow(_sets(words), "key long, set binary")
-                        .groupBy("key").agg(F.min("set").alias("set")))
-    pairs = closest.join(sets.select(F.col("key").alias("a"), F.col("set").alias("x")), "a").join(
-        sets.select(F.col("key").alias("b"), F.col("set").alias("y")), "b")
-    alike = pairs.select("u", "v", "x", "y").toDF("a", "b", "x", "y").mapInArrow(_alike(least), "a long, b long")
-    joined = found.where(F.col("bits") <= sure).select("a", "b").unionAll(alike)
-    last = components(joined, "a", "b")
-    named = same.join(last.withColumnRenamed("node", "key"), "key", "left").select(
-        "fp", F.coalesce("component", "key").alias("component"))
-    return prints.join(named, "fp").select("key", "component")

@@ -340,6 +340,82 @@ def test_near_dedup_stage(spark):
     assert corpus_pipeline.near_dedup_stage(spark, docs.limit(0), SF).count() == 0
 
 
+def kept_texts(spark, texts):
+    """Places of the texts that the near-duplicate stage keeps."""
+    import corpus_pipeline
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted(r["doc_id"] for r in corpus_pipeline.near_dedup_stage(spark, docs, SF).collect())
+
+
+def body(rng, n):
+    return [f"w{rng.randrange(10 ** 9)}" for _ in range(n)]
+
+
+def test_near_dedup_keeps_texts_with_common_repeats(spark):
+    """A filler that makes up most of a text, and a line repeated often, make no two texts alike."""
+    rng = random.Random(1)
+    filler = ["x"] * 500  # one shingle, counted 496 times
+    line = body(rng, 20)
+    texts = [" ".join(body(rng, 100) + filler) for _ in range(4)]
+    texts += [" ".join(body(rng, 400) + line * 30) for _ in range(4)]
+    assert max(plain_jaccard(a, b) for i, a in enumerate(texts) for b in texts[:i]) < 0.2
+    assert kept_texts(spark, texts) == list(range(8))
+
+
+def test_near_dedup_finds_a_pair_in_a_family(spark):
+    """Template texts below 0.8 to each other, and one pair above: only verified links speak for it."""
+    rng = random.Random(3)
+    shared = body(rng, 240)
+    texts = [" ".join(shared + body(rng, 40)) for _ in range(150)]
+    own = texts[70].split()[240:]
+    texts.append(" ".join(shared + own[:10] + body(rng, 30)))
+    near = [(i, j) for j in range(151) for i in range(j) if plain_jaccard(texts[i], texts[j]) >= 0.8]
+    assert near == [(70, 150)] and plain_jaccard(texts[0], texts[1]) > 0.7
+    assert kept_texts(spark, texts) == list(range(150))
+
+
+def test_near_dedup_is_exact(spark):
+    """Short texts, repeats and pairs just around 0.8, against all pairs compared one by one."""
+    rng = random.Random(5)
+    texts = []
+    for i in range(40):
+        short = body(rng, 8)
+        texts += [" ".join(short), " ".join(short + ["more"])]  # 4 and 5 shingles
+    for repeats in (10, 100):
+        long, line = body(rng, 404), body(rng, 24)
+        texts += [" ".join(long), " ".join(long + line * repeats)]
+    for i in range(60):
+        words = body(rng, 200)
+        texts.append(" ".join(words))
+        for _ in range(3):
+            part = list(words)
+            for at in rng.sample(range(200), rng.choice((3, 4, 5, 6))):
+                part[at] = "changed"
+            texts.append(" ".join(part[:rng.randrange(170, 201)]))
+    texts += ["", "a", "a a a a a a a", "A"]
+    sets = [{tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    up = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                up = [up[i] if u == up[j] else u for u in up] if up[i] < up[j] else [up[j] if u == up[i] else u for u in up]
+    want = [i for i, u in enumerate(up) if i == u]
+    assert 120 < len(texts) - len(want) < len(texts) - 60
+    assert kept_texts(spark, texts) == want
+
+
+def test_near_dedup_names_rows_by_key_and_text(spark):
+    """Rows that share a doc_id are judged one by one."""
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    a, b, c = (" ".join(body(rng, 50)) for _ in range(3))
+    docs = spark.createDataFrame([(1, a), (2, a), (2, b), (3, c), (3, c), (None, a)], "doc_id long, text string")
+    got = corpus_pipeline.near_dedup_stage(spark, docs, SF).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, a), (2, b), (3, c), (None, a)], key=str)
+
+
 def test_pipeline_runs(spark):
     import corpus_pipeline
 
