@@ -215,7 +215,9 @@ def _(spark, d):
 def _(spark, d):
     cols = [f"v{i}" for i in range(64)]
     points = vectors(spark, d).withColumn("key", F.col("id").cast("long"))
-    return neighbours.nearest_by_hashing(points, "key", cols, 5)
+    # Wide cells of few projections: the vectors have no structure that narrower ones could use.
+    one = points.agg(F.sqrt(sum(F.var_pop(c) for c in cols) / len(cols))).first()[0] or 0.5
+    return neighbours.nearest_by_hashing(points, "key", cols, 5, num_hash_tables=12, together=3, bucket_length=3.0 * one)
 
 
 @query("e9_smote")

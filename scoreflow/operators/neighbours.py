@@ -119,10 +119,12 @@ def nearest_by_hashing(points: DataFrame, key: str, cols: Sequence[str], k: int,
     """(key, neighbour, distance, rank): the k nearest among the points of the same buckets.
 
     Candidates are compared by their exact distance once. A point with fewer than k
-    candidates has fewer rows. Large buckets are joined by Spark's skew handling.
+    candidates has fewer rows. Equal points are one entry of the tables, so copies cost no
+    pairs. Large buckets are joined by Spark's skew handling.
     """
-    base = points.select(F.col(key).alias("key"), *[F.col(c).cast("double").alias(c) for c in cols])
-    base = base.withColumn("x", F.array(*[F.col(c) for c in cols]))
+    rows = points.select(F.col(key).alias("key"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
+    reps = rows.groupBy("x").agg(F.min("key").alias("rep"))
+    base = reps.select(F.col("rep").alias("key"), "x", *[F.get("x", F.lit(i)).alias(c) for i, c in enumerate(cols)])
     tables = hashed_tables(base, cols, num_hash_tables, together, bucket_length, seed)
     pairs = tables.select("key", "table", "bucket").join(
         tables.select(F.col("key").alias("neighbour"), "table", "bucket"), ["table", "bucket"])
@@ -132,7 +134,18 @@ def nearest_by_hashing(points: DataFrame, key: str, cols: Sequence[str], k: int,
         there.select(F.col("key").alias("neighbour"), F.col("x").alias("y")), "neighbour").select(
         "key", "neighbour", distance(F.col("x"), F.col("y")).alias("distance"))
     rank = F.row_number().over(Window.partitionBy("key").orderBy("distance", "neighbour"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    nearest_reps = found.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
+    # The first k + 1 of equal points stand for all: a point itself may be one of them.
+    named = rows.join(reps, "x").select("key", "rep")
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("key"))
+    firsts = named.withColumn("place", place).filter(F.col("place") <= k + 1).select("rep", F.col("key").alias("neighbour"))
+    others = nearest_reps.select("key", F.col("neighbour").alias("rep"), "distance").join(firsts, "rep").select(
+        F.col("key").alias("rep"), "neighbour", "distance")
+    listed = others.unionByName(firsts.withColumn("distance", F.lit(0.0)))
+    order = F.row_number().over(Window.partitionBy("rep").orderBy("distance", "neighbour"))
+    listed = listed.withColumn("place", order).filter(F.col("place") <= k + 1).drop("place")
+    out = named.join(listed, "rep").filter(F.col("key") != F.col("neighbour")).select("key", "neighbour", "distance")
+    return out.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
 def _slot(value: Column, edges: Sequence[float]) -> Column:

@@ -471,3 +471,27 @@ def test_hashed_neighbours_find_near_points(spark):
     tables = neighbours.hashed_tables(base, cols, 8, 6, None, 42)
     sizes = tables.groupBy("table", "bucket").count().agg(F.sum(F.col("count") * (F.col("count") - 1))).first()[0]
     assert sizes < 0.5 * len(x) * (len(x) - 1)
+
+
+def test_hashed_neighbours_query_recall(spark):
+    """Recall of the five nearest of every vector of the table itself."""
+    from scoreflow.catalog import QUERIES
+
+    x = np.array(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").orderBy("vec_id").toPandas()["embedding"].tolist())
+    gap = np.linalg.norm(x[:, None] - x[None], axis=2)
+    np.fill_diagonal(gap, np.inf)
+    want = {(i, j) for i in range(len(x)) for j in np.argsort(gap[i], kind="stable")[:5].tolist()}
+    got = {(r["key"], r["neighbour"]) for r in QUERIES["j7_nearest_by_hashing"](spark, "/root/testdata/sf0.01").collect()}
+    print("recall at 5:", len(got & want) / len(want))
+    assert len(got) == 5 * len(x) and len(got & want) >= 0.9 * len(want)
+
+
+def test_hashed_neighbours_of_equal_points(spark):
+    from scoreflow.operators import neighbours
+
+    points = spark.createDataFrame([(i, 1.0, 2.0) for i in range(10)] + [(10, 1.0, 2.5)], "key long, a double, b double")
+    got = {}
+    for r in neighbours.nearest_by_hashing(points, "key", ["a", "b"], 2, bucket_length=50.0).collect():
+        got.setdefault(r["key"], []).append((r["rank"], r["neighbour"], r["distance"]))
+    assert sorted(got[0]) == [(1, 1, 0.0), (2, 2, 0.0)] and sorted(got[7]) == [(1, 0, 0.0), (2, 1, 0.0)]
+    assert sorted(got[10]) == [(1, 0, 0.5), (2, 1, 0.5)] and len(got) == 11
