@@ -16,12 +16,14 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Mapping
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 NULL_SOURCE = "n"
 ROWS_A_CELL = 2_000
+MOST_BROADCAST = 65_536
 
 
 def shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
@@ -44,6 +46,48 @@ def shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
     return got
 
 
+def exact_shares(weights: Mapping[str, float]) -> dict[str, int]:
+    """Whole slots of the shortest period in which every source gets its exact share.
+
+    A weight counts as the decimal number it is written as.
+    """
+    if any(not w > 0 or math.isinf(w) for w in weights.values()):
+        raise ValueError("target weights must be positive")
+    parts = {s: Fraction(str(w)) for s, w in weights.items()}
+    whole = math.lcm(*(w.denominator for w in parts.values()))
+    least = math.gcd(*(int(w * whole) for w in parts.values()))
+    return {s: int(w * whole) // least for s, w in parts.items()}
+
+
+def turns_of(share: Mapping[str, int], blocks: Mapping[str, int]) -> list[tuple[str, int, int]]:
+    """(source, block, slot) of the given numbers of blocks, up to one period.
+
+    Slots in which a source would place a block it doesn't have stay empty; the exact shares hold to
+    the last slot, however long the period.
+    """
+    period = sum(share.values())
+    waiting = [(0, s, 0) for s in sorted(share)]
+    heapq.heapify(waiting)
+    ready: list[tuple[int, str, int]] = []
+    open_ = sum(min(blocks[s], share[s]) for s in share)
+    made: list[tuple[str, int, int]] = []
+    t = 0
+    while open_:
+        while waiting and waiting[0][0] <= t:
+            _, s, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * period // share[s]), s, k))
+        due, s, k = heapq.heappop(ready)
+        if due <= t:
+            raise AssertionError("a deadline was missed")
+        if k < blocks[s]:
+            made.append((s, k, t))
+            open_ -= 1
+        if k + 1 < share[s]:
+            heapq.heappush(waiting, ((k + 1) * period // share[s], s, k + 1))
+        t += 1
+    return made
+
+
 def schedule(share: Mapping[str, int]) -> list[str]:
     """The source of each slot of one period: earliest deadline first among released blocks."""
     period = sum(share.values())
@@ -71,8 +115,9 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_rows:
 
     ``slot, place`` order the mixture. ``weights`` maps sources to target weights; others get
     ``default_weight``. Rows of a source are ordered by md5 of key and seed, then key, then ``tie``.
-    With equal weights a period is cut to one slot for each source. Only the list of sources and
-    one period reach the driver.
+    The period is the shortest that gives every source its exact share; ``period`` has no effect. The
+    list of sources and the places of the blocks, of one period at most, reach the driver: with
+    weights of a long period that is a row for each ``block_rows`` rows.
     """
     name = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit(NULL_SOURCE))
     text = F.coalesce(F.col(key).cast("string"), F.lit(""))
@@ -86,16 +131,12 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_rows:
                            F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("place"))
     target = {s: float((weights or {}).get(None if s == NULL_SOURCE else s[1:], default_weight))
               for s in counts}
-    equal = len(set(target.values())) == 1
-    share = shares(target, len(target) if equal else max(period, 4 * len(target)))
-    slots = schedule(share)
-    seen: dict[str, int] = {}
-    turns = []
-    for t, s in enumerate(slots):
-        turns.append((s, seen.get(s, 0), t, share[s]))
-        seen[s] = seen.get(s, 0) + 1
+    share = exact_shares(target)
+    length = sum(share.values())
+    turns = turns_of(share, {s: -(-n // block_rows) for s, n in counts.items()})
     spark = docs.sparkSession
-    plan = spark.createDataFrame(turns, "src string, turn long, at long, share long")
+    plan = spark.createDataFrame(turns, "src string, turn long, at long")
+    plan = F.broadcast(plan) if len(turns) <= MOST_BROADCAST else plan
     # Ranks without a one-task window: count per hash cell, add up the cells, rank inside a cell.
     digits = max(1, math.ceil(math.log(max(counts.values()) / ROWS_A_CELL + 1, 16)))
     rows = rows.withColumn("cell", F.substring("h", 1, digits))
@@ -108,9 +149,9 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_rows:
               .withColumn("block", F.floor(F.col("rank") / block_rows)))
     share_of = F.broadcast(spark.createDataFrame(list(share.items()), "src string, share long"))
     ranked = ranked.join(share_of, "src").withColumn("turn", F.col("block") % F.col("share"))
-    placed = ranked.drop("share").join(F.broadcast(plan), ["src", "turn"])  # one period of rows
+    placed = ranked.join(plan, ["src", "turn"])
     return placed.select(
-        "row", "block", (F.floor(F.col("block") / F.col("share")) * len(slots) + F.col("at")).alias("slot"),
+        "row", "block", (F.expr("block div share") * length + F.col("at")).alias("slot"),
         (F.col("rank") % block_rows).alias("place"))
 
 

@@ -76,6 +76,17 @@ def op4(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(docs, tie="digest").select("row.doc_id", "row.source", "block", "slot", "place")
 
 
+# Target weights of the mixture that is registered; sources not named here weigh 1.
+TARGETS = {"src0": 3.0, "src1": 0.5, "src2": 1.7, "src3": 0.25}
+
+
+@query("op4_mix_sources_to_targets")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """All documents at their place of a mixture with the weights ``TARGETS``, in blocks of 64."""
+    docs = read(spark, d, "documents").select("doc_id", "source", F.md5("text").alias("digest"))
+    return mixing.mix(docs, TARGETS, tie="digest").select("row.doc_id", "row.source", "block", "slot", "place")
+
+
 @query("op5_simhash")
 def op5(spark: SparkSession, d: str) -> DataFrame:
     """Fingerprint and component of every document."""

@@ -246,6 +246,25 @@ def test_mix_against_plain_ranks(spark):
         mixing.shares({"a": 0.0}, 10)
 
 
+def test_exact_shares_hold_to_the_last_slot():
+    share = mixing.exact_shares({"a": 1.0, "b": 2.0})
+    assert share == {"a": 1, "b": 2} and mixing.exact_shares({"a": 1e-6, "b": 0.999999}) == {"a": 1, "b": 999_999}
+    share = mixing.exact_shares({"a": 0.1234, "b": 0.5, "c": 1.7})
+    made = mixing.turns_of(share, dict.fromkeys(share, 10 ** 6))
+    total, got = sum(share.values()), dict.fromkeys(share, 0)
+    assert [t for _, _, t in made] == list(range(total))
+    for s, k, t in made:
+        assert k == got[s]
+        got[s] += 1
+        assert all(abs(got[x] * total - share[x] * (t + 1)) < total for x in share)
+
+
+def test_mix_of_unequal_weights_stays_within_one_block(spark):
+    docs = spark.range(16_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"), F.lit("").alias("text"))
+    got = mixing.mix(docs, {"a": 1.0, "b": 2.0}, block_rows=1).select("row.source", "slot").where("source = 'a'")
+    assert all(r["slot"] // 3 == i for i, r in enumerate(got.orderBy("slot").collect()))
+
+
 # Quality --------------------------------------------------------------------------------------
 def test_quality_held_out(spark):
     got = QUERIES["op3_quality"](spark, "/root/testdata/sf0.01").where("held_out")
