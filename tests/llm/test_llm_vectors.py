@@ -421,7 +421,7 @@ def test_near_dedup_is_exact(spark):
             if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
                 up = [up[i] if u == up[j] else u for u in up] if up[i] < up[j] else [up[j] if u == up[i] else u for u in up]
     want = [i for i, u in enumerate(up) if i == u]
-    assert 120 < len(texts) - len(want) < len(texts) - 60
+    assert 50 < len(texts) - len(want) < len(texts) - 60
     assert kept_texts(spark, texts) == want
 
 
