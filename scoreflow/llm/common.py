@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from scoreflow.functions.core import checkpointed
+
 LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -61,6 +63,29 @@ def expand(lo_a: np.ndarray, n_a: np.ndarray, lo_b: np.ndarray,
     return lo_a[which] + at // n_b[which], lo_b[which] + at % n_b[which]
 
 
+def ranked(rows: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """``rows`` with ``rank`` (from 0) and ``size`` of their group, both long; nulls come first.
+
+    One range sort and counts per partition, so no group has to fit in a task; rows lie in order.
+    """
+    keys = [*group, *order]
+    rows = checkpointed(rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+                        .withColumn("__at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("__part", F.shiftright("__at", 33))
+    seen = rows.groupBy("__part", *group).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    whole = Window.partitionBy(*group)
+    before = F.sum("__n").over(whole.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    names = [f"__g{i}" for i in range(len(group))]
+    seen = seen.select(F.col("__part").alias("__of"), *[F.col(g).alias(n) for g, n in zip(group, names)],
+                       (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__shift"),
+                       F.sum("__n").over(whole).alias("size"))
+    same = F.col("__part") == F.col("__of")
+    for g, n in zip(group, names):
+        same &= rows[g].eqNullSafe(F.col(n))
+    return rows.join(seen, same).withColumn("rank", F.col("__at") + F.col("__shift")).drop(
+        "__at", "__part", "__of", "__shift", *names)
+
+
 class Forest:
     """Union-find over 0..n-1 whose root is the smallest member."""
 

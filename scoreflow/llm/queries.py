@@ -6,13 +6,16 @@ Each query applies its operator to its whole table and derives the columns it ha
 from __future__ import annotations
 
 import os
+import posixpath
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scoreflow.functions.core import checkpointed
-from scoreflow.llm import (chat, covertree, langid, mixing, pieces, pii, quality, reputation, simhash, topk)
+from scoreflow.functions.core import checkpointed, shared_folder
+from scoreflow.llm import (chat, covertree, langid, merkle, mixing, pieces, pii, quality, repair, reputation, simhash,
+                           topk, warc)
 from scoreflow.llm.common import held_out, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,3 +205,129 @@ def op10(spark: SparkSession, d: str) -> DataFrame:
     probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)],
                                   "conv_id long, turn long, role string, text string")
     return chat.digests(chat.format_chats(turns.unionByName(probe)))
+
+
+def _crc32_sql(text: str) -> str:
+    """The unsigned crc32 of an ASCII text."""
+    return (f"xor(4294967295::UBIGINT, list_reduce(list_concat([4294967295::UBIGINT], [ascii(c)::UBIGINT for c in "
+            f"string_split({text}, '')]), lambda h, b: list_reduce(list_concat([xor(h, b)], [0::UBIGINT for z in range(8)]), "
+            f"lambda y, z: xor(y >> 1, 3988292384::UBIGINT * (y & 1)))))")
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+w AS (SELECT *, {_crc32_sql('name')} % 20 AS what FROM k),
+d AS (SELECT conv_id, turn, CASE what WHEN 4 THEN 'user' ELSE role END AS role,
+  CASE what WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+  FROM w JOIN (VALUES (1), (2)) AS copies(n) ON n = 1 OR what = 3 WHERE what <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+  regexp_extract(text, '([^ 	
+
+])[ 	
+
+]*\z', 1) AS ending FROM d),
+f AS (SELECT *, left(role, 1) AS r, CASE WHEN ending = '' THEN 1
+  WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+  WHEN ending NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+  left(lag(role) OVER (PARTITION BY conv_id ORDER BY i), 1) AS b FROM o),
+c AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+  count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, max(i) AS n,
+  count(*) FILTER (b IS NOT NULL AND b || r NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+more(s, t, word, cost, said) AS (VALUES ('0', '0', '', 0, ''), ('s', 's', '', 0, ''), ('u', 'u', '', 0, ''), ('a', 'a', '', 0, ''),
+  ('0', 'u', 'I', 5, chr(10) || 'user:'), ('s', 'u', 'I', 5, chr(10) || 'user:'), ('a', 'u', 'I', 5, chr(10) || 'user:'),
+  ('u', 'a', 'I', 5, chr(10) || 'assistant:'), ('0', 'a', 'II', 10, chr(10) || 'user:' || chr(10) || 'assistant:'),
+  ('s', 'a', 'II', 10, chr(10) || 'user:' || chr(10) || 'assistant:'),
+  ('u', 'u', 'II', 10, chr(10) || 'assistant:' || chr(10) || 'user:'), ('a', 'a', 'II', 10, chr(10) || 'user:' || chr(10) || 'assistant:')),
+legal(s, t) AS (VALUES ('0', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')),
+edges AS (SELECT conv_id, i, l.s, l.t, 'R' AS word, CASE fault WHEN 3 THEN 6 ELSE 1 END AS cost,
+    chr(10) || CASE l.t WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text AS said FROM f, legal l WHERE fault IN (0, 3)
+  UNION ALL SELECT conv_id, i, l.s, l.t, 'K', CASE fault WHEN 3 THEN 5 ELSE 0 END, chr(10) || role || ':' || text
+    FROM f JOIN (FROM legal UNION ALL SELECT '0', 's') AS l ON l.t = f.r WHERE fault IN (0, 3)
+  UNION ALL SELECT conv_id, i, x.s, x.s, 'D', 2, '' FROM f, (SELECT DISTINCT s FROM more) AS x),
+p(conv_id, i, s, best) AS (SELECT conv_id, CAST(0 AS BIGINT), '0', {{'cost': 0, 'audit': '', 'said': ''}} FROM c
+  UNION ALL SELECT p.conv_id, p.i + 1, e.t, min({{'cost': best.cost + m.cost + e.cost, 'audit': best.audit || m.word || e.word,
+    'said': best.said || m.said || e.said}}) FROM p JOIN more AS m ON m.s = p.s
+    JOIN edges AS e ON e.conv_id IS NOT DISTINCT FROM p.conv_id AND e.i = p.i + 1 AND e.s = m.t GROUP BY p.conv_id, p.i, e.t),
+z AS (SELECT p.conv_id, min({{'cost': best.cost + m.cost, 'audit': best.audit || m.word, 'said': best.said || m.said}}) AS best
+  FROM p JOIN c ON c.conv_id IS NOT DISTINCT FROM p.conv_id AND p.i = c.n JOIN more AS m ON m.s = p.s AND m.t IN ('0', 'a')
+  GROUP BY p.conv_id)
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(best.cost, 0) AS BIGINT) AS cost,
+  coalesce(best.audit, '') AS audit, sha256(coalesce(substr(best.said, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS a LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
+
+@query("op11_repair_conversations", OP11_SQL)
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    """Faults of every damaged conversation, its cheapest repair, and the digest of what is repaired."""
+    turns = read(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    found = repair.digests(*repair.repair(repair.damaged(turns)))
+    every = turns.select(F.col("conv_id").alias("id")).distinct()
+    counts = [F.coalesce(F.col(c.split()[0]), F.lit(0)).alias(c.split()[0]) for c in repair.COUNTS]
+    return every.join(found, every["id"].eqNullSafe(found["conv_id"]), "left").select(
+        F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
+@query("op12_warc", """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+s AS (SELECT page_id, CAST(octet_length(payload) AS BIGINT) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS last FROM s)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id < last THEN last END AS refers_to FROM m""")
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    """Every page written to archives and read back: its payload, and the response it revisits."""
+    folder = posixpath.join(shared_folder(spark), f"warc-{uuid.uuid4().hex}")
+    manifest = warc.write(warc.records(read(spark, d, "pages").select("page_id", "url", "html")), folder)
+    found = checkpointed(warc.resolved(warc.read(manifest, folder, with_payload=False)))
+    warc.remove(folder)  # scratch archives of this query
+    return found.select(F.col("key").alias("page_id"), F.col("bytes").alias("payload_bytes"),
+                        F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), "refers_to")
+
+
+OP13_SQL = rf"""
+WITH RECURSIVE v AS (SELECT doc_id, lang, [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text] AS a,
+  [CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars + 1 AS VARCHAR), text] AS b,
+  coalesce({_crc32_sql('CAST(doc_id AS VARCHAR)')} % 7 = 0, false) AS tampered FROM documents),
+h AS (SELECT doc_id, lang, sha256(array_to_string([CASE WHEN x IS NULL THEN '-' ELSE CAST(octet_length(encode(x)) AS VARCHAR)
+    || ':' || x END for x in a], '')) AS leaf,
+  sha256(array_to_string([CASE WHEN x IS NULL THEN '-' ELSE CAST(octet_length(encode(x)) AS VARCHAR) || ':' || x END
+    for x in CASE WHEN tampered THEN b ELSE a END], '')) AS claim FROM v),
+l AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, claim) - 1 AS pos FROM h),
+t AS (SELECT 0 AS level, lang, pos, leaf AS node, count(*) OVER (PARTITION BY lang) AS n FROM l
+  UNION ALL SELECT level + 1, lang, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (n + 1) // 2
+    FROM t WHERE n > 1 GROUP BY level, lang, pos // 2, n),
+r AS (SELECT lang, node AS subroot, level AS high, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM t WHERE n = 1),
+u AS (SELECT 0 AS level, pos, subroot AS node, count(*) OVER () AS n FROM r
+  UNION ALL SELECT level + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (n + 1) // 2 FROM u WHERE n > 1 GROUP BY level, pos // 2, n),
+w AS (SELECT 0 AS level, l.lang, l.pos, l.pos AS place, r.pos AS part, r.high, claim AS node, '' AS proof FROM l
+    JOIN r ON r.lang IS NOT DISTINCT FROM l.lang
+  UNION ALL SELECT w.level + 1, w.lang, w.pos, w.place // 2, w.part, w.high,
+    sha256(CASE WHEN o.node IS NULL THEN w.node WHEN w.place % 2 = 0 THEN w.node || o.node ELSE o.node || w.node END),
+    w.proof || coalesce(o.node, '') FROM w
+    LEFT JOIN t AS o ON o.lang IS NOT DISTINCT FROM w.lang AND o.level = w.level AND o.pos = xor(w.place, 1) WHERE w.level < w.high),
+x AS (SELECT lang, pos, part AS place, 0 AS level, node, proof FROM w WHERE level = high
+  UNION ALL SELECT x.lang, x.pos, x.place // 2, x.level + 1,
+    sha256(CASE WHEN o.node IS NULL THEN x.node WHEN x.place % 2 = 0 THEN x.node || o.node ELSE o.node || x.node END),
+    x.proof || coalesce(o.node, '') FROM x LEFT JOIN u AS o ON o.level = x.level AND o.pos = xor(x.place, 1)
+    WHERE x.level < (SELECT max(level) FROM u)),
+g AS (SELECT node AS root, level AS high FROM u WHERE n = 1)
+SELECT l.doc_id, l.leaf, r.subroot, g.root, sha256(x.proof) AS proof_sha256, x.node AS folded_root, x.node = g.root AS verified
+FROM l JOIN r ON r.lang IS NOT DISTINCT FROM l.lang JOIN g ON true
+JOIN x ON x.lang IS NOT DISTINCT FROM l.lang AND x.pos = l.pos AND x.level = g.high"""
+
+
+@query("op13_merkle_manifest", OP13_SQL)
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    """Leaf, roots and proof of every document, and the root that its tampered leaf folds to."""
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    tampered = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 7 == 0, F.lit(False))
+    true = merkle.leaf([merkle.field(f) for f in fields])
+    false = merkle.leaf([merkle.field(f, int(f == "n_chars")) for f in fields])
+    leaves = read(spark, d, "documents").select(
+        F.col("doc_id").alias("key"), F.col("lang").alias("grp"), true.alias("leaf"), F.when(tampered, false).otherwise(true).alias("claim"))
+    return merkle.manifest(leaves).select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"),
+        F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
