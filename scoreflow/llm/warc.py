@@ -39,9 +39,10 @@ from scoreflow.functions.core import checkpointed
 from scoreflow.llm.common import ranked
 
 LEAST_BYTES = 1000
-SHARD_BYTES = 64 << 20
+SHARD_BYTES = 16 << 20
 FILE_BYTES = 16 << 20
 MOST_SHARDS = 65_536
+MOST_TASKS = 4096
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 READ_BYTES = 1 << 16
@@ -149,16 +150,21 @@ def _file_rows(done: list[tuple]) -> pa.RecordBatch:
 
 def _write_batches(folder: str, file_bytes: int, date: str):
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        roll = None
+        roll, revisit = None, None
         for batch in rows:
             columns = [batch[c] for c in ("shard", "key", "url", "payload", "digest", "refers_to")]
             for shard, key, url, payload, digest, refers in zip(*columns):
+                name = key.as_py(), digest.as_py()
+                if refers.is_valid:  # no record, but what the records of this key and digest revisit
+                    revisit = *name, refers.as_py()
+                    continue
                 if roll is None or roll.shard != shard.as_py():
                     if roll:
                         roll.close()
                         yield _file_rows(roll.done)
                     roll = Roll(folder, shard.as_py(), file_bytes, date)
-                roll.add(record(key.as_py(), url.as_py(), payload.as_py(), digest.as_py(), refers.as_py(), date))
+                refers_to = revisit[2] if revisit and revisit[:2] == name else None
+                roll.add(record(*name[:1], url.as_py(), payload.as_py(), name[1], refers_to, date))
         if roll:
             roll.close()
             yield _file_rows(roll.done)
@@ -180,28 +186,32 @@ def _commit_batches(folder: str):
     return batches
 
 
-def records(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html",
-            least: int = LEAST_BYTES) -> DataFrame:
-    """Columns ``key, url, payload, digest, bytes, refers_to`` of every row: what is to be written."""
+def records(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
+    """Columns ``key, url, payload, digest, bytes`` of every row: what is to be written."""
     rows = pages.select(pages[key].cast("long").alias("key"), F.coalesce(pages[url].cast("string"), F.lit("")).alias("url"),
                         F.encode(F.coalesce(pages[payload].cast("string"), F.lit("")), "utf-8").alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("bytes", F.octet_length("payload").cast("long"))
-    shared = rows.where(F.col("bytes") >= least).groupBy("digest").agg(
-        F.max("key").alias("last"), F.min("key").alias("first")).where("first < last").select("digest", "last")
-    known = rows.join(shared, "digest", "left")
-    return known.select("key", "url", "payload", "digest", "bytes",
-                        F.when(F.col("key") < F.col("last"), F.col("last")).alias("refers_to"))
+    return rows.withColumn("digest", F.sha1("payload")).withColumn("bytes", F.octet_length("payload").cast("long"))
+
+
+def revisits(narrow: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
+    """Columns ``key, digest, refers_to`` of the records that revisit another; from ``key, digest, bytes``."""
+    large = narrow.where(F.col("bytes") >= least)
+    shared = large.groupBy("digest").agg(F.max("key").alias("refers_to"), F.min("key").alias("first")).where("first < refers_to")
+    return large.join(shared, "digest").where("key < refers_to").select("key", "digest", "refers_to").distinct()
 
 
 def write(rows: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES,
-          date: str = DATE) -> DataFrame:
+          date: str = DATE, least: int = LEAST_BYTES) -> DataFrame:
     """Write ``records`` to ``folder``; returns the manifest, which is written last.
 
+    Payloads are shuffled once; what a record revisits travels to its shard as a row of its own.
+
     A shard has as many keys as make ``shard_bytes`` of payload on average (at most 65,536 shards,
     whose bounds are broadcast); rows that share key and payload stay in one shard.
     """
     spark = rows.sparkSession
-    narrow = ranked(rows.select(F.lit(0).alias("one"), "key", "digest", "bytes"), ["one"], ["key", "digest"])
+    seen = checkpointed(rows.select(F.lit(0).alias("one"), "key", "digest", "bytes"))
+    narrow = ranked(seen, ["one"], ["key", "digest"])
     total, count = narrow.agg(F.sum("bytes"), F.count(F.lit(1))).first()
     each = max(1, count * shard_bytes // max(1, total or 1), -(-count // MOST_SHARDS))
     # The first row of each shard; nulls are before all keys.
@@ -228,9 +238,12 @@ def write(rows: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_byt
             yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int64)), *batch.columns],
                                              names=["shard", *batch.schema.names])
 
-    wide = rows.select("key", "url", "payload", "digest", "refers_to").mapInArrow(
-        placed, "shard long, key long, url string, payload binary, digest string, refers_to long")
-    wide = wide.repartition("shard").sortWithinPartitions("shard", "key", "digest", "url")
+    marks = revisits(seen, least).select("key", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"),
+                                         "digest", "refers_to")
+    wide = rows.select("key", "url", "payload", "digest", F.lit(None).cast("long").alias("refers_to")).unionAll(marks)
+    wide = wide.mapInArrow(placed, "shard long, key long, url string, payload binary, digest string, refers_to long")
+    wide = wide.repartition(max(1, min(len(bounds), MOST_TASKS)), "shard").sortWithinPartitions(
+        "shard", "key", "digest", F.col("refers_to").desc_nulls_last(), "url")
     written = checkpointed(wide.mapInArrow(_write_batches(folder, file_bytes, date), FILES))
     moved = checkpointed(written.repartition("name").mapInArrow(_commit_batches(folder), FILES))
     moved.drop("temporary").write.parquet(posixpath.join(folder, "manifest"))
@@ -310,7 +323,8 @@ def read(manifest: DataFrame, folder: str, with_payload: bool = True) -> DataFra
 
     ``declared`` is the payload digest of the header. Revisits have no payload of their own.
     """
-    return manifest.select("name").repartition("name").mapInArrow(_read_batches(folder, with_payload), RECORD)
+    files = max(1, min(manifest.count(), MOST_TASKS))
+    return manifest.select("name").repartition(files, "name").mapInArrow(_read_batches(folder, with_payload), RECORD)
 
 
 def resolved(found: DataFrame) -> DataFrame:
