@@ -56,6 +56,16 @@ def test_base_spans_are_those_of_the_patterns(text):
     assert base(text) == plain_spans(text)
 
 
+def test_long_runs_of_digits_take_linear_time():
+    import time
+    start = time.perf_counter()
+    run = "1" * 1_000_000
+    assert base("a. " + run + " 1.2.3.4 " + run) == [(1_000_004, 1, 1_000_011)]
+    assert base("9" * 5_000 + ".1.2.3 and 0" + "0" * 5_000 + "25.1.2.255") == [(5_011, 1, 5_011 + 5_011)]
+    assert base("1.2.3.256 1.2.3.00255 .1.2.3.4.5.6.7.8") == plain_spans("1.2.3.256 1.2.3.00255 .1.2.3.4.5.6.7.8")
+    assert time.perf_counter() - start < 20
+
+
 def test_base_spans_on_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()
     assert all(base(r["text"]) == plain_spans(r["text"]) for r in docs)
