@@ -244,11 +244,20 @@ def links(prints: DataFrame, budgets: Sequence[int], blocks: list[tuple[int, int
 
 
 def classes(docs_prints: DataFrame, budget: int, blocks: list[tuple[int, int]]) -> DataFrame:
-    """Columns ``key, fp, component``: for every row the smallest key reachable through links."""
+    """Columns ``key, fp, component``: for every row the smallest key reachable through links.
+
+    Each distinct fingerprint is one entry, named by a number of its own, so keys may be null, repeated
+    or of any size. Rows without a key link like others; a class whose rows all lack one has a null
+    component. An empty table gives no rows.
+    """
     docs_prints = docs_prints.select(F.col("key").cast("long").alias("key"), "fp")
     docs_prints = checkpointed(docs_prints)
-    same = checkpointed(docs_prints.groupBy("fp").agg(F.min("key").alias("key")))
-    found = components(links(same, [budget], blocks), "a", "b")
-    named = same.join(found.withColumnRenamed("node", "key"), "key", "left").select(
-        "fp", F.coalesce("component", "key").alias("component"))
+    number = F.when(F.octet_length("fp") == 8, F.conv(F.hex("fp"), 16, -10).cast("long")).otherwise(F.xxhash64("fp"))
+    same = checkpointed(docs_prints.groupBy("fp").agg(F.min("key").alias("least")).withColumn("entry", number))
+    found = components(links(same.select(F.col("entry").alias("key"), "fp"), [budget], blocks), "a", "b")
+    found = found.select(F.col("node").alias("entry"), F.col("component").alias("head"))
+    linked = checkpointed(same.join(found, "entry").select("fp", "least", "head"))
+    least = linked.groupBy("head").agg(F.min("least").alias("component"))
+    linked = linked.join(least, "head").select("fp", "component", F.lit(True).alias("linked"))
+    named = same.join(linked, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component")).otherwise(F.col("least")).alias("component"))
     return docs_prints.join(named, "fp").select("key", "fp", "component")
