@@ -5,7 +5,8 @@ source with ``a`` of the ``D`` slots of a period gets its k-th block released at
 and due at ceil((k + 1) D / a); each slot takes the released block with the earliest deadline. All
 windows are met, so after any number of slots each source is less than one block from its target,
 and the schedule repeats every D slots. The schedule of one period (D entries, a parameter) is
-all the driver makes; a row's slot follows from its rank within its source by arithmetic.
+all the driver makes (of a period longer than the table, only the blocks there are); a row's slot
+follows from its rank within its source by arithmetic.
 
 Every row is kept exactly once. A source that runs out leaves its slots empty, and the others keep
 their shares relative to each other. Rows with null source form a source of their own.
@@ -18,6 +19,8 @@ import math
 from collections.abc import Mapping
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,26 +29,6 @@ ROWS_A_CELL = 2_000
 MOST_BROADCAST = 65_536
 
 
-def shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
-    """Whole slots of a period for each source, at least one, by largest remainder."""
-    if any(not w > 0 or math.isinf(w) for w in weights.values()):
-        raise ValueError("target weights must be positive")
-    total = math.fsum(weights.values())
-    free = period - len(weights)
-    exact = {s: w / total * period for s, w in weights.items()}
-    got = {s: max(1, math.floor(x)) for s, x in exact.items()}
-    if free < 0:
-        raise ValueError("the period is shorter than the number of sources")
-    order = sorted(exact, key=lambda s: (got[s] - exact[s], s))
-    while sum(got.values()) < period:
-        for s in order[:period - sum(got.values())]:
-            got[s] += 1
-    while sum(got.values()) > period:
-        most = max(got, key=lambda s: (got[s] - exact[s], got[s] > 1, s) if got[s] > 1 else (-math.inf, False, s))
-        got[most] -= 1
-    return got
-
-
 def exact_shares(weights: Mapping[str, float]) -> dict[str, int]:
     """Whole slots of the shortest period in which every source gets its exact share.
 
@@ -59,65 +42,47 @@ def exact_shares(weights: Mapping[str, float]) -> dict[str, int]:
     return {s: int(w * whole) // least for s, w in parts.items()}
 
 
-def turns_of(share: Mapping[str, int], blocks: Mapping[str, int]) -> list[tuple[str, int, int]]:
-    """(source, block, slot) of the given numbers of blocks, up to one period.
+def turns_of(share: Mapping[str, int], blocks: Mapping[str, int]) -> tuple[list[str], np.ndarray]:
+    """(source, block, slot) of the given numbers of blocks, up to one period: names, and an array.
 
-    Slots in which a source would place a block it doesn't have stay empty; the exact shares hold to
-    the last slot, however long the period.
+    Each slot takes the released block with the earliest deadline; where none is released, time moves
+    on to the next release. So the work is that of the blocks there are, however long the period. A
+    source that has run out leaves slots to others within their windows, so all windows are met.
     """
-    period = sum(share.values())
-    waiting = [(0, s, 0) for s in sorted(share)]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
-    open_ = sum(min(blocks[s], share[s]) for s in share)
-    made: list[tuple[str, int, int]] = []
+    period, names = sum(share.values()), sorted(share)
+    # Python integers: releases of long periods don't fit in 64 bits.
+    parts, limit = [share[s] for s in names], [min(blocks[s], share[s]) for s in names]
+    waiting = [(0, i, 0) for i in range(len(names)) if limit[i]]
+    ready: list[tuple[int, int, int]] = []
+    made = np.empty((sum(limit), 3), np.int64)
     t = 0
-    while open_:
+    for place in range(len(made)):
+        if not ready and waiting[0][0] > t:
+            t = waiting[0][0]
         while waiting and waiting[0][0] <= t:
-            _, s, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(k + 1) * period // share[s]), s, k))
-        due, s, k = heapq.heappop(ready)
+            _, i, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * period // parts[i]), i, k))
+        due, i, k = heapq.heappop(ready)
         if due <= t:
             raise AssertionError("a deadline was missed")
-        if k < blocks[s]:
-            made.append((s, k, t))
-            open_ -= 1
-        if k + 1 < share[s]:
-            heapq.heappush(waiting, ((k + 1) * period // share[s], s, k + 1))
+        made[place] = i, k, t
+        if k + 1 < limit[i]:
+            heapq.heappush(waiting, ((k + 1) * period // parts[i], i, k + 1))
         t += 1
-    return made
-
-
-def schedule(share: Mapping[str, int]) -> list[str]:
-    """The source of each slot of one period: earliest deadline first among released blocks."""
-    period = sum(share.values())
-    waiting = [(0, s, 0) for s in sorted(share)]
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
-    slots = []
-    for t in range(period):
-        while waiting and waiting[0][0] <= t:
-            _, s, k = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(k + 1) * period // share[s]), s, k))
-        due, s, k = heapq.heappop(ready)
-        if due <= t:
-            raise AssertionError("a deadline was missed")
-        slots.append(s)
-        if k + 1 < share[s]:
-            heapq.heappush(waiting, ((k + 1) * period // share[s], s, k + 1))
-    return slots
+    return names, made
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_rows: int = 64,
-        period: int = 1000, key: str = "doc_id", source: str = "source", tie: str | None = "text",
-        seed: int = 7, default_weight: float = 1.0) -> DataFrame:
+        key: str = "doc_id", source: str = "source",
+        tie: str | None = "text", seed: int = 7, default_weight: float = 1.0) -> DataFrame:
     """All rows and columns of ``docs`` as struct ``row`` with ``block, slot, place``.
 
     ``slot, place`` order the mixture. ``weights`` maps sources to target weights; others get
     ``default_weight``. Rows of a source are ordered by md5 of key and seed, then key, then ``tie``.
-    The period is the shortest that gives every source its exact share; ``period`` has no effect. The
-    list of sources and the places of the blocks, of one period at most, reach the driver: with
-    weights of a long period that is a row for each ``block_rows`` rows.
+    The period is the shortest that gives every source its exact share. The list of sources reaches
+    the driver, and the driver places the blocks of one period at most, 24 bytes each: with weights
+    of a long period that is every block, so ``block_rows`` is to grow with the table. Rows with null
+    key are ordered like the key ''; rows alike in key and tie are interchangeable.
     """
     name = F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit(NULL_SOURCE))
     text = F.coalesce(F.col(key).cast("string"), F.lit(""))
@@ -133,9 +98,9 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_rows:
               for s in counts}
     share = exact_shares(target)
     length = sum(share.values())
-    turns = turns_of(share, {s: -(-n // block_rows) for s, n in counts.items()})
+    names, turns = turns_of(share, {s: -(-n // block_rows) for s, n in counts.items()})
     spark = docs.sparkSession
-    plan = spark.createDataFrame(turns, "src string, turn long, at long")
+    plan = spark.createDataFrame(pa.table(dict(zip(("number", "turn", "at"), turns.T.copy()))))
     plan = F.broadcast(plan) if len(turns) <= MOST_BROADCAST else plan
     # Ranks without a one-task window: count per hash cell, add up the cells, rank inside a cell.
     digits = max(1, math.ceil(math.log(max(counts.values()) / ROWS_A_CELL + 1, 16)))
@@ -147,11 +112,16 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block_rows:
     ranked = (rows.withColumn("rank", F.row_number().over(inside) - 1)
               .join(cells, ["src", "cell"]).withColumn("rank", F.col("rank") + F.col("before"))
               .withColumn("block", F.floor(F.col("rank") / block_rows)))
-    share_of = F.broadcast(spark.createDataFrame(list(share.items()), "src string, share long"))
-    ranked = ranked.join(share_of, "src").withColumn("turn", F.col("block") % F.col("share"))
-    placed = ranked.join(plan, ["src", "turn"])
+    share_of = F.broadcast(spark.createDataFrame(
+        [(s, i, str(share[s])) for i, s in enumerate(names)], "src string, number long, share string"))
+    # A share beyond the blocks there are, of any size, is one period that is not finished.
+    ranked = ranked.join(share_of, "src").withColumn("share", F.coalesce(F.col("share").try_cast("long"), F.lit((1 << 63) - 1)))
+    ranked = ranked.withColumn("turn", F.col("block") % F.col("share")).withColumn("round", F.expr("block div share"))
+    placed = ranked.join(plan, ["number", "turn"])
+    # Where a second round begins, the period is that of a share in 64 bits.
+    whole = F.lit(length) if length < 1 << 62 else F.lit(0)
     return placed.select(
-        "row", "block", (F.expr("block div share") * length + F.col("at")).alias("slot"),
+        "row", "block", (F.col("round") * whole + F.col("at")).alias("slot"),
         (F.col("rank") % block_rows).alias("place"))
 
 

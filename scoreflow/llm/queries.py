@@ -85,9 +85,9 @@ TARGETS = {"src0": 3.0, "src1": 0.5, "src2": 1.7, "src3": 0.25}
 
 @query("op4_mix_sources_to_targets")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """All documents at their place of a mixture with the weights ``TARGETS``, in blocks of 64."""
+    """All documents at their place of a mixture with the weights ``TARGETS``, in blocks of 8."""
     docs = read(spark, d, "documents").select("doc_id", "source", F.md5("text").alias("digest"))
-    return mixing.mix(docs, TARGETS, tie="digest").select("row.doc_id", "row.source", "block", "slot", "place")
+    return mixing.mix(docs, TARGETS, block_rows=8, tie="digest").select("row.doc_id", "row.source", "block", "slot", "place")
 
 
 @query("op5_simhash")

@@ -199,6 +199,22 @@ def test_simhash_query(spark):
     assert got == {d: (f"{prints[d]:016x}", ids[best[i]]) for i, d in enumerate(ids)}
 
 
+def test_simhash_edge_rows(spark):
+    big, text = (1 << 62) + 1, "one two three four five six seven eight nine"
+    rows = [(None, text), (big, text), (big + 2, text + " x" * 2000), (7, None), (9, ""), (None, ""), (7, "   "), (9, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit(1).alias("fp"), F.lit(2).alias("key"), F.lit(3).alias("entry"))
+    blocks = simhash.blocks_for(64, 5)
+    got = simhash.classes(simhash.fingerprints(docs), 4, blocks).collect()
+    assert sorted((r["key"] is None, r["key"] or 0, r["component"]) for r in got) == [
+        (False, 7, 7), (False, 7, 7), (False, 9, 7), (False, 9, 7), (False, big, big), (False, big + 2, big + 2), (True, 0, 7), (True, 0, big)]
+    assert simhash.classes(simhash.fingerprints(docs.limit(0)), 4, blocks).count() == 0
+    # A null key within the budget of two others that it alone links.
+    prints = [(1, 0), (None, 0b1111), (big, 0b11111111), (None, 1 << 60), (None, 3 << 60)]
+    table = spark.createDataFrame([(k, bytearray(p.to_bytes(8, "big"))) for k, p in prints], "key long, fp binary")
+    assert sorted((int.from_bytes(r["fp"], "big"), r["key"], r["component"]) for r in simhash.classes(table, 4, blocks).collect()) == [
+        (0, 1, 1), (15, None, 1), (255, big, 1), (1 << 60, None, 1), (3 << 60, None, 1)]
+
+
 def test_forest():
     forest = Forest(6)
     forest.link(np.array([5, 4, 4]), np.array([4, 3, 0]))
@@ -208,55 +224,88 @@ def test_forest():
 
 
 # Mixing ---------------------------------------------------------------------------------------
+def plain_turns(share, blocks):
+    """Slot of every block of a period, found slot by slot."""
+    total, done, t, out = sum(share.values()), dict.fromkeys(share, 0), 0, {}
+    while any(done[s] < min(blocks[s], share[s]) for s in share):
+        ready = [(-(-(k + 1) * total // share[s]), s) for s, k in sorted(done.items())
+                 if k < min(blocks[s], share[s]) and k * total // share[s] <= t]
+        if ready:
+            s = min(ready)[1]
+            out[s, done[s]] = t
+            done[s] += 1
+        t += 1
+    return out
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_schedule_keeps_every_source_within_one_block(seed):
     rng = random.Random(seed)
-    weights = {f"s{i}": rng.random() ** 3 + 1e-3 for i in range(rng.randint(1, 12))}
-    share = mixing.shares(weights, 200)
-    assert sum(share.values()) == 200 and min(share.values()) >= 1
-    got = dict.fromkeys(share, 0)
-    for t, s in enumerate(mixing.schedule(share), 1):
-        got[s] += 1
-        assert all(abs(got[x] - share[x] * t / 200) < 1 for x in share)
+    share = mixing.exact_shares({f"s{i}": round(rng.random() ** 3 + 1e-3, 3) for i in range(rng.randint(1, 12))})
+    names, made = mixing.turns_of(share, dict.fromkeys(share, 10 ** 9))
+    total, got = sum(share.values()), dict.fromkeys(share, 0)
+    assert made[:, 2].tolist() == list(range(total))
+    for i, k, t in made.tolist():
+        assert k == got[names[i]]
+        got[names[i]] += 1
+        assert all(abs(got[x] * total - share[x] * (t + 1)) < total for x in share)
     assert got == share
+    few = {s: rng.randint(1, 9) for s in share}
+    names, made = mixing.turns_of(share, few)
+    assert {(names[i], k): t for i, k, t in made.tolist()} == plain_turns(share, few)
 
 
 def test_mix_against_plain_ranks(spark):
     rng = random.Random(2)
     rows = [(i, rng.choice(["a", "a", "a", "b", None]), f"t{i}") for i in range(900)]
-    docs = spark.createDataFrame(rows + rows[:3], "doc_id long, source string, text string").withColumn("slot", F.lit(1))
+    rows += rows[:3] + [(None, "a", None), (None, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("slot", F.lit(1))
     weights = {"a": 1.0, "b": 2.0, None: 1.0}
-    got = mixing.mix(docs, weights, block_rows=8, period=20)
-    assert got.count() == 903
-    share = {"sa": 5, "sb": 10, "n": 5}
-    slots = mixing.schedule(share)
+    got = mixing.mix(docs, weights, block_rows=8)
+    assert got.count() == 905
+    share = {"n": 1, "sa": 1, "sb": 2}
+    slots = plain_turns(share, share)
     by = {}
     for r in got.select("row.doc_id", "row.source", "block", "slot", "place").collect():
         by.setdefault(r["source"], []).append(r)
     for source, mine in by.items():
         s = "n" if source is None else "s" + source
-        turns = [t for t, x in enumerate(slots) if x == s]
         mine.sort(key=lambda r: (r["slot"], r["place"]))
         for i, r in enumerate(mine):
             k = i // 8
-            assert (r["block"], r["slot"], r["place"]) == (k, k // share[s] * 20 + turns[k % share[s]], i % 8)
+            assert (r["block"], r["slot"], r["place"]) == (k, k // share[s] * 4 + slots[s, k % share[s]], i % 8)
     assert mixing.mixed(docs, weights=weights).columns == docs.columns
     assert mixing.mix(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
-        mixing.shares({"a": 0.0}, 10)
-
-
-def test_exact_shares_hold_to_the_last_slot():
-    share = mixing.exact_shares({"a": 1.0, "b": 2.0})
-    assert share == {"a": 1, "b": 2} and mixing.exact_shares({"a": 1e-6, "b": 0.999999}) == {"a": 1, "b": 999_999}
-    share = mixing.exact_shares({"a": 0.1234, "b": 0.5, "c": 1.7})
-    made = mixing.turns_of(share, dict.fromkeys(share, 10 ** 6))
-    total, got = sum(share.values()), dict.fromkeys(share, 0)
-    assert [t for _, _, t in made] == list(range(total))
-    for s, k, t in made:
-        assert k == got[s]
-        got[s] += 1
-        assert all(abs(got[x] * total - share[x] * (t + 1)) < total for x in share)
+        mixing.exact_shares({"a": 0.0})
+
+
+@pytest.mark.parametrize("light", [1e-9, 1e-30])
+def test_long_periods_cost_what_their_blocks_cost(spark, light):
+    docs = spark.range(6_500).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 3, "a").otherwise("b").alias("source"), F.lit("").alias("text"))
+    got = mixing.mix(docs, {"a": light, "b": 1.0}).select("row.source", "block", "slot").distinct().collect()
+    assert sorted(r["slot"] for r in got) == list(range(103)) and len(got) == 103
+    assert mixing.exact_shares({"a": 1e-6, "b": 0.999999}) == {"a": 1, "b": 999_999}
+
+
+def test_query_to_targets(spark):
+    import hashlib
+    from collections import defaultdict
+
+    from scoreflow.llm.queries import TARGETS
+    by = defaultdict(list)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source").collect()
+    for d, s in docs:
+        by[s].append((hashlib.md5(f"{d}|7".encode()).hexdigest(), d))
+    share = mixing.exact_shares({"s" + s: TARGETS.get(s, 1.0) for s in by})
+    blocks = {"s" + s: -(-len(x) // 8) for s, x in by.items()}
+    slots, period, want = plain_turns(share, blocks), sum(share.values()), {}
+    for s, x in by.items():
+        for i, (_, d) in enumerate(sorted(x)):
+            turn, k = divmod(i // 8, share["s" + s])
+            want[d] = (s, i // 8, turn * period + slots["s" + s, k], i % 8)
+    got = {r["doc_id"]: tuple(r)[1:] for r in QUERIES["op4_mix_sources_to_targets"](spark, "/root/testdata/sf0.01").collect()}
+    assert got == want and len({x[1] for x in want.values()}) > 3
 
 
 def test_mix_of_unequal_weights_stays_within_one_block(spark):
