@@ -15,28 +15,39 @@ are those of the model's own library.
 
 Where no piece holds a space mark after another character, a space mark after another character
 is a border of every path: words between such borders are encoded once and remembered, and a chunk
-with such a border inside has a matrix of rank one. Inside a word of a BPE model the only finite path
-is followed depth first, which is the same path. Null text gives null ids, empty text none.
+with such a border inside has a matrix of rank one. The new words of some texts are scanned together:
+one step of the max-plus recurrence is taken for all of them at once, place by place and piece length
+by piece length, along a trie held in arrays (BPE models with byte pieces; others word by word).
+
+States at the cuts of a giant text come from a tree of products across tasks (``scan``). Null text
+gives null ids, empty text none; repeated rows are encoded each; other columns are not read.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scoreflow.functions.core import checkpointed
 from scoreflow.llm.common import parts_of
+from scoreflow.llm.scan import borders
 
 SPACE = "▁"
 CHUNK = 1 << 16
 REMEMBERED = 120_000  # words of each of two generations, and a third of the pairs
 ROWS_AT_ONCE = 512
+CHARS_AT_ONCE = 1 << 21
+WORDS_AT_ONCE = 1 << 14
+LONGEST_WORD = 64  # of those that are scanned together and remembered
+CHAR_BITS = 21
+UNSEEN, START = -1, -2
 CODE_BITS = 22
 MINUS = float("-inf")
 WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -74,6 +85,8 @@ class Vocabulary:
         for n in [*self.ids, *dict.fromkeys(n[0] for n in self.ids if n[0] not in self.ids)]:
             self.code(n)
         self.pairs: dict[int, bool] = {}
+        self.fitted = np.zeros(0, np.int64), np.zeros(0, bool)  # pairs looked up by whole arrays
+        self._trie()
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -176,77 +189,149 @@ class Vocabulary:
         _, back = self.forward(word, 0, len(word), None)
         return np.array(self.numbers(self.trace(word, back, 0, len(word))), np.int32).tobytes()
 
-    def finite(self, word: str) -> bytes:
-        """Ids of the only path of finite weight of a word, followed depth first.
+    def _trie(self) -> None:
+        """The pieces as a trie: sorted (node, character) keys, the node each leads to, its code."""
+        nodes, steps, codes = {"": 0}, {}, [UNSEEN]
+        for piece in self.ids:
+            for end in range(1, len(piece) + 1):
+                if piece[:end] not in nodes:
+                    steps[nodes[piece[:end - 1]] << CHAR_BITS | ord(piece[end - 1])] = nodes[piece[:end]] = len(nodes)
+                    codes.append(self.codes.get(piece[:end], UNSEEN))
+        self.trie_keys = np.array(sorted(steps), np.int64)
+        self.trie_next = np.array([steps[k] for k in self.trie_keys.tolist()], np.int64)
+        self.trie_codes = np.array(codes, np.int64)
+
+    def _walk(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
+        """The node after one more character; UNSEEN where no piece goes on."""
+        if not len(self.trie_keys):
+            return np.full(len(node), UNSEEN)
+        key = node << CHAR_BITS | char
+        at = np.minimum(np.searchsorted(self.trie_keys, key), len(self.trie_keys) - 1)
+        return np.where(self.trie_keys[at] == key, self.trie_next[at], UNSEEN)
+
+    def _fit(self, last: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """``fits`` for arrays of codes."""
+        out = last == START
+        at = np.flatnonzero(~out)
+        key, place = np.unique(last[at] << CODE_BITS | piece[at], return_inverse=True)
+        known, fit = self.fitted
+        found = np.searchsorted(known, key)
+        seen = found < len(known)
+        seen[seen] = known[found[seen]] == key[seen]
+        value = np.zeros(len(key), bool)
+        value[seen] = fit[found[seen]]
+        for i in np.flatnonzero(~seen).tolist():
+            k = int(key[i])
+            got = self.pairs.get(k)
+            value[i] = self.fits(k >> CODE_BITS, k & (1 << CODE_BITS) - 1) if got is None else got
+        out[at] = value[place]
+        return out
 
-        A place is reached by one path at most, so a place that leads nowhere is left for good.
-        """
-        pairs, n = self.pairs, len(word)
-        dead, at, held, left = bytearray(n + 1), [0], [-1], [self.options(word, 0)]
-        while at[-1] < n:
-            if not left[-1]:
-                dead[at.pop()] = 1
-                held.pop()
-                left.pop()
-                continue
-            c, end = left[-1].pop()
-            if dead[end]:
-                continue
-            before = held[-1]
-            if before >= 0:
-                fit = pairs.get(before << CODE_BITS | c)
-                if fit is None:
-                    fit = self.fits(before, c)
-                if not fit:
-                    continue
-            at.append(end)
-            held.append(c)
-            left.append(self.options(word, end) if end < n else [])
-        return b"".join([self.packs[c] for c in held[1:]])
-
-    def options(self, word: str, i: int) -> list[tuple[int, int]]:
-        """Pieces that start at a place, the longest last, with their ends."""
-        codes, out = self.codes, []
-        for j in range(i + 1, min(i + self.longest, len(word)) + 1):
-            c = codes.get(word[i:j])
-            if c is None:
+    def _settle(self) -> None:
+        """Pairs learned one by one join the arrays; all are forgotten beyond the bound."""
+        known, fit = self.fitted
+        if len(known) > 3 * REMEMBERED:
+            self.fitted = np.zeros(0, np.int64), np.zeros(0, bool)
+        elif len(self.pairs) > 64:
+            known = np.concatenate([known, np.fromiter(self.pairs.keys(), np.int64)])
+            fit = np.concatenate([fit, np.fromiter(self.pairs.values(), bool)])
+            known, first = np.unique(known, return_index=True)
+            self.fitted = known, fit[first]
+            self.pairs.clear()
+
+    def scan(self, words: list[str]) -> list[bytes]:
+        """Ids of words of a BPE model, all scanned in step: the recurrence of ``forward``, for arrays."""
+        size = np.array([len(w) for w in words])
+        wide, n = int(size.max()), len(words)
+        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        row = np.repeat(np.arange(n), size)
+        column = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+        chars, single = np.zeros((n, wide), np.int64), np.zeros((n, wide), np.int64)
+        chars[row, column] = flat
+        kinds, of = np.unique(flat, return_inverse=True)
+        single[row, column] = np.array([self.code(chr(c)) for c in kinds.tolist()], np.int64)[of]
+        held, back = np.full((n, wide + 1), UNSEEN), np.zeros((n, wide + 1), np.int64)
+        held[:, 0] = START
+        for i in range(wide):
+            rows = np.flatnonzero((held[:, i] != UNSEEN) & (size > i))
+            node, codes = np.zeros(len(rows), np.int64), single[rows, i]
+            for j in range(i + 1, wide + 1):
+                node = self._walk(node, chars[rows, j - 1])
                 if j > i + 1:
+                    rows, node = rows[node >= 0], node[node >= 0]
+                    codes = self.trie_codes[node]
+                if not len(rows):
                     break
-                c = self.code(word[i])
-            if c >= 0:
-                out.append((c, j))
-        return out
-
-    def encode_words(self, s: str, out: bytearray) -> None:
-        """Append the ids (32-bit) of a stretch between two borders.
+                new = np.flatnonzero((codes >= 0) & (held[rows, j] == UNSEEN))
+                if len(new):
+                    at = rows[new]
+                    good = self._fit(held[at, i], codes[new])
+                    held[at[good], j], back[at[good], j] = codes[new[good]], i
+                on = (node >= 0) & (size[rows] > j)
+                rows, node = rows[on], node[on]
+        self._settle()
+        # Back along all paths at once; then the pieces of each word lie together in order.
+        steps: list[tuple[np.ndarray, ...]] = []
+        rows, place = np.arange(n), size.copy()
+        while len(rows):
+            steps.append((rows * (wide + 1) + place, held[rows, place]))
+            place = back[rows, place]
+            rows, place = rows[place > 0], place[place > 0]
+        where, codes = (np.concatenate(x) for x in zip(*steps))
+        order = np.argsort(where)
+        codes, kinds = codes[order], np.unique(codes)
+        packs = [np.frombuffer(self.packs[c], np.int32) for c in kinds.tolist()]
+        lengths = np.array([len(x) for x in packs])
+        of = np.searchsorted(kinds, codes)
+        first, count = np.cumsum(lengths)[of] - lengths[of], lengths[of]
+        ends = np.cumsum(count)
+        flat = np.concatenate(packs)[np.repeat(first - ends + count, count) + np.arange(int(ends[-1]))].tobytes()
+        last = np.searchsorted(where[order] // (wide + 1), np.arange(n), "right")
+        cuts = [0, *(4 * ends[last - 1]).tolist()]
+        return [flat[x:y] for x, y in zip(cuts, cuts[1:])]
+
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """What is remembered, the given words among it.
 
         Words are remembered in two generations; the older one goes when the newer is full.
         """
-        if not s:
-            return
         known, older = self.words, self.older
-        for word in WORDS.findall(s) if self.borders else [s]:
-            ids = known.get(word)
-            if ids is None:
-                ids = older.get(word)
-                if ids is None:
-                    ids = self.finite(word) if self.bpe and self.bytes else self.best(word)
-                if len(word) < 64:
-                    known[word] = ids
-                    if len(known) > REMEMBERED:
-                        self.older, self.words = known, {}
-                        known, older = self.words, self.older
-            out += ids
-
-    def packed(self, text: str) -> np.ndarray:
-        """The ids of a text as an array."""
-        out = bytearray()
-        if text:
-            self.encode_words(self.prefix + text.replace(" ", SPACE), out)
-        return np.frombuffer(bytes(out), np.int32)
+        if len(known) > REMEMBERED:
+            self.older, older, self.words = known, known, {}
+            known = self.words
+        new = words - known.keys()
+        for w in new & older.keys():
+            known[w] = older[w]
+        new -= older.keys()
+        together = self.bpe and bool(self.bytes)
+        short = sorted((w for w in new if len(w) <= LONGEST_WORD), key=len) if together else []
+        for at in range(0, len(short), WORDS_AT_ONCE):
+            part = short[at:at + WORDS_AT_ONCE]
+            known.update(zip(part, self.scan(part)))
+        if len(short) == len(new):
+            return known
+        rare = {w: self.best(w) for w in new if w not in known}
+        known.update((w, ids) for w, ids in rare.items() if len(w) <= LONGEST_WORD)
+        return known | rare
+
+    def split(self, s: str) -> list[str]:
+        """The words between the borders of a text."""
+        return WORDS.findall(s) if self.borders else [s] if s else []
+
+    def encode_words(self, s: str, out: bytearray) -> None:
+        """Append the ids (32-bit) of a stretch between two borders."""
+        words = self.split(s)
+        ids = self.learn(set(words))
+        out += b"".join([ids[w] for w in words])
+
+    def packed(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of some texts as arrays."""
+        made = [self.split(self.prefix + t.replace(" ", SPACE)) if t else [] for t in texts]
+        ids = self.learn(set().union(*made)).__getitem__
+        return [np.frombuffer(b"".join(map(ids, words)), np.int32) for words in made]
 
     def encode(self, text: str) -> list[int]:
-        return self.packed(text).tolist()
+        return self.packed([text])[0].tolist()
 
     def decode(self, ids: list[int]) -> str:
         text = b"".join([self.raw[i] for i in ids]).decode("utf-8", "replace")
@@ -349,18 +434,39 @@ def combined(a: dict, b: dict) -> dict:
     return out
 
 
-def states_at_cuts(matrices: list[dict]) -> list[State]:
-    """States at all cuts of the best path: products up to each cut, then the choice backwards."""
-    upto = [matrices[0]]
+def route(matrices: Sequence[dict], entry: State, leave: State) -> list[State]:
+    """States at all cuts of the best path between two states, both included."""
+    upto: list[dict] = [{entry: 0.0}]
+    for m in matrices:
+        vector: dict = {}
+        for (e, s), w in m.items():
+            if e in upto[-1] and upto[-1][e] + w > vector.get(s, MINUS):
+                vector[s] = upto[-1][e] + w
+        upto.append(vector)
+    states = [leave]
+    for m, before in zip(reversed(matrices), upto[-2::-1]):
+        states.append(max((before[e] + w, e) for (e, s), w in m.items() if s == states[-1] and e in before)[1])
+    return states[::-1]
+
+
+def best_end(whole: dict) -> State:
+    """The exit state of the best path of a whole text."""
+    return max((w, s) for (e, s), w in whole.items() if e == ("", 0) and s[1] == 0)[1]
+
+
+def _product(matrices: Sequence[bytes]) -> bytes:
+    out = pickle.loads(matrices[0])
     for m in matrices[1:]:
-        upto.append(combined({(("", 0), s): w for (_, s), w in upto[-1].items()}, m))
-    ends = [(w, s) for (_, s), w in upto[-1].items() if s[1] == 0]
-    states = [max(ends)[1]]
-    for i in range(len(matrices) - 1, 0, -1):
-        head = {s: w for (_, s), w in upto[i - 1].items()}
-        best = max((head[e] + w, e) for (e, s), w in matrices[i].items() if s == states[0] and e in head)
-        states.insert(0, best[1])
-    return [("", 0), *states]
+        out = combined(out, pickle.loads(m))
+    return pickle.dumps(out)
+
+
+def _ends(whole: bytes) -> tuple[bytes, bytes]:
+    return pickle.dumps(("", 0)), pickle.dumps(best_end(pickle.loads(whole)))
+
+
+def _route(matrices: Sequence[bytes], entry: bytes, leave: bytes) -> list[bytes]:
+    return [pickle.dumps(s) for s in route([pickle.loads(m) for m in matrices], pickle.loads(entry), pickle.loads(leave))]
 
 
 @lru_cache(maxsize=4)
@@ -375,59 +481,70 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
-STATE = "struct<piece:string,reach:int>"
-MATRIX = f"array<struct<entry:{STATE},leave:{STATE},weight:double>>"
+def _few(cells: pa.Array) -> Iterator[list[str | None]]:
+    """The texts of a column in groups of bounded length."""
+    group, size = [], 0
+    for cell in cells:
+        text = cell.as_py()
+        group.append(text)
+        size += len(text or "")
+        if size > CHARS_AT_ONCE:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
 
 
 def _whole(shared):
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(shared.value)
         for batch in parts_of(rows, ROWS_AT_ONCE):
-            offsets, nulls, values = [0], [], []
-            for cell in batch["text"]:
-                text = cell.as_py()
-                values.append(v.packed(text or ""))
-                nulls.append(text is None)
-                offsets.append(offsets[-1] + len(values[-1]))
+            nulls, values = [], []
+            for group in _few(batch["text"]):
+                values += v.packed([t or "" for t in group])
+                nulls += [t is None for t in group]
+            offsets = np.cumsum([0, *map(len, values)]).astype(np.int32)
             flat = pa.array(np.concatenate([np.zeros(0, np.int32), *values]))
-            lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat, mask=pa.array(nulls, pa.bool_()))
+            lists = pa.ListArray.from_arrays(pa.array(offsets), flat, mask=pa.array(nulls, pa.bool_()))
             yield pa.RecordBatch.from_arrays([batch["key"], lists], names=["key", "ids"])
     return batches
 
 
-def _matrices(shared):
-    kind = pa.struct([("piece", pa.string()), ("reach", pa.int32())])
-    kind = pa.list_(pa.struct([("entry", kind), ("leave", kind), ("weight", pa.float64())]))
+WINDOWS = "uid string, chunk long, window string, lo int, hi int"
+
 
+def _windows(prefix: str, chunk: int, side: int):
+    """The chunks of every text, each with ``side`` characters more on both sides."""
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for uid, text in zip(batch["uid"], batch["text"]):
+                s = prefix + text.as_py().replace(" ", SPACE)
+                for i, at in enumerate(range(0, len(s), chunk)):
+                    begin = max(0, at - side)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([uid.as_py()]), pa.array([i], pa.int64()), pa.array([s[begin:at + chunk + side]]),
+                         pa.array([at - begin], pa.int32()), pa.array([min(len(s), at + chunk) - begin], pa.int32())],
+                        names=["uid", "chunk", "window", "lo", "hi"])
+    return batches
+
+
+def _matrices(shared):
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(shared.value)
         for batch in rows:
             made = []
             for window, lo, hi in zip(batch["window"], batch["lo"].to_pylist(), batch["hi"].to_pylist()):
-                made.append([{"entry": {"piece": e[0], "reach": e[1]}, "leave": {"piece": s[0], "reach": s[1]},
-                              "weight": w} for e, s, w in v.matrix(window.as_py(), lo, hi)])
-            yield pa.RecordBatch.from_arrays([batch["uid"], batch["chunk"], pa.array(made, kind)],
+                made.append(pickle.dumps({(e, s): w for e, s, w in v.matrix(window.as_py(), lo, hi)}))
+            yield pa.RecordBatch.from_arrays([batch["uid"], batch["chunk"], pa.array(made, pa.binary())],
                                              names=["uid", "chunk", "matrix"])
     return batches
 
 
-def _route(group: pd.DataFrame) -> pd.DataFrame:
-    """States at both ends of every chunk of one text."""
-    group = group.sort_values("chunk")
-    pair = lambda x: (x["piece"], x["reach"])
-    matrices = [{(pair(x["entry"]), pair(x["leave"])): x["weight"] for x in m} for m in group["matrix"]]
-    states = states_at_cuts(matrices)
-    return pd.DataFrame({
-        "uid": group["uid"].to_numpy(), "chunk": group["chunk"].to_numpy(),
-        "p": [s[0] for s in states[:-1]], "r": [s[1] for s in states[:-1]],
-        "q": [s[0] for s in states[1:]], "t": [s[1] for s in states[1:]]})
-
-
 def _traces(shared):
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(shared.value)
         for batch in rows:
-            made = [v.traced(r["window"], r["lo"], r["hi"], (r["p"], r["r"]), (r["q"], r["t"]))
+            made = [v.traced(r["window"], r["lo"], r["hi"], pickle.loads(r["entry"]), pickle.loads(r["leave"]))
                     for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["uid"], batch["chunk"], pa.array(made, pa.list_(pa.int32()))],
                                              names=["uid", "chunk", "ids"])
@@ -447,20 +564,11 @@ def encode(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text
     small = rows.where(~long).mapInArrow(_whole(shared), f"key {kind}, ids array<int>")
     uid = F.md5(F.concat_ws("|", F.coalesce(F.col("key").cast("string"), F.lit("-")), F.md5("text")))
     large = rows.where(long).select(uid.alias("uid"), "key", "text")
-    side = v.longest
-    s = F.concat(F.lit(v.prefix), F.translate("text", " ", SPACE))
-    cut = large.dropDuplicates(["uid"]).select("uid", s.alias("s"))
-    cut = cut.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.char_length("s") - 1) / chunk).cast("int"))))
-    begin = F.greatest(F.lit(0), F.col("chunk") * chunk - side)
-    pieces = cut.select(
-        "uid", "chunk", F.substring("s", begin + 1, F.lit(chunk + 2 * side)).alias("window"),
-        (F.col("chunk") * chunk - begin).cast("int").alias("lo"),
-        (F.least(F.char_length("s"), (F.col("chunk") + 1) * chunk) - begin).cast("int").alias("hi"))
-    pieces = pieces.repartition("uid", "chunk")
-    routes = (pieces.mapInArrow(_matrices(shared), f"uid string, chunk int, matrix {MATRIX}")
-              .groupBy("uid").applyInPandas(_route, "uid string, chunk int, p string, r int, q string, t int"))
-    traced = (pieces.join(routes, ["uid", "chunk"])
-              .mapInArrow(_traces(shared), "uid string, chunk int, ids array<int>"))
+    cut = checkpointed(large.dropDuplicates(["uid"]).select("uid", "text").mapInArrow(
+        _windows(v.prefix, chunk, v.longest), WINDOWS).repartition("uid", "chunk"))
+    found = checkpointed(cut.mapInArrow(_matrices(shared), "uid string, chunk long, matrix binary"))
+    routes = borders(found, _product, _ends, _route)
+    traced = cut.join(routes, ["uid", "chunk"]).mapInArrow(_traces(shared), "uid string, chunk long, ids array<int>")
     whole = traced.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
     whole = whole.select("uid", F.flatten("parts.ids").alias("ids"))
     return small.unionAll(large.select("uid", "key").join(whole, "uid").select("key", "ids"))

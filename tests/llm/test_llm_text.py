@@ -250,7 +250,10 @@ def chunked(v, text, chunk):
         windows.append((s[begin:begin + chunk + 2 * side], at - begin, min(len(s), at + chunk) - begin))
     for w in windows:
         matrices.append({(e, x): weight for e, x, weight in v.matrix(*w)})
-    states = pieces.states_at_cuts(matrices)
+    whole = matrices[0]
+    for m in matrices[1:]:
+        whole = pieces.combined(whole, m)
+    states = pieces.route(matrices, ("", 0), pieces.best_end(whole))
     for w, a, b in zip(windows, states, states[1:]):
         out += v.traced(*w, a, b)
     return out, matrices
