@@ -41,7 +41,7 @@ from scoreflow.llm.scan import borders
 
 SPACE = "▁"
 CHUNK = 1 << 16
-REMEMBERED = 120_000  # words of each of two generations, and a third of the pairs
+REMEMBERED = 60_000  # words of each of two generations, and a third of the pairs
 ROWS_AT_ONCE = 512
 CHARS_AT_ONCE = 1 << 21
 WORDS_AT_ONCE = 1 << 14
