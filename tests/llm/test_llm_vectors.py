@@ -502,3 +502,25 @@ def test_pipeline_runs(spark):
     sources = {r["source"] for r in docs.where(F.col("doc_id").isin(first)).collect()}
     assert len(sources) <= 10
     assert "corpus_pipeline" in sys.modules
+
+
+def test_sketches_and_common_postings_lose_nothing():
+    from fractions import Fraction
+
+    import pyarrow as pa
+
+    from scoreflow.llm import nearsets
+    rng, least = np.random.default_rng(4), Fraction(4, 5)
+    for _ in range(300):
+        base = rng.integers(0, 1 << 63, rng.integers(1, 400), dtype=np.uint64) * np.uint64(2)
+        other = np.unique(np.where(rng.random(len(base)) < rng.random() * 0.3, rng.integers(0, 1 << 63, len(base), dtype=np.uint64), base))
+        base, other = np.unique(base), other[:max(1, int(len(other) * rng.choice([1, 0.9, 0.5])))]
+        both = len(np.intersect1d(base, other))
+        if both * 5 >= 4 * (len(base) + len(other) - both):
+            assert nearsets.may_be_alike(nearsets.sketch(base), nearsets.sketch(other), len(base), len(other), least)
+    assert not nearsets.may_be_alike(nearsets.sketch(base), nearsets.sketch(base + np.uint64(1 << 50)), len(base), len(base), least)
+    for size in (1, 2, 7):
+        at = np.sort(rng.integers(0, 40, 60))
+        batches = [pa.RecordBatch.from_arrays([pa.array(at[i:i + size])], names=["shingle"]) for i in range(0, 60, size)]
+        got = [x for b in nearsets._in_common(iter(batches)) for x in b["shingle"].to_pylist()]
+        assert got == [x for x in at.tolist() if (at == x).sum() > 1]
