@@ -9,7 +9,7 @@ from scoreflow.catalog.frames import (IMBALANCED_SQL, LINE_ID_SQL, MISSING_SQL,
                                       SIGNAL_SQL, imbalanced, line_id, missing, table, vectors, with_score,
                                       with_sql)
 from scoreflow.catalog.registry import query
-from scoreflow.operators import explain, mice, neighbours
+from scoreflow.operators import explain, metric_index, mice, neighbours
 from scoreflow.operators.balance import smote
 from scoreflow.operators.sampling import split, weights
 from scoreflow.operators.stability import between_months, months_of
@@ -220,6 +220,21 @@ def _(spark, d):
     return neighbours.nearest_by_hashing(points, "key", cols, 5, num_hash_tables=12, together=3, bucket_length=3.0 * one)
 
 
+@query("j7_nearest_by_index", """WITH p AS (SELECT p_partkey AS k, CAST(20 * p_size AS DOUBLE) AS x,
+ floor(CAST(p_retailprice AS DOUBLE)) AS y, CAST(50 * length(p_name) AS DOUBLE) AS z FROM part)
+SELECT a.k AS key, b.k AS neighbour, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)
+ + (a.z - b.z) * (a.z - b.z)), 5) AS distance FROM p a JOIN p b ON a.k <> b.k QUALIFY row_number() OVER (PARTITION BY a.k
+ ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z), b.k) <= 4""")
+def _(spark, d):
+    """The metric index with its exact completion; whole coordinates, so equal distances are equal."""
+    points = table(spark, d, "part").select(
+        F.col("p_partkey").alias("key"), (20 * F.col("p_size")).cast("double").alias("x"),
+        F.floor(F.col("p_retailprice").cast("double")).cast("double").alias("y"),
+        (50 * F.length("p_name")).cast("double").alias("z"))
+    out = metric_index.nearest_by_index(points, "key", ["x", "y", "z"], 4)
+    return out.select("key", "neighbour", F.round("distance", 5).alias("distance"))
+
+
 @query("e9_smote")
 def _(spark, d):
     return smote(imbalanced(spark, d), "target", "doc_id", ["n_chars", "quality"],

@@ -123,7 +123,7 @@ def nearest_by_hashing(points: DataFrame, key: str, cols: Sequence[str], k: int,
     pairs. Large buckets are joined by Spark's skew handling.
     """
     rows = points.select(F.col(key).alias("key"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
-    reps = rows.groupBy("x").agg(F.min("key").alias("rep"))
+    reps = one_of_equal(rows)
     base = reps.select(F.col("rep").alias("key"), "x", *[F.get("x", F.lit(i)).alias(c) for i, c in enumerate(cols)])
     tables = hashed_tables(base, cols, num_hash_tables, together, bucket_length, seed)
     pairs = tables.select("key", "table", "bucket").join(
@@ -135,6 +135,17 @@ def nearest_by_hashing(points: DataFrame, key: str, cols: Sequence[str], k: int,
         "key", "neighbour", distance(F.col("x"), F.col("y")).alias("distance"))
     rank = F.row_number().over(Window.partitionBy("key").orderBy("distance", "neighbour"))
     nearest_reps = found.withColumn("rank", rank).filter(F.col("rank") <= k).drop("rank")
+    return with_equal(rows, reps, nearest_reps, k)
+
+
+def one_of_equal(rows: DataFrame) -> DataFrame:
+    """(x, rep): one key for each distinct point of ``rows`` (key, x)."""
+    return rows.groupBy("x").agg(F.min("key").alias("rep"))
+
+
+def with_equal(rows: DataFrame, reps: DataFrame, nearest_reps: DataFrame, k: int) -> DataFrame:
+    """The k nearest of all rows, from those of one row for each distinct point."""
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("distance", "neighbour"))
     # The first k + 1 of equal points stand for all: a point itself may be one of them.
     named = rows.join(reps, "x").select("key", "rep")
     place = F.row_number().over(Window.partitionBy("rep").orderBy("key"))
