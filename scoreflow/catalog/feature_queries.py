@@ -138,7 +138,7 @@ def _(spark, d):
 SELECT id, CAST(i AS DOUBLE) AS o_orderpriority_index FROM credit JOIN k USING (o_orderpriority)""")
 def _(spark, d):
     df = credit(spark, d).select("id", "o_orderpriority")
-    return encode.indexer(["o_orderpriority"]).fit(df).transform(df).drop("o_orderpriority")
+    return encode.with_index(df, {"o_orderpriority": encode.label_ranks(df, "o_orderpriority")}).drop("o_orderpriority")
 
 
 @query("e2_one_hot", CREDIT + """, k AS (SELECT c_mktsegment, count(*) AS n, row_number() OVER
@@ -146,11 +146,19 @@ def _(spark, d):
 SELECT CAST(i AS INTEGER) AS slot, n AS ones FROM k""")
 def _(spark, d):
     df = credit(spark, d).select("c_mktsegment")
-    wide = encode.one_hot(["c_mktsegment"]).fit(df).transform(df)
+    wide = encode.one_hot(df, {"c_mktsegment": encode.label_ranks(df, "c_mktsegment")})
     slots = wide.select(F.posexplode(vector_to_array("c_mktsegment_onehot")).alias("slot", "v"))
     return slots.groupBy("slot").agg(F.sum("v").cast("long").alias("ones"))
 
 
+@query("e1_index_many_labels", """WITH k AS (SELECT p_name, row_number() OVER (ORDER BY count(*) DESC, p_name) - 1 AS i
+ FROM part GROUP BY 1) SELECT p_partkey, CAST(i AS DOUBLE) AS p_name_index FROM part JOIN k USING (p_name)""")
+def _(spark, d):
+    """A column with about as many labels as rows; they are ranked on Spark."""
+    df = table(spark, d, "part").select("p_partkey", "p_name")
+    return encode.with_index(df, {"p_name": encode.label_ranks(df, "p_name")}).drop("p_name")
+
+
 @query("e3_assemble", CREDIT + "SELECT id, l_quantity AS first, l_tax AS last FROM credit")
 def _(spark, d):
     out = encode.assemble(credit(spark, d), NUMERIC[:4])

@@ -1,29 +1,72 @@
-"""Encoding and scaling as fitted MLlib stages."""
+"""Encoding of labels by distributed ranks, scaling as fitted MLlib stages."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import (MinMaxScaler, OneHotEncoder, StandardScaler, StringIndexer,
-                                VectorAssembler)
+from pyspark.ml.feature import MinMaxScaler, StandardScaler, VectorAssembler
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scoreflow.functions.core import is_missing
+from scoreflow.operators.prefix import rank_by
 
 
-def indexer(cols: Sequence[str], suffix: str = "_index") -> StringIndexer:
-    """Frequency order, ties alphabetical; unseen and missing get the last index."""
-    return StringIndexer(inputCols=list(cols), outputCols=[c + suffix for c in cols],
-                         stringOrderType="frequencyDesc", handleInvalid="keep")
+def label_ranks(df: DataFrame, col: str) -> DataFrame:
+    """(label, n, index) of a column: frequency order, ties alphabetical.
+
+    Labels are counted, ranked and kept on Spark, however many there are; null is no label.
+    """
+    counts = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    return rank_by(counts, [F.desc("n"), "label"], "index").withColumn("index", F.col("index").cast("double"))
+
+
+def with_index(df: DataFrame, ranks: Mapping[str, DataFrame], suffix: str = "_index") -> DataFrame:
+    """The index of each column's label, from ``label_ranks``; unseen and missing get the last index.
+
+    A join with each table of labels, which Spark broadcasts if it is small. The number of labels
+    is all that reaches the driver.
+    """
+    for col, table in ranks.items():
+        size = float(table.count())
+        found = table.select(F.col("label").alias("_label"), F.col("index").alias("_index"))
+        df = df.join(found, F.col(col) == F.col("_label"), "left").withColumn(
+            col + suffix, F.coalesce("_index", F.lit(size))).drop("_label", "_index")
+    return df
 
 
-def one_hot(cols: Sequence[str], drop_last: bool = True) -> Pipeline:
-    """Index, then one vector per column without its last level."""
-    encoder = OneHotEncoder(inputCols=[c + "_index" for c in cols],
-                            outputCols=[c + "_onehot" for c in cols], dropLast=drop_last)
-    return Pipeline(stages=[indexer(cols), encoder])
+def one_hot(df: DataFrame, ranks: Mapping[str, DataFrame], suffix: str = "_onehot", drop_last: bool = True) -> DataFrame:
+    """Index, then a sparse vector per column without its last level.
+
+    Missing and unseen labels are the level after all others; with ``drop_last`` theirs is the empty vector.
+    """
+    out = with_index(df, ranks)
+    cols = list(ranks)
+    sizes = [ranks[c].count() + (not drop_last) for c in cols]
+    schema = T.StructType([*out.schema.fields, *[T.StructField(c + suffix, VectorUDT()) for c in cols]])
+    kind = pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())),
+                      ("values", pa.list_(pa.float64()))])
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            made = list(batch.columns)
+            for c, size in zip(cols, sizes):
+                at = batch[c + "_index"].to_numpy().astype(np.int32)
+                there = at < size
+                ends = pa.array(np.append(0, np.cumsum(there)).astype(np.int32))
+                n = len(at)
+                made.append(pa.StructArray.from_arrays(
+                    [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, size, np.int32)),
+                     pa.ListArray.from_arrays(ends, pa.array(at[there])),
+                     pa.ListArray.from_arrays(ends, pa.array(np.ones(int(there.sum()))))], fields=list(kind)))
+            yield pa.RecordBatch.from_arrays(made, names=[*batch.schema.names, *[c + suffix for c in cols]])
+
+    return out.mapInArrow(batches, schema)
 
 
 def assemble(df: DataFrame, cols: Sequence[str], out: str = "features",

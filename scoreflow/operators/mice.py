@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from scoreflow.functions.core import (bounded_rows, checkpointed, is_missing, known,
                                       numeric_columns, string_columns)
 from scoreflow.operators.clean import fill_values
-from scoreflow.operators.encode import indexer
+from scoreflow.operators.encode import label_ranks, with_index
 from scoreflow.operators.profile import missing_profile
 
 
@@ -46,12 +46,8 @@ def mice_impute(df: DataFrame, id_col: str, cols: Sequence[str] | None = None,
     # Text is held as its frequency index, so 0 is the mode.
     start = fill_values(df, [c for c in nums if c in holes], "median") if any(
         c in holes for c in nums) else {}
-    labels: dict[str, list[str]] = {}
-    coded = df
-    if cats:
-        fitted = indexer(cats, "__i").fit(df)
-        labels = dict(zip(cats, fitted.labelsArray))
-        coded = fitted.transform(df)
+    labels = {c: checkpointed(label_ranks(df, c)) for c in cats}
+    coded = with_index(df, labels, "__i")
     state = coded.select(
         *df.columns,
         *[is_missing(df, c).alias(f"{c}__m") for c in holes],
@@ -78,11 +74,10 @@ def mice_impute(df: DataFrame, id_col: str, cols: Sequence[str] | None = None,
             break
     out = {c: F.when(F.col(f"{c}__m"), F.col(f"{c}__v")).otherwise(F.col(c).cast("double"))
            for c in holes if c in numbers}
-    for c in holes:
-        if c in texts:
-            names = F.array(*[F.lit(v) for v in labels[c]])
-            guess = F.element_at(names, F.col(f"{c}__v").cast("int") + 1)
-            out[c] = F.when(F.col(f"{c}__m"), guess).otherwise(F.col(c))
+    for c in (c for c in holes if c in texts):
+        guess = labels[c].select(F.col("label").alias(f"{c}__l"), F.col("index").alias(f"{c}__n"))
+        state = state.join(guess, F.col(f"{c}__m") & (F.col(f"{c}__v") == F.col(f"{c}__n")), "left")
+        out[c] = F.coalesce(F.col(c), F.col(f"{c}__l"))
     return state.select(*[
         out[c].alias(c) if c in out else F.col(c) for c in df.columns if c not in dropped])
 

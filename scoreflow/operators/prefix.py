@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreflow.functions.core import bounded_rows, hash_cell, hashed, known
+from scoreflow.functions.core import bounded_rows, checkpointed, hash_cell, hashed, known
 
 _CELL, _SPLITS, _BLOCK = "_cell", "_splits", "_block"
 BLOCK = 16
@@ -142,6 +142,19 @@ def global_rank(df: DataFrame, id_col: str, seed: int, name: str = "rank") -> Da
     )
 
 
+def rank_by(df: DataFrame, order: Sequence[Column | str], name: str = "rank") -> DataFrame:
+    """``df`` with its rank (from 0) in any order of columns: a range sort and counts per partition."""
+    placed = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order)
+                          .withColumn("_at", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_at", 33))
+    # One row per partition.
+    before = Window.partitionBy(F.lit(0)).orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(F.col("_part").alias("_of")).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n")).select(
+        "_of", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return placed.join(starts, F.col("_part") == F.col("_of")).withColumn(
+        name, F.col("_at") + F.col("_shift")).drop("_at", "_part", "_of", "_shift")
+
+
 def ntile(df: DataFrame, score: str, id_col: str, n: int, name: str = "band",
           seed: int = 0) -> DataFrame:
     """Exact ``ntile(n)`` by (score, hash of id, id), ascending.
