@@ -20,11 +20,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from scoreflow.llm.common import texts
+from scoreflow.llm.common import parts_of, texts
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn", "mac")
 NEAR = 40
+ROWS_AT_ONCE = 1024
 LEAST = 0.5
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -158,7 +159,7 @@ def redacted(docs: DataFrame, text: str = "text", length: str | None = None) ->
     size = docs.columns.index(length) if length else None
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in parts_of(rows, ROWS_AT_ONCE):
             column = batch.column(at)
             new = pa.array([None if not v.is_valid else redact(v.as_py()) for v in column], column.type)
             columns = list(batch.columns)
