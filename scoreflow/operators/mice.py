@@ -1,23 +1,36 @@
-"""V8: chained-equation imputation."""
+"""V8: chained-equation imputation.
+
+Numeric columns that follow each other are renewed as one run, from one pass over the rows: the
+pass adds up a Gram matrix for every pattern of missing cells in the run. A regression sweeps the
+sum over the patterns in which its column is known; its result renews the column linearly, so the
+matrices of the other patterns follow from a product and the next regression of the run sees the
+new values without another pass. The result is that of renewing one column after the other.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreflow.functions.core import (bounded_rows, checkpointed, is_missing, known,
                                       numeric_columns, string_columns)
+from scoreflow.functions.matrices import summed_matrix
 from scoreflow.operators.clean import fill_values
 from scoreflow.operators.encode import label_ranks, with_index
 from scoreflow.operators.profile import missing_profile
 
+RUN = 6  # numeric columns of one pass, so at most 2^6 patterns of missing cells
+DENSE = 256  # inputs and levels of a Gram matrix; wider regressions go to MLlib's sparse solver
+
 
 def mice_impute(df: DataFrame, id_col: str, cols: Sequence[str] | None = None,
                 target: str | None = None, max_iter: int = 10, tol: float = 1e-4,
@@ -25,7 +38,8 @@ def mice_impute(df: DataFrame, id_col: str, cols: Sequence[str] | None = None,
     """Impute each column from all others, round after round.
 
     Columns above ``max_missing`` are dropped. Numbers are predicted by linear regression,
-    text by multinomial logistic regression; both learn from the observed rows only. The
+    text by multinomial logistic regression; both learn from the observed rows only. A missing
+    target, as predictor, counts as the target's mean. The
     rounds stop when fewer than ``tol`` of the rows still change. Observed cells never change;
     the target is never imputed and only a predictor with ``use_target``.
     """
@@ -58,10 +72,17 @@ def mice_impute(df: DataFrame, id_col: str, cols: Sequence[str] | None = None,
     kept = state.columns
     rows = df.count()
     extra = [target] if use_target and target is not None else []
+    sizes = {c: labels[c].count() for c in cats}
+    runs = _runs(holes, numbers if 1 + len(nums) + len(extra) + sum(sizes.values()) <= DENSE else set())
+    inputs = _Inputs(state, nums, extra, sizes) if any(c in numbers for c in holes) else None
     for _ in range(max_iter):
         before = state.withColumns({f"{c}__p": F.col(f"{c}__v") for c in holes})
         state = before
-        for c in holes:
+        for dense, run in runs:
+            if dense:
+                state = inputs.renew(state, run)
+                continue
+            c = run[0]
             state = _one_column(state, c, [x for x in nums if x != c],
                                 [x for x in cats if x != c], extra, c in numbers)
         state = checkpointed(state)
@@ -82,6 +103,111 @@ def mice_impute(df: DataFrame, id_col: str, cols: Sequence[str] | None = None,
         out[c].alias(c) if c in out else F.col(c) for c in df.columns if c not in dropped])
 
 
+def _runs(holes: Sequence[str], dense: set[str]) -> list[tuple[bool, list[str]]]:
+    """The columns in order: neighbours that share a pass, at most ``RUN``, or single ones."""
+    out: list[tuple[bool, list[str]]] = []
+    for c in holes:
+        if c in dense and out and out[-1][0] and len(out[-1][1]) < RUN:
+            out[-1][1].append(c)
+        else:
+            out.append((c in dense, [c]))
+    return out
+
+
+def sweep(matrix: np.ndarray, pivots: Sequence[int], tol: float = 1e-9) -> np.ndarray:
+    """Sweep a Gram matrix on the pivots: row k of another column is then its coefficient on k.
+
+    A pivot that the earlier ones explain keeps no weight.
+    """
+    a, start = matrix.astype(float).copy(), np.diag(matrix).copy()
+    left_out = []
+    for k in pivots:
+        if a[k, k] <= tol * start[k]:
+            left_out.append(k)
+            continue
+        d, row, col = a[k, k], a[k] / a[k, k], a[:, k].copy()
+        a -= np.outer(col, row)
+        a[k], a[:, k], a[k, k] = row, -col / d, 1.0 / d
+    a[left_out] = 0.0
+    return a
+
+
+class _Inputs:
+    """The inputs of the regressions as one vector: 1, numbers about their mean, 0/1 per level."""
+
+    def __init__(self, state: DataFrame, nums: list[str], extra: list[str], sizes: dict[str, int]):
+        self.values = [*[f"{c}__v" for c in nums], *extra]
+        self.cats = [f"{c}__v" for c in sizes]
+        self.sizes = list(sizes.values())
+        self.width = 1 + len(self.values) + sum(self.sizes)
+        found = state.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c)
+                            for c in self.values]).first()
+        self.shift = np.array([found[c]["m"] or 0.0 for c in self.values])
+        self.scale = np.array([found[c]["s"] or 1.0 for c in self.values])
+
+    def grams(self, state: DataFrame, run: list[str]) -> np.ndarray:
+        """One Gram matrix per pattern of missing cells, in one pass."""
+        values, cats, sizes = self.values, self.cats, self.sizes
+        shift, scale, width, masks = self.shift, self.scale, self.width, [f"{c}__m" for c in run]
+
+        def part(batch: pa.RecordBatch) -> np.ndarray:
+            n = batch.num_rows
+            z = np.zeros((n, width))
+            z[:, 0] = 1.0
+            for j, c in enumerate(values):
+                x = batch[c].to_numpy(zero_copy_only=False).astype(float)
+                z[:, 1 + j] = np.nan_to_num((x - shift[j]) / scale[j])
+            at = 1 + len(values)
+            for c, size in zip(cats, sizes):
+                level = batch[c].to_numpy(zero_copy_only=False).astype(int)
+                there = np.flatnonzero(level < size)
+                z[there, at + level[there]] = 1.0
+                at += size
+            code = np.zeros(n, dtype=int)
+            for i, c in enumerate(masks):
+                code |= batch[c].to_numpy(zero_copy_only=False).astype(int) << i
+            out = np.zeros((2 ** len(masks), width, width))
+            for p in np.unique(code):
+                rows = z[code == p]
+                out[p] = rows.T @ rows
+            return out.reshape(-1, width)
+
+        columns = [*[F.col(c).cast("double").alias(c) for c in values], *cats, *masks]
+        flat = summed_matrix(state.select(*columns), part, (2 ** len(masks) * width, width))
+        return flat.reshape(-1, width, width)
+
+    def renew(self, state: DataFrame, run: list[str]) -> DataFrame:
+        """Fit each column of the run on its known rows and renew its missing cells, in order."""
+        grams = self.grams(state, run)
+        names = state.columns
+        for i, c in enumerate(run):
+            place = 1 + self.values.index(f"{c}__v")
+            holds = (np.arange(len(grams)) >> i) & 1 == 1
+            others = [k for k in range(self.width) if k != place]
+            weights = sweep(grams[~holds].sum(axis=0), others)[:, place].copy()
+            weights[place] = 0.0
+            step = np.eye(self.width)
+            step[place] = weights
+            grams[holds] = step @ grams[holds] @ step.T
+            renewed = F.when(F.col(f"{c}__m"), self.predicted(weights, place)).otherwise(F.col(f"{c}__v"))
+            state = state.select(*[renewed.alias(n) if n == f"{c}__v" else F.col(n) for n in names])
+        return state
+
+    def predicted(self, weights: np.ndarray, place: int) -> Column:
+        scale, n = self.scale[place - 1], len(self.values)
+        slopes = scale * weights[1:1 + n] / self.scale
+        out = F.lit(float(self.shift[place - 1] + scale * weights[0] - slopes @ self.shift))
+        for c, slope, mean in zip(self.values, slopes, self.shift):
+            if slope:
+                out = out + F.lit(float(slope)) * F.coalesce(F.col(c).cast("double"), F.lit(float(mean)))
+        at = 1 + n
+        for c, size in zip(self.cats, self.sizes):
+            effects = F.array(*[F.lit(float(scale * w)) for w in weights[at:at + size]])
+            out = out + F.coalesce(F.get(effects, F.col(c).cast("int")), F.lit(0.0))
+            at += size
+        return out
+
+
 def _one_column(state: DataFrame, col: str, nums: list[str], cats: list[str],
                 extra: list[str], numeric: bool) -> DataFrame:
     """Fit on the observed rows of a column and renew its missing cells."""
