@@ -357,6 +357,51 @@ def _(spark, d):
     return association.vif_categorical(credit(spark, d), TEXT)
 
 
+@query("c6_vif_two_columns", CREDIT + """, k AS (SELECT o_orderpriority AS a,
+ CAST(l_linestatus <> (SELECT l_linestatus FROM credit GROUP BY 1 ORDER BY count(*), 1 DESC LIMIT 1)
+  AS DOUBLE) AS y FROM credit),
+g AS (SELECT a, count(*) AS m, avg(y) AS mean, sum(y*y) - sum(y)*sum(y)/count(*) AS within FROM k GROUP BY 1),
+w AS (SELECT sum(within) AS within, (SELECT sum(y*y) - sum(y)*sum(y)/count(*) FROM k) AS whole, sum(m) AS n FROM g),
+ref AS (SELECT * FROM g ORDER BY m, a DESC LIMIT 1),
+v AS (SELECT 'l_linestatus=' || (SELECT l_linestatus FROM credit GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+  AS feature, whole / within AS vif FROM w
+ UNION ALL SELECT 'o_orderpriority=' || g.a, g.m*(1 - g.m/n) / (h - pow(h*(g.mean - ref.mean), 2)
+  / (w.within + h*pow(g.mean - ref.mean, 2))) FROM g, w, ref, LATERAL (SELECT g.m*ref.m/(g.m + ref.m) AS h) x
+ WHERE g.a <> ref.a)
+SELECT feature, round(vif, 6) AS vif, CASE WHEN vif < 5 THEN 'low' WHEN vif < 10 THEN 'moderate'
+ ELSE 'high' END AS verdict FROM v""")
+def _(spark, d):
+    """By hand: inflation is total over residual sum of squares. For the two-valued column the residual
+    is the sum within the priorities; for a priority it is what remains beside the reference level."""
+    return rounded(association.vif_categorical(credit(spark, d), ["l_linestatus", "o_orderpriority"]), 6, "vif")
+
+
+@query("c6_vif_pair_missing", MISSING + """, k AS (SELECT l_linestatus = 'O' AS x, l_tax > 0.04 AS y FROM missing),
+r AS (SELECT 1/(1 - pow(corr(CAST(x AS INTEGER), CAST(y AS INTEGER)), 2)) AS vif FROM k WHERE y IS NOT NULL),
+n AS (SELECT 'l_linestatus=' || (SELECT l_linestatus FROM missing GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS feature
+ UNION ALL SELECT 'high=' || (SELECT y FROM k WHERE y IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1))
+SELECT feature, round(vif, 6) AS vif, 'low' AS verdict FROM n, r""")
+def _(spark, d):
+    df = missing(spark, d).withColumn("high", (F.col("l_tax") > 0.04).cast("string"))
+    return rounded(association.vif_categorical(df, ["l_linestatus", "high"]), 6, "vif")
+
+
+@query("c8_select_three", CREDIT + """, k AS (SELECT target, l_quantity AS a, l_extendedprice AS b,
+ l_quantity*1000 + l_extendedprice AS c FROM credit),
+s AS (SELECT feature, row_number() OVER (ORDER BY abs(r) DESC, feature) AS place FROM (
+ SELECT 'a' AS feature, corr(a, target) AS r FROM k UNION ALL SELECT 'b', corr(b, target) FROM k
+ UNION ALL SELECT 'c', corr(c, target) FROM k)),
+p AS (SELECT CASE (SELECT feature FROM s WHERE place = 1) WHEN 'a' THEN corr(b, c) WHEN 'b' THEN corr(a, c)
+ ELSE corr(a, b) END AS r FROM k)
+SELECT CAST(place - 1 AS INTEGER) AS place, feature FROM s, p WHERE place = 1 OR 1/(1 - r*r) <= 5""")
+def _(spark, d):
+    """The strongest goes first; the other two stay if they inflate each other by five at most."""
+    df = credit(spark, d).select("target", F.col("l_quantity").alias("a"), F.col("l_extendedprice").alias("b"),
+                                 (F.col("l_quantity") * 1000 + F.col("l_extendedprice")).alias("c"))
+    names = association.select_non_collinear(df, ["a", "b", "c"], "target")
+    return spark.createDataFrame([(i, n) for i, n in enumerate(names)], "place int, feature string")
+
+
 @query("c8_select_non_collinear")
 def _(spark, d):
     df = credit(spark, d).withColumn("mix", F.col("l_quantity") * 2 + F.col("l_tax"))

@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreflow.functions.core import bounded_rows, edge_bin, known, present, ratio, unpivot
+from scoreflow.functions.core import (bounded_rows, checkpointed, edge_bin, known, present, ratio,
+                                      unpivot)
 from scoreflow.functions.matrices import summed_matrix
 from scoreflow.operators.metrics import rank_metrics
 from scoreflow.operators.profile import column_quantiles, median_fill
 
+DENSE_LEVELS = 1000  # levels of all columns but the largest in a categorical VIF
+
 
 def long_row(df: DataFrame, cols: Sequence[str], stat) -> DataFrame:
     """One aggregate over the whole frame, turned to rows (feature, value)."""
@@ -182,36 +186,155 @@ def vif_verdict(col: Column) -> Column:
 def vif_categorical(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Variance inflation of the 0/1 columns of text columns, without a reference level.
 
-    The reference is the rarest level (the last by text among equals). All sums of products
-    of 0/1 columns are counts of pairs of levels, so the rows are only counted; the levels
-    reach the driver as they become rows of the result.
+    The reference is the rarest level (the last by text among equals). Correlations are taken per
+    pair of columns over the rows where both are known, as in C4; all sums of products are counts
+    of pairs of levels. The column with the most levels may have any number of them: its own block
+    of the correlation matrix has a closed inverse, so it is eliminated on Spark, one row per level,
+    and its levels never reach the driver. The other columns together may have ``DENSE_LEVELS``
+    levels; more raise ``ValueError``. Infinite for 0/1 columns that others explain.
     """
-    cols = list(cols)
-    rows = df.dropna(subset=cols).select(F.array(*[
-        F.struct(F.lit(i).alias("c"), F.col(c).cast("string").alias("level"))
-        for i, c in enumerate(cols)]).alias("a"))
-    pairs = rows.select(F.explode("a").alias("x"), "a").select("x", F.explode("a").alias("y"))
-    counts = pairs.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n")).collect()
-    n_rows, together = 0, {}
-    for r in counts:
-        together[tuple(r["x"]), tuple(r["y"])] = r["n"]
-    sizes = {x: n for (x, y), n in together.items() if x == y}
-    names = []
-    for i in range(len(cols)):
-        mine = sorted((x for x in sizes if x[0] == i), key=lambda x: (-sizes[x], x[1]))
-        n_rows = sum(sizes[x] for x in mine)
-        names += mine[:-1]
-    n = np.array([sizes[x] for x in names], dtype=float)
-    both = np.array([[together.get((x, y), 0) for y in names] for x in names], dtype=float)
-    both = both.reshape(len(names), len(names))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        cov = both / n_rows - np.outer(n, n) / n_rows ** 2
-        matrix = cov / np.sqrt(np.outer(np.diag(cov), np.diag(cov)))
-    values = vif_from(matrix)
-    table = df.sparkSession.createDataFrame(
-        [(f"{cols[i]}={level}", v) for (i, level), v in zip(names, values)],
-        "feature string, vif double")
-    return table.withColumn("verdict", vif_verdict(F.col("vif")))
+    spark = df.sparkSession
+    cols = list(dict.fromkeys(cols))
+    texts = df.select(*[F.col(c).cast("string").alias(c) for c in cols])
+    sizes = checkpointed(texts.unpivot([], cols, "feature", "level").filter(
+        F.col("level").isNotNull()).groupBy("feature", "level").agg(F.count(F.lit(1)).alias("n")))
+    about = {r["feature"]: r for r in bounded_rows(sizes.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("levels"), F.sum("n").alias("rows"),
+        F.max(F.struct(-F.col("n"), "level")).alias("last")), len(cols), "columns")}
+    cols = [c for c in cols if c in about]
+    if not cols:
+        return spark.createDataFrame([], "feature string, vif double, verdict string")
+    big = max(cols, key=lambda c: about[c]["levels"])
+    rest = [c for c in cols if c != big]
+    small = _SmallLevels(rest, bounded_rows(
+        sizes.filter(F.col("feature").isin(rest)), DENSE_LEVELS, "levels beside the largest column"))
+    pairs = _level_pairs(spark, texts, [big, *rest])
+    own = sizes.filter((F.col("feature") == big) & (F.col("level") != about[big]["last"]["level"]))
+    rows, last = about[big]["rows"], -about[big]["last"][0] / about[big]["rows"]
+    prefix = f"{big}="
+    if not small.names:
+        p = F.col("n") / F.lit(float(rows))
+        found = own.select(F.concat(F.lit(prefix), "level").alias("feature"),
+                           ((1 - p) + p * (1 - p) / F.lit(last)).alias("vif"))
+        return found.withColumn("verdict", vif_verdict(F.col("vif")))
+
+    # At most DENSE_LEVELS rows each: places of the levels, and counts where ``big`` is known too.
+    places = F.broadcast(spark.createDataFrame(
+        [(c, level, i) for i, (c, level) in enumerate(small.all)], "_c string, _l string, place int"))
+    with_big = pairs.filter(F.col("a") == big).join(
+        places, (F.col("b") == F.col("_c")) & (F.col("y") == F.col("_l"))).select("x", "place", "n")
+    beside = np.zeros(len(small.all))
+    for r in bounded_rows(with_big.groupBy("place").agg(F.sum("n").alias("n")),
+                          len(small.all), "levels"):
+        beside[r["place"]] = r["n"]
+    lists = with_big.groupBy("x").agg(F.collect_list("place").alias("places"),
+                                      F.collect_list("n").alias("counts"))
+    table = own.join(lists, F.col("level") == F.col("x"), "left").select(
+        "level", "n", "places", "counts")
+    correlations = small.correlations_with(beside)
+    width = len(small.names)
+
+    def weighed(batch: pa.RecordBatch) -> np.ndarray:
+        out = np.zeros((width + 1, width))
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            r, p = correlations(part), part["n"].to_numpy() / rows
+            out[:-1] += r.T @ (r * (1 - p)[:, None])
+            out[-1] += np.sqrt(p * (1 - p)) @ r
+        return out
+
+    sums = summed_matrix(table, weighed, (width + 1, width))
+    along = sums[-1]
+    block = small.matrix(bounded_rows(pairs.filter(F.col("a") != big), DENSE_LEVELS ** 2, "pairs"))
+    schur = block - sums[:-1] - np.outer(along, along) / last
+    weights, vectors = np.linalg.eigh((schur + schur.T) / 2)
+    real = weights > 1e-9 * width
+    inverse = (vectors[:, real] / weights[real]) @ vectors[:, real].T
+    lost = vectors[:, ~real]
+    values = np.where((lost ** 2).sum(axis=1) > 1e-9, np.inf, np.diag(inverse))
+
+    def factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                r, p = correlations(part), part["n"].to_numpy() / rows
+                u = r * (1 - p)[:, None] + np.outer(np.sqrt(p * (1 - p)), along) / last
+                vif = (1 - p) + p * (1 - p) / last + ((u @ inverse) * u).sum(axis=1)
+                vif = np.where(((u @ lost) ** 2).sum(axis=1) > 1e-9, np.inf, vif)
+                names = [prefix + x for x in part["level"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(vif)], ["feature", "vif"])
+
+    found = table.mapInArrow(factors, "feature string, vif double").unionByName(spark.createDataFrame(
+        [(f"{c}={level}", float(v)) for (c, level), v in zip(small.names, values)],
+        "feature string, vif double"))
+    return found.withColumn("verdict", vif_verdict(F.col("vif")))
+
+
+def _level_pairs(spark, texts: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(a, x, b, y, n): rows with level x of column a and y of a later column b."""
+    shape = "a string, x string, b string, y string, n long"
+    both = [F.struct(F.lit(a).alias("a"), F.col(a).alias("x"), F.lit(b).alias("b"), F.col(b).alias("y"))
+            for i, a in enumerate(cols) for b in cols[i + 1:]]
+    if not both:
+        return spark.createDataFrame([], shape)
+    rows = texts.select(F.inline(F.array(*both))).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
+    return checkpointed(rows.groupBy("a", "x", "b", "y").agg(F.count(F.lit(1)).alias("n")))
+
+
+class _SmallLevels:
+    """The levels of all columns but the largest, with their places; names leave references out."""
+
+    def __init__(self, cols: Sequence[str], rows: Sequence):
+        self.cols = list(cols)
+        found = {c: sorted((r for r in rows if r["feature"] == c), key=lambda r: (-r["n"], r["level"]))
+                 for c in cols}
+        self.all = [(c, r["level"]) for c in cols for r in found[c]]
+        self.n = np.array([r["n"] for c in cols for r in found[c]], dtype=float)
+        self.of = np.array([i for i, c in enumerate(cols) for _ in found[c]], dtype=int)
+        # Every level but the last of its column, which is the reference.
+        self.keep = np.flatnonzero(np.append(self.of[1:] == self.of[:-1], False)[:len(self.of)])
+        self.names = [self.all[i] for i in self.keep]
+
+    def correlations_with(self, beside: np.ndarray):
+        """A function of a batch (n, places, counts) of levels of the largest column."""
+        of, keep, k = self.of, self.keep, len(self.cols)
+        rows = np.bincount(of, beside, minlength=k)
+
+        def correlations(batch: pa.RecordBatch) -> np.ndarray:
+            both = np.zeros((batch.num_rows, len(of)))
+            for i, (places, counts) in enumerate(zip(batch["places"], batch["counts"])):
+                if places.is_valid:
+                    both[i, places.values.to_numpy()] = counts.values.to_numpy()
+            mine = np.stack([both[:, of == c].sum(axis=1) for c in range(k)], axis=1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                p, q = (mine / rows)[:, of[keep]], (beside / rows[of])[keep]
+                cov = both[:, keep] / rows[of[keep]] - p * q
+                return np.nan_to_num(cov / np.sqrt(p * (1 - p) * q * (1 - q)), posinf=0.0, neginf=0.0)
+
+        return correlations
+
+    def matrix(self, pairs: Sequence) -> np.ndarray:
+        """Correlations of the named levels, from the counts of pairs of different columns."""
+        at = {name: i for i, name in enumerate(self.all)}
+        both = np.zeros((len(at), len(at)))
+        for r in pairs:
+            both[at[r["a"], r["x"]], at[r["b"], r["y"]]] = r["n"]
+        out = np.eye(len(self.all))
+        where = [np.flatnonzero(self.of == i) for i in range(len(self.cols))]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for i, mine in enumerate(where):
+                odds = np.sqrt((p := self.n[mine] / self.n[mine].sum()) / (1 - p))
+                block = -np.outer(odds, odds)
+                np.fill_diagonal(block, 1.0)
+                out[np.ix_(mine, mine)] = block
+                for theirs in where[i + 1:]:
+                    joint = both[np.ix_(mine, theirs)]
+                    joint = joint / joint.sum()
+                    p, q = joint.sum(axis=1), joint.sum(axis=0)
+                    r = (joint - np.outer(p, q)) / np.sqrt(np.outer(p * (1 - p), q * (1 - q)))
+                    out[np.ix_(mine, theirs)] = r
+                    out[np.ix_(theirs, mine)] = r.T
+        return np.nan_to_num(out[np.ix_(self.keep, self.keep)], posinf=0.0, neginf=0.0)
 
 
 class _Inverse:

@@ -303,6 +303,55 @@ def test_mice_equals_columns_one_after_the_other(spark, width):
         assert np.allclose(have, want, rtol=1e-6, atol=1e-5)
 
 
+def _dummy_vif(rows, cols):
+    """Dense rebuild: every 0/1 column, correlations per pair of columns over rows where both are known."""
+    names, data = [], []
+    for i, c in enumerate(cols):
+        seen = [r[i] for r in rows if r[i] is not None]
+        levels = sorted(set(seen), key=lambda x: (-seen.count(x), x))
+        for level in levels[:-1]:
+            names.append(f"{c}={level}")
+            data.append([math.nan if r[i] is None else float(r[i] == level) for r in rows])
+    x = np.array(data)
+    m = np.eye(len(x))
+    for i in range(len(x)):
+        for j in range(i):
+            both = ~np.isnan(x[i]) & ~np.isnan(x[j])
+            m[i, j] = m[j, i] = np.corrcoef(x[i][both], x[j][both])[0, 1]
+    return dict(zip(names, association.vif_from(m)))
+
+
+@pytest.mark.parametrize("holes", [0.0, 0.1])
+def test_categorical_vif_equals_dense_matrix(spark, holes):
+    rng = random.Random(3)
+    rows = []
+    for _ in range(3000):
+        a = min(int(rng.expovariate(0.15)), 30)
+        row = [f"a{a}", f"b{(a + rng.randrange(4)) % 5}", f"c{rng.randrange(3)}", "only"]
+        rows.append(tuple(None if rng.random() < holes else v for v in row))
+    names = ["a", "b", "c", "d"]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names))
+    got = {r["feature"]: r["vif"] for r in association.vif_categorical(df, names).collect()}
+    want = _dummy_vif(rows, names)
+    assert got.keys() == want.keys()
+    for k in want:
+        assert got[k] == pytest.approx(want[k], rel=1e-6)
+
+
+def test_categorical_vif_edges(spark, monkeypatch):
+    shape = "a string, b string"
+    assert association.vif_categorical(spark.createDataFrame([], shape), ["a", "b"]).count() == 0
+    rows = [(x, x.upper()) for x in "aabbbbcccccc"]
+    df = spark.createDataFrame(rows, shape)
+    same = association.vif_categorical(df, ["a", "b"]).collect()
+    assert len(same) == 4 and all(math.isinf(r["vif"]) for r in same)
+    alone = {r["feature"]: r["vif"] for r in association.vif_categorical(df, ["a"]).collect()}
+    assert alone == pytest.approx(_dummy_vif(rows, ["a"]))
+    monkeypatch.setattr(association, "DENSE_LEVELS", 2)
+    with pytest.raises(ValueError):
+        association.vif_categorical(df, ["a", "b"])
+
+
 def test_mice_sweep_leaves_out_explained_inputs():
     z = np.random.default_rng(1).normal(size=(50, 3))
     z = np.column_stack([z, z[:, 0] + z[:, 1], z @ [1.0, 2.0, 3.0]])
