@@ -10,7 +10,10 @@ from pyspark.sql import types as T
 
 from scoreflow.functions.core import (bounded_rows, is_missing, known, numeric_columns, ratio,
                                       unpivot)
-from scoreflow.operators.prefix import quantiles
+from scoreflow.operators.prefix import quantiles, running_sums
+
+SKETCH = 2000  # accuracy of the sketch that brackets quantiles: ranks are off by n / SKETCH at most
+MARGIN = 4 / SKETCH
 
 
 def describe(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -85,10 +88,14 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
                      approximate: float | None = None) -> DataFrame:
     """Quantiles per column as rows (feature, prob, value), exact by default.
 
-    ``approximate`` is the relative error of Spark's sketch instead.
+    A sketch brackets each rank first; only values inside a bracket are then counted one by one, the
+    others as rows below a bracket, so that the shuffle carries about ``2 * MARGIN`` of the values for
+    each prob. A rank outside its bracket, which the sketch's bound excludes, is looked up among all
+    values. ``approximate`` is the relative error of Spark's sketch instead. Columns without values
+    have no rows.
     """
     if approximate is None:
-        return quantiles(unpivot(df, cols), "value", probs, ["feature"])
+        return _bracketed(df, list(dict.fromkeys(cols)), sorted({float(p) for p in probs}))
     accuracy = max(1, int(round(1 / approximate)))
     wide = df.agg(*[F.percentile_approx(known(df, c), [float(p) for p in probs],
                                         F.lit(accuracy)).alias(c) for c in cols])
@@ -98,6 +105,64 @@ def column_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
         .alias("prob"), "value")
 
 
+def _bracketed(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
+    spark, shape = df.sparkSession, "feature string, prob double, value double"
+    asked = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-MARGIN, MARGIN)})
+    found = df.agg(*[F.percentile_approx(known(df, c), asked, F.lit(SKETCH)).alias(f"_{i}")
+                     for i, c in enumerate(cols)]).first() if cols and probs else []
+    spans = {c: _spans(probs, dict(zip(asked, found[i]))) for i, c in enumerate(cols) if found[i]} if found else {}
+    if not spans:
+        return spark.createDataFrame([], shape)
+    low = F.lit(float("-inf"))
+    marked = []
+    for c, parts in spans.items():
+        # A value between two brackets counts as the end of the one below it.
+        x, place = known(df, c), low
+        for start, end in parts:
+            place = F.when(x > end, F.lit(end)).when(x >= start, x).otherwise(place)
+        place = F.when(x.isNotNull(), place)
+        marked.append(F.struct(place.alias("value"), (x == place).alias("own")).alias(c))
+    counts = df.select(*marked).unpivot([], list(spans), "feature", "s").filter(
+        F.col("s.value").isNotNull()).groupBy("feature", "s.value").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("s.own").alias("own"))
+    run = running_sums(counts, "value", ["n"], ["feature"])
+    place = lambda p: F.lit(p) * (F.col("tot_n") - 1)
+    ranks = F.inline(F.array(*[
+        F.struct(F.lit(p).alias("prob"), F.lit(upper).alias("upper"),
+                 ((F.ceil(place(p)) if upper else F.floor(place(p))) + 1).alias("rank"),
+                 (place(p) - F.floor(place(p))).alias("w")) for p in probs for upper in (False, True)]))
+    first = F.col("cum_n") - F.col("n")
+    hits = run.select("*", ranks).filter((F.col("rank") > first) & (F.col("rank") <= F.col("cum_n")))
+    rows = bounded_rows(hits.select(
+        "feature", "prob", "upper", "value", "w", (F.col("rank") <= first + F.col("own")).alias("sure")),
+        2 * len(cols) * len(probs), "quantiles")
+    unsure = {r["feature"] for r in rows if not r["sure"]}
+    ends = {(r["feature"], r["prob"], r["upper"]): r for r in rows if r["feature"] not in unsure}
+    out = []
+    for (c, p, upper), r in ends.items():
+        if not upper:
+            gap = ends[c, p, True]["value"] - r["value"]
+            out.append((c, p, r["value"] + gap * r["w"] if gap else r["value"]))
+    table = spark.createDataFrame(out, shape)
+    if unsure:
+        table = table.unionByName(quantiles(unpivot(df, sorted(unsure)), "value", probs, ["feature"]).select(
+            "feature", F.col("prob").cast("double"), F.col("value").cast("double")))
+    return table
+
+
+def _spans(probs: list[float], at: dict[float, float]) -> list[tuple[float, float]]:
+    """Brackets of the probs as disjoint ranges of values; the outermost are open."""
+    parts: list[tuple[float, float]] = []
+    for p in probs:
+        start = at[p - MARGIN] if p - MARGIN > 0 else float("-inf")
+        end = at[p + MARGIN] if p + MARGIN < 1 else float("inf")
+        if parts and start <= parts[-1][1]:
+            parts[-1] = (parts[-1][0], max(end, parts[-1][1]))
+        else:
+            parts.append((start, end))
+    return parts
+
+
 def medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Exact median per column."""
     return column_quantiles(df, cols, [0.5]).select("feature", F.col("value").alias("median"))

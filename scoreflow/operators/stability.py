@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoreflow.functions.core import bounded_rows, edge_bin, equal_width_bin, known, month_of
-from scoreflow.operators.prefix import quantiles
+from scoreflow.functions.core import (bounded_rows, checkpointed, edge_bin, equal_width_bin, known,
+                                      month_of)
+from scoreflow.operators.prefix import quantiles, running_sums
 from scoreflow.operators.profile import column_quantiles, median_fill
 
 EPSILON = 1e-6
@@ -181,9 +184,10 @@ def psi_mean_by_month(df: DataFrame, date: str, features: Sequence[str],
                       baseline_months: int = 3, bins: int = 10, limit: float = 0.1) -> DataFrame:
     """D3: mean over the later months of the two-sample index against the baseline.
 
-    Edges are equal-width over baseline and month together, so they differ by month:
-    values are counted once per (feature, month, value) and the baseline is binned once per
-    set of edges, from its distinct values.
+    Edges are equal-width over baseline and month together, so they differ by month: values of the
+    later months are counted once per (feature, month, value). The baseline's rows below each edge are
+    looked up in its running counts, where the edges stand as values of their own; that makes
+    features x months x bins rows, whatever the number of values.
     """
     features = list(features)
     base, later = split_baseline(df, date, baseline_months)
@@ -195,32 +199,77 @@ def psi_mean_by_month(df: DataFrame, date: str, features: Sequence[str],
         F.col("value").isNotNull()).groupBy("feature", "month", "value").agg(
         F.count(F.lit(1)).alias("n"))
     baseline = _filled(base.select(*features), features).unpivot(
-        [], features, "feature", "value").filter(F.col("value").isNotNull()).groupBy(
-        "feature", "value").agg(F.count(F.lit(1)).alias("n"))
-    base_ends = baseline.groupBy("feature").agg(F.min("value").alias("blo"),
-                                                F.max("value").alias("bhi"))
+        [], features, "feature", "value").filter(F.col("value").isNotNull())
+    base_ends = baseline.groupBy("feature").agg(
+        F.min("value").alias("blo"), F.max("value").alias("bhi"), F.count(F.lit(1)).alias("total"))
     # One row per (feature, month): the edges of that comparison.
-    ends = current.groupBy("feature", "month").agg(
+    grid = current.groupBy("feature", "month").agg(
         F.min("value").alias("lo"), F.max("value").alias("hi")).join(base_ends, "feature").select(
-        "feature", "month", F.least("lo", "blo").alias("lo"), F.greatest("hi", "bhi").alias("hi"))
+        "feature", "month", F.least("lo", "blo").alias("lo"), F.greatest("hi", "bhi").alias("hi"), "total")
     slot = equal_width_bin(F.col("value"), F.col("lo"), F.col("hi"), bins)
-    grid = ends  # features x months rows
     month_side = current.join(grid, ["feature", "month"]).groupBy(
         "feature", "month", slot.alias("bin")).agg(
         F.lit(0).cast("long").alias("base"), F.sum("n").alias("current"))
     # Months that stay inside the baseline range share one set of edges.
-    sets = ends.select("feature", "lo", "hi").distinct()
-    base_side = baseline.join(sets, "feature").groupBy(
-        "feature", "lo", "hi", slot.alias("bin")).agg(F.sum("n").alias("base"))
-    base_side = base_side.join(grid, ["feature", "lo", "hi"]).select(
+    sets = checkpointed(grid.select("feature", "lo", "hi", "total").distinct())
+    starts = checkpointed(sets.mapInArrow(lambda batches: _edge_rows(batches, bins),
+                                          "feature string, lo double, hi double, bin int, value double"))
+    counts = baseline.select("feature", "value", F.lit(1).alias("n"), F.lit(False).alias("edge")).unionByName(
+        starts.select("feature", "value", F.lit(0).alias("n"), F.lit(True).alias("edge"))).groupBy(
+        "feature", "value").agg(F.sum("n").alias("n"), F.max("edge").alias("edge"))
+    run = running_sums(counts, "value", ["n"], ["feature"]).filter("edge").select(
+        "feature", "value", (F.col("cum_n") - F.col("n")).alias("below"))
+    below = starts.join(run, ["feature", "value"]).groupBy("feature", "lo", "hi").agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "below"))).alias("below"))
+    # An edge that no value reaches has every row below it.
+    under = lambda b: F.when(b <= 0, F.lit(0).cast("long")).otherwise(
+        F.coalesce(F.element_at("below", b), F.col("total")))
+    cells = sets.join(below, ["feature", "lo", "hi"], "left").withColumn(
+        "bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+    cells = cells.select("feature", "lo", "hi", "bin",
+                         (under(F.col("bin") + 1) - under(F.col("bin"))).alias("base"))
+    base_side = cells.join(grid, ["feature", "lo", "hi"]).select(
         "feature", "month", "bin", "base", F.lit(0).cast("long").alias("current"))
-    counts = month_side.unionByName(base_side).groupBy("feature", "month", "bin").agg(
+    both = month_side.unionByName(base_side).groupBy("feature", "month", "bin").agg(
         F.sum("base").alias("base"), F.sum("current").alias("current"))
-    mean = _two_sample(counts, ["feature", "month"], bins).groupBy("feature").agg(
+    mean = _two_sample(both, ["feature", "month"], bins).groupBy("feature").agg(
         F.avg("psi").alias("psi"))
     return mean.withColumn("stable", F.col("psi") < limit)
 
 
+def bin_starts(lo: np.ndarray, hi: np.ndarray, bins: int) -> np.ndarray:
+    """The smallest double of each equal-width bin but the first, found by halving.
+
+    Comparing with it is the same as the rounded division of F10; infinite without a width.
+    """
+    order = lambda x: np.where((i := x.view(np.int64)) < 0, np.int64(-2 ** 63) - i, i)
+    value = lambda i: np.where(i < 0, np.int64(-2 ** 63) - i, i).view(np.float64)
+    width = ((hi - lo) / float(bins))[:, None]
+    steps = np.arange(1, bins)[None, :]
+    flat = np.broadcast_to(width <= 0, (len(lo), bins - 1))
+    low = np.repeat(order(lo + 0.0)[:, None], bins - 1, axis=1)
+    high = np.repeat(order(hi + 0.0)[:, None], bins - 1, axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        while (low < high).any():
+            middle = (low >> 1) + (high >> 1) + (low & high & 1)
+            inside = np.floor((value(middle) - lo[:, None]) / width) >= steps
+            high = np.where(inside, middle, high)
+            low = np.where(inside, low, np.minimum(middle + 1, high))
+        reached = np.floor((value(high) - lo[:, None]) / width) >= steps
+    return np.where(flat | ~reached, np.inf, value(high))
+
+
+def _edge_rows(batches: Iterator[pa.RecordBatch], bins: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        lo, hi = batch["lo"].to_numpy(), batch["hi"].to_numpy()
+        starts = bin_starts(lo, hi, bins)
+        row, step = np.nonzero(np.isfinite(starts))
+        yield pa.RecordBatch.from_arrays(
+            [batch["feature"].take(pa.array(row)), pa.array(lo[row]), pa.array(hi[row]),
+             pa.array((step + 1).astype(np.int32)), pa.array(starts[row, step])],
+            ["feature", "lo", "hi", "bin", "value"])
+
+
 def stability_filter(psi: DataFrame, limit: float = 0.1) -> DataFrame:
     """Report rows from a table (feature, psi)."""
     status = F.when(F.col("psi") < limit, "kept").otherwise("removed")

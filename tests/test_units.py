@@ -183,6 +183,42 @@ def test_feature_sets(spark):
     assert got == {"renda": "both", "idade": "only_a", "limite": "only_b"}
 
 
+def test_bin_starts_agree_with_division():
+    rng = np.random.default_rng(2)
+    lo = np.concatenate([[0.0, 1.0, -5.0, 2.0, -1e-9, 0.0], rng.normal(size=200) * 10.0 ** rng.integers(-6, 7, 200)])
+    hi = lo + np.concatenate([[0.1, 48.0, 10.0, 0.0, 1.0, 0.07], rng.random(200) * 10.0 ** rng.integers(-3, 7, 200)])
+    starts = stability.bin_starts(lo, hi, 10)
+    assert np.isinf(starts[3]).all()
+    for a, b, row in zip(lo, hi, starts):
+        width = (b - a) / 10.0
+        for k, v in enumerate(row, 1):
+            if np.isfinite(v):
+                assert np.floor((v - a) / width) >= k > np.floor((np.nextafter(v, -np.inf) - a) / width)
+
+
+@pytest.mark.parametrize("sketch", [2000, 3])
+def test_bracketed_quantiles_are_exact(spark, sketch, monkeypatch):
+    """Also with a sketch so coarse that ranks leave their brackets."""
+    monkeypatch.setattr(profile, "SKETCH", sketch)
+    monkeypatch.setattr(profile, "MARGIN", 4 / 2000)
+    rng = np.random.default_rng(5)
+    n = 6000
+    wide, ties = rng.normal(size=n) * 1e6, rng.integers(0, 4, n) * 0.1
+    holes = np.where(rng.random(n) < 0.4, np.nan, rng.exponential(size=n))
+    rows = [(float(wide[i]), float(ties[i]), float(holes[i]), None, 7) for i in range(n)]
+    df = spark.createDataFrame(rows, "wide double, ties double, holes double, none double, same int").repartition(5)
+    probs = [0.0, 0.001, 0.25, 0.5, 0.5004, 0.9, 1.0]
+    got = {(r["feature"], r["prob"]): r["value"] for r in profile.column_quantiles(
+        df, df.columns, probs).collect()}
+    assert len(got) == 4 * len(probs)
+    for name, x in (("wide", wide), ("ties", ties), ("holes", holes[~np.isnan(holes)]), ("same", np.full(n, 7.0))):
+        for p in probs:
+            assert got[name, p] == pytest.approx(np.quantile(x, p), rel=1e-12, abs=1e-12)
+    assert profile.column_quantiles(df.limit(0), ["wide"], [0.5]).count() == 0
+    few = profile.column_quantiles(df.filter("same = 7").limit(3), ["wide"], [0.1, 0.9])
+    assert few.count() == 2
+
+
 def test_psi_of_equal_samples_is_zero(spark):
     df, _ = scored(spark)
     assert stability.psi_two_sample(df, df, ["score"]).first()["psi"] == pytest.approx(0.0)
