@@ -184,10 +184,11 @@ def psi_mean_by_month(df: DataFrame, date: str, features: Sequence[str],
                       baseline_months: int = 3, bins: int = 10, limit: float = 0.1) -> DataFrame:
     """D3: mean over the later months of the two-sample index against the baseline.
 
-    Edges are equal-width over baseline and month together, so they differ by month: values of the
-    later months are counted once per (feature, month, value). The baseline's rows below each edge are
+    Edges are equal-width over baseline and month together, so they differ by month: one pass finds
+    them, another counts the rows of the later months by bin. The baseline's rows below each edge are
     looked up in its running counts, where the edges stand as values of their own; that makes
-    features x months x bins rows, whatever the number of values.
+    features x months x bins rows, whatever the number of values. The ends (features x calendar
+    months rows) are broadcast.
     """
     features = list(features)
     base, later = split_baseline(df, date, baseline_months)
@@ -196,22 +197,21 @@ def psi_mean_by_month(df: DataFrame, date: str, features: Sequence[str],
         F.coalesce(known(later, f), F.lit(whole_fill.get(f)).cast("double")).alias(f)
         for f in features])
     current = filled_later.unpivot(["month"], features, "feature", "value").filter(
-        F.col("value").isNotNull()).groupBy("feature", "month", "value").agg(
-        F.count(F.lit(1)).alias("n"))
+        F.col("value").isNotNull())
     baseline = _filled(base.select(*features), features).unpivot(
         [], features, "feature", "value").filter(F.col("value").isNotNull())
     base_ends = baseline.groupBy("feature").agg(
         F.min("value").alias("blo"), F.max("value").alias("bhi"), F.count(F.lit(1)).alias("total"))
     # One row per (feature, month): the edges of that comparison.
-    grid = current.groupBy("feature", "month").agg(
+    grid = checkpointed(current.groupBy("feature", "month").agg(
         F.min("value").alias("lo"), F.max("value").alias("hi")).join(base_ends, "feature").select(
-        "feature", "month", F.least("lo", "blo").alias("lo"), F.greatest("hi", "bhi").alias("hi"), "total")
+        "feature", "month", F.least("lo", "blo").alias("lo"), F.greatest("hi", "bhi").alias("hi"), "total"))
     slot = equal_width_bin(F.col("value"), F.col("lo"), F.col("hi"), bins)
-    month_side = current.join(grid, ["feature", "month"]).groupBy(
+    month_side = current.join(F.broadcast(grid), ["feature", "month"]).groupBy(
         "feature", "month", slot.alias("bin")).agg(
-        F.lit(0).cast("long").alias("base"), F.sum("n").alias("current"))
+        F.lit(0).cast("long").alias("base"), F.count(F.lit(1)).alias("current"))
     # Months that stay inside the baseline range share one set of edges.
-    sets = checkpointed(grid.select("feature", "lo", "hi", "total").distinct())
+    sets = grid.select("feature", "lo", "hi", "total").distinct()
     starts = checkpointed(sets.mapInArrow(lambda batches: _edge_rows(batches, bins),
                                           "feature string, lo double, hi double, bin int, value double"))
     counts = baseline.select("feature", "value", F.lit(1).alias("n"), F.lit(False).alias("edge")).unionByName(
