@@ -8,6 +8,8 @@ logistic model without penalty and a tree of depth one both predict the bad rate
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
 from scoreflow.catalog.base_queries import scratch
@@ -16,6 +18,7 @@ from scoreflow.catalog.registry import query
 from scoreflow.operators import explain
 from scoreflow.operators.sampling import split
 from scoreflow.plans import models, tuning
+from scoreflow.plans.wrapper import wrapper_select
 from scoreflow.sources import runlog
 
 TARGET_SQL = f"CAST({SCORE_SQL} + CAST(day(l_shipdate) AS DOUBLE) / 31.0 > 1.2 AS INTEGER)"
@@ -212,6 +215,118 @@ def _(spark, d):
     return trials.select("trial", F.round("value", 5).alias("value"))
 
 
+# A logistic model of two 0/1 inputs and their product gives the rate of each of the four cells, so
+# the value of every drawn threshold follows from the rates.
+CELLS, SPACE = ["x", "y", "xy"], {"threshold": (0.05, 0.95)}
+
+
+def cells(spark, d):
+    return two_valued(spark, d).withColumn("xy", F.col("x") * F.col("y"))
+
+
+def drawn(n, seed=42):
+    """The thresholds that a search draws, as rows (trial, t, params) of SQL."""
+    rng = random.Random(seed)
+    points = [tuning.draw(SPACE, rng) for _ in range(n)]
+    rows = ", ".join("({}, CAST('{!r}' AS DOUBLE), '{}')".format(
+        i, p["threshold"], str(sorted(p.items())).replace("'", "''")) for i, p in enumerate(points))
+    return f"drawn(trial, t, params) AS (VALUES {rows})"
+
+
+def cell_rates(name, rows):
+    return f"{name} AS (SELECT x, y, avg(target) AS p FROM {rows} GROUP BY 1, 2)"
+
+
+HIT = "avg(CAST((p > t) = (target = 1) AS INTEGER))"
+SPLIT_SQL = ("tr AS (SELECT * FROM marked WHERE train)", "te AS (SELECT * FROM marked WHERE NOT train)")
+BEST = "(SELECT trial FROM v ORDER BY round(value, 9) DESC, trial LIMIT 1)"
+
+
+@query("t14_search_thresholds", with_sql(
+    TWO_SQL, *SPLIT_SQL, cell_rates("r", "tr"), drawn(10),
+    f"v AS (SELECT trial, params, {HIT} AS value FROM te JOIN r USING (x, y), drawn GROUP BY 1, 2)") + f"""
+SELECT CAST(trial AS INTEGER) AS trial, params, round(value, 5) AS value, trial = {BEST} AS best FROM v""")
+def _(spark, d):
+    """Every draw has its own value; the winner and its parameters are checked."""
+    train, test = split(cells(spark, d), "id")
+    best, trials = tuning.search("logistic", train, test, "id", CELLS, "target", "accuracy", space=SPACE)
+    return trials.select("trial", "params", F.round("value", 5).alias("value"),
+                         (F.col("params") == str(sorted(best.items()))).alias("best"))
+
+
+@query("t14_search_thresholds_folds", with_sql(
+    TWO_SQL, f"f AS (SELECT *, {FOLD_SQL.replace('% 5', '% 3')} AS fold FROM two)", drawn(4),
+    "r AS (SELECT k.fold, x, y, avg(target) AS p FROM (SELECT DISTINCT fold FROM f) k "
+    "JOIN f ON f.fold <> k.fold GROUP BY 1, 2, 3)",
+    f"w AS (SELECT trial, fold, {HIT} AS value FROM f JOIN r USING (fold, x, y), drawn GROUP BY 1, 2)",
+    "v AS (SELECT trial, avg(value) AS value FROM w GROUP BY 1)") + f"""
+SELECT CAST(trial AS INTEGER) AS trial, round(value, 5) AS value, trial = {BEST} AS best FROM v""")
+def _(spark, d):
+    """Without a test frame every draw is measured by cross-validation."""
+    best, trials = tuning.search("logistic", cells(spark, d), None, "id", CELLS, "target", "accuracy", 4,
+                                 space=SPACE)
+    return trials.select("trial", F.round("value", 5).alias("value"),
+                         (F.col("params") == str(sorted(best.items()))).alias("best"))
+
+
+@query("t11_compare_tuned", with_sql(
+    TWO_SQL, *SPLIT_SQL, cell_rates("r", "tr"), drawn(10),
+    f"v AS (SELECT trial, t, {HIT} AS value FROM te JOIN r USING (x, y), drawn GROUP BY 1, 2)",
+    f"m AS (SELECT {HIT} AS value FROM te JOIN r USING (x, y), (SELECT 0.5 AS t) q)") + f"""
+SELECT 'logistic' AS model, round(value, 5) AS accuracy, 0.5 AS threshold FROM m
+UNION ALL SELECT 'logistic_tuned', round(value, 5), round(t, 6) FROM v WHERE trial = {BEST}""")
+def _(spark, d):
+    """The winner is tuned, fitted again with the best draw and measured."""
+    done = tuning.compare_models(cells(spark, d), "id", CELLS, "target", {"logistic": {}}, "accuracy", space=SPACE)
+    found = F.when(F.col("model") == done.best, round(done.params["threshold"], 6)).otherwise(0.5)
+    return done.board.filter("metric = 'accuracy'").select(
+        "model", F.round("value", 5).alias("accuracy"), found.alias("threshold"))
+
+
+@query("t13_t15_tuned_out_of_time", with_sql(
+    TWO_SQL, "dev AS (SELECT * FROM two WHERE l_shipdate < '2000-07-01')",
+    "oot AS (SELECT * FROM two WHERE l_shipdate >= '2000-07-01')",
+    f"f AS (SELECT *, {FOLD_SQL.replace('% 5', '% 3')} AS fold FROM dev)", drawn(4),
+    "fr AS (SELECT k.fold, x, y, avg(target) AS p FROM (SELECT DISTINCT fold FROM f) k "
+    "JOIN f ON f.fold <> k.fold GROUP BY 1, 2, 3)",
+    f"w AS (SELECT trial, t, fold, {HIT} AS value FROM f JOIN fr USING (fold, x, y), drawn GROUP BY 1, 2, 3)",
+    "v AS (SELECT trial, t, avg(value) AS value FROM w GROUP BY 1, 2)", cell_rates("r", "dev"),
+    f"q AS (SELECT 'logistic' AS model, 0.5 AS t UNION ALL SELECT 'logistic_tuned', t FROM v WHERE trial = {BEST})")
+    + f"""SELECT model, round({HIT}, 5) AS accuracy, round(t, 6) AS threshold FROM oot JOIN r USING (x, y), q
+ GROUP BY model, t""")
+def _(spark, d):
+    """Tuned by cross-validation on the development rows, fitted on all of them, measured out of time."""
+    df = cells(spark, d)
+    first = F.col("l_shipdate") < F.lit("2000-07-01").cast("date")
+    done = tuning.dev_oot_run(df.filter(first), df.filter(~first), "id", CELLS, "target", {"logistic": {}},
+                              "accuracy", folds=2, n_trials=4, space=SPACE)
+    found = F.when(F.col("model") == done.best, round(done.params["threshold"], 6)).otherwise(0.5)
+    return done.board.filter("metric = 'accuracy' AND split = 'oot'").select(
+        "model", F.round("value", 5).alias("accuracy"), found.alias("threshold"))
+
+
+def _alone_sql(col):
+    return f"""SELECT '{col}' AS feature, abs(avg({col}) FILTER (target = 1) - avg({col}) FILTER (target = 0)) AS ks
+ FROM k WHERE substr(md5(id || '|42'), 1, 8) < '4ccccccd'"""
+
+
+@query("g4_g5_best_of_three", with_sql(
+    f"k AS (SELECT {LINE_ID_SQL} AS id, {TARGET_SQL} AS target, CAST(l_discount >= 0.05 AS INTEGER) AS x, "
+    "CAST(l_tax >= 0.04 AS INTEGER) AS y, CAST(l_quantity >= 25 AS INTEGER) AS z FROM lineitem)",
+    "v AS (" + " UNION ALL ".join(_alone_sql(c) for c in "xyz") + ")") + """
+SELECT feature, round(ks, 5) AS ks, round(0.01 - ks, 5) AS fitness FROM v ORDER BY ks DESC, feature LIMIT 1""")
+def _(spark, d):
+    """A tree of depth one gains nothing from a second input that costs 0.01, so the best of the seven
+    masks is the input with the largest KS alone. The first positions hold every mask."""
+    df = lines(spark, d).select("id", target(), *[(F.col(c) >= v).cast("int").alias(n) for c, v, n in (
+        ("l_discount", 0.05, "x"), ("l_tax", 0.04, "y"), ("l_quantity", 25, "z"))])
+    names, history = wrapper_select(df, "id", list("xyz"), "target", particles=40, iters=3, family="tree",
+                                    params={"maxDepth": 1}, parallelism=4)
+    last = history.filter("iteration = 2")
+    return last.select(F.lit(",".join(names)).alias("feature"), F.round("ks", 5).alias("ks"),
+                       F.round("fitness", 5).alias("fitness"))
+
+
 @query("t16_s9_tracked_rates", with_sql(
     TWO_SQL, "tr AS (SELECT * FROM marked WHERE train)", "te AS (SELECT * FROM marked WHERE NOT train)",
     rates_sql("r", "tr"), f"m AS ({measured_sql('te', 'r')})") + f"""

@@ -139,7 +139,7 @@ class Comparison:
     models: dict[str, PipelineModel] = field(default_factory=dict)
 
 
-def _each(tasks: Sequence[Callable[[], Any]], parallelism: int) -> list[Any]:
+def each(tasks: Sequence[Callable[[], Any]], parallelism: int) -> list[Any]:
     """Run Spark jobs one after the other, or a few at once as ``CrossValidator`` does."""
     if parallelism <= 1:
         return [t() for t in tasks]
@@ -193,7 +193,7 @@ def search(name: str, train: DataFrame, test: DataFrame | None, id_col: str,
             return None, str(error)
         return found.get(metric), None
 
-    done = _each([lambda p=p: trial(p) for p in points], parallelism)
+    done = each([lambda p=p: trial(p) for p in points], parallelism)
     values = [v for v, _ in done]
     usable = [(v, -i) for i, v in enumerate(values) if v is not None]
     if not usable:

@@ -10,7 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 
 from scoreflow.operators.sampling import split
-from scoreflow.plans.tuning import fit_measure
+from scoreflow.plans.tuning import each, fit_measure
 
 HISTORY = "iteration int, fitness double, ks double, n_features int"
 
@@ -18,30 +18,35 @@ HISTORY = "iteration int, fitness double, ks double, n_features int"
 def wrapper_select(df: DataFrame, id_col: str, cols: Sequence[str], target: str,
                    particles: int = 30, iters: int = 50, penalty: float = 0.01,
                    family: str = "boosted", params: Mapping[str, Any] | None = None,
-                   seed: int = 42) -> tuple[list[str], DataFrame]:
+                   seed: int = 42, parallelism: int = 1) -> tuple[list[str], DataFrame]:
     """Minimise -KS + penalty * features; returns (features, history).
 
     The state of the swarm is particles x columns numbers on the driver. The value of a
     mask is one Spark fit on the training rows and the KS on the held-out rows; masks are
-    never fitted twice. A column is in when its position is above one half.
+    never fitted twice. The positions of an iteration do not depend on each other's values, so its
+    new masks are fitted ``parallelism`` at a time with the same result. A column is in when its
+    position is above one half.
     """
     cols, rng = list(cols), random.Random(seed)
     train, test = split(df.select(id_col, target, *cols), id_col, 0.3, seed)
     train, test = train.persist(), test.persist()
     seen: dict[tuple[bool, ...], float] = {}
 
+    def mask_of(position: list[float]) -> tuple[bool, ...]:
+        return tuple(x > 0.5 for x in position)
+
     def ks_of(mask: tuple[bool, ...]) -> float:
-        if not any(mask):
-            return 0.0
-        if mask not in seen:
-            chosen = [c for c, used in zip(cols, mask) if used]
-            found = fit_measure(family, params or {}, train, {"t": test}, chosen, target, seed)
-            seen[mask] = found[1]["t"].get("ks") or 0.0
-        return seen[mask]
+        chosen = [c for c, used in zip(cols, mask) if used]
+        found = fit_measure(family, params or {}, train, {"t": test}, chosen, target, seed)
+        return found[1]["t"].get("ks") or 0.0
+
+    def fit_new(positions: list[list[float]]) -> None:
+        new = [m for m in dict.fromkeys(map(mask_of, positions)) if any(m) and m not in seen]
+        seen.update(zip(new, each([lambda m=m: ks_of(m) for m in new], parallelism)))
 
     def fitness(position: list[float]) -> tuple[float, float, int]:
-        mask = tuple(x > 0.5 for x in position)
-        value = ks_of(mask)
+        mask = mask_of(position)
+        value = seen.get(mask, 0.0)
         return -value + penalty * sum(mask), value, sum(mask)
 
     try:
@@ -51,6 +56,7 @@ def wrapper_select(df: DataFrame, id_col: str, cols: Sequence[str], target: str,
         top: tuple = (math.inf, 0.0, 0, places[0])
         history = []
         for step in range(iters):
+            fit_new(places)
             for i, place in enumerate(places):
                 value, ks, size = fitness(place)
                 if value < best[i][0]:

@@ -395,6 +395,19 @@ def test_mice_sweep_leaves_out_explained_inputs():
     assert np.allclose(w, [1, 2, 3, 0])
 
 
+def test_swarm_in_parallel_gives_the_serial_result(spark):
+    rng = random.Random(9)
+    rows = []
+    for i in range(300):
+        x, y = rng.randrange(2), rng.randrange(2)
+        rows.append((str(i), x, y, rng.randrange(2), int(rng.random() < 0.2 + 0.6 * x)))
+    df = spark.createDataFrame(rows, "id string, x int, y int, z int, target int")
+    runs = [wrapper_select(df, "id", ["x", "y", "z"], "target", particles=5, iters=2, family="tree",
+                           params={"maxDepth": 1}, parallelism=p) for p in (1, 4)]
+    assert runs[0][0] == runs[1][0] == ["x"]
+    assert runs[0][1].collect() == runs[1][1].collect()
+
+
 def test_models_store_and_log(spark, tmp_path):
     df, _ = scored(spark, 300, ties=False)
     df = df.withColumn("x2", F.col("score") ** 2)
