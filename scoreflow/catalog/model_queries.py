@@ -14,7 +14,7 @@ from scoreflow.operators.balance import smote
 from scoreflow.operators.sampling import split, weights
 from scoreflow.operators.stability import between_months, months_of
 from scoreflow.plans import models, tuning
-from scoreflow.plans.select import model_filter, select_features
+from scoreflow.plans.select import model_filter
 from scoreflow.plans.wrapper import wrapper_select
 from scoreflow.sources import runlog
 
@@ -251,26 +251,6 @@ def _(spark, d):
 
 
 # Selection -----------------------------------------------------------------------------------
-@query("g1_g2_select_features")
-def _(spark, d):
-    df = missing(spark, d).select("date", *NUMERIC, "rare", "flat")
-    return select_features(df, "date", missing=0.9)[1]
-
-
-@query("g1_select_by_month")
-def _(spark, d):
-    df = missing(spark, d).select("date", "l_quantity", "l_tax", "flat")
-    return select_features(df, "date", by_month=True)[1]
-
-
-@query("g1_select_with_target")
-def _(spark, d):
-    """All steps but the last, on a frame whose discount and quantity tell the classes apart."""
-    df = missing(spark, d).select("date", *NUMERIC, "rare", "flat", (
-        F.col("l_discount") * 10 + F.coalesce("l_quantity", F.lit(0)) / 50 > 1).cast("int").alias("target"))
-    return select_features(df, "date", "target", missing=0.9, use_model=False)[1]
-
-
 @query("g3_model_filter")
 def _(spark, d):
     return model_filter(training(spark, d), LINE, "target", False)

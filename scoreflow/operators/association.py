@@ -116,16 +116,19 @@ def chi_square(df: DataFrame, cols: Sequence[str], target: str) -> DataFrame:
         rows, "feature string, statistic double, dof bigint, p_value double")
 
 
-def correlation_array(df: DataFrame, cols: Sequence[str]) -> np.ndarray:
+def correlation_array(df: DataFrame, cols: Sequence[str], centre: Sequence[float] | None = None) -> np.ndarray:
     """The p x p Pearson matrix, each entry over the rows where both columns are known.
 
     NaN where fewer than two such rows exist or one column does not vary on them. Rows are
-    centred by the column means first; only p x p sums reach the driver.
+    centred by the column means first (``centre``, if they are known already); only p x p sums
+    reach the driver.
     """
     cols = list(cols)
     data = df.select(*[known(df, c).alias(f"c{i}") for i, c in enumerate(cols)])
-    means = data.agg(*[F.avg(c).alias(c) for c in data.columns]).first()
-    centre = np.array([0.0 if m is None else m for m in means])
+    if centre is None:
+        means = data.agg(*[F.avg(c).alias(c) for c in data.columns]).first()
+        centre = [0.0 if m is None else m for m in means]
+    centre = np.array(centre)
     p = len(cols)
 
     def part(batch):
@@ -384,9 +387,10 @@ def select_non_collinear(df: DataFrame, cols: Sequence[str], target: str,
     return chosen
 
 
-def correlation_filter(df: DataFrame, cols: Sequence[str], limit: float = 0.9) -> DataFrame:
+def correlation_filter(df: DataFrame, cols: Sequence[str], limit: float = 0.9,
+                       centre: Sequence[float] | None = None) -> DataFrame:
     """Report rows; a column goes if it is too close to any earlier column."""
-    matrix = np.abs(correlation_array(df, cols))
+    matrix = np.abs(correlation_array(df, cols, centre))
     rows = []
     for j, c in enumerate(cols):
         earlier = matrix[:j, j][~np.isnan(matrix[:j, j])]

@@ -112,7 +112,7 @@ def psi_monthly(df: DataFrame, date: str, features: Sequence[str], bins: int = 1
         F.sum(psi_term(F.col("c"), F.col("b"))).alias("psi"))
 
 
-def _two_sample(counts: DataFrame, keys: Sequence[str], bins: int) -> DataFrame:
+def psi_of_counts(counts: DataFrame, keys: Sequence[str], bins: int) -> DataFrame:
     """PSI per ``keys`` from (keys, bin, base, current) counts, absent bins as zero."""
     cells = counts.groupBy(*keys).agg(
         F.map_from_entries(F.collect_list(F.struct("bin", F.struct("base", "current"))))
@@ -134,7 +134,7 @@ def _filled(df: DataFrame, features: Sequence[str]) -> DataFrame:
         f: F.coalesce(known(df, f), F.lit(fill.get(f)).cast("double")) for f in features})
 
 
-def psi_two_sample(base: DataFrame, current: DataFrame, features: Sequence[str],
+def psipsi_of_counts(base: DataFrame, current: DataFrame, features: Sequence[str],
                    bins: int = 10) -> DataFrame:
     """One index per feature, equal-width bins over both samples.
 
@@ -177,7 +177,7 @@ def psi_of_parts(df: DataFrame, is_base: str | Column, features: Sequence[str],
         for f in features]).unpivot(["_base"], features, "feature", "bin")
     counts = slots.filter(F.col("bin").isNotNull()).groupBy("feature", "bin").agg(
         F.sum("_base").alias("base"), F.sum(1 - F.col("_base")).alias("current"))
-    return _two_sample(counts, ["feature"], bins)
+    return psi_of_counts(counts, ["feature"], bins)
 
 
 def psi_mean_by_month(df: DataFrame, date: str, features: Sequence[str],
@@ -197,11 +197,19 @@ def psi_mean_by_month(df: DataFrame, date: str, features: Sequence[str],
         F.coalesce(known(later, f), F.lit(whole_fill.get(f)).cast("double")).alias(f)
         for f in features])
     current = filled_later.unpivot(["month"], features, "feature", "value").filter(
-        F.col("value").isNotNull())
+        F.col("value").isNotNull()).withColumn("n", F.lit(1))
     baseline = _filled(base.select(*features), features).unpivot(
-        [], features, "feature", "value").filter(F.col("value").isNotNull())
+        [], features, "feature", "value").filter(F.col("value").isNotNull()).withColumn("n", F.lit(1))
+    return mean_index(current, baseline, bins, limit)
+
+
+def mean_index(current: DataFrame, baseline: DataFrame, bins: int = 10, limit: float = 0.1) -> DataFrame:
+    """D3 from rows (feature, month, value, n) of the later months and (feature, value, n) of the baseline.
+
+    ``n`` is the number of rows that a row stands for; no value is missing.
+    """
     base_ends = baseline.groupBy("feature").agg(
-        F.min("value").alias("blo"), F.max("value").alias("bhi"), F.count(F.lit(1)).alias("total"))
+        F.min("value").alias("blo"), F.max("value").alias("bhi"), F.sum("n").alias("total"))
     # One row per (feature, month): the edges of that comparison.
     grid = checkpointed(current.groupBy("feature", "month").agg(
         F.min("value").alias("lo"), F.max("value").alias("hi")).join(base_ends, "feature").select(
@@ -209,12 +217,12 @@ def psi_mean_by_month(df: DataFrame, date: str, features: Sequence[str],
     slot = equal_width_bin(F.col("value"), F.col("lo"), F.col("hi"), bins)
     month_side = current.join(F.broadcast(grid), ["feature", "month"]).groupBy(
         "feature", "month", slot.alias("bin")).agg(
-        F.lit(0).cast("long").alias("base"), F.count(F.lit(1)).alias("current"))
+        F.lit(0).cast("long").alias("base"), F.sum("n").alias("current"))
     # Months that stay inside the baseline range share one set of edges.
     sets = grid.select("feature", "lo", "hi", "total").distinct()
     starts = checkpointed(sets.mapInArrow(lambda batches: _edge_rows(batches, bins),
                                           "feature string, lo double, hi double, bin int, value double"))
-    counts = baseline.select("feature", "value", F.lit(1).alias("n"), F.lit(False).alias("edge")).unionByName(
+    counts = baseline.select("feature", "value", "n", F.lit(False).alias("edge")).unionByName(
         starts.select("feature", "value", F.lit(0).alias("n"), F.lit(True).alias("edge"))).groupBy(
         "feature", "value").agg(F.sum("n").alias("n"), F.max("edge").alias("edge"))
     run = running_sums(counts, "value", ["n"], ["feature"]).filter("edge").select(
@@ -232,7 +240,7 @@ def psi_mean_by_month(df: DataFrame, date: str, features: Sequence[str],
         "feature", "month", "bin", "base", F.lit(0).cast("long").alias("current"))
     both = month_side.unionByName(base_side).groupBy("feature", "month", "bin").agg(
         F.sum("base").alias("base"), F.sum("current").alias("current"))
-    mean = _two_sample(both, ["feature", "month"], bins).groupBy("feature").agg(
+    mean = psi_of_counts(both, ["feature", "month"], bins).groupBy("feature").agg(
         F.avg("psi").alias("psi"))
     return mean.withColumn("stable", F.col("psi") < limit)
 

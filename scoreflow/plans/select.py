@@ -12,8 +12,7 @@ from scoreflow.functions.core import numeric_columns
 from scoreflow.operators import association, clean, stability
 from scoreflow.operators.sampling import weights
 from scoreflow.plans.models import importance, make_model
-
-REPORT = "feature string, test string, status string, value double"
+from scoreflow.plans.shared import REPORT, SharedCounts
 
 
 def report_rows(spark: SparkSession, report: DataFrame, size: int) -> DataFrame:
@@ -50,7 +49,8 @@ def select_features(df: DataFrame, date: str, target: str | None = None,
     Order: missing ratio, mode share, univariate area and information, correlation with an
     earlier feature, stability, model importance. Without a target the univariate and model
     steps are left out. ``by_month`` takes the mean of the monthly indices (D3) instead of
-    one index of all later months (D2).
+    one index of all later months (D2). The input is read twice before the model step: for the
+    counts that all filters share, and for the correlations.
     """
     spark = df.sparkSession
     cols = list(cols) if cols is not None else numeric_columns(df, [target or "", date])
@@ -61,22 +61,19 @@ def select_features(df: DataFrame, date: str, target: str | None = None,
         reports.append(done)
         return clean.kept(done, left)
 
-    cols = step(clean.missing_filter(df, cols, missing), cols)
-    cols = step(clean.mode_filter(df, cols, mode), cols) if cols else cols
+    shared = SharedCounts(df, date, cols, target, baseline_months) if cols else None
+    cols = step(shared.missing_filter(cols, missing), cols) if cols else cols
+    cols = step(shared.mode_filter(cols, mode), cols) if cols else cols
     imbalanced = False
     if target is not None and cols:
-        imbalanced = association.ratio_of_majority(df, target) > 0.8
-        cols = step(association.univariate_filter(df, cols, target, imbalanced), cols)
+        imbalanced = shared.majority() > 0.8
+        cols = step(shared.univariate_filter(cols, imbalanced), cols)
     if len(cols) > 1:
-        cols = step(association.correlation_filter(df, cols, corr), cols)
+        cols = step(association.correlation_filter(df, cols, corr, shared.centre(cols)), cols)
     if cols:
-        if by_month:
-            index = stability.psi_mean_by_month(df, date, cols, baseline_months)
-        else:
-            base = stability.in_baseline(df, date, baseline_months)
-            index = stability.psi_of_parts(df, base, cols)
+        index = shared.psi_mean_by_month(cols) if by_month else shared.psi(cols)
         cols = step(stability.stability_filter(index, psi), cols)
     if target is not None and use_model and cols:
         cols = step(model_filter(df, cols, target, imbalanced, rounds, seed), cols)
-    report = reduce(lambda a, b: a.unionByName(b), reports)
+    report = reduce(lambda a, b: a.unionByName(b), reports) if reports else spark.createDataFrame([], REPORT)
     return cols, report
