@@ -14,7 +14,11 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreflow.functions.core import hash_cell, hashed, month_of, uniform
+from scoreflow.functions.core import checkpointed, hash_cell, hashed, month_of, uniform
+
+# The bracket of a cut: deviations of its place among even hashes, rows added to both sides, and
+# the hexadecimal digits of its ends (exact as a double).
+DEVIATIONS, LEAST_ROWS, DIGITS = 8, 64, 13
 
 
 def sample_size(population: int, confidence: float = 0.95, error: float = 0.05) -> int:
@@ -32,47 +36,83 @@ def sample_rows(df: DataFrame, id_col: str, n: int, seed: int = 42) -> DataFrame
 
 
 def sample_by_quota(df: DataFrame, id_col: str, strata: Sequence[str], quotas: DataFrame,
-                    seed: int = 42) -> DataFrame:
+                    seed: int = 42, sizes: DataFrame | None = None) -> DataFrame:
     """The first ``quota`` rows of each stratum in hash order; strata without a quota are out."""
-    return mark_by_quota(df, id_col, strata, quotas, "_in", seed).filter("_in").drop("_in")
+    return mark_by_quota(df, id_col, strata, quotas, "_in", seed, sizes).filter("_in").drop("_in")
 
 
 def mark_by_quota(df: DataFrame, id_col: str, strata: Sequence[str], quotas: DataFrame,
-                  name: str, seed: int = 42) -> DataFrame:
-    """Flag the first ``quota`` rows of each stratum in hash order.
-
-    Rows are counted per (stratum, hash cell); only the one cell per stratum that holds the
-    cut is ranked, which gives the last (hash, id) of each quota. Then every row compares
-    itself with that key. No stratum is sorted or gathered, whatever its size.
+                  name: str, seed: int = 42, sizes: DataFrame | None = None) -> DataFrame:
+    """Flag the first ``quota`` rows of each stratum in hash order; a null quota takes all rows.
+
+    Hashes spread evenly, so the size of a stratum tells where its cut lies, to within a few
+    deviations: only rows whose hash lies in that bracket are looked at one by one (about
+    16 * sqrt(rows), or less), those below it are one count. That gives the last (hash, id) of each
+    quota, and every row compares itself with that key. No stratum is sorted or gathered, whatever
+    its size. Where the cut lies outside its bracket, as ids that repeat very often can cause, the
+    stratum is counted by hash cells. ``sizes`` has the strata and their ``_rows``, if known.
     """
     strata = list(strata)
     same = lambda other: reduce(lambda a, b: a & b, [
         F.col(s).eqNullSafe(F.col(f"{other}{i}")) for i, s in enumerate(strata)])
     named = lambda prefix: [F.col(s).alias(f"{prefix}{i}") for i, s in enumerate(strata)]
-    keyed = df.withColumn("_h", hashed(id_col, seed)).withColumn("_c", hash_cell(F.col("_h")))
-    cells = keyed.groupBy(*strata, "_c").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*strata).orderBy("_c").rowsBetween(Window.unboundedPreceding, 0)
-    wanted = quotas.select(*named("_w"), "quota")
-    run = cells.withColumn("_u", F.sum("_n").over(upto)).join(wanted, same("_w"))
-    past = F.col("_u") > F.col("quota")  # cells that do not fit whole
-    cut = F.when(past, F.struct("_c", (F.col("quota") - F.col("_u") + F.col("_n")).alias("left")))
-    cuts = run.groupBy(*named("_q")).agg(F.min(cut).alias("_cut"))
-    rank = F.row_number().over(Window.partitionBy(*strata).orderBy("_h", id_col))
-    at_cut = keyed.select(*strata, "_c", "_h", id_col).join(
-        cuts.filter("_cut is not null"), same("_q") & (F.col("_c") == F.col("_cut._c")))
-    key = F.struct(F.col("_h").alias("h"), F.col(id_col).alias("i"))
-    last = at_cut.withColumn("_k", rank).filter(F.col("_k") <= F.col("_cut.left")).groupBy(
-        *named("_p")).agg(F.max(key).alias("_last"))
-    both = cuts.join(last, reduce(lambda a, b: a & b, [
-        F.col(f"_q{i}").eqNullSafe(F.col(f"_p{i}")) for i in range(len(strata))]), "left")
-    both = both.select(*[f"_q{i}" for i in range(len(strata))], F.lit(True).alias("_has"), "_cut",
-                       "_last")
+    if sizes is None:
+        sizes = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_rows"))
+    wanted = sizes.join(quotas.select(*named("_w"), F.col("quota").alias("_quota")), same("_w"))
+    share = F.col("_quota") / F.col("_rows")
+    width = DEVIATIONS * F.sqrt(share * (1 - share) / F.col("_rows")) + LEAST_ROWS / F.col("_rows")
+    digits = lambda x: F.lpad(F.lower(F.hex(F.floor(x * float(16 ** DIGITS)).cast("long"))), DIGITS, "0")
+    cut = (F.col("_quota") > 0) & (F.col("_quota") < F.col("_rows"))
+    low = F.when(share > width, digits(share - width)).otherwise("")
+    high = F.when(share + width < 1, digits(share + width)).otherwise("g")
     # One row per stratum: Spark broadcasts it by its measured size or splits hot strata.
-    placed = keyed.join(both, same("_q"), "left")
-    upto_key = F.col("_cut").isNull() | (F.col("_c") < F.col("_cut._c")) | F.coalesce(
-        key <= F.col("_last"), F.lit(False))
-    return placed.withColumn(name, F.coalesce(F.col("_has") & upto_key, F.lit(False))).select(
-        *df.columns, name)
+    bounds = checkpointed(wanted.select(*named("_q"), "_quota", cut.alias("_cut"), F.when(cut, low).alias("_low"),
+                                        F.when(cut, high).alias("_high")))
+    h = hashed(id_col, seed)
+    key = F.struct(F.col("_h").alias("h"), F.col(id_col).alias("i"))
+    slots = [f"_q{i}" for i in range(len(strata))]
+    near = df.select(*strata, id_col, h.alias("_h")).join(bounds.filter("_cut"), same("_q")).filter("_h < _high")
+    counts = near.groupBy(*slots, "_quota", F.when(F.col("_h") >= F.col("_low"), key).alias("_key")).agg(
+        F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*slots).orderBy(F.asc_nulls_first("_key")).rowsBetween(Window.unboundedPreceding, 0)
+    reached = F.col("_u") >= F.col("_quota")
+    lasts = counts.withColumn("_u", F.sum("_n").over(upto)).groupBy(*slots).agg(
+        F.min(F.when(reached, F.col("_key"))).alias("_last"),
+        F.coalesce(F.bool_or(reached & F.col("_key").isNull()), F.lit(False)).alias("_early"))
+    of = lambda other: reduce(lambda a, b: a & b, [
+        F.col(f"_q{i}").eqNullSafe(F.col(f"{other}{i}")) for i in range(len(strata))])
+    found = lasts.select(*[F.col(f"_q{i}").alias(f"_p{i}") for i in range(len(strata))],
+                         F.when(~F.col("_early"), F.col("_last")).alias("_last"))
+    both = checkpointed(bounds.join(found, of("_p"), "left").select(*slots, "_quota", "_cut", "_last"))
+    odd = both.filter("_cut and _last is null")
+    if not odd.isEmpty():
+        keyed = df.select(*strata, id_col, h.alias("_h")).join(odd.select(*slots, "_quota"), same("_q"))
+        exact = _lasts_by_cells(keyed, slots, id_col).select(
+            *[F.col(f"_q{i}").alias(f"_e{i}") for i in range(len(strata))], F.col("_last").alias("_exact"))
+        both = checkpointed(both.join(exact, of("_e"), "left").select(
+            *slots, "_quota", "_cut", F.coalesce("_last", "_exact").alias("_last")))
+    placed = df.withColumn("_h", h).join(both.withColumn("_has", F.lit(True)), same("_q"), "left")
+    taken = F.when(F.col("_quota") <= 0, False).when(F.col("_cut"), key <= F.col("_last")).otherwise(True)
+    return placed.withColumn(name, F.coalesce(F.col("_has") & taken, F.lit(False))).select(*df.columns, name)
+
+
+def _lasts_by_cells(keyed: DataFrame, slots: Sequence[str], id_col: str) -> DataFrame:
+    """The last (hash, id) of each quota, whatever the distribution of the hashes.
+
+    Rows are counted per (stratum, hash cell); only the cell that holds the cut is ranked.
+    """
+    keyed = keyed.withColumn("_c", hash_cell(F.col("_h")))
+    cells = keyed.groupBy(*slots, "_quota", "_c").agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*slots).orderBy("_c").rowsBetween(Window.unboundedPreceding, 0)
+    run = cells.withColumn("_u", F.sum("_n").over(upto)).filter("_u >= _quota")
+    cuts = run.groupBy(*[F.col(s).alias(f"_x{s}") for s in slots]).agg(
+        F.min(F.struct("_c", (F.col("_quota") - F.col("_u") + F.col("_n")).alias("left"))).alias("_cut"))
+    on = reduce(lambda a, b: a & b, [F.col(s).eqNullSafe(F.col(f"_x{s}")) for s in slots])
+    at_cut = keyed.join(cuts, on & (F.col("_c") == F.col("_cut._c")))
+    rank = F.row_number().over(Window.partitionBy(*slots).orderBy("_h", id_col))
+    key = F.struct(F.col("_h").alias("h"), F.col(id_col).alias("i"))
+    return at_cut.withColumn("_k", rank).filter(F.col("_k") <= F.col("_cut.left")).groupBy(*slots).agg(
+        F.max(key).alias("_last"))
 
 
 def month_class_quotas(df: DataFrame, date: str, target: str | None, n: int,
@@ -82,9 +122,16 @@ def month_class_quotas(df: DataFrame, date: str, target: str | None, n: int,
     Imbalanced: floor(rows of the cell * n / rows), at least 1 for class 1.
     Otherwise: n div months for each month (class is null).
     """
+    return _quotas_of(_month_class_counts(df, date, target), n, imbalance)
+
+
+def _month_class_counts(df: DataFrame, date: str, target: str | None) -> DataFrame:
     month = month_of(F.col(date)).alias("month")
     kind = F.lit(None).cast("int") if target is None else F.col(target).cast("int")
-    cells = df.groupBy(month, kind.alias("class")).agg(F.count(F.lit(1)).alias("n"))
+    return df.groupBy(month, kind.alias("class")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def _quotas_of(cells: DataFrame, n: int, imbalance: float) -> DataFrame:
     whole = Window.partitionBy(F.lit(0))  # months x classes rows
     months = F.size(F.collect_set("month").over(whole))
     total = F.sum("n").over(whole)
@@ -104,14 +151,16 @@ def month_class_quotas(df: DataFrame, date: str, target: str | None, n: int,
 def stratified_sample(df: DataFrame, id_col: str, date: str, target: str | None, n: int,
                       imbalance: float = 0.8, seed: int = 42) -> DataFrame:
     """Sample by month and, when the classes are imbalanced, by class."""
-    quotas = month_class_quotas(df, date, target, n, imbalance)
+    counts = checkpointed(_month_class_counts(df, date, target))  # months x classes rows
+    quotas = checkpointed(_quotas_of(counts, n, imbalance))
     # With balanced classes the quotas have no class, and a stratum is a month.
-    by_class = quotas.agg(F.coalesce(F.bool_or(F.col("class").isNotNull()), F.lit(False))).scalar()
-    kind = F.lit(None).cast("int") if target is None else F.col(target).cast("int")
-    marked = df.withColumn("_month", month_of(F.col(date))).withColumn(
-        "_class", F.when(by_class, kind))
+    by_class = bool(quotas.agg(F.bool_or(F.col("class").isNotNull())).first()[0])
+    kind = F.col(target).cast("int") if by_class else F.lit(None).cast("int")
+    marked = df.withColumn("_month", month_of(F.col(date))).withColumn("_class", kind)
     wanted = quotas.select(F.col("month").alias("_month"), F.col("class").alias("_class"), "quota")
-    return sample_by_quota(marked, id_col, ["_month", "_class"], wanted, seed).drop(
+    own = F.col("class") if by_class else F.lit(None).cast("int")
+    sizes = counts.groupBy(F.col("month").alias("_month"), own.alias("_class")).agg(F.sum("n").alias("_rows"))
+    return sample_by_quota(marked, id_col, ["_month", "_class"], wanted, seed, sizes).drop(
         "_month", "_class")
 
 
