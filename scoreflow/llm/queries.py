@@ -109,8 +109,7 @@ def op6(spark: SparkSession, d: str) -> DataFrame:
                        F.sha2(F.encode("text", "utf-8"), 256).alias("decoded_sha256"))
 
 
-SUFFIX_SQL = reputation.SUFFIX.replace("'", "''")
-DOMAIN_SQL = reputation.DOMAIN.replace("'", "''")
+SUFFIX_SQL, DOMAIN_SQL = reputation.suffix_patterns(reputation.TWO_LABEL_SUFFIXES)
 
 
 def _prior_sql(name: str, groups: str) -> str:

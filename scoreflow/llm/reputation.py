@@ -18,14 +18,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreflow.llm.common import LOWER
+from scoreflow.operators.frame import salted_join
 
-# Suffixes of two labels under which names are registered.
+# Suffixes of two labels under which names are registered, unless others are given.
 TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "net.au", "co.jp", "com.br", "co.in",
                       "co.nz", "co.za")
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-TWO = "|".join(s.replace(".", r"\.") for s in TWO_LABEL_SUFFIXES)
-SUFFIX = rf"(?:^|\.)({TWO}|[^.]*)$"
-DOMAIN = rf"(?:^|\.)([^.]*\.(?:{TWO})|[^.]*\.[^.]*|[^.]*)$"
 LEVELS = ("suffix", "domain", "host")
 LEAST_RHO, MOST_RHO = 1e-4, 0.5
 
@@ -35,6 +33,12 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.translate(F.regexp_extract(url, URL, 1), *LOWER), F.lit(""))
 
 
+def suffix_patterns(suffixes: Sequence[str]) -> tuple[str, str]:
+    """Patterns of a host's suffix and of its registered domain."""
+    two = "".join(s.replace(".", r"\.") + "|" for s in suffixes)
+    return rf"(?:^|\.)({two}[^.]*)$", rf"(?:^|\.)([^.]*\.(?:{two}[^.]*)|[^.]*)$"
+
+
 def path_of(url: Column) -> Column:
     """What follows the host up to ``? #``; '' for null or no ``://``."""
     return F.coalesce(F.regexp_extract(url, URL, 2), F.lit(""))
@@ -69,17 +73,21 @@ def _prior(groups: DataFrame) -> DataFrame:
     return sums.select("m", (1 / rho - 1).alias("s"))
 
 
-def host_reputation(hosts: DataFrame, outcomes: DataFrame, z: float = 1.645) -> DataFrame:
+def host_reputation(hosts: DataFrame, outcomes: DataFrame, z: float = 1.645,
+                    suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """Columns ``host, n, mean, bound`` for every distinct host of both frames.
 
     ``hosts`` has ``host``; ``outcomes`` has ``host, good`` with good 0, 1 or null (not counted).
+    ``suffixes`` are those of several labels under which names are registered; any other suffix is
+    the last label.
     """
+    of_suffix, of_domain = suffix_patterns(suffixes)
     counts = (hosts.select("host", F.lit(0).alias("n"), F.lit(0).alias("k"))
               .unionAll(outcomes.where(F.col("good").isNotNull())
                         .select("host", F.lit(1).alias("n"), F.col("good").cast("int").alias("k")))
               .groupBy("host").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-              .select("host", F.regexp_extract("host", DOMAIN, 1).alias("domain"),
-                      F.regexp_extract("host", SUFFIX, 1).alias("suffix"), "n", "k"))
+              .select("host", F.regexp_extract("host", of_domain, 1).alias("domain"),
+                      F.regexp_extract("host", of_suffix, 1).alias("suffix"), "n", "k"))
     top = _prior(counts).select(F.col("m").alias("above"))
     known = None
     for level in LEVELS:
@@ -101,17 +109,18 @@ def host_reputation(hosts: DataFrame, outcomes: DataFrame, z: float = 1.645) ->
 
 def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str, str]],
                 least: float = 0.5, z: float = 1.645, key: str = "page_id",
-                url: str = "url") -> DataFrame:
+                url: str = "url", suffixes: Sequence[str] = TWO_LABEL_SUFFIXES) -> DataFrame:
     """One row per page: key, host, path, rule, verdict, and the bound of its host.
 
-    ``outcomes`` has ``url, good``. Rules come first, the reputation decides the rest.
+    ``outcomes`` has ``url, good``. Rules come first, the reputation decides the rest. Repeated rows
+    are judged one by one. One host may hold most pages: its rows are spread over tasks by a salt.
     """
     host, path = host_of(F.col(url)), path_of(F.col(url))
     rule, ruled = rule_of(F.col("host"), F.col("path"), rules)
     rows = pages.select(F.col(key).alias("page_id"), host.alias("host"), path.alias("path"))
     seen = outcomes.select(host_of(F.col("url")).alias("host"), "good")
-    known = host_reputation(rows.select("host").distinct(), seen, z).select("host", "bound")
+    known = host_reputation(rows.select("host").distinct(), seen, z, suffixes).select("host", "bound")
     judged = F.when(F.col("bound") >= least, F.lit("allow")).otherwise(F.lit("block"))
-    return rows.join(known, "host").select(
+    return salted_join(rows, known, ["host"], F.struct("page_id", "path")).select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(ruled, judged).alias("verdict"),
         F.round("bound", 6).alias("bound"))
