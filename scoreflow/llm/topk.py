@@ -9,6 +9,9 @@ result. Each task keeps k rows per query, and a last ranking merges the groups.
 
 Components are floor(64 x). Rows whose vector is null or holds null or non-finite values take no
 part. Vectors of different lengths are compared as if padded with zeros. Ties go to the smaller id.
+Rows that repeat an id are one query together and candidates each; none is a candidate of its own id.
+Sums that may pass 2^63 are made in whole numbers of any size; a component or a score that is
+needed and doesn't fit 64 bits ends the query with an error that names it, as no long can hold it.
 """
 
 from __future__ import annotations
@@ -26,14 +29,17 @@ SCALE = 64
 QUERY_ROWS, CANDIDATE_ROWS, STEP = 4096, 8192, 16
 FIRST_ROWS, QUERIES_AT_ONCE = 512, 256
 GROUPS = 12  # groups of candidate blocks: the parallel tasks of one block of queries
-EXACT = float(1 << 53)
+EXACT, LARGEST = float(1 << 53), float(1 << 63)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Vectors as integers, one binary value per row."""
     for batch in batches:
         places, rows = vectors(batch.column(1))
-        packed = [np.floor(SCALE * r).astype("<i8").tobytes() for r in rows]
+        scaled = [np.floor(SCALE * r) for r in rows]
+        if any((np.abs(r) >= LARGEST).any() for r in scaled):
+            raise OverflowError("a component of 2^57 or more in size doesn't fit 64 bits when scaled")
+        packed = [r.astype("<i8").tobytes() for r in scaled]
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places)), pa.array(packed, pa.binary())],
                                          names=["id", "v"])
 
@@ -81,8 +87,10 @@ class Best:
 def search(queries: np.ndarray, best: Best, ids: np.ndarray, rows: np.ndarray) -> int:
     """Take one block of candidates (rows) into account; returns the number of products made."""
     width = queries.shape[1]
-    most = float(np.abs(queries).max(initial=0)) * float(np.abs(rows).max(initial=0)) * width
-    kind = np.float64 if most < EXACT else np.int64  # doubles hold such sums exactly
+    size = lambda x: float(np.abs(x.astype(np.float64)).max(initial=0))
+    most = size(queries) * size(rows) * width
+    # Doubles hold small sums exactly; sums that long integers can't hold are made of Python's.
+    kind = np.float64 if most < EXACT else np.int64 if most < LARGEST else object
     layout, q = np.ascontiguousarray(rows.T, dtype=kind), queries.astype(kind)
     edges = [*range(0, width, STEP), width]
     mass = lambda x: np.sqrt(np.cumsum(np.square(x, dtype=np.float64)[:, ::-1], axis=1)[:, ::-1])
@@ -97,16 +105,23 @@ def search(queries: np.ndarray, best: Best, ids: np.ndarray, rows: np.ndarray) -
         score, alive = start[i % QUERIES_AT_ONCE], None
         for lo, hi in zip(edges[2:], edges[3:]):
             gain = mass_q[i, lo] * (mass_c[lo] if alive is None else mass_c[lo][alive])
-            can = score + gain * (1 + slack) + slack >= least[i]
+            near = score.astype(np.float64, copy=False)
+            rounded = 0.0 if kind is np.float64 else slack * np.abs(near)  # beyond 2^53 doubles round
+            can = near + gain * (1 + slack) + rounded + slack >= least[i]
             if not can.all():
                 alive = np.flatnonzero(can) if alive is None else alive[can]
                 score = score[can]
             part = layout[lo:hi] if alive is None else layout[lo:hi, alive]
             score = score + q[i, lo:hi] @ part
             made += part.size
-        near = score >= least[i]
+        near = score.astype(np.float64, copy=False) >= least[i]
         found = ids[near] if alive is None else ids[alive[near]]
-        best.add(i, score[near].astype(np.int64), found)
+        score = score[near]
+        if kind is object:
+            score, found = score[found != best.ids[i]], found[found != best.ids[i]]
+        if kind is object and len(score) and not -(1 << 63) <= min(score) <= max(score) < 1 << 63:
+            raise OverflowError("a score doesn't fit 64 bits")
+        best.add(i, score.astype(np.int64), found)
     return made
 
 

@@ -124,6 +124,38 @@ def test_top_k_edge_tables(spark):
     assert topk.top_k(few.limit(0)).count() == 0
 
 
+def test_top_k_of_large_numbers(spark):
+    """Sums beyond 2^53 and partial sums beyond 2^63 are whole; what no long holds is an error."""
+    rng = np.random.default_rng(9)
+    rows = [(rng.integers(-2 ** 18, 2 ** 18, 48) * 2.0).tolist() for _ in range(300)]
+    rows[7:9] = [rows[0]] * 2
+    # Two parts beyond 2^63 that cancel.
+    rows += [[2.0 ** 27] * 24 + [-2.0 ** 27] * 24, [2.0 ** 27] * 47 + [-2.0 ** 27]]
+    rows[20] = [2.0 ** 27] * 24 + [2.0 ** 27 - 1] * 24
+    table = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>")
+    small = table.where("vec_id <> 301")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(small).collect())
+    whole = [[int(64 * v) for v in r] for r in rows]
+    want = []
+    for q in range(0, 301, 20):
+        score = [sum(a * b for a, b in zip(whole[q], w)) for w in whole[:301]]
+        order = sorted((i for i in range(301) if i != q), key=lambda i: (-score[i], i))[:20]
+        want += [(q, k + 1, i, score[i]) for k, i in enumerate(order)]
+    assert got == want
+    large = spark.createDataFrame([(0, [2.0 ** 56]), (1, [2.0 ** 56])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="fit 64 bits"):
+        topk.top_k(large).collect()
+    with pytest.raises(Exception, match="fit 64 bits"):
+        topk.top_k(large.withColumn("embedding", F.array(F.lit(2.0 ** 60)))).collect()
+
+
+def test_top_k_of_repeated_ids(spark):
+    rows = [(0, [1.0]), (0, [2.0]), (1, [1.0]), (2, [3.0]), (2, [4.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["rank"], r["vec_id"], r["score"] // 4096) for r in topk.top_k(table, k=9).orderBy("rank").collect()]
+    assert got == [(1, 2, 8), (2, 2, 6), (3, 2, 4), (4, 2, 3), (5, 1, 2), (6, 1, 1)]
+
+
 def test_bounds_save_products():
     rng = np.random.default_rng(2)
     rows = np.floor(64 * np.concatenate([rng.normal(size=(4000, 64)) * np.linspace(2, 0.01, 64)])).astype(np.int64)
@@ -367,6 +399,19 @@ def test_url_parts_and_rules(spark):
     assert reputation.filter_urls(pages.limit(0), none, rules).count() == 0
 
 
+def test_one_host_with_most_pages_and_other_suffixes(spark):
+    pages = spark.createDataFrame([(i % 40, f"http://{'big.a.nom.xx' if i % 4 else f'h{i % 8}.b.nom.xx'}/{i}") for i in range(800)],
+                                  "page_id long, url string")
+    seen = spark.createDataFrame([("http://big.a.nom.xx/", 1)] * 50 + [("http://h0.b.nom.xx/", 0)] * 50, "url string, good int")
+    got = reputation.filter_urls(pages, seen, (), suffixes=("nom.xx",))
+    assert got.count() == 800
+    found = {(r["host"], r["verdict"], r["bound"]) for r in got.select("host", "verdict", "bound").distinct().collect()}
+    assert {(h, v) for h, v, _ in found} == {("big.a.nom.xx", "allow"), ("h0.b.nom.xx", "block"), ("h4.b.nom.xx", "block")}
+    suffix, domain = reputation.suffix_patterns(("nom.xx",))
+    part = lambda host: [__import__("re").search(p, host).group(1) for p in (suffix, domain)]
+    assert part("big.a.nom.xx") == ["nom.xx", "a.nom.xx"] and part("b.xx") == ["xx", "b.xx"] and part("xx") == ["xx", "xx"]
+
+
 def test_reputation_shrinks(spark):
     seen = [("good.a.com", 1)] * 200 + [("bad.a.com", 0)] * 200 + [("new.a.com", 0)] + [("x.b.com", 1)] * 300 + [("y.b.com", 1)] * 2
     outcomes = spark.createDataFrame(seen + [("z.b.com", None)], "host string, good int")
