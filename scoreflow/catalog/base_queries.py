@@ -172,6 +172,24 @@ def _(spark, d):
     return out.select("c_mktsegment", "id", F.col("rn").cast("bigint").alias("rn"))
 
 
+@query("p11_require_frame", """SELECT 'lineitem' AS name, true AS accepted, count(*) AS n FROM lineitem
+UNION ALL SELECT 'orders', true, count(*) FROM orders UNION ALL SELECT 'rows of nation', false, count(*) FROM nation""")
+def _(spark, d):
+    """Frames pass the check and are counted; a list of rows in place of a frame is refused."""
+    counted = []
+    for name in ("lineitem", "orders", "nation"):
+        found = table(spark, d, name)
+        try:
+            core.require_frame(found.collect() if name == "nation" else found, name)  # nations are a fixed table
+        except TypeError:
+            name, accepted = f"rows of {name}", False
+        else:
+            accepted = True
+        counted.append(found.select(F.lit(name).alias("name"), F.lit(accepted).alias("accepted")).groupBy(
+            "name", "accepted").agg(F.count(F.lit(1)).alias("n")))
+    return sets.stack_by_name(*counted)
+
+
 @query("p12_skip_invalid", MISSING + """SELECT count(*) AS n FROM missing
 WHERE l_tax IS NOT NULL AND l_quantity IS NOT NULL""")
 def _(spark, d):

@@ -176,6 +176,25 @@ def _(spark, d):
     return a.join(raw.select("id", vector_to_array("features")[0].alias("raw")), "id")
 
 
+@query("e6_input_by_family", CREDIT + ", s AS (SELECT " + ", ".join(
+    f"stddev_samp({c}) AS {c}" for c in ("l_quantity", "l_tax", "o_totalprice")) + " FROM credit) " + " UNION ALL ".join(
+    f"SELECT '{m}' AS family, '{c}' AS feature, round({c if m in encode.RAW_FAMILIES else 1.0}, 6) AS deviation FROM s"
+    for m in encode.RAW_FAMILIES + encode.SCALED_FAMILIES for c in ("l_quantity", "l_tax", "o_totalprice")))
+def _(spark, d):
+    """Deviation of each input as each family gets it: 1 where the family takes scaled inputs."""
+    df, cols = credit(spark, d), ["l_quantity", "l_tax", "o_totalprice"]
+    frames = dict(zip(("scaled", "raw"), encode.scaled_and_raw(encode.scaling(cols).fit(df), df, ["id"])))
+    found = None
+    for kind, frame in frames.items():
+        families = [m for m in encode.families_for(False) if encode.input_for(m) == kind]
+        values = frame.select(vector_to_array("features").alias("v"))
+        one = values.agg(*[F.round(F.stddev(F.col("v")[i]), 6).alias(c) for i, c in enumerate(cols)])
+        long = one.unpivot([], cols, "feature", "deviation").withColumn(
+            "family", F.explode(F.array(*[F.lit(m) for m in families])))
+        found = long if found is None else found.unionByName(long)
+    return found.select("family", "feature", "deviation")
+
+
 @query("e7_missing_indicators", MISSING + """SELECT CAST(sum(CASE WHEN l_tax IS NULL THEN 1 ELSE 0
  END) AS BIGINT) AS tax, CAST(sum(CASE WHEN l_quantity IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS qty
 FROM missing""")

@@ -60,6 +60,28 @@ for _number, _name in enumerate(
     _apart(_number, _name)
 
 
+# One input says nothing about the class, both together all: linear families can't tell it.
+CROSSED_SQL = f"""SELECT {LINE_ID_SQL} AS id, CAST((l_quantity > 25) <> (l_discount > 0.05) AS INTEGER) AS prediction
+FROM lineitem"""
+CROSSED = {"tree": {}, "forest": {}, "boosted": {}, "mlp": {"hidden": [8], "maxIter": 200}, "fm": {"maxIter": 300, "stepSize": 0.1}}
+
+
+def _crossed(number, name):
+    @query(f"t{number}_{name}_crossed", CROSSED_SQL)
+    def run(spark, d):
+        high, deep = (F.col(c) > v for c, v in (("l_quantity", 25), ("l_discount", 0.05)))
+        side = lambda c: F.when(c, 1.0).otherwise(-1.0)
+        df = lines(spark, d).select("id", (high != deep).cast("int").alias("target"), (side(high) + F.col("l_tax")).alias("a"),
+                                    (side(deep) - F.col("l_tax")).alias("b"))
+        train, _ = split(df, "id")
+        model = models.make_model(name, CROSSED[name], ["a", "b"], "target").fit(train)
+        return models.predict(model, df, ["id"]).select("id", "prediction")
+
+
+for _number, _name in ((2, "tree"), (3, "forest"), (4, "boosted"), (7, "mlp"), (8, "fm")):
+    _crossed(_number, _name)
+
+
 @query("t9_ovr_apart", f"""SELECT {LINE_ID_SQL} AS id, CASE WHEN l_quantity <= 17 THEN 0
  WHEN l_quantity <= 34 THEN 1 ELSE 2 END AS prediction FROM lineitem""")
 def _(spark, d):

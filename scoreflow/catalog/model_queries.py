@@ -250,6 +250,30 @@ def _(spark, d):
     return out.groupBy("target", "synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Random numbers, ranks and mates follow from hashes of the ids, so SQL can make every synthetic row.
+_U = "(CAST('0x' || substr(md5({} || '|{}'), 1, 8) AS BIGINT) / 4294967296.0)"
+SMOTE_SQL = with_sql(IMBALANCED_SQL) + f""", minority AS (SELECT *, CAST(doc_id AS VARCHAR) AS i FROM imbalanced
+ WHERE target = 1 AND n_chars IS NOT NULL AND quality IS NOT NULL AND lang IS NOT NULL),
+stand AS (SELECT * FROM minority QUALIFY row_number() OVER (PARTITION BY n_chars, quality ORDER BY md5(i)) <= 6),
+near AS (SELECT a.doc_id AS base, struct_pack(x := b.n_chars, q := b.quality, l := b.lang) AS mate, row_number() OVER
+ (PARTITION BY a.doc_id ORDER BY pow(a.n_chars - b.n_chars, 2) + pow(a.quality - b.quality, 2), b.doc_id) AS rn
+ FROM minority a JOIN stand b ON a.doc_id <> b.doc_id QUALIFY rn <= 5),
+mates AS (SELECT base, list(mate ORDER BY rn) AS mates FROM near GROUP BY 1),
+drawn AS (SELECT m.*, mates, i || '#' || r AS d FROM minority m JOIN mates ON base = doc_id, (VALUES (1), (2)) t(r)),
+made AS (SELECT *, mates[1 + least(CAST(floor({_U.format('d', 42)} * len(mates)) AS BIGINT), len(mates) - 1)] AS mate,
+ {_U.format('d', 43)} AS u FROM drawn)
+SELECT d AS doc_id, round(n_chars + u * (mate.x - n_chars), 6) AS n_chars, round(quality + u * (mate.q - quality), 6) AS quality,
+ CASE WHEN {_U.format("(d || '#0')", 44)} < 0.5 THEN lang ELSE mate.l END AS lang FROM made"""
+
+
+@query("e9_smote_rows", SMOTE_SQL)
+def _(spark, d):
+    """Every synthetic row: on the segment between its row and the mate drawn, its language from one of both."""
+    out = smote(imbalanced(spark, d), "target", "doc_id", ["n_chars", "quality"], ["lang"], k=5, multiplier=2)
+    return out.filter("synthetic").select("doc_id", F.round("n_chars", 6).alias("n_chars"),
+                                          F.round("quality", 6).alias("quality"), "lang")
+
+
 # Selection -----------------------------------------------------------------------------------
 @query("g3_model_filter")
 def _(spark, d):
