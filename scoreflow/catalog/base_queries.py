@@ -502,10 +502,10 @@ def _(spark, d):
 
 
 @query("u4_presence", """SELECT source, bool_or(lang = 'en') AS en, bool_or(lang = 'de') AS de,
- bool_or(lang = 'fr') AS fr FROM documents GROUP BY 1""")
+ bool_or(lang = 'fr') AS fr, bool_or(lang = 'es') AS es FROM documents GROUP BY 1""")
 def _(spark, d):
     docs = table(spark, d, "documents")
-    return sets.presence(docs, ["en", "de", "fr"], "lang", "source")
+    return sets.presence(docs, ["en", "de", "fr", "es"], "lang", "source")
 
 
 # Scalars -------------------------------------------------------------------------------------

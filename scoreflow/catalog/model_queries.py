@@ -316,6 +316,6 @@ def _(spark, d):
 def _(spark, d):
     df = training(spark, d)
     model = models.make_model("tree", {}, LINE, "target").fit(df)
-    parts = explain.sampled_shapley(model, df, "id", LINE, n_rows=100, n_perm=8)
+    parts = explain.sampled_shapley(model, df, "id", LINE, n_rows=100)
     top = models.top_features(models.importance(model, LINE))
     return explain.dependence(parts, df, "id", top)
