@@ -19,16 +19,16 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreflow.functions.core import checkpointed
+from scoreflow.operators.block_search import first, matrix, probe, squares
 from scoreflow.operators.neighbours import one_of_equal, with_equal
 
 SAMPLE = 8_192
 MOST_CELLS = 1_024
 BLOCK_ROWS = 2_048
-SEEKERS = 128
 MARGIN = 1e-9  # rounding must not lose the k-th neighbour
 
 
@@ -50,26 +50,13 @@ def centres(sample: np.ndarray, cells: int, seed: int, rounds: int = 8) -> np.nd
     return pivots
 
 
-def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Squared distances of all rows of ``a`` to all of ``b``, added up column by column."""
-    out = np.zeros((len(a), len(b)))
-    for i in range(a.shape[1]):
-        step = a[:, i, None] - b[None, :, i]
-        out += step * step
-    return out
-
-
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
-
-
 def _placed(pivots: np.ndarray, probes: int):
     """Each point with its cell, its distance to the pivot and the cells it probes first."""
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             if not batch.num_rows:
                 continue
-            far = np.sqrt(squares(_matrix(batch["x"], pivots.shape[1]), pivots))
+            far = np.sqrt(squares(matrix(batch["x"], pivots.shape[1]), pivots))
             near = np.argsort(far, axis=1, kind="stable")[:, :probes]
             yield pa.RecordBatch.from_arrays(
                 [batch["key"], batch["x"], pa.array(near[:, 0].astype(np.int32)), pa.array(far[np.arange(len(far)), near[:, 0]]),
@@ -85,7 +72,7 @@ def _rest(pivots: np.ndarray, radius: np.ndarray):
         for batch in rows:
             if not batch.num_rows:
                 continue
-            far = np.sqrt(squares(_matrix(batch["x"], pivots.shape[1]), pivots))
+            far = np.sqrt(squares(matrix(batch["x"], pivots.shape[1]), pivots))
             own = batch["cell"].to_numpy()
             gap = between[own]
             plane = (far ** 2 - (far[np.arange(len(far)), own] ** 2)[:, None]) / np.where(gap > 0, 2 * gap, np.inf)
@@ -101,61 +88,6 @@ def _rest(pivots: np.ndarray, radius: np.ndarray):
     return batches
 
 
-def _compared(width: int, k: int):
-    """Of each seeker the k nearest points of the block; rows arrive by block, points before seekers."""
-    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, keys, held, points = None, [], [], None
-        for batch in rows:
-            place = list(zip(batch["cell"].to_pylist(), batch["block"].to_pylist(), batch["seeks"].to_pylist()))
-            starts = [i for i, p in enumerate(place) if i == 0 or p != place[i - 1]]
-            for a, b in zip(starts, [*starts[1:], len(place)]):
-                part, x = batch.slice(a, b - a), _matrix(batch["x"].slice(a, b - a), width)
-                if place[a][:2] != here:
-                    here, keys, held, points = place[a][:2], [], [], None
-                if not place[a][2]:
-                    keys += part["key"].to_pylist()
-                    held.append(x)
-                    continue
-                if points is None:
-                    points = np.concatenate(held) if held else np.zeros((0, width))
-                    number = {key: i for i, key in enumerate(keys)}
-                seekers = part["key"].to_pylist()
-                for at in range(0, len(seekers) if len(points) else 0, SEEKERS):
-                    some = seekers[at:at + SEEKERS]
-                    far = squares(x[at:at + SEEKERS], points)
-                    for i, key in enumerate(some):
-                        if key in number:
-                            far[i, number[key]] = np.inf
-                    least = np.partition(far, min(k, far.shape[1]) - 1, axis=1)[:, min(k, far.shape[1]) - 1]
-                    row, column = np.nonzero((far <= least[:, None]) & np.isfinite(far))
-                    # Points lie in order of their keys, so equal distances are in that order too.
-                    order = np.lexsort((column, far[row, column], row))
-                    row, column = row[order], column[order]
-                    nth = np.arange(len(row)) - np.searchsorted(row, row)
-                    row, column = row[nth < k], column[nth < k]
-                    kind = batch.schema.field("key").type
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([some[i] for i in row], kind), pa.array([keys[j] for j in column], kind),
-                         pa.array(np.sqrt(far[row, column]))], names=["key", "neighbour", "distance"])
-    return batches
-
-
-def _probe(placed: DataFrame, seekers: DataFrame, blocks: DataFrame, width: int, k: int) -> DataFrame:
-    """The k nearest points of every block that a seeker (``key, x, near``) probes."""
-    kind = placed.schema["key"].dataType.simpleString()
-    points = placed.join(F.broadcast(blocks), "cell").select(
-        "cell", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), F.lit(False).alias("seeks"), "key", "x")
-    wanted = seekers.select("key", "x", F.explode("near").alias("cell")).join(F.broadcast(blocks), "cell").select(
-        "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("seeks"), "key", "x")
-    both = points.unionAll(wanted).repartition("cell", "block").sortWithinPartitions("cell", "block", "seeks", "key")
-    return both.mapInArrow(_compared(width, k), f"key {kind}, neighbour {kind}, distance double")
-
-
-def _first(found: DataFrame, k: int) -> DataFrame:
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("distance", "neighbour"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
-
-
 def nearest_by_index(points: DataFrame, key: str, cols: Sequence[str], k: int, cells: int | None = None, probes: int = 4,
                      exact: bool = True, seed: int = 42) -> DataFrame:
     """(key, neighbour, distance, rank): the k nearest other points, exact unless ``exact`` is off.
@@ -198,15 +130,15 @@ def _search(points: DataFrame, key: str, cols: Sequence[str], k: int, cells: int
     radius = np.full(len(pivots), -1.0)
     radius[[r["cell"] for r in facts]] = [r["radius"] for r in facts]
     blocks = points.sparkSession.createDataFrame([(c, -(-m // BLOCK_ROWS)) for c, m in sizes.items()], "cell int, blocks int")
-    found = checkpointed(_probe(placed, placed, blocks, width, k))
+    found = checkpointed(probe(placed, placed, F.broadcast(blocks), width, k))
     asked = placed.select(F.explode("near").alias("cell"))
     if exact:
-        bound = _first(found, k).groupBy("key").agg(F.max("distance").alias("kth"), F.count(F.lit(1)).alias("have"))
+        bound = first(found, k).groupBy("key").agg(F.max("distance").alias("kth"), F.count(F.lit(1)).alias("have"))
         bound = bound.select("key", F.when(F.col("have") == k, F.col("kth")).alias("bound"))
         open_ = placed.join(bound, "key", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
         more = checkpointed(open_.mapInArrow(_rest(pivots, radius), f"key {kind}, x array<double>, near array<int>")
                             .where(F.size("near") > 0))
-        found = found.unionAll(_probe(placed, more, blocks, width, k))
+        found = found.unionAll(probe(placed, more, F.broadcast(blocks), width, k))
         asked = asked.unionAll(more.select(F.explode("near").alias("cell")))
-    best = _first(found, k).drop("rank")
+    best = first(found, k).drop("rank")
     return with_equal(rows, reps, best, k), asked.groupBy("cell").agg(F.count(F.lit(1)).alias("n")), sizes

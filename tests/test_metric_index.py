@@ -75,3 +75,40 @@ def test_ties_copies_and_small_tables(spark):
         f"k{k:04d}": [n for n, _ in v] for k, v in plain(x, keys, 5).items()}
     with pytest.raises(Exception):
         metric_index.nearest_by_index(points, "key", ["none"], 5)
+
+
+def test_least_pairs_are_those_of_brute_force():
+    from scoreflow.operators.block_search import least_pairs, squares
+
+    rng = np.random.default_rng(5)
+    for width in (2, 16):
+        a = np.round(rng.normal(size=(40, width)), 1)
+        b = np.concatenate([a[:20], np.round(rng.normal(size=(60, width)), 1)])
+        own = np.where(np.arange(40) < 20, np.arange(40), -1)
+        row, column, far = least_pairs(a, b, own, 3)
+        all_far = squares(a, b)
+        all_far[np.arange(20), np.arange(20)] = np.inf
+        want = np.argsort(all_far, axis=1, kind="stable")[:, :3]
+        assert (column.reshape(40, 3) == want).all() and (row.reshape(40, 3) == np.arange(40)[:, None]).all()
+        assert (far.reshape(40, 3) == np.take_along_axis(all_far, want, 1)).all()
+
+
+def test_nearest_counts_copies_once_and_leaves_holes_out(spark):
+    from scoreflow.operators import neighbours
+
+    rng = np.random.default_rng(6)
+    # Far from zero, so that wide cells of a projection hold all points.
+    x = 1000.0 + np.concatenate([np.zeros((60, 5)), np.round(rng.normal(size=(80, 5)), 1)])
+    rows = [(i, *map(float, v)) for i, v in enumerate(x)]
+    cols = [f"c{i}" for i in range(5)]
+    points = spark.createDataFrame([*rows, (1000, None, 0.0, 0.0, 0.0, 0.0)], "id int, " + ", ".join(f"{c} double" for c in cols))
+    far = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    np.fill_diagonal(far, np.inf)
+    for found in (neighbours.nearest(points, "id", cols, 4),
+                  neighbours.nearest_by_hashing(points, "id", cols, 4, num_hash_tables=1, together=1, bucket_length=1e6)):
+        got = {(r["key"], r["rank"]): (r["neighbour"], r["distance"]) for r in found.collect()}
+        assert len(got) == 4 * len(x) and not any(1000 in (k[0], v[0]) for k, v in got.items())
+        for i in range(len(x)):
+            want = np.sort(far[i])[:4]
+            assert np.allclose([got[i, r][1] for r in range(1, 5)], want)
+            assert all(abs(far[i, got[i, r][0]] - got[i, r][1]) < 1e-9 for r in range(1, 5))
