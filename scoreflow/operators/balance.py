@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreflow.functions.core import known, uniform
@@ -31,11 +31,14 @@ def smote(df: DataFrame, target: str, id_col: str, num_cols: Sequence[str],
     # k + 1 rows stand for all copies of a point: enough for k neighbours besides the row itself.
     stand = top_per_group(minority, ["_point"], [F.md5(F.col(id_col).cast("string"))], k + 1,
                           "_copy")
-    points = stand.filter(F.col("_copy") == 1).select("_point", *num_cols)
-    near = nearest(points, "_point", num_cols, k, seed).select(
-        F.col("key").alias("_base"), F.col("neighbour").alias("_point"),
+    # A point is named by the first of its rows, so that equal distances are in the order of the rows.
+    stand = stand.withColumn("_key", F.struct(
+        F.min(id_col).over(Window.partitionBy("_point")).alias("id"), F.col("_point").alias("point")))
+    points = stand.filter(F.col("_copy") == 1).select("_key", *num_cols)
+    near = nearest(points, "_key", num_cols, k, seed).select(
+        F.col("key.point").alias("_base"), F.col("neighbour.point").alias("_point"),
         F.col("distance").alias("_gap"))
-    own = points.select(F.col("_point").alias("_base"), "_point", F.lit(0.0).alias("_gap"))
+    own = points.select(F.col("_key.point").alias("_base"), F.col("_key.point").alias("_point"), F.lit(0.0).alias("_gap"))
     parents = near.unionByName(own).join(stand, "_point").select(
         "_base", "_gap", F.struct(F.col(id_col).alias("id"), *num_cols, *cat_cols).alias("row"))
     parents = top_per_group(parents, ["_base"], [F.col("_gap"), F.col("row.id")], k + 1, "_rn")

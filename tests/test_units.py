@@ -259,6 +259,17 @@ def test_neighbours_match_brute_force(spark):
     assert len(got) == 1200
 
 
+def test_smote_takes_the_first_row_among_equal_distances(spark):
+    # Every inner point has a mate on both sides, equally far: the one with the smaller id is the neighbour.
+    df = spark.createDataFrame([(i, float(10 * i), "x", 1) for i in range(1, 41)] + [(99, 5.0, "x", 0)],
+                               "id long, a double, c string, target int")
+    made = balance.smote(df, "target", "id", ["a"], ["c"], k=1).filter("synthetic").collect()
+    assert len(made) == 40
+    for r in made:
+        i = int(r["id"].split("#")[0])
+        assert (10 <= r["a"] <= 20) if i == 1 else (10 * i - 10 <= r["a"] <= 10 * i)
+
+
 def test_smote_lies_between_parents_and_keeps_rows(spark):
     rng = random.Random(2)
     # A third of the minority rows are copies of one point.
