@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import posixpath
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -168,3 +170,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written once as Parquet in the shared folder: several passes then read the columns they
+    need, where a join would be shuffled again by each of them."""
+    path = posixpath.join(shared_folder(df.sparkSession), f"stored-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_few(df: DataFrame, most: int = 65_536) -> DataFrame:
+    """A finished table of at most ``most`` rows is broadcast; Spark decides about a longer one."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -14,7 +14,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreflow.functions.core import checkpointed, hash_cell, hashed, month_of, uniform
+from scoreflow.functions.core import broadcast_if_few, checkpointed, hash_cell, hashed, month_of, uniform
 
 # The bracket of a cut: deviations of its place among even hashes, rows added to both sides, and
 # the hexadecimal digits of its ends (exact as a double).
@@ -65,13 +65,13 @@ def mark_by_quota(df: DataFrame, id_col: str, strata: Sequence[str], quotas: Dat
     cut = (F.col("_quota") > 0) & (F.col("_quota") < F.col("_rows"))
     low = F.when(share > width, digits(share - width)).otherwise("")
     high = F.when(share + width < 1, digits(share + width)).otherwise("g")
-    # One row per stratum: Spark broadcasts it by its measured size or splits hot strata.
+    # One row per stratum. Where they are few a join by stratum would gather each of them in one task.
     bounds = checkpointed(wanted.select(*named("_q"), "_quota", cut.alias("_cut"), F.when(cut, low).alias("_low"),
                                         F.when(cut, high).alias("_high")))
     h = hashed(id_col, seed)
     key = F.struct(F.col("_h").alias("h"), F.col(id_col).alias("i"))
     slots = [f"_q{i}" for i in range(len(strata))]
-    near = df.select(*strata, id_col, h.alias("_h")).join(bounds.filter("_cut"), same("_q")).filter("_h < _high")
+    near = df.select(*strata, id_col, h.alias("_h")).join(broadcast_if_few(bounds.filter("_cut")), same("_q")).filter("_h < _high")
     counts = near.groupBy(*slots, "_quota", F.when(F.col("_h") >= F.col("_low"), key).alias("_key")).agg(
         F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy(*slots).orderBy(F.asc_nulls_first("_key")).rowsBetween(Window.unboundedPreceding, 0)
@@ -86,12 +86,14 @@ def mark_by_quota(df: DataFrame, id_col: str, strata: Sequence[str], quotas: Dat
     both = checkpointed(bounds.join(found, of("_p"), "left").select(*slots, "_quota", "_cut", "_last"))
     odd = both.filter("_cut and _last is null")
     if not odd.isEmpty():
-        keyed = df.select(*strata, id_col, h.alias("_h")).join(odd.select(*slots, "_quota"), same("_q"))
+        keyed = df.select(*strata, id_col, h.alias("_h")).join(
+            broadcast_if_few(odd.select(*slots, "_quota")), same("_q"))
         exact = _lasts_by_cells(keyed, slots, id_col).select(
             *[F.col(f"_q{i}").alias(f"_e{i}") for i in range(len(strata))], F.col("_last").alias("_exact"))
         both = checkpointed(both.join(exact, of("_e"), "left").select(
             *slots, "_quota", "_cut", F.coalesce("_last", "_exact").alias("_last")))
-    placed = df.withColumn("_h", h).join(both.withColumn("_has", F.lit(True)), same("_q"), "left")
+    placed = df.withColumn("_h", h).join(
+        broadcast_if_few(both).withColumn("_has", F.lit(True)), same("_q"), "left")
     taken = F.when(F.col("_quota") <= 0, False).when(F.col("_cut"), key <= F.col("_last")).otherwise(True)
     return placed.withColumn(name, F.coalesce(F.col("_has") & taken, F.lit(False))).select(*df.columns, name)
 
