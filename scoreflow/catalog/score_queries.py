@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scoreflow.catalog.frames import (MISSING_SQL, SCORED_SQL, SIGNAL_SQL, IMBALANCED_SQL, imbalanced, missing, scored,
                                       signal, with_sql)
 from scoreflow.catalog.registry import query
-from scoreflow.functions.core import sigmoid
+from scoreflow.functions.core import sigmoid, stored
 from scoreflow.operators import curves, metrics, prefix, scorecard
 
 
@@ -63,7 +63,7 @@ HOLES_SQL = with_sql(MISSING_SQL)
 @query("w3_ntile_missing", HOLES_SQL + """SELECT id,
  ntile(10) OVER (ORDER BY l_tax NULLS FIRST, md5(id || '|0'), id) AS band FROM missing""")
 def _(spark, d):
-    out = prefix.ntile(missing(spark, d), "l_tax", "id", 10)
+    out = prefix.ntile(stored(missing(spark, d).select("id", "l_tax")), "l_tax", "id", 10)
     return out.select("id", F.col("band").cast("bigint").alias("band"))
 
 
@@ -72,7 +72,7 @@ def _(spark, d):
 SELECT band, count(*) AS total, count(l_tax) AS scored, min(l_tax) AS min_score,
  max(l_tax) AS max_score, count(*) FILTER (target = 1) AS bads FROM t GROUP BY 1""")
 def _(spark, d):
-    banded = scorecard.score_bands(missing(spark, d), "l_tax", "id")
+    banded = scorecard.score_bands(stored(missing(spark, d).select("id", "target", "l_tax")), "l_tax", "id")
     table = scorecard.band_table(banded, "l_tax", "target").select(
         F.col("band").cast("bigint").alias("band"), "total", "min_score", "max_score", "bads")
     known = banded.groupBy(F.col("band").cast("bigint").alias("band")).agg(

@@ -1,9 +1,19 @@
 """Frames that several passes read are computed once, and few strata never gather rows in one task."""
 
+import pytest
 from pyspark.sql import functions as F
 
+from scoreflow.catalog import QUERIES
 from scoreflow.operators import sampling
 
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["w3_ntile_missing", "b1_bands_missing"])
+def test_joined_frame_is_read_from_where_it_was_stored(spark, name):
+    files = QUERIES[name](spark, SF).inputFiles()
+    assert files and not any("lineitem" in f for f in files)
+
 
 def test_few_strata_are_broadcast(spark):
     df = spark.range(3000).select(F.col("id"), (F.col("id") % 2).alias("target"))
