@@ -426,7 +426,7 @@ SELECT id, target FROM rk, sk, mm WHERE CASE WHEN skewed THEN rc <=
 
 @query("l8_stratified_balanced", CREDIT + _quota_sql("credit", "id", 2000))
 def _(spark, d):
-    df = credit(spark, d).select("id", "date", "target")
+    df = core.stored(credit(spark, d).select("id", "date", "target"))
     return sampling.stratified_sample(df, "id", "date", "target", 2000).select("id", "target")
 
 
@@ -436,8 +436,8 @@ RARE_SQL = f"""{CREDIT_SQL}, rare AS (SELECT id, date,
 
 @query("l8_stratified_imbalanced", with_sql(RARE_SQL) + _quota_sql("rare", "id", 2000))
 def _(spark, d):
-    df = credit(spark, d).select("id", "date", (F.col("l_discount") == 0.1).cast("int")
-                                 .alias("target"))
+    df = core.stored(credit(spark, d).select("id", "date", (F.col("l_discount") == 0.1).cast("int")
+                                             .alias("target")))
     return sampling.stratified_sample(df, "id", "date", "target", 2000).select("id", "target")
 
 

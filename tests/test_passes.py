@@ -9,7 +9,7 @@ from scoreflow.operators import sampling
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["w3_ntile_missing", "b1_bands_missing"])
+@pytest.mark.parametrize("name", ["w3_ntile_missing", "b1_bands_missing", "l8_stratified_balanced", "l8_stratified_imbalanced"])
 def test_joined_frame_is_read_from_where_it_was_stored(spark, name):
     files = QUERIES[name](spark, SF).inputFiles()
     assert files and not any("lineitem" in f for f in files)
