@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scoreflow.functions.core import (bounded_rows, checkpointed, edge_bin, equal_width_bin, known,
-                                      month_of)
+                                      month_of, stored)
 from scoreflow.operators.prefix import quantiles, running_sums
 from scoreflow.operators.profile import column_quantiles, median_fill
 
@@ -191,6 +191,7 @@ def psi_mean_by_month(df: DataFrame, date: str, features: Sequence[str],
     months rows) are broadcast.
     """
     features = list(features)
+    df = stored(df.select(date, *features))
     base, later = split_baseline(df, date, baseline_months)
     whole_fill = median_fill(df, features)
     filled_later = later.select(month_of(F.col(date)).alias("month"), *[
