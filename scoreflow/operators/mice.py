@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scoreflow.functions.core import (bounded_rows, checkpointed, is_missing, known,
-                                      numeric_columns, string_columns)
+                                      numeric_columns, stored, string_columns)
 from scoreflow.functions.matrices import summed_matrix
 from scoreflow.operators.clean import fill_values
 from scoreflow.operators.encode import label_ranks, with_index
@@ -47,6 +47,8 @@ def mice_impute(df: DataFrame, id_col: str, cols: Sequence[str] | None = None,
     cols = [c for c in (cols or df.columns) if c not in outside]
     numbers, texts = set(numeric_columns(df)), set(string_columns(df))
     cols = [c for c in cols if c in numbers or c in texts]
+    # Every fill, every fit and every round reads the rows again.
+    df = stored(df)
     share = {r["feature"]: r["missing_ratio"] for r in bounded_rows(
         missing_profile(df, cols), len(cols), "missing ratios")}
     dropped = [c for c in cols if share[c] > max_missing]
@@ -85,7 +87,7 @@ def mice_impute(df: DataFrame, id_col: str, cols: Sequence[str] | None = None,
             c = run[0]
             state = _one_column(state, c, [x for x in nums if x != c],
                                 [x for x in cats if x != c], extra, c in numbers)
-        state = checkpointed(state)
+        state = stored(state)
         moved = reduce(lambda a, b: a | b, [
             F.col(f"{c}__m") & (F.abs(F.col(f"{c}__v") - F.col(f"{c}__p"))
                                 > 1e-6 * (1 + F.abs(F.col(f"{c}__p")))) for c in holes])

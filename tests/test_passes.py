@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scoreflow.catalog import QUERIES
-from scoreflow.operators import sampling, stability
+from scoreflow.operators import mice, sampling, stability
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,6 +30,12 @@ def test_monthly_index_computes_its_rows_once(counted):
     assert stability.psi_mean_by_month(df, "date", ["a", "b"]).count() == 2 and seen.value == 210
 
 
+def test_imputation_computes_its_rows_once(counted):
+    df, seen = counted
+    out = mice.mice_impute(df.select("id", "a", "b"), "id", max_iter=2)
+    assert out.filter("a is null").count() == 0 and seen.value == 210
+
+
 @pytest.mark.parametrize("name", ["w3_ntile_missing", "b1_bands_missing", "l8_stratified_balanced", "l8_stratified_imbalanced"])
 def test_joined_frame_is_read_from_where_it_was_stored(spark, name):
     files = QUERIES[name](spark, SF).inputFiles()
