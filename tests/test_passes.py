@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scoreflow.catalog import QUERIES
-from scoreflow.operators import mice, sampling, stability
+from scoreflow.operators import association, mice, sampling, stability
 
 SF = "/root/testdata/sf0.001"
 
@@ -30,6 +30,11 @@ def test_monthly_index_computes_its_rows_once(counted):
     assert stability.psi_mean_by_month(df, "date", ["a", "b"]).count() == 2 and seen.value == 210
 
 
+def test_areas_compute_their_rows_once(counted):
+    df, seen = counted
+    assert association.univariate_ranks(df, ["a", "b"], "target").count() == 2 and seen.value == 210
+
+
 def test_imputation_computes_its_rows_once(counted):
     df, seen = counted
     out = mice.mice_impute(df.select("id", "a", "b"), "id", max_iter=2)
