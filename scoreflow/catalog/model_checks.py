@@ -51,7 +51,7 @@ def _apart(number, name):
     def run(spark, d):
         df = apart(spark, d)
         train, _ = split(df, "id")
-        model = models.make_model(name, {}, ["a", "b"], "target").fit(train)
+        model = models.fit(name, {}, ["a", "b"], "target", train)
         return models.predict(model, df, ["id"]).select("id", "prediction")
 
 
@@ -74,7 +74,7 @@ def _crossed(number, name):
         df = lines(spark, d).select("id", (high != deep).cast("int").alias("target"), (side(high) + F.col("l_tax")).alias("a"),
                                     (side(deep) - F.col("l_tax")).alias("b"))
         train, _ = split(df, "id")
-        model = models.make_model(name, CROSSED[name], ["a", "b"], "target").fit(train)
+        model = models.fit(name, CROSSED[name], ["a", "b"], "target", train)
         return models.predict(model, df, ["id"]).select("id", "prediction")
 
 

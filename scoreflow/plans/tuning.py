@@ -26,6 +26,7 @@ from scoreflow.plans.models import (ROWS, counted, fit_counted, fits_counts, imp
 from scoreflow.sources import runlog
 from scoreflow.sources.tables import prediction_sample, summary_artifact, write_parquet
 
+ITERATED = ("fm",)
 BOARD = "model string, split string, metric string, value double, error string"
 
 # The search spaces. (low, high) is a range, three parts with "log" a
@@ -109,7 +110,13 @@ def fit_measure(name: str, params: Mapping[str, Any], train: DataFrame,
                 tests: Mapping[str, DataFrame], features: Sequence[str], target: str,
                 seed: int = 42, n_classes: int = 2, weight: str | None = None
                 ) -> tuple[PipelineModel, dict[str, dict[str, float]]]:
-    """Fit on ``train`` and measure on every named frame; counted frames have a column ``ROWS``."""
+    """Fit on ``train`` and measure on every named frame; counted frames have a column ``ROWS``.
+
+    Families that read their rows in many iterations count them first.
+    """
+    if name in ITERATED and n_classes == 2 and ROWS not in train.columns and fits_counts(name, params, weight):
+        train = counted(train, [target, *features, *([weight] if weight else [])])
+        tests = {k: counted(df, [target, *features]) for k, df in tests.items()}
     if ROWS in train.columns:
         model = fit_counted(name, params, features, target, train, seed, weight)
         return model, {k: measure(predict(model, df, [target, ROWS]), target, ROWS) for k, df in tests.items()}
