@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from scoreflow.functions.core import numeric_columns
 from scoreflow.operators import association, clean, stability
 from scoreflow.operators.sampling import weights
-from scoreflow.plans.models import importance, make_model
+from scoreflow.plans.models import counted, fit_counted, importance
 from scoreflow.plans.shared import REPORT, SharedCounts
 
 
@@ -31,7 +31,9 @@ def model_filter(df: DataFrame, cols: Sequence[str], target: str, imbalanced: bo
     if imbalanced:
         filled, weight = weights(filled, target), "weight"
     params = {"maxIter": rounds, "subsamplingRate": 0.8}
-    model = make_model("boosted", params, cols, target, seed, weight=weight).fit(filled)
+    # Rows are equal where the same bins and class are; of each cell lots of equal rows are drawn.
+    rows = counted(filled, [target, *cols, *([weight] if weight else [])])
+    model = fit_counted("boosted", params, cols, target, rows, seed, weight, drawn=True)
     table = importance(model, cols)
     mean = 1.0 / len(cols)  # importances add up to 1
     status = F.when(F.col("importance") > mean, "kept").otherwise("removed")

@@ -26,7 +26,7 @@ from scoreflow.plans.models import (ROWS, counted, fit_counted, fits_counts, imp
 from scoreflow.sources import runlog
 from scoreflow.sources.tables import prediction_sample, summary_artifact, write_parquet
 
-ITERATED = ("fm",)
+ITERATED = ("fm", "boosted")
 BOARD = "model string, split string, metric string, value double, error string"
 
 # The search spaces. (low, high) is a range, three parts with "log" a
