@@ -1,11 +1,22 @@
-"""Connected components of a link table, by alternating large-star and small-star rounds."""
+"""Connected components of a link table, by alternating large-star and small-star rounds.
+
+Tasks first replace the links they hold by stars (union-find), so rounds move one link for each node and
+task. Links that one task may hold need no rounds.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scoreflow.functions.core import checkpointed
+from scoreflow.functions.core import checkpointed, packed
+from scoreflow.llm.common import Forest
+
+LINKS_AT_ONCE = 1 << 16  # links that a task joins together
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -28,16 +39,42 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionAll(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _stars(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each LINKS_AT_ONCE rows of a task, as links of every node to the smallest it reaches by them."""
+    held: list[np.ndarray] = []
+
+    def joined() -> pa.RecordBatch:
+        nodes, at = np.unique(np.concatenate([np.zeros((0, 2), np.int64), *held]), return_inverse=True)
+        forest, ends = Forest(len(nodes)), at.reshape(-1, 2)
+        forest.link(ends[:, 0], ends[:, 1])
+        root = forest.roots()
+        own = root != np.arange(len(nodes))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[root[own]])], names=["u", "v"])
+
+    for batch in rows:
+        both = np.stack([batch["u"].to_numpy(), batch["v"].to_numpy()], axis=1)
+        while len(both):
+            room = LINKS_AT_ONCE - sum(map(len, held))
+            held.append(both[:room])
+            both = both[room:]
+            if sum(map(len, held)) == LINKS_AT_ONCE:
+                yield joined()
+                held = []
+    if held:
+        yield joined()
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """Columns ``node, component``: every linked node with the smallest node it can reach.
 
-    ``links`` may repeat pairs, hold both directions and self-links. Nodes without a link do not
-    appear. Each round is one reliable checkpoint; the number of rounds is logarithmic.
+    ``links`` may repeat pairs, hold both directions and self-links; nodes are whole numbers. Nodes without
+    a link do not appear. Each round is one reliable checkpoint; the number of rounds is logarithmic.
     """
-    edges = checkpointed(
+    edges, rows = packed(
         links.where(F.col(a) != F.col(b))
-        .select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    before = _state(edges)
+        .select(F.greatest(a, b).cast("long").alias("u"), F.least(a, b).cast("long").alias("v")).distinct(), LINKS_AT_ONCE)
+    edges = checkpointed(edges.mapInArrow(_stars, "u long, v long"))
+    before = _state(edges) if rows > LINKS_AT_ONCE else (0,)
     while before[0]:
         edges = checkpointed(_small_star(_large_star(edges)))
         after = _state(edges)

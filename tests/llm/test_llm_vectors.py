@@ -569,3 +569,31 @@ def test_sketches_and_common_postings_lose_nothing():
         batches = [pa.RecordBatch.from_arrays([pa.array(at[i:i + size])], names=["shingle"]) for i in range(0, 60, size)]
         got = [x for b in nearsets._in_common(iter(batches)) for x in b["shingle"].to_pylist()]
         assert got == [x for x in at.tolist() if (at == x).sum() > 1]
+
+
+def united(n, pairs):
+    """The smallest member of each of n members' class."""
+    up = list(range(n))
+    for i, j in pairs:
+        a, b = sorted((up[i], up[j]))
+        up = [a if u == b else u for u in up]
+    return up
+
+
+def test_few_links_take_no_rounds(spark, monkeypatch):
+    """Links of one task are joined in it; those of many tasks are joined by rounds, with the same classes."""
+    module = sys.modules["scoreflow.llm.components"]
+    rng, calls, plain = random.Random(8), [], module.checkpointed
+    monkeypatch.setattr(module, "checkpointed", lambda df: calls.append(1) or plain(df))
+    pairs = [(k, k + 1) for k in range(0, 150)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(120)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    up = united(400, pairs)
+    want = {k: up[k] for k in sorted({k for p in pairs if p[0] != p[1] for k in p})}
+    assert {r[0]: r[1] for r in components(links, "a", "b").collect()} == want and len(calls) == 1
+    monkeypatch.setattr(module, "LINKS_AT_ONCE", 16)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert {r[0]: r[1] for r in components(links, "a", "b").collect()} == want and len(calls) > 3
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert components(links.where("a = b"), "a", "b").count() == 0
