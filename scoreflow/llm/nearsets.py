@@ -10,12 +10,16 @@ place of the first shared shingle in both orders bounds the overlap of the whole
 before it is not shared), and the pairs that the bound leaves are first compared by sketches, bit
 maps that bound the overlap from above, and then by their whole sets. Only such verified pairs are links.
 
+The first links come from the trie join of ``simhash``: sets have fingerprints, a trie of them is joined with
+itself under the error budget ``BUDGET``, and its forest, with a star for each group of equal fingerprints, is
+verified like all pairs. The prefix join then finds what is still apart.
+
 Crowded shingles, those that more than ``CROWD`` entries share, are not left to all their pairs: in a
 round each of their entries is compared with a few others (``TRIES``) that its shingles name as
 centres, other ones in each round, so a group of thousands of near copies is linked by rounds of
-linear work. Rounds end when one links little. The last round takes every pair that shares a prefix
-shingle and is still apart, so no similar pair stays unseen; what it costs is quadratic only for
-families of texts that share prefix shingles and are not similar.
+linear work. Rounds end when one links little or when the pairs still apart are few. The last round takes
+every pair that shares a prefix shingle and is still apart, so no similar pair stays unseen; what it
+costs is quadratic only for families of texts that share prefix shingles and are not similar.
 
 Null text is empty; empty texts are equal. Rows with null key have no class. An empty table has none.
 """
@@ -32,16 +36,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scoreflow.functions.core import checkpointed
+from scoreflow.functions.core import checkpointed, packed
 from scoreflow.llm.common import parts_of, texts
 from scoreflow.llm.components import components
-from scoreflow.llm.simhash import shingle_hashes
+from scoreflow.llm.simhash import blocks_for, fingerprint_of, shingle_hashes
+from scoreflow.llm.simhash import links as trie_links
 
 CELL_BITS, BLOCK_BITS = 21, 15  # cells that count shingles, and those of one block of counts
 SHINGLES_AT_ONCE = 1 << 20
 PAIRS_AT_ONCE = 256
+PAIRS_OF_TASK = 1 << 13
 ROWS_AT_ONCE = 512
 MARKS = 1 << 20  # a broadcast table of marks has at most so many rows
+BUDGET = 4  # bits in which fingerprints that the trie join links differ at most
+PRINTS_AT_ONCE = 1 << 15  # shingles whose bits are added up at once; four times the prints of a task
 CROWD, CENTRES, TRIES, TURNS, FEW = 32, 8, 8, 6, 20
 
 
@@ -178,17 +186,19 @@ def _in_common(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _prefixes(words: int, hot: Hot, least: Fraction):
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts_of(rows, ROWS_AT_ONCE):
-            entries, sizes, found, sketches = [], [], [], []
+            entries, sizes, found, sketches, prints = [], [], [], [], []
             for t in texts(batch["text"]):
                 made = shingle_set(t, words)
                 entries.append(entry_of(made))
                 sizes.append(len(made))
                 sketches.append(sketch(made))
+                prints.append(fingerprint_of(made[i:i + PRINTS_AT_ONCE] for i in range(0, len(made), PRINTS_AT_ONCE)).tobytes())
                 found.append(prefix_of(made, hot, least).view(np.int64))
             ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *found])))
             yield pa.RecordBatch.from_arrays([pa.array(entries, pa.int64()), pa.array(sizes, pa.int32()), lists,
-                                              pa.array(sketches, pa.binary())], names=["entry", "n", "prefix", "sketch"])
+                                              pa.array(sketches, pa.binary()), pa.array(prints, pa.binary())],
+                                             names=["entry", "n", "prefix", "sketch", "fp"])
     return batches
 
 
@@ -226,6 +236,14 @@ def _can_reach(least: Fraction, n: str, i: str, m: str, j: str) -> Column:
     return F.expr(f"least({n} - {i}, {m} - {j}) * {p + q}L >= {p}L * ({n} + {m})")
 
 
+def _by_trie(prints: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` of entries whose fingerprints differ in BUDGET bits or fewer: enough to connect all of them."""
+    heads, _ = packed(prints.groupBy("fp").agg(F.min("entry").alias("key")), PRINTS_AT_ONCE >> 2)
+    equal = prints.join(heads, "fp").where("entry <> key").select(F.col("key").alias("a"), F.col("entry").alias("b"))
+    near = trie_links(heads.select("key", "fp"), [BUDGET], blocks_for(64, BUDGET + 1)).select("a", "b")
+    return equal.unionAll(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+
 def _labelled(postings: DataFrame, classes: DataFrame | None) -> DataFrame:
     """Postings with the class ``c`` of their entry, without shingles whose entries are all in one."""
     if classes is None:
@@ -254,6 +272,14 @@ def _stars(postings: DataFrame, least: Fraction, turn: int) -> DataFrame:
         F.col("entry").alias("a"), F.explode("tries.b").alias("b"))
 
 
+def _few_apart(postings: DataFrame) -> bool:
+    """Whether comparing all pairs still apart is work in proportion to the postings."""
+    sizes = postings.groupBy("shingle", "c").agg(F.count(F.lit(1)).alias("rows"))
+    found = sizes.groupBy("shingle").agg(F.sum("rows").alias("n"), F.max("rows").alias("top")).agg(
+        F.sum("n").alias("rows"), F.sum(F.expr("double(n) * (n - top)")).alias("pairs")).first()
+    return (found["pairs"] or 0) <= CROWD * (found["rows"] or 0)
+
+
 def _all_apart(postings: DataFrame, least: Fraction) -> DataFrame:
     """All pairs ``a, b`` of entries apart that share a prefix shingle early enough."""
     sizes = postings.groupBy("shingle", "c").agg(F.count(F.lit(1)).alias("rows"))
@@ -275,7 +301,7 @@ def _of(table: DataFrame, ends: DataFrame) -> DataFrame:
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
-    return checkpointed(pairs.select(F.col("a").alias("entry")).unionAll(pairs.select("b")).distinct())
+    return packed(pairs.select(F.col("a").alias("entry")).unionAll(pairs.select("b")).distinct())[0]
 
 
 def _possible(pairs: DataFrame, sketches: DataFrame, least: Fraction) -> DataFrame:
@@ -284,11 +310,11 @@ def _possible(pairs: DataFrame, sketches: DataFrame, least: Fraction) -> DataFra
     x = some.select(F.col("entry").alias("a"), "n", F.col("sketch").alias("x"))
     y = some.select(F.col("entry").alias("b"), F.col("n").alias("m"), F.col("sketch").alias("y"))
     both = pairs.join(x, "a").join(y, "b")
-    return checkpointed(both.select("a", "b", "n", "m", "x", "y").mapInArrow(_near(least), "a long, b long"))
+    return packed(both.select("a", "b", "n", "m", "x", "y").mapInArrow(_near(least), "a long, b long"), PAIRS_OF_TASK)[0]
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, rows: DataFrame, named: DataFrame, words: int, least: Fraction) -> DataFrame:
-    """The pairs whose whole sets are similar; sets are made of the rows whose marks say they may be needed."""
+def _verified(pairs: DataFrame, sketches: DataFrame, rows: DataFrame, named: DataFrame, words: int, least: Fraction) -> tuple[DataFrame, int]:
+    """The pairs whose whole sets are similar, and their number; sets are made of the rows whose marks say they may be needed."""
     pairs = _possible(pairs, sketches, least)
     ends = _ends(pairs)
     marks = _of(named, ends).join(ends, "entry").groupBy("entry").agg(F.min("key").alias("key")).select(mark("key").alias("mark")).distinct()
@@ -297,7 +323,7 @@ def _verified(pairs: DataFrame, sketches: DataFrame, rows: DataFrame, named: Dat
     sets = checkpointed(sets.groupBy("entry").agg(F.min("set").alias("set")))
     both = pairs.join(sets.select(F.col("entry").alias("a"), F.col("set").alias("x")), "a").join(
         sets.select(F.col("entry").alias("b"), F.col("set").alias("y")), "b")
-    return checkpointed(both.select("a", "b", "x", "y").mapInArrow(_alike(least), "a long, b long"))
+    return packed(both.select("a", "b", "x", "y").mapInArrow(_alike(least), "a long, b long"), PAIRS_OF_TASK)
 
 
 def digest(text: str) -> Column:
@@ -323,31 +349,37 @@ def classes(docs: DataFrame, words: int, least: float, key: str = "doc_id", text
         _hot_batches, "cell long, count long").toArrow()
     hot = Hot(common["cell"].to_numpy(), common["count"].to_numpy())
     prefixes = checkpointed(rows.select("text").mapInArrow(
-        _prefixes(words, hot, part), "entry long, n int, prefix array<long>, sketch binary").dropDuplicates(["entry"]))
+        _prefixes(words, hot, part), "entry long, n int, prefix array<long>, sketch binary, fp binary").dropDuplicates(["entry"]))
     postings = prefixes.select("entry", "n", F.posexplode("prefix").alias("i", "shingle"))
     postings = checkpointed(postings.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_in_common, postings.schema))
     sketches = prefixes.select("entry", "n", "sketch")
-    links, found = None, None
+    links, found, total = None, None, 0
+
+    def linked(pairs: DataFrame) -> int:
+        """Verifies pairs and joins the classes that they link; the number of links."""
+        nonlocal links, found, total
+        alike, made = _verified(pairs, sketches, rows, named, words, part)
+        if made:
+            total += made
+            links = alike if links is None else links.unionAll(alike)
+            found = checkpointed(components(links, "a", "b"))
+        return made
+
+    pairs, number = packed(_by_trie(prefixes.select("entry", "fp")), PAIRS_OF_TASK)
+    if number:
+        linked(pairs)
     crowd = postings.groupBy("shingle").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > CROWD)
     crowded = checkpointed(postings.join(crowd.select("shingle"), "shingle", "left_semi"))
-    first = 0
     for turn in range(0 if crowded.isEmpty() else TURNS):
-        pairs = checkpointed(_stars(checkpointed(_labelled(crowded, found)), part, turn))
-        alike = _verified(pairs, sketches, rows, named, words, part)
-        made = alike.count()
-        if not made:
+        apart = checkpointed(_labelled(crowded, found))
+        if _few_apart(apart):
             break
-        links = alike if links is None else links.unionAll(alike)
-        found = checkpointed(components(links, "a", "b"))
-        first = first or made
-        if made * FEW < first:  # what is still apart is little, and left to the last round
+        made = linked(packed(_stars(apart, part, turn), PAIRS_OF_TASK)[0])
+        if made * FEW <= total:  # what is still apart is little, and left to the last round
             break
-    pairs = checkpointed(_all_apart(checkpointed(_labelled(postings, found)), part))
-    if not pairs.isEmpty():
-        alike = _verified(pairs, sketches, rows, named, words, part)
-        if not alike.isEmpty():
-            links = alike if links is None else links.unionAll(alike)
-            found = checkpointed(components(links, "a", "b"))
+    pairs, number = packed(_all_apart(checkpointed(_labelled(postings, found)), part), PAIRS_OF_TASK)
+    if number:
+        linked(pairs)
     if found is None:
         return named.select("key", "digest", "rows", F.col("entry").alias("component"))
     return named.join(found.withColumnRenamed("node", "entry"), "entry", "left").select(

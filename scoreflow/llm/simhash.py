@@ -16,7 +16,7 @@ forest and not all its pairs. Components are exact for the links found.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -55,10 +55,10 @@ def shingle_hashes(text: str, words: int) -> Iterator[np.ndarray]:
         yield np.array([digest(line[a:b], SEED) for a, b in part], dtype=np.uint64)
 
 
-def fingerprint(text: str, words: int, size: int = 1) -> np.ndarray:
-    """``size`` words of 64 bits; the first is by the hashes as they are, the others by mixed hashes."""
+def fingerprint_of(hashes: Iterable[np.ndarray], size: int = 1) -> np.ndarray:
+    """The fingerprint of hashes given in groups."""
     total, n = np.zeros(64 * size, np.int64), 0
-    for h in shingle_hashes(text, words):
+    for h in hashes:
         columns = [h]
         for i in range(1, size):
             factor, shift = MIX[(i - 1) % len(MIX)]
@@ -70,6 +70,11 @@ def fingerprint(text: str, words: int, size: int = 1) -> np.ndarray:
     return np.packbits(2 * total > n)
 
 
+def fingerprint(text: str, words: int, size: int = 1) -> np.ndarray:
+    """``size`` words of 64 bits; the first is by the hashes as they are, the others by mixed hashes."""
+    return fingerprint_of(shingle_hashes(text, words), size)
+
+
 def _print_batches(words: int, size: int):
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:

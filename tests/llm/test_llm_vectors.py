@@ -597,3 +597,29 @@ def test_few_links_take_no_rounds(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert components(links.where("a = b"), "a", "b").count() == 0
+
+
+def test_trie_join_gives_the_first_links_of_near_dedup(spark, monkeypatch):
+    """The stage joins fingerprints of all sets by the trie; its pairs connect what is within the budget, no more."""
+    from scoreflow.llm import nearsets
+
+    rng = random.Random(9)
+    words = body(rng, 300)
+    texts = [" ".join(body(rng, 40)) for _ in range(20)]
+    for _ in range(60):
+        part = list(words)
+        for at in rng.sample(range(300), rng.choice((1, 2, 9, 30))):
+            part[at] = "changed"
+        texts.append(" ".join(part))
+    sets = [nearsets.shingle_set(t, 5) for t in texts]
+    prints = [int.from_bytes(nearsets.fingerprint_of([s]).tobytes(), "big") for s in sets]
+    prints[1], prints[2] = prints[0], prints[0]  # equal ones become a star
+    near = [(i, j) for j in range(80) for i in range(j) if (prints[i] ^ prints[j]).bit_count() <= nearsets.BUDGET]
+    made = spark.createDataFrame([(k, p.to_bytes(8, "big")) for k, p in enumerate(prints)], "entry long, fp binary")
+    pairs = [tuple(r) for r in nearsets._by_trie(made).collect()]
+    assert set(pairs) <= set(near) and united(80, pairs) == united(80, near) and len(near) > 100
+    calls, plain = [], nearsets.trie_links
+    monkeypatch.setattr(nearsets, "trie_links", lambda prints, *a: calls.append(prints.count()) or plain(prints, *a))
+    alike = [(i, j) for j in range(80) for i in range(j) if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+    assert kept_texts(spark, texts) == [k for k, u in enumerate(united(80, alike)) if k == u]
+    assert calls == [len({nearsets.fingerprint_of([s]).tobytes() for s in sets})]
