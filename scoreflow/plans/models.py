@@ -134,7 +134,7 @@ def binned(rows: DataFrame, features: Sequence[str], target: str, max_bins: int,
     return [stage], inputs, stored(cells)
 
 
-# Cells of counted frames that are still in use: the trials of a search read the same ones.
+# Cells and scales of counted frames that are still in use: the trials of a search read the same ones.
 _READY: WeakKeyDictionary = WeakKeyDictionary()
 
 
@@ -147,6 +147,16 @@ def lots(cells: DataFrame, count: str = ROWS, weight: str = WEIGHT) -> DataFrame
     return parts.withColumn(weight, F.col(weight) / F.col(count) * of).withColumn(count, of.cast("double")).drop("_lot")
 
 
+def _deviations(rows: DataFrame, features: Sequence[str], each: Column, count: str) -> list[float]:
+    """Standard deviations of features over all rows that the counted ones stand for, each with its weight."""
+    total = rows.agg(F.sum(WEIGHT).alias("w"), F.sum(each * each / F.col(count)).alias("q"), *[
+        (F.sum(F.col(f) * F.col(WEIGHT)) / F.sum(WEIGHT)).alias(f"m{i}") for i, f in enumerate(features)]).first()
+    spread = rows.agg(*[F.sum((F.col(f) - F.lit(total[f"m{i}"])) ** 2 * F.col(WEIGHT))
+                        for i, f in enumerate(features)]).first()
+    free = total["w"] - total["q"] / total["w"]
+    return [math.sqrt(s / free) if s and free > 0 else 0.0 for s in spread]
+
+
 def fit_counted(name: str, params: Mapping[str, Any], features: Sequence[str], target: str, rows: DataFrame,
                 seed: int = 42, weight: str | None = None, count: str = ROWS, drawn: bool = False) -> PipelineModel:
     """The model of ``make_model`` from rows that each stand for ``count`` equal ones.
@@ -176,12 +186,10 @@ def fit_counted(name: str, params: Mapping[str, Any], features: Sequence[str], t
         stages.append(MinMaxScaler(inputCol=column, outputCol="scaled_features"))
         column = "scaled_features"
     elif input_for(name) == "scaled":
-        total = rows.agg(F.sum(WEIGHT).alias("w"), F.sum(each * each / F.col(count)).alias("q"), *[
-            (F.sum(F.col(f) * F.col(WEIGHT)) / F.sum(WEIGHT)).alias(f"m{i}") for i, f in enumerate(features)]).first()
-        spread = rows.agg(*[F.sum((F.col(f) - F.lit(total[f"m{i}"])) ** 2 * F.col(WEIGHT))
-                            for i, f in enumerate(features)]).first()
-        free = total["w"] - total["q"] / total["w"]
-        deviations = [math.sqrt(s / free) if s and free > 0 else 0.0 for s in spread]
+        place = ("scales", *features, weight, count)
+        if place not in ready:
+            ready[place] = _deviations(rows, features, each, count)
+        deviations = ready[place]
         stages.append(ElementwiseProduct(scalingVec=Vectors.dense([1.0 / d if d else 0.0 for d in deviations]),
                                          inputCol=column, outputCol="scaled_features"))
         column = "scaled_features"

@@ -648,3 +648,24 @@ def test_hashed_neighbours_of_equal_points(spark):
         got.setdefault(r["key"], []).append((r["rank"], r["neighbour"], r["distance"]))
     assert sorted(got[0]) == [(1, 1, 0.0), (2, 2, 0.0)] and sorted(got[7]) == [(1, 0, 0.0), (2, 1, 0.0)]
     assert sorted(got[10]) == [(1, 0, 0.5), (2, 1, 0.5)] and len(got) == 11
+
+
+def test_counted_folds_are_shared_by_all_fits(spark, monkeypatch):
+    """Training and test rows of each fold are those of the fold mark; a search counts once and learns scales once a fold."""
+    from scoreflow.operators.sampling import fold_of
+    from scoreflow.plans import models, tuning
+
+    df = spark.range(400).select("id", (F.col("id") % 7 > 2).cast("int").alias("y"), (F.col("id") % 5).cast("double").alias("x"),
+                                 (F.col("id") % 11 / 4).alias("z"))
+    marked = df.withColumn("_fold", fold_of("id", 3, 42))
+    rows = lambda frame: sorted(map(tuple, frame.collect()))
+    for k, (train, test) in enumerate(tuning.counted_folds(df, "id", ["y", "x", "z"], 3, 42)):
+        for got, part in ((train, marked.where(F.col("_fold") != k)), (test, marked.where(F.col("_fold") == k))):
+            assert rows(got) == rows(part.groupBy("y", "x", "z").agg(F.count(F.lit(1)).cast("double").alias("n")))
+    calls, learned, stored, scales = [], [], tuning.stored, models._deviations
+    monkeypatch.setattr(tuning, "stored", lambda d: calls.append(1) or stored(d))
+    monkeypatch.setattr(models, "_deviations", lambda *a: learned.append(1) or scales(*a))
+    best, trials = tuning.search("logistic", df, None, "id", ["x", "z"], "y", "ks", n_trials=3)
+    assert len(calls) == 1 and len(learned) == 3 and trials.where("value is null").count() == 0
+    one = tuning.cross_validate("logistic", best, df, "id", ["x", "z"], "y", 3)
+    assert abs(one["ks"] - trials.agg(F.max("value")).first()[0]) < 1e-9
