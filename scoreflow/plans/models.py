@@ -280,6 +280,20 @@ def predict(model: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFra
     return out.select(*keep, F.col("prediction").cast("int").alias("prediction"), *extra)
 
 
+def predict_counted(model: PipelineModel, rows: DataFrame, target: str, count: str = ROWS) -> DataFrame:
+    """``predict`` of counted rows, with their class and number.
+
+    A model of binned features sees their cells, which are counted once for all models with the same cuts.
+    """
+    stage = model.stages[0]
+    if isinstance(stage, Bucketizer):
+        inputs, cuts = model.stages[1].getInputCols(), stage.getSplitsArray()
+        place = ("cells", target, count, *inputs, *map(tuple, cuts))
+        rows = _learned(rows, place, lambda: stored(stage.transform(rows).groupBy(target, *inputs).agg(F.sum(count).alias(count))))
+        model = PipelineModel(model.stages[1:])
+    return predict(model, rows, [target, count])
+
+
 def importance(model: PipelineModel, features: Sequence[str]) -> DataFrame:
     """K8: importance per feature; for linear families the absolute coefficient."""
     last = model.stages[-1]

@@ -24,8 +24,8 @@ from scoreflow.functions import core
 from scoreflow.functions.core import bounded_rows, stored
 from scoreflow.operators import metrics
 from scoreflow.operators.sampling import fold_of, split
-from scoreflow.plans.models import (ROWS, counted, fit_counted, fit_perceptrons, fits_counts, importance, load_model,
-                                    make_model, predict, save_model)
+from scoreflow.plans.models import (BINNED, ROWS, counted, fit_counted, fit_perceptrons, fits_counts, importance, load_model,
+                                    make_model, predict, predict_counted, save_model)
 from scoreflow.sources import runlog
 from scoreflow.sources.tables import prediction_sample, summary_artifact, write_parquet
 
@@ -145,22 +145,26 @@ def fit_measure(name: str, params: Mapping[str, Any], train: DataFrame,
         tests = {k: counted(df, [target, *features]) for k, df in tests.items()}
     model = fit_model(name, params, train, features, target, seed, n_classes, weight)
     count = ROWS if ROWS in train.columns else None
-    keep = [target, ROWS] if count else [target]
-    return model, {k: measure(predict(model, df, keep), target, count) for k, df in tests.items()}
+    return model, {k: measure(_predicted(model, df, target), target, count) for k, df in tests.items()}
 
 
-def measure_models(fitted: Sequence[PipelineModel | Exception], test: DataFrame, target: str
+def _predicted(model: PipelineModel, test: DataFrame, target: str) -> DataFrame:
+    return predict_counted(model, test, target) if ROWS in test.columns else predict(model, test, [target])
+
+
+def measure_models(fitted: Sequence[PipelineModel | Exception], tests: Sequence[DataFrame], target: str
                    ) -> list[dict[str, float] | Exception]:
-    """The measures of each model on one frame, counted or not, or its error."""
-    count = ROWS if ROWS in test.columns else None
-    good = [m for m in fitted if not isinstance(m, Exception)]
+    """The measures of each model on its frame, or its error; the frames are all counted or all not."""
+    good = [(m, t) for m, t in zip(fitted, tests) if not isinstance(m, Exception)]
+    count = ROWS if ROWS in tests[0].columns else None
     try:
-        made = iter(measure_all([predict(m, test, [target, ROWS] if count else [target]) for m in good], target, count) if good else [])
+        made = iter(measure_all(each([lambda m=m, t=t: _predicted(m, t, target) for m, t in good], FOLDS_AT_ONCE),
+                                target, count) if good else [])
         return [m if isinstance(m, Exception) else next(made) for m in fitted]
     except Exception as error:  # noqa: BLE001 - reported in the table
         if len(fitted) == 1:
             return [error]
-        return [measure_models([m], test, target)[0] for m in fitted]  # the fault is one model's
+        return [measure_models([m], [t], target)[0] for m, t in zip(fitted, tests)]  # the fault is one model's
 
 
 def as_board(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
@@ -217,22 +221,31 @@ def cross_validate(name: str, params: Mapping[str, Any], df: DataFrame, id_col:
 def counted_folds(df: DataFrame, id_col: str, keys: Sequence[str], folds: int, seed: int) -> list[tuple[DataFrame, DataFrame]]:
     """Training and test rows of each fold, as counted frames of one stored table: equal rows once, with their number in
     each fold. Fits that are given the same list share what they learn of a fold's rows first (scales, cells)."""
-    marked = df.select(*keys, fold_of(id_col, folds, seed).alias("_fold"))
-    names = [f"{ROWS}{k}" for k in range(folds)]
-    table = stored(marked.groupBy(*keys).agg(*[F.count_if(F.col("_fold") == k).cast("double").alias(n) for k, n in enumerate(names)]))
-    total = sum((F.col(n) for n in names[1:]), F.col(names[0]))
-    return [tuple(table.select(*keys, number.alias(ROWS)).where(F.col(ROWS) > 0) for number in (total - F.col(n), F.col(n)))
-            for n in names]
+    return folds_and_rows(df, id_col, keys, [folds], seed)[0][folds]
+
+
+def folds_and_rows(df: DataFrame, id_col: str, keys: Sequence[str], numbers: Sequence[int], seed: int
+                   ) -> tuple[dict[int, list[tuple[DataFrame, DataFrame]]], DataFrame]:
+    """``counted_folds`` for several numbers of folds, and all rows counted, from one pass over the rows."""
+    numbers = sorted(set(numbers))
+    marked = df.select(*keys, *[fold_of(id_col, n, seed).alias(f"_fold{n}") for n in numbers])
+    names = {n: [f"{ROWS}{n}_{k}" for k in range(n)] for n in numbers}
+    table = stored(marked.groupBy(*keys).agg(*[
+        F.count_if(F.col(f"_fold{n}") == k).cast("double").alias(c) for n in numbers for k, c in enumerate(names[n])]))
+    total = sum((F.col(c) for c in names[numbers[0]][1:]), F.col(names[numbers[0]][0]))
+    part = lambda number: table.select(*keys, number.alias(ROWS)).where(F.col(ROWS) > 0)
+    return {n: [(part(total - F.col(c)), part(F.col(c))) for c in names[n]] for n in numbers}, part(total)
 
 
 def _over_folds(name: str, params: Mapping[str, Any], pairs: Sequence[tuple[DataFrame, DataFrame]], features: Sequence[str],
                 target: str, seed: int, n_classes: int, weight: str | None) -> dict[str, float]:
-    def one(train: DataFrame, test: DataFrame) -> dict[str, float]:
-        return fit_measure(name, params, train, {"fold": test}, features, target, seed, n_classes, weight)[1]["fold"]
-
-    # Counted folds are small for their fits, whose many short jobs leave cores idle one after the other.
-    at_once = FOLDS_AT_ONCE if ROWS in pairs[0][0].columns else 1
-    return _means(each([lambda p=p: one(*p) for p in pairs], at_once))
+    if ROWS in pairs[0][0].columns:
+        found = _points_over_folds(name, [params], pairs, features, target, seed, n_classes, weight)[0]
+        if isinstance(found, Exception):
+            raise found
+        return found
+    return _means([fit_measure(name, params, train, {"fold": test}, features, target, seed, n_classes, weight)[1]["fold"]
+                   for train, test in pairs])
 
 
 def _means(results: Sequence[Mapping[str, float]]) -> dict[str, float]:
@@ -241,46 +254,63 @@ def _means(results: Sequence[Mapping[str, float]]) -> dict[str, float]:
             / max(1, sum(r.get(k) is not None for r in results)) for k in keys}
 
 
-def _side_by_side(points: Sequence[Mapping[str, Any]], pairs: Sequence[tuple[DataFrame, DataFrame]], features: Sequence[str],
-                  target: str, seed: int) -> list[dict[str, float] | Exception]:
-    """What ``_over_folds`` finds for the perceptron of each point, or its error; the fits on a frame share their passes."""
-    found: list[list] = [[] for _ in points]
-    for train, test in pairs:
+def _points_over_folds(name: str, points: Sequence[Mapping[str, Any]], pairs: Sequence[tuple[DataFrame, DataFrame]],
+                       features: Sequence[str], target: str, seed: int, n_classes: int, weight: str | None
+                       ) -> list[dict[str, float] | Exception]:
+    """Mean of every metric over counted folds for each point, or its error.
+
+    Perceptrons of a frame share their passes. Trees see cells only, so that all points are measured at once.
+    """
+    def one(params: Mapping[str, Any], train: DataFrame) -> PipelineModel | Exception:
         try:
-            fitted = fit_perceptrons(points, features, target, train, seed)
+            return fit_measure(name, params, train, {}, features, target, seed, n_classes, weight)[0]
+        except Exception as error:  # noqa: BLE001 - belongs to this point alone
+            return error
+
+    def abreast(train: DataFrame) -> list[PipelineModel | Exception]:
+        try:
+            return fit_perceptrons(points, features, target, train, seed)
         except Exception as error:  # noqa: BLE001 - reported in the table
             return [error] * len(points)
-        for place, result in zip(found, measure_models(fitted, test, target)):
-            place.append(result)
-    return [next((r for r in rs if isinstance(r, Exception)), None) or _means(rs) for rs in found]
+
+    # Counted folds are small for their fits, whose many short jobs leave cores idle one after the other.
+    if name == "mlp":
+        fitted = list(zip(*[abreast(train) for train, _ in pairs]))
+    else:
+        every = each([lambda p=p, t=train: one(p, t) for p in points for train, _ in pairs], FOLDS_AT_ONCE)
+        fitted = [every[i:i + len(pairs)] for i in range(0, len(every), len(pairs))]
+    tests = [test for _, test in pairs]
+    at_once = len(points) if name in BINNED or name == "mlp" and len(pairs) == 1 else 1
+    groups = [[m for ms in fitted[i:i + at_once] for m in ms] for i in range(0, len(points), at_once)]
+    found = sum(each([lambda g=g: measure_models(g, tests * (len(g) // len(tests)), target) for g in groups], FOLDS_AT_ONCE), [])
+    by_point = [found[i:i + len(pairs)] for i in range(0, len(found), len(pairs))]
+    return [next((r for r in rs if isinstance(r, Exception)), None) or _means(rs) for rs in by_point]
 
 
 def search(name: str, train: DataFrame, test: DataFrame | None, id_col: str,
            features: Sequence[str], target: str, metric: str, n_trials: int = 10,
            seed: int = 42, space: Mapping[str, Any] | None = None, folds: int = 3,
-           parallelism: int = 1, n_classes: int = 2, weight: str | None = None
-           ) -> tuple[dict[str, Any], DataFrame]:
+           parallelism: int = 1, n_classes: int = 2, weight: str | None = None,
+           pairs: Sequence[tuple[DataFrame, DataFrame]] | None = None) -> tuple[dict[str, Any], DataFrame]:
     """Seeded random search; returns (best parameters, table of trials).
 
-    Without ``test`` each trial is measured by cross-validation. A trial that fails has no
-    value; the search goes on.
+    Without ``test`` each trial is measured by cross-validation, of ``pairs`` if the counted folds are
+    there already. A trial that fails has no value; the search goes on.
     """
     rng = random.Random(seed)
     points = [draw(space or QUICK[name], rng) for _ in range(n_trials)]
     keys = [target, *features, *([weight] if weight else [])]
     # Equal rows are counted once for all trials.
-    pairs, counts = None, n_classes == 2 and all(fits_counts(name, p, weight) for p in points)
+    counts = n_classes == 2 and all(fits_counts(name, p, weight) for p in points)
     if counts:
         if test is None:
-            pairs = counted_folds(train, id_col, keys, folds, seed)
+            pairs = pairs or counted_folds(train, id_col, keys, folds, seed)
         elif ROWS not in train.columns:
             train, test = counted(train, keys), counted(test, [target, *features])
 
     def trial(params: dict[str, Any]) -> tuple[float | None, str | None]:
         try:
-            if pairs is not None:
-                found = _over_folds(name, params, pairs, features, target, seed, n_classes, weight)
-            elif test is None:
+            if test is None:
                 found = cross_validate(name, params, train, id_col, features, target, folds,
                                        seed, n_classes, weight)
             else:
@@ -290,8 +320,9 @@ def search(name: str, train: DataFrame, test: DataFrame | None, id_col: str,
             return None, str(error)
         return found.get(metric), None
 
-    if name == "mlp" and counts:
-        results = _side_by_side(points, [(train, test)] if pairs is None else pairs, features, target, seed)
+    if counts:
+        results = _points_over_folds(name, points, pairs if test is None else [(train, test)], features, target, seed,
+                                     n_classes, weight)
         done = [(None, str(r)) if isinstance(r, Exception) else (r.get(metric), None) for r in results]
     else:
         done = each([lambda p=p: trial(p) for p in points], parallelism)
@@ -343,7 +374,7 @@ def compare_models(df: DataFrame, id_col: str, features: Sequence[str], target:
         # The families' many short jobs leave cores idle one after the other.
         results = each([lambda n=n, p=p: one(n, p) for n, p in models.items()], MODELS_AT_ONCE)
         # Equal rows get equal predictions, so the counted test rows serve every family.
-        found = measure_models(results, once[1] if once else test, target)
+        found = measure_models(results, [once[1] if once else test] * len(results), target)
         for name, model, result in zip(models, results, found):
             if isinstance(result, Exception):
                 rows.append((name, "test", None, None, str(result)))
@@ -378,24 +409,25 @@ def dev_oot_run(dev: DataFrame, oot: DataFrame, id_col: str, features: Sequence[
     """Cross-validate every model, pick the winner out of time, tune it by
     cross-validation, refit it on all development rows and score it out of time."""
     spark = dev.sparkSession
-    dev = dev.select(id_col, target, *features, *([weight] if weight else [])).persist()
-    oot = oot.select(id_col, target, *features).persist()
-    once: list[DataFrame] = []
-    pairs: list[tuple[DataFrame, DataFrame]] = []
+    keys = [target, *features, *([weight] if weight else [])]
+    dev, oot = dev.select(id_col, *keys), oot.select(id_col, target, *features)
+    # Counted rows are read once; only families that need every row read them again and again.
+    kept = [] if all(fits_counts(n, p, weight) for n, p in models.items()) else [dev.persist(), oot.persist()]
+    once: list[Any] = []
+
+    def counts() -> tuple[dict[int, list[tuple[DataFrame, DataFrame]]], DataFrame, DataFrame]:
+        """Counted folds of both numbers, all development rows and the later ones, when a family asks for them."""
+        if not once:
+            once.extend([*folds_and_rows(dev, id_col, keys, [folds, tune_folds], seed), counted(oot, [target, *features])])
+        return once[0], once[1], once[2]
 
     def cross(name: str, params: Mapping[str, Any]) -> dict[str, float]:
         if not fits_counts(name, params, weight):
             return cross_validate(name, params, dev, id_col, features, target, folds, seed, weight=weight)
-        if not pairs:
-            pairs.extend(counted_folds(dev, id_col, [c for c in dev.columns if c != id_col], folds, seed))
-        return _over_folds(name, params, pairs, features, target, seed, 2, weight)
+        return _over_folds(name, params, counts()[0][folds], features, target, seed, 2, weight)
 
     def refit(name: str, params: Mapping[str, Any]) -> tuple[PipelineModel, dict[str, float]]:
-        rows_in, rows_out = dev, oot
-        if fits_counts(name, params, weight):
-            if not once:
-                once.extend([counted(dev, [c for c in dev.columns if c != id_col]), counted(oot, [target, *features])])
-            rows_in, rows_out = once
+        rows_in, rows_out = counts()[1:] if fits_counts(name, params, weight) else (dev, oot)
         model, found = fit_measure(name, params, rows_in, {"oot": rows_out}, features, target, seed, weight=weight)
         return model, found["oot"]
 
@@ -418,7 +450,7 @@ def dev_oot_run(dev: DataFrame, oot: DataFrame, id_col: str, features: Sequence[
         params, trials = dict(models[best]), None
         if n_trials > 0:
             params, trials = search(best, dev, None, id_col, features, target, metric, n_trials,
-                                    seed, space, tune_folds, weight=weight)
+                                    seed, space, tune_folds, weight=weight, pairs=once[0][tune_folds] if once else None)
         model, found = refit(best, params)
         tuned = f"{best}_tuned"
         rows += [(tuned, "oot", k, v, None) for k, v in found.items()]
@@ -426,8 +458,8 @@ def dev_oot_run(dev: DataFrame, oot: DataFrame, id_col: str, features: Sequence[
             save_model(model, params, tuned, folder)
         return Comparison(as_board(spark, rows), tuned, params, model, trials, {tuned: model})
     finally:
-        dev.unpersist()
-        oot.unpersist()
+        for df in kept:
+            df.unpersist()
 
 
 def tracked_run(train: DataFrame, test: DataFrame, id_col: str, features: Sequence[str],
